@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exactdedup, mixing
+from . import bpe, exactdedup, mixing, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_simhash": simhash.op2_simhash,
     "op5_exact_dedup": exactdedup.op5_exact_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
