@@ -4,7 +4,8 @@ Fingerprints (64 bits, radius 3) meet halfway: of two that differ in 3 bits, one
 other two. The two-bit walks are needed only inside a half of the word: three differing bits have two
 in the low or two in the high half. Fingerprints of odd parity walk pairs in the low half, even ones
 pairs in the high half (two at distance 3 have opposite parity), so each emits itself, its 64 one-bit
-variants and 496 two-bit variants. The shuffle is on the variant.
+variants and 496 two-bit variants. The shuffle is on the variant; a fingerprint's variants for the
+same partition travel together, as numbers of bit masks, two bytes each.
 
 All fingerprints are distinct here (copies are grouped first), so at most 65 + 496 can share a
 variant: no group is hot. Those at most one bit from the variant are within 3 bits of all others in
@@ -24,7 +25,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -74,19 +75,57 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def variants(fp: Column) -> Column:
-    """The ball around fp, as an array of 561 fingerprints."""
+def masks() -> np.ndarray:
+    """(2, 561): what a fingerprint of even and of odd parity is flipped by; at most two bits."""
     near = [0, *(1 << i for i in range(64))]
     pairs = lambda lo: [1 << i | 1 << j for i in range(lo, lo + 32) for j in range(i + 1, lo + 32)]
-    masks = lambda lo: F.lit([_signed(m) for m in near + pairs(lo)]).cast("array<bigint>")
-    return F.transform(F.when(F.bit_count(fp) % 2 == 1, masks(0)).otherwise(masks(32)), lambda m: fp.bitwiseXOR(m))
+    return np.array([near + pairs(32), near + pairs(0)], np.uint64)
+
+
+def deal(fps: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """The balls of fps (uint64), packed by destination: (bucket, fp, flips), flips being the numbers of
+    the masks whose variants go to that bucket. Each variant is sent as two bytes."""
+    parity = np.bitwise_count(fps) & 1
+    variants = fps[:, None] ^ masks()[parity]
+    with np.errstate(over="ignore"):
+        dest = ((variants * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(len(keys))).astype(np.uint32)
+    order = np.argsort(dest, axis=1, kind="stable")
+    where = np.take_along_axis(dest, order, axis=1).astype(np.int64) + np.arange(len(fps))[:, None] * len(keys)
+    where = where.ravel()
+    starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+    flips = pa.ListArray.from_arrays(pa.array(np.append(starts, len(where)), pa.int32()), pa.array(order.ravel().astype(np.int16)))
+    columns = pa.array(keys[where[starts] % len(keys)], pa.int32()), pa.array(fps[where[starts] // len(keys)].view(np.int64)), flips
+    return pa.RecordBatch.from_arrays([*columns], ["bucket", "fp", "flips"])
+
+
+def bucket_keys(spark, n: int) -> np.ndarray:
+    """An integer for each of n partitions that hash partitioning sends there."""
+    found: dict[int, int] = {}
+    size = 16 * n + 64
+    while len(found) < n:
+        ids = spark.range(size).select(F.col("id").cast("int").alias("key"))
+        places = ids.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("place")).agg(F.min("key").alias("key"))
+        found, size = {r["place"]: r["key"] for r in places.collect()}, 2 * size  # n rows
+    return np.array([found[i] for i in range(n)], np.int32)
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(fp, center): pairs at 1 to 3 bits that connect what is connected. fps: distinct fp."""
-    ball = fps.select("fp", F.explode(variants(F.col("fp"))).alias("variant"))
-    group = Window.partitionBy("variant").orderBy("steps", "fp").rowsBetween(Window.unboundedPreceding, 0)
-    met = ball.withColumn("steps", F.bit_count(F.col("fp").bitwiseXOR(F.col("variant"))))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = bucket_keys(fps.sparkSession, parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(values), 2048):
+                yield deal(values[i : i + 2048], keys)
+
+    dealt = fps.select("fp").mapInArrow(run, "bucket int, fp long, flips array<smallint>").repartition(parts, "bucket")
+    even, odd = (F.lit([_signed(int(m)) for m in row]).cast("array<bigint>") for row in masks())
+    ball = dealt.select("bucket", "fp", F.explode("flips").alias("flip")).withColumn("flip", F.col("flip").cast("int") + 1)
+    mask = F.when(F.bit_count("fp") % 2 == 1, F.element_at(odd, F.col("flip"))).otherwise(F.element_at(even, F.col("flip")))
+    met = ball.select("bucket", "fp", F.bit_count(mask).alias("steps"), F.col("fp").bitwiseXOR(mask).alias("variant"))
+    group = Window.partitionBy("variant", "bucket").orderBy("steps", "fp").rowsBetween(Window.unboundedPreceding, 0)
     met = met.withColumn("center", F.first("fp").over(group)).where("fp != center")
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("center"))) <= RADIUS).select("fp", "center").distinct()
 
