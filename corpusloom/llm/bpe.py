@@ -12,8 +12,8 @@ from u's state, ``follows[w]`` is the token whose state, as it was at that step,
 ``begins[w]`` is the token whose arc, right after that step, decides where w's arc starts. An arc that
 was asked for once is kept in a transition table, so encoding is table-driven.
 
-Encoding walks the pre-split word once: for each position exactly one state can be reached. Decoding
-emits the labels of the arcs.
+Encoding follows the automaton over the pre-split word, long arcs first; a position can be reached in
+one state only, so none is tried twice. Decoding emits the labels of the arcs.
 
 Defined results: a null text counts as empty and has no tokens; texts of any length are encoded whole;
 rows, repeated or not, are independent of each other; an empty table gives an empty result.
@@ -36,7 +36,7 @@ from .shared import documents, whole_row
 #: The pre-tokenizer's pattern (white space as Unicode defines it), the end of a word.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
-CACHE = 200_000  # words, and arcs times five, that a worker keeps before it starts anew
+CACHE = 250_000  # words in each of a worker's two generations; arcs, times five
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space for str.split() only
 
 
@@ -57,7 +57,9 @@ class Automaton:
         self.begins: dict[int, int] = {}
         for step, (u, v) in enumerate(merges):
             self._gadget(step, vocab[u], vocab[v], vocab[u + v])
-        self.prefixes = {t[:i] for t in vocab for i in range(1, len(t) + 1)}
+        self.tree: dict[str, list] = {}  # letter -> [token or None, deeper tree]
+        for token, i in vocab.items():
+            self._plant(token, i)
         self.table: dict[int, bool] = {}
         self.never = len(merges)
 
@@ -68,6 +70,22 @@ class Automaton:
         self.follows[w] = (v, step)
         self.begins[w] = u
 
+    def _letters(self, token: str) -> list[str]:
+        """A word's last letter and its end mark are one letter."""
+        last = len(token) - len(self.end) if self.end and token.endswith(self.end) else len(token)
+        letters = list(token[:last])
+        if last < len(token) and letters:
+            letters[-1] += self.end
+        return letters
+
+    def _plant(self, token: str, number: int) -> None:
+        tree, entry = self.tree, None
+        for letter in self._letters(token):
+            entry = tree.setdefault(letter, [None, {}])
+            tree = entry[1]
+        if entry:
+            entry[0] = number
+
     def _arc(self, state: int, token: int) -> bool:
         """Whether the final state after the token ``state`` has an arc for ``token``."""
         now = self.never  # the version of the state: before this step
@@ -92,30 +110,50 @@ class Automaton:
             known = self.table[key] = self._arc(state, token)
         return known
 
+    def arcs(self, letters: list[str], at: int) -> list[tuple[int, int]]:
+        """(end, token) of the tokens that spell letters from at on, the longest last."""
+        tree, found = self.tree, []
+        for i in range(at, len(letters)):
+            entry = tree.get(letters[i])
+            if entry is None:
+                break
+            token, tree = entry
+            if token is not None:
+                found.append((i + 1, token))
+        return found
+
     def encode(self, word: str) -> list[int]:
-        """The ids of a word, written in byte letters."""
-        n, vocab, prefixes, allows = len(word), self.vocab, self.prefixes, self.allows
-        states: list[int] = [-1] * (n + 1)
-        starts = [0] * (n + 1)
-        for i in range(n):
-            state = states[i]
-            for j in range(i + 1, n + 1):
-                part = word[i:j]
-                token = vocab.get(part + self.end if j == n else part)
-                if token is not None and (i == 0 or allows(state, token)):
-                    states[j], starts[j] = token, i
-                if part not in prefixes:
+        """The ids of a word, written in byte letters: a depth-first walk, long arcs first. A position
+        can be reached in one state only, so a position that led nowhere need not be tried again."""
+        if not word:
+            return []
+        letters = [*word]
+        letters[-1] += self.end
+        n, table, dead = len(letters), self.table, set()
+        ids: list[int] = []
+        back: list[tuple[int, int, list[tuple[int, int]]]] = []
+        at, state, open_arcs = 0, -1, self.arcs(letters, 0)
+        while at < n:
+            while open_arcs:
+                end, token = open_arcs.pop()
+                if end not in dead and (state < 0 or table.get(state << 20 | token) or self.allows(state, token)):
+                    ids.append(token)
+                    back.append((at, state, open_arcs))
+                    at, state = end, token
+                    open_arcs = self.arcs(letters, at) if at < n else []
                     break
-        ids, at = [], n
-        while at:
-            ids.append(states[at])
-            at = starts[at]
-        return ids[::-1]
+            else:
+                dead.add(at)
+                if not back:
+                    raise ValueError("a letter is not in the vocabulary")
+                ids.pop()
+                at, state, open_arcs = back.pop()
+        return ids
 
 
 class Encoder(dict):
     """Encodes and decodes texts as the tokenizer file at path says. As a dict it is the cache of
-    (ids, labels) of what stands between white space."""
+    (ids, labels) of what stands between white space, with an older generation behind it."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -128,14 +166,19 @@ class Encoder(dict):
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
         self.letters = byte_letters()
+        self.older: dict[str, tuple[str, str]] = {}
 
     def __missing__(self, chunk: str) -> tuple[str, str]:
-        if len(self) > CACHE:
+        if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        ids: list[int] = []
-        for piece in self.pieces.findall(chunk):
-            ids += self.automaton.encode("".join([self.letters[b] for b in piece.encode()]))
-        found = (" ".join(map(str, ids)), self.decode(ids))
+        found = self.older.get(chunk)
+        if found is None:
+            ids: list[int] = []
+            for piece in self.pieces.findall(chunk):
+                plain = piece.isascii() and piece.isprintable()  # such letters stand for themselves
+                ids += self.automaton.encode(piece if plain else "".join([self.letters[b] for b in piece.encode()]))
+            found = (" ".join(map(str, ids)), self.decode(ids))
         self[chunk] = found
         return found
 
