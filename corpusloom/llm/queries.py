@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from . import bpe, exactdedup, mixing, simhash
+from . import bpe, chat, exactdedup, langid, media, mixing, secretscan, sharding, simhash, urlfilter
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_simhash": simhash.op2_simhash,
+    "op3_chat": chat.op3_chat,
+    "op4_langid": langid.op4_langid,
     "op5_exact_dedup": exactdedup.op5_exact_dedup,
+    "op6_secrets": secretscan.op6_secrets,
+    "op7_urls": urlfilter.op7_urls,
+    "op8_media": media.op8_media,
+    "op9_shards": sharding.op9_shards,
     "op10_bpe": bpe.op10_bpe,
+    "langid_pages": langid.langid_pages,
 }
 
 ORACLES = {
     "op1_mix": mixing.ORACLE,
+    "op3_chat": chat.ORACLE,
     "op5_exact_dedup": exactdedup.ORACLE,
+    "op7_urls": urlfilter.ORACLE,
 }
