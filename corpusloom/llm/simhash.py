@@ -35,6 +35,7 @@ from .shared import documents, materialise, whole_row
 WORDS = 3
 SEED = 42
 RADIUS = 3
+DESTINATIONS = 128  # partitions of the variants at least; more follow spark.sql.shuffle.partitions
 _CHUNK = 255 * 64  # shingles at a time, so that a very long text needs no more memory
 
 
@@ -111,7 +112,7 @@ def bucket_keys(spark, n: int) -> np.ndarray:
 
 def links(fps: DataFrame) -> DataFrame:
     """(fp, center): pairs at 1 to 3 bits that connect what is connected. fps: distinct fp."""
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(DESTINATIONS, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = bucket_keys(fps.sparkSession, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
