@@ -27,7 +27,8 @@ from .shared import documents, whole_row
 RATE = 8000
 UNIT = 576
 PAD = 255
-ACROSS = 8192  # ADPCM blocks decoded together
+ACROSS = 2048  # ADPCM blocks decoded together
+SLICE = 512  # rows of a batch worked on at a time
 #: WAVE format tags.
 ALAW, MULAW, IMA = 6, 7, 17
 #: Index steps of IMA ADPCM, by the three low bits of a nibble.
@@ -151,13 +152,19 @@ def features(tag: int, block: int, data: bytes, adpcm: tuple[int, int]) -> tuple
     return stored, f"n={len(pcm)};rms={rms(len(pcm), int(np.dot(wide, wide)))};peak={int(np.abs(wide).max(initial=0))};zc={crossings};adpcm_rms={rms(*adpcm)};pcm16k_crc={zlib.crc32(stored)}"
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def store_media(rows: DataFrame, data: str, tag: int = MULAW, block: int = 1) -> DataFrame:
     """Adds media (a WAVE file around the padded bytes of column data) as _row, n_bytes, media."""
     rest = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != data])
     packed = rows.select(whole_row(rest), F.col(data).cast("binary").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, media = [], []
             for x in batch.column(1):
                 raw = x.as_py() or b""
@@ -174,7 +181,7 @@ def decode_media(stored: DataFrame, with_pcm: bool = True) -> DataFrame:
     digests = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found: dict[str, list] = {k: [] for k in [*digests, "pcm"]}
             files = batch.column(batch.schema.get_field_index("media")).to_pylist()
             opened = [unpack(media) for media in files]
