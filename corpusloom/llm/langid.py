@@ -9,7 +9,8 @@ list explains it better than the class ``und`` does, a uniform trigram model, or
 
 Defined results: a null or empty text, or one without letters, is ``und`` and rejected; a null or
 unknown declaration, suffix or host is no evidence; repeated rows each count; an empty table gives an
-empty result. Whole texts are read, a mebibyte at a time. Input columns are kept in a struct, so their
+empty result. Without labelled rows every language is as likely as the unknown, so the other evidence
+decides. Whole texts are read, a mebibyte at a time. Input columns are kept in a struct, so their
 names may clash with those made here.
 """
 
@@ -62,7 +63,8 @@ def fit(docs: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE_ROWS) ->
                 total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for t in trigrams(text):
                     total += np.bincount(t, minlength=BUCKETS)
-        yield pd.DataFrame({"lang": list(sums), "counts": [x.tobytes() for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "counts": [x.tobytes() for x in sums.values()]})
 
     found = np.full((len(languages), BUCKETS), SMOOTHING)
     for r in sample.select("lang", "text").mapInPandas(count, "lang string, counts binary").collect():
@@ -110,15 +112,18 @@ def host_counts(marked: DataFrame, languages=LANGUAGES) -> DataFrame:
     return materialise(joined.join(F.broadcast(everything)), "langid-priors")
 
 
-def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host: Column, model: np.ndarray, languages=LANGUAGES) -> DataFrame:
-    """For each row: _row, lang, confidence, text_lang, n_trigrams, kept."""
+def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host: Column, model: np.ndarray, languages=LANGUAGES, with_text: bool = True) -> DataFrame:
+    """For each row: _row, lang, confidence, text_lang, n_trigrams, kept. Without the text in _row, texts
+    are read once and only their likelihoods are shuffled; with it, they are read for the hosts' counts
+    and again for the result."""
     names, k = F.array(*map(F.lit, [*languages, UNKNOWN])), len(languages) + 1
     base = rows.select(
-        whole_row(rows), F.lower(F.substring(declared, 1, 2)).alias("declared"), suffix.alias("suffix"), host.alias("host"),
+        whole_row(rows if with_text else rows.drop(text)), F.lower(F.substring(declared, 1, 2)).alias("declared"), suffix.alias("suffix"), host.alias("host"),
         likelihoods(model)(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("found"),
     )
     base = base.withColumns({"n": F.element_at("found", 1), "scores": F.slice("found", 2, k)}).drop("found")
     base = base.withColumn("text_lang", _best(F.col("scores"), names))
+    base = base if with_text else materialise(base, "langid-scores")
     priors = host_counts(base.select("host", "text_lang"), languages).withColumnRenamed("host", "of")
     # a host that no row has cannot be missing here: both sides come from the same rows
     joined = base.join(priors, F.col("host").eqNullSafe(F.col("of")))
@@ -153,10 +158,10 @@ def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host:
     )
 
 
-def identify_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, with_text: bool = True) -> DataFrame:
     """docs: doc_id, text, lang (declared), source (host), and whatever else."""
     nothing = F.lit(None).cast("string")
-    return identify(docs, "text", F.col("lang"), nothing, F.col("source"), fit(docs.select("text", "lang"), sample_rows=sample_rows))
+    return identify(docs, "text", F.col("lang"), nothing, F.col("source"), fit(docs.select("text", "lang"), sample_rows=sample_rows), with_text=with_text)
 
 
 def visible_text(html: Column) -> Column:
@@ -172,7 +177,7 @@ def identify_pages(pages: DataFrame, model: np.ndarray) -> DataFrame:
         "page_id", host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"),
         F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1).alias("declared"), visible_text(F.col("html")).alias("text"),
     )
-    return identify(rows, "text", F.col("declared"), F.col("suffix"), F.col("host"), model)
+    return identify(rows, "text", F.col("declared"), F.col("suffix"), F.col("host"), model, with_text=False)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -182,7 +187,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:
     """op4: language of every document; source is its host, lang the declared language."""
-    found = identify_documents(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+    found = identify_documents(documents(spark, sf_dir, "doc_id", "text", "lang", "source"), with_text=False)
     return found.select("_row.doc_id", "lang", "confidence", "text_lang", "n_trigrams", "kept")
 
 
