@@ -26,6 +26,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,7 +37,8 @@ from .shared import documents, whole_row
 #: The pre-tokenizer's pattern (white space as Unicode defines it), the end of a word.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
-CACHE = 250_000  # words in each of a worker's two generations; arcs, times five
+CACHE = 150_000  # words in each of a worker's two generations; arcs, times five
+SLICE = 1000  # rows of a batch worked on at a time
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space for str.split() only
 
 
@@ -182,6 +184,12 @@ class Encoder(dict):
         self[chunk] = found
         return found
 
+    def forget(self) -> None:
+        """Empties the cache: a worker lives on after its task, beside those of other stages."""
+        self.clear()
+        self.older = {}
+        self.automaton.table.clear()
+
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.labels[i] for i in ids])
 
@@ -222,7 +230,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", with_ids: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             n, ids_sha, decoded_sha, all_ids, all_decoded = [], [], [], [], []
             for text_value in batch.column(1):
                 ids, decoded = enc.encode_text(text_value.as_py())
@@ -230,13 +238,16 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", with_ids: b
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append([int(i) for i in ids.split()])
+                    all_ids.append(np.array(ids.split(), dtype=np.int32))
                 if with_decoded:
                     all_decoded.append(decoded)
             columns = {"_row": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
-            columns |= {"ids": pa.array(all_ids, pa.list_(pa.int32()))} if with_ids else {}
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int32)
+                columns |= {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids)))}
             columns |= {"decoded": pa.array(all_decoded, pa.string())} if with_decoded else {}
             yield pa.RecordBatch.from_pydict(columns)
+        enc.forget()
 
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids + ", decoded string" * with_decoded)
