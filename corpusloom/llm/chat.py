@@ -56,16 +56,16 @@ def unescape_text(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1] or m[2], text)
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """events: conv_id, turn, seq, op, role, text. Returns conv_id, turn, role, text, a row a turn."""
-    e = events.select("conv_id", "turn", "seq", F.coalesce("op", F.lit("message")).alias("op"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    of_turn = Window.partitionBy("conv_id", "turn")
+def fold(events: DataFrame, keys: tuple[str, ...] = ("conv_id", "turn")) -> DataFrame:
+    """events: conv_id, turn, seq, op, role, text. Returns the keys, role and text, a row a turn."""
+    e = events.select(*keys, "seq", F.coalesce("op", F.lit("message")).alias("op"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    of_turn = Window.partitionBy(*keys)
     opened = F.max(F.when(F.col("op").isin(*OPENING), F.struct(F.col("seq").isNotNull(), F.col("seq")))).over(of_turn)
     live = e.withColumn("opened", opened).where(F.col("opened").isNull() | (F.struct(F.col("seq").isNotNull(), F.col("seq")) >= F.col("opened")))
     said = F.when(F.col("op") == "regenerate", F.lit("")).otherwise(F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct(F.col("seq"), (~F.col("op").isin(*OPENING)).alias("later"), said.alias("text"))))
     first = F.min(F.struct(F.col("role") == "", F.col("seq"), F.col("role")))
-    return live.groupBy("conv_id", "turn").agg(first["role"].alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+    return live.groupBy(*keys).agg(first["role"].alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -116,17 +116,17 @@ def digest(rendered: DataFrame) -> DataFrame:
 
 
 def as_events(rows: DataFrame) -> DataFrame:
-    """A table of final turns (conv_id, turn, role, text) as a log: each row opens a turn of its own."""
+    """A table of final turns (conv_id, turn, role, text) as a log: each row opens a turn of its own, told
+    from others by (conv_id, turn, tie). The fold by these keys needs no shuffle after this one."""
     tie = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return rows.select("conv_id", F.struct(F.col("turn").alias("turn"), tie.alias("tie")).alias("turn"), F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
+    return rows.select("conv_id", "turn", tie.alias("tie"), F.col("turn").alias("seq"), F.lit("message").alias("op"), "role", "text")
 
 
 def op3_chat(spark, sf_dir: str) -> DataFrame:
     """op3: every conversation, and conversation -7, formatted and read back."""
     own = "SELECT -7L AS conv_id, t AS turn, if(t = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM (SELECT explode(sequence(0L, 1L)) AS t)"
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(spark.sql(own))
-    turns = fold(as_events(rows)).select("conv_id", "turn.turn", "turn.tie", "role", "text")
-    return digest(render(turns))
+    return digest(render(fold(as_events(rows), ("conv_id", "turn", "tie"))))
 
 
 ORACLE = r"""

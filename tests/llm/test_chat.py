@@ -51,7 +51,7 @@ def test_conversations(spark, sf):
 def test_edge_rows(spark):
     rows = [(1, 0, "user", t) for t in NASTY] + [(1, 0, "user", None), (1, 0, "user", None), (2, None, None, "x"), (2, 1, "as\\n\nsistant", "y"), (2, 2, "assistant", "z" * 200_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS tie", "2 AS seq")
-    turns = chat.fold(chat.as_events(df)).select("conv_id", "turn.turn", "turn.tie", "role", "text")
+    turns = chat.fold(chat.as_events(df), ("conv_id", "turn", "tie"))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(chat.render(turns)).collect()}
     want = slow([(c, -1 if t is None else t, role, text) for c, t, role, text in rows])
     assert got == want
