@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"[a-z0-9][a-z0-9._+-]+|[一-鿿]")
+_TOKEN = re.compile(r"[a-z0-9]+(?:[._+-][a-z0-9]+)*|[\u4e00-\u9fff]")
 
 
 class Embedder(Protocol):
