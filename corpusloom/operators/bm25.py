@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
+from ..storage import materialise
 
 K1, B = 1.5, 0.75
 MAX_QUERY_TERMS = 10_000
@@ -53,3 +54,23 @@ def score(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
     hits = hits.join(F.broadcast(frequency), "term").join(index.lengths.select("cid", "dl"), "cid").crossJoin(F.broadcast(index.stats))  # one row
     part = score_term(*map(F.col, ("tf", "qtf", "df", "dl", "n", "avgdl")), k1, b)
     return hits.groupBy("cid").agg(F.sum(part).alias("bm25")).where("bm25 > 0")
+
+
+def score_documents(docs: DataFrame, key: str, text: str, query: str, *more: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(cid, more, bm25) without an index: texts are read once, and of each only its length and how often
+    it has the query's terms are kept."""
+    spark = docs.sparkSession
+    asked = {r["term"]: r["qtf"] for r in query_terms(spark, query).collect()}  # MAX_QUERY_TERMS rows at most
+    if not asked:
+        return docs.select(F.col(key).alias("cid"), *more, F.lit(0.0).alias("bm25")).limit(0)
+    wanted = F.array(*map(F.lit, asked))
+    found = docs.select(F.col(key).alias("cid"), *more, let(tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.struct(F.size(t).cast("long").alias("dl"), F.filter(t, lambda x: F.array_contains(wanted, x)).alias("hits"))).alias("f"))
+    slim = materialise(found.select("cid", *more, "f.dl", "f.hits"), "bm25")
+    stats = slim.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    counted = slim.where(F.size("hits") > 0).select("cid", *more, "dl", F.explode(F.array_distinct("hits")).alias("term"), "hits")
+    counted = counted.withColumn("tf", F.size(F.filter("hits", lambda x: x == F.col("term"))).cast("long")).drop("hits")
+    frequency = slim.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    qtf = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])
+    joined = counted.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(stats)).withColumn("qtf", F.element_at(qtf, F.col("term")))
+    part = score_term(*map(F.col, ("tf", "qtf", "df", "dl", "n", "avgdl")), k1, b)
+    return joined.groupBy("cid", *more).agg(F.sum(part).alias("bm25")).where("bm25 > 0")

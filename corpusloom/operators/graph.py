@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, stripped, suffix
-from ..models import cosine
 
 #: Themes and the words in a path that mean them, in order of priority.
 THEMES = (
@@ -114,22 +116,45 @@ def mark_hubs(nodes: DataFrame, edges: DataFrame, n: int = HUBS) -> DataFrame:
     return nodes.join(F.broadcast(top), F.col("id") == F.col("_hub"), "left").withColumn("big", F.col("_hub").isNotNull()).drop("_hub")
 
 
-def semantic_edges(vectors: DataFrame, key: str, vector: str, threshold: float = EDGE_SIMILARITY, per_node: int = EDGES_A_NODE, cap: int | None = EDGE_CAP, block: int = 4096) -> DataFrame:
+def semantic_edges(vectors: DataFrame, key: str, vector: str, threshold: float = EDGE_SIMILARITY, per_node: int = EDGES_A_NODE, cap: int | None = EDGE_CAP, block: int = 1024) -> DataFrame:
     """(a, b, sim): each node's nearest at threshold or above, undirected, sim rounded after the test;
     cap: that many, in the order of nodes and their ranks.
 
-    Every vector is a query against all rows, so the work is quadratic by its nature; it is done block
-    against block: numbered blocks of about ``block`` vectors are arrays, and the pairs of blocks are
-    joined by an equality on the pair, so that neither side is broadcast and no cross join is made.
+    Every vector is a query against all rows, so the work is quadratic by its nature. It is done block
+    against block: about ``block`` vectors are packed into a row, pairs of blocks meet by an equality on
+    the pair (neither side is broadcast and there is no cross join), and of each pair only the nearest
+    ``per_node`` of each node come out of the matrix product.
     """
     n = vectors.count()
     blocks = max(1, math.ceil(n / block))
-    numbered = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("blk"))
+    kind = vectors.schema[key].dataType.simpleString()
+    numbered = vectors.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("blk"), F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).alias("p"))
+    packed = numbered.where("p.v IS NOT NULL").groupBy("blk").agg(F.collect_list("p").alias("ps"))  # block vectors a row
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = numbered.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("blk").alias("ba"), F.explode(every).alias("bb"))
-    right = numbered.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("blk").alias("bb"), F.explode(every).alias("ba"))
-    met = left.join(right, ["ba", "bb"]).where("a <> b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") >= threshold)
-    near = met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= per_node)
+    left = packed.select(F.col("blk").alias("ba"), F.explode(every).alias("bb"), F.col("ps").alias("pa"))
+    right = packed.select(F.explode(every).alias("ba"), F.col("blk").alias("bb"), F.col("ps").alias("pb"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def matrix(points):
+            x = np.array([p["v"] for p in points], np.float64)
+            norms = np.linalg.norm(x, axis=1, keepdims=True)
+            return np.array([p["id"] for p in points]), x / np.where(norms > 0, norms, 1)
+
+        for pdf in batches:
+            for pa, pb in zip(pdf["pa"], pdf["pb"], strict=True):
+                (ia, xa), (ib, xb) = matrix(pa), matrix(pb)
+                order = np.argsort(ib, kind="stable")
+                ib, xb = ib[order], xb[order]
+                sims = xa @ xb.T
+                sims[ia[:, None] == ib[None, :]] = -2
+                near = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :per_node]
+                rows = np.repeat(np.arange(len(ia)), near.shape[1])
+                found = sims[rows, near.ravel()]
+                good = found >= threshold
+                yield pd.DataFrame({"a": ia[rows[good]], "b": ib[near.ravel()[good]], "sim": found[good]})
+
+    met = left.join(right, ["ba", "bb"]).select("pa", "pb").mapInPandas(best, f"a {kind}, b {kind}, sim double")
+    near = met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b"))).where(F.col("r") <= per_node)
     first = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct(F.col("a").alias("node"), "r")).alias("at"), F.max("sim").alias("sim"))
     out = first.select("a", "b", F.round("sim", 3).alias("sim"), "at")
     return (out.orderBy("at.node", "at.r", "a", "b").limit(cap) if cap else out).drop("at")

@@ -129,11 +129,13 @@ def chunk_files(files: DataFrame, limit: int = CHUNK_LIMIT, short: int = SHORT_D
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf[pdf["reason"].isna()].drop(columns="reason")  # here, lest the cleaning be done again for a filter
             pdf["piece"] = [list(enumerate(document_pieces(t, b, limit, short))) for t, b in zip(pdf["title"], pdf["body"], strict=True)]
             rows = pdf.drop(columns="body").explode("piece").dropna(subset="piece")
-            yield rows.assign(chunk=[i for i, _ in rows["piece"]], heading=[h for _, (h, _) in rows["piece"]], body=[b for _, (_, b) in rows["piece"]]).drop(columns="piece")
+            if len(rows):
+                yield rows.assign(chunk=[i for i, _ in rows["piece"]], heading=[h for _, (h, _) in rows["piece"]], body=[b for _, (_, b) in rows["piece"]]).drop(columns="piece")
 
-    whole = clean.where("reason IS NULL").select("lib", "rel", "title", "tags", "body")
+    whole = clean.select("lib", "rel", "title", "tags", "body", "reason")
     kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in ("lib", "rel", "title", "tags"))
     each = whole.mapInPandas(cut, f"{kinds}, chunk int, heading string, body string")
     path = F.when(F.col("heading") != "", F.split("heading", " / ")).otherwise(F.array().cast("array<string>"))

@@ -55,24 +55,28 @@ b AS (SELECT p.doc_id, any_value(l.source) AS source,
 
 
 def _scores(spark, sf):
-    docs = table(spark, sf, "documents")
-    index = bm25.build(docs, "doc_id", "text", "source")
-    return index, bm25.score(index, QUERY)
+    return bm25.score_documents(table(spark, sf, "documents"), "doc_id", "text", QUERY, "source")
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY round(bm25, 6) DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf):
-    _, scores = _scores(spark, sf)
+    scores = _scores(spark, sf)
     return scores.select(F.col("cid").alias("doc_id"), F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(10)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b WHERE source = 'src3' OR starts_with(source, 'src3/') ORDER BY round(bm25, 6) DESC, doc_id LIMIT 10")
 def bm25_folder_topk(spark, sf):
-    index, scores = _scores(spark, sf)
-    inside = scores.join(index.lengths, "cid").where(paths.in_folder(F.col("source"), "src3/"))
+    inside = _scores(spark, sf).where(paths.in_folder(F.col("source"), "src3/"))
     return inside.select(F.col("cid").alias("doc_id"), F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(10)
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b")
+def bm25_index(spark, sf):
+    """The same through the index tables."""
+    index = bm25.build(table(spark, sf, "documents"), "doc_id", "text", "source")
+    return bm25.score(index, QUERY).select(F.col("cid").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
 @query(f"WITH d AS (SELECT {_TOKENS} AS terms FROM documents) SELECT term, count(*) AS tf FROM (SELECT unnest(terms) AS term FROM d) GROUP BY 1")
 def term_counts(spark, sf):
     return table(spark, sf, "documents").select(F.explode(text.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
@@ -116,7 +120,7 @@ u AS (SELECT coalesce(r1.doc_id, r2.doc_id) AS doc_id, coalesce({wd}::DOUBLE / (
 
 
 def _fused(spark, sf, wd: float, wb: float):
-    _, scores = _scores(spark, sf)
+    scores = _scores(spark, sf)
     keyword = scores.select(F.col("cid").alias("doc_id"), F.round("bm25", 9).alias("bm25"))
     return retrieval.fuse(_dense(spark, sf), keyword, "doc_id", wd, wb)
 
