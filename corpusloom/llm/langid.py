@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of evidence.
 
 The text's likelihood comes from hashed letter trigrams, fitted on a bounded sample of labelled rows
-(``sample_rows``, those with the smallest hash). It is combined with the language that the markup
+(about ``sample_rows``, those with the smallest hash). It is combined with the language that the markup
 declares, the suffix of the address and a prior of the host. Host priors are counts of the text's own
 decisions, grouped by host and domain over all rows and smoothed hierarchically: all rows -> domain ->
 host. A row's own decision is taken out of its host's counts. A row is rejected if no language of the
@@ -52,9 +52,15 @@ def trigrams(text: bytes | None) -> Iterator[np.ndarray]:
 
 
 def fit(docs: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Log probabilities, a row for each language, from docs (text, lang)."""
+    """Log probabilities, a row for each language, from docs (text, lang, and a key such as doc_id).
+
+    The sample is the labelled rows whose hash falls below the share that makes sample_rows of them, on
+    average; it is counted where it lies, and the driver gets a number for each language and bucket.
+    """
     labelled = docs.where(F.col("lang").isin(*languages) & F.col("text").isNotNull())
-    sample = labelled.select(F.xxhash64("text").alias("order"), "lang", F.col("text").cast("binary").alias("text")).orderBy("order", "lang").limit(sample_rows)
+    share = min(1.0, sample_rows / max(1, labelled.count()))
+    below = -(1 << 63) + int(share * ((1 << 64) - 1))
+    sample = labelled.where(F.xxhash64(*docs.columns) <= below).select("lang", F.col("text").cast("binary").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -63,12 +69,14 @@ def fit(docs: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE_ROWS) ->
                 total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for t in trigrams(text):
                     total += np.bincount(t, minlength=BUCKETS)
-        if sums:
-            yield pd.DataFrame({"lang": list(sums), "counts": [x.tobytes() for x in sums.values()]})
+        for lang, total in sums.items():
+            used = np.flatnonzero(total)
+            yield pd.DataFrame({"lang": lang, "bucket": used.astype(np.int32), "n": total[used]})
 
+    counted = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = np.full((len(languages), BUCKETS), SMOOTHING)
-    for r in sample.select("lang", "text").mapInPandas(count, "lang string, counts binary").collect():
-        found[languages.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
+    for r in counted.toLocalIterator():  # len(languages) * BUCKETS rows at most
+        found[languages.index(r["lang"]), r["bucket"]] += r["n"]
     return np.log(found / found.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -161,7 +169,7 @@ def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host:
 def identify_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, with_text: bool = True) -> DataFrame:
     """docs: doc_id, text, lang (declared), source (host), and whatever else."""
     nothing = F.lit(None).cast("string")
-    return identify(docs, "text", F.col("lang"), nothing, F.col("source"), fit(docs.select("text", "lang"), sample_rows=sample_rows), with_text=with_text)
+    return identify(docs, "text", F.col("lang"), nothing, F.col("source"), fit(docs.select("doc_id", "text", "lang"), sample_rows=sample_rows), with_text=with_text)
 
 
 def visible_text(html: Column) -> Column:
@@ -193,6 +201,6 @@ def op4_langid(spark, sf_dir: str) -> DataFrame:
 
 def langid_pages(spark, sf_dir: str) -> DataFrame:
     """The same over all pages, with markup, suffix and host; the text model comes from documents."""
-    model = fit(documents(spark, sf_dir, "text", "lang"))
+    model = fit(documents(spark, sf_dir, "doc_id", "text", "lang"))
     found = identify_pages(table(spark, sf_dir, "pages"), model)
     return found.select("_row.page_id", F.col("_row.declared").alias("declared"), "lang", "confidence", "text_lang", "n_trigrams", "kept")

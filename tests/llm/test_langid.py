@@ -38,7 +38,7 @@ def test_random_letters_are_rejected(spark):
 def test_fusion(spark, sf):
     """Every posterior, from the likelihoods that the text model gives."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "lang AS said", "concat(source, '.example.', if(doc_id % 3 = 0, 'de', 'org')) AS host", "if(doc_id % 3 = 0, 'de', 'org') AS suffix")
-    model = langid.fit(docs.selectExpr("text", "said AS lang"), sample_rows=100)
+    model = langid.fit(docs.selectExpr("doc_id", "text", "said AS lang"), sample_rows=100)
     got = {r.doc_id: r for r in langid.identify(docs, "text", langid.F.col("said"), langid.F.col("suffix"), langid.F.col("host"), model).selectExpr("_row.doc_id", "lang", "confidence", "text_lang").collect()}
     names = [*LANGS, "und"]
     rows, scores = docs.collect(), {}
