@@ -238,7 +238,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", with_ids: b
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(np.array(ids.split(), dtype=np.int32))
+                    all_ids.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
                 if with_decoded:
                     all_decoded.append(decoded)
             columns = {"_row": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
