@@ -59,7 +59,7 @@ def fit(docs: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE_ROWS) ->
     """
     labelled = docs.where(F.col("lang").isin(*languages) & F.col("text").isNotNull())
     share = min(1.0, sample_rows / max(1, labelled.count()))
-    below = -(1 << 63) + int(share * ((1 << 64) - 1))
+    below = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
     sample = labelled.where(F.xxhash64(*docs.columns) <= below).select("lang", F.col("text").cast("binary").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
