@@ -156,3 +156,80 @@ def test_config():
     assert options["default_top_k"] == 7 and options["small_to_big"] is True and options["extensions"] == ["md", "x//y"] and options["bm25_k1"] == 2.0 and "bm25_b" in missing
     assert config.load("not json")[0] == config.DEFAULTS
     assert config.effective({"extensions": ["md", "pdf"]}, {"agent_formats": ["docx", "pdf"]})["agent_formats"] == ["pdf"]
+
+
+def test_docx():
+    import io
+    import zipfile
+
+    from corpusloom.sources.docx import Docx
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t, s="": f'<w:p><w:pPr><w:pStyle w:val="{s}"/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
+    body = p("T", "Title") + p("text") + f"<w:tbl><w:tr>{cell('a|b')}{cell('c')}</w:tr><w:tr>{cell('')}{cell('')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr></w:tbl>" + p("deep", "h4") + p("")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f'<w:styles {w}><w:style w:styleId="h4"><w:name w:val="heading 4"/></w:style></w:styles>')
+    assert Docx().pages("x.DOCX", buffer.getvalue()) == ["# T\n\ntext\n\n| a\\|b | c |\n|---|---|\n| 1 | 2 |\n\n### deep"]
+
+
+def test_control():
+    import pytest
+
+    from corpusloom import control
+
+    x = control.Library("l", "/p", options={"exclude_dirs": ["TEMP", "x"]})
+    x.choose([("a\\b/", "in"), ("c", "in"), ("c", "out"), ("a/b", "in")])
+    assert (x.selection_in, x.selection_out) == (["a/b"], ["c"])
+    x.resolve_conflict("TEMP")
+    assert x.options["exclude_dirs"] == ["x"] and "TEMP" in x.selection_in
+    with pytest.raises(ValueError):
+        x.choose([("../x", "in")])
+    now, codes = [0.0], []
+    gate = control.Gate(codes.append, lambda: now[0])
+    number = gate.propose("l", "what")
+    with pytest.raises(ValueError):
+        gate.confirm("l", number, "no")
+    assert gate.confirm("l", number, codes[0]) == "what"
+    with pytest.raises(ValueError):
+        gate.confirm("l", number, codes[0])
+    number = gate.propose("l", "late")
+    now[0] = 601
+    with pytest.raises(ValueError):
+        gate.confirm("l", number, codes[1])
+    text = '{\n  // a "k": 1\n  "k": [1, 2], // tail\n  "s": "x,y"\n}'
+    assert control.edit_setting(text, "k", [3]) == text.replace("[1, 2]", "[3]") and control.edit_setting(text, "s", "z") == text.replace('"x,y"', '"z"')
+
+
+def test_api(spark, tmp_path):
+    from corpusloom.api import Engine
+
+    vault, codes = tmp_path / "vault", []
+    write(vault, fuel_md="# Fuel\n" + "Kerosene burns with oxygen. " * 30 + "\n## More\n[[soup]]", sub__soup_md="# Soup\nBoil water.", copy_md="# Soup\nBoil water.", bad_bin=b"%PDF")
+    engine = Engine(spark, str(tmp_path / "index"), show_code=codes.append)
+    engine.add_library("n", str(vault))
+    assert engine.reindex_knowledge("n") == {"added": 4, "emptied": False}
+    assert engine.reindex_knowledge("n") == {"same": 4, "emptied": False}
+    assert engine.search_knowledge("kerosene oxygen", top_k=1).first().rel == "fuel.md"
+    assert engine.note_relations("fuel", "n").first().outlinks == ["sub/soup.md"]
+    assert engine.read_document("n", "SOUP").first().rel == "sub/soup.md"
+    assert {r.rel for r in engine.find_duplicates("n").collect()} == {"copy.md", "sub/soup.md"}
+    assert [(r.rel, r.reason) for r in engine.index_failures("n").collect()] == [("bad.pdf", "extract-failed")]
+    assert engine.index_status().first().consistent and engine.get_library_sample("n", 2).count() == 2
+    number = engine.propose_selection_changes("n", [("sub", "out")])
+    assert engine.apply_selection_changes("n", number, codes[-1])["out"] == ["sub"]
+    write(vault, new_md="fresh note", fuel_md="# Fuel\nshort")
+    assert engine.reindex_knowledge("n") == {"added": 1, "changed": 1, "removed": 1, "same": 2, "emptied": False}
+    assert engine.read_document("n", "soup").count() == 0 and engine.read_document("n", "new").first().text == "fresh note"
+    number = engine.propose_library_summary("n", "Notes on fuel.")
+    engine.apply_library_summary("n", number, codes[-1])
+    assert engine.list_libraries().first().summary == "Notes on fuel."
+    nodes, edges = engine.graph()
+    assert nodes.count() == 4 and edges.count() == 0
+    import shutil
+
+    shutil.rmtree(vault)
+    vault.mkdir()
+    assert engine.reindex_knowledge("n")["emptied"] and engine.read_document("n", "new").count() == 1
