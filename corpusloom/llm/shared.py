@@ -24,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def whole_row(df: DataFrame, alias: str = "_row") -> Column:
     """All columns of df as one struct, so that their names cannot clash with an operator's own."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(alias)
+    columns = [F.col(f"`{c}`") for c in df.columns] or [F.lit(None).cast("int").alias("_nothing")]
+    return F.struct(*columns).alias(alias)
 
 
 def local_rows(spark: SparkSession, json_array: str, schema: str) -> DataFrame:
