@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: What counts as white space and what ends a line, beyond ASCII.
 BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 #: Patterns of lines.
@@ -40,7 +41,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def lines(text: Column) -> Column:
@@ -155,12 +156,12 @@ def strip_boilerplate(text: Column, repeats: int = BOILERPLATE_REPEATS) -> Colum
         flags = lambda inside: F.transform(every, lambda x, i: F.array_contains(inside, i))
         return let(numbers, lambda f: F.when(F.size(f) > 0, let(opened(f), flags)).otherwise(F.array_repeat(F.lit(False), F.size(every))))
 
-    def plain(x: Column) -> Column:
-        s = stripped(x)
-        return (F.length(s) >= BOILERPLATE_LENGTH) & ~s.rlike(RULE_LINE) & ~s.rlike(r"^[#|>]") & ~x.rlike(LIST_ITEM)
+    def key(x: Column, inside: Column) -> Column:
+        plain = lambda s: (F.length(s) >= BOILERPLATE_LENGTH) & ~F.left(s, F.lit(1)).isin("#", "|", ">") & ~s.rlike(RULE_LINE) & ~x.rlike(LIST_ITEM)
+        return let(stripped(x), lambda s: F.when(~inside & plain(s), s))
 
     step = repeats - 1
-    marked = lambda every: F.zip_with(every, fenced(every), lambda x, f: F.struct(x.alias("line"), F.when(~f & plain(x), stripped(x)).alias("key")))
+    marked = lambda every: F.zip_with(every, fenced(every), lambda x, f: F.struct(x.alias("line"), key(x, f).alias("key")))
     ordered = lambda m: F.array_sort(F.filter(F.transform(m, lambda r: r["key"]), lambda k: k.isNotNull()))
     often = lambda keys: F.array_distinct(F.filter(keys, lambda s, i: (i >= step) & (F.get(keys, i - step) == s)))
     kept = lambda m, gone: joined(F.transform(F.filter(m, lambda r: r["key"].isNull() | ~F.array_contains(gone, r["key"])), lambda r: r["line"]))

@@ -25,6 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and an executor
     that is lost takes nothing with it. Use for slim tables only."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
+
+
+def drop_materialised(spark: SparkSession) -> None:
+    """Deletes what this application has written with materialise(). Call it when results are stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
