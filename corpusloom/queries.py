@@ -21,11 +21,18 @@ ORACLES: dict[str, str] = {}
 QUERY = "the ation erer and thing"
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, arrays: tuple[str, ...] = ()):
+    """Registers a query. arrays: columns that both engines give as texts, since they print arrays in
+    different ways."""
+
     def register(f):
-        QUERIES[f.__name__] = f
+        def run(spark, sf):
+            df = f(spark, sf)
+            return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ¦ ", "null") for c in arrays}) if arrays else df
+
+        QUERIES[f.__name__] = run if arrays else f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = f"SELECT * REPLACE ({', '.join(f"array_to_string({c}, ' ¦ ') AS {c}" for c in arrays)}) FROM ({sql})" if arrays else sql
         return f
 
     return register
@@ -82,7 +89,7 @@ def term_counts(spark, sf):
     return table(spark, sf, "documents").select(F.explode(text.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
 
 
-@query("SELECT * FROM (VALUES ('火箭发动机 v1.2 ok', ['v1.2', 'ok', '火箭', '箭发', '发动', '动机']), ('a 中 bb', ['bb'])) t(line, terms)")
+@query("SELECT * FROM (VALUES ('火箭发动机 v1.2 ok', ['v1.2', 'ok', '火箭', '箭发', '发动', '动机']), ('a 中 bb', ['bb'])) t(line, terms)", arrays=('terms',))
 def han_tokens(spark, sf):
     return values(spark, "('火箭发动机 v1.2 ok'), ('a 中 bb')", "line").select("line", text.tokens(F.col("line")).alias("terms"))
 
@@ -159,10 +166,10 @@ def page_search(spark, sf):
     return retrieval.nearest_per_library(vectors, "label", "vec_id", "embedding", q, 5)
 
 
-@query("SELECT vec_id, list_transform(e[1:16], lambda x: round(x / sqrt(list_sum(list_transform(e[1:16], lambda y: y * y))), 6)) AS vec FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
+@query("SELECT vec_id, list_transform(e[1:16], lambda x: CAST(round(x / sqrt(list_sum(list_transform(e[1:16], lambda y: y * y))) * 1000000) AS BIGINT)) AS vec FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", arrays=('vec',))
 def vector_truncation(spark, sf):
     cut = truncate_vector(F.col("embedding"), 16)
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(cut, lambda x: F.round(x, 6)).alias("vec"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(cut, lambda x: F.round(x * 1000000).cast("long")).alias("vec"))
 
 
 @query("""
@@ -206,7 +213,7 @@ def truncate_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.truncate_at_line(F.col("text"), 2000, "[cut]")).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES (['single_strong', 'same_title'])) t(advice)")
+@query("SELECT * FROM (VALUES (['single_strong', 'same_title'])) t(advice)", arrays=('advice',))
 def search_advice(spark, sf):
     hits = values(spark, "('a', 'x/FLUENT 1.md', 'FLUENT 1', 0.9D, false, 1), ('a', 'y/fluent1.md', 'fluent1', 0.2D, false, 2), ('b', 'z.pdf', '', 0.1D, true, 3)", "lib, rel, title, score, backfilled, delivered")
     return delivery.advice(hits, "k-ω", defaults=("a",), top_k=5)
@@ -265,7 +272,7 @@ def near_dup_stats(spark, sf):
     return neardup.statistics(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("SELECT * FROM (VALUES (['1', '3'], ['2', '3'], 2, 0.0::DOUBLE), (['1', '2', '3', '4'], ['1', '2', '3', '5'], 4, 0.75::DOUBLE), ([]::VARCHAR[], ['1'], 4, 0.0::DOUBLE), ([]::VARCHAR[], []::VARCHAR[], 4, 1.0::DOUBLE)) t(a, b, k, sim)")
+@query("SELECT * FROM (VALUES (['1', '3'], ['2', '3'], 2, 0.0::DOUBLE), (['1', '2', '3', '4'], ['1', '2', '3', '5'], 4, 0.75::DOUBLE), ([]::VARCHAR[], ['1'], 4, 0.0::DOUBLE), ([]::VARCHAR[], []::VARCHAR[], 4, 1.0::DOUBLE)) t(a, b, k, sim)", arrays=('a', 'b'))
 def sketch_similarity(spark, sf):
     rows = values(spark, "(array('1','3'), array('2','3'), 2), (array('1','2','3','4'), array('1','2','3','5'), 4), (cast(array() as array<string>), array('1'), 4), (cast(array() as array<string>), cast(array() as array<string>), 4)", "a, b, k")
     return rows.select("a", "b", "k", F.when(F.col("k") == 2, neardup.jaccard(F.col("a"), F.col("b"), 2)).otherwise(neardup.jaccard(F.col("a"), F.col("b"), 4)).alias("sim"))
@@ -293,7 +300,7 @@ def hub_nodes(spark, sf):
 _LINKS = "('l', 'a.md', 0, array('b', '子/c.md')), ('l', 'b.md', 1, cast(array() as array<string>)), ('l', '子/c.md', 2, array('a.md')), ('l', 'd.md', 3, array('不存在', 'd')), ('l', 'x/b.md', 4, array('FLUENT 2.0')), ('l', 'FLUENT 2.md', 5, array('b.md'))"
 
 
-@query("SELECT * FROM (VALUES ('a.md', ['x/b.md', '子/c.md'], ['子/c.md']), ('b.md', []::VARCHAR[], ['FLUENT 2.md']), ('子/c.md', ['a.md'], ['a.md']), ('d.md', []::VARCHAR[], []::VARCHAR[]), ('x/b.md', ['FLUENT 2.md'], ['a.md']), ('FLUENT 2.md', ['b.md'], ['x/b.md'])) t(rel, outlinks, inlinks)")
+@query("SELECT * FROM (VALUES ('a.md', ['x/b.md', '子/c.md'], ['子/c.md']), ('b.md', []::VARCHAR[], ['FLUENT 2.md']), ('子/c.md', ['a.md'], ['a.md']), ('d.md', []::VARCHAR[], []::VARCHAR[]), ('x/b.md', ['FLUENT 2.md'], ['a.md']), ('FLUENT 2.md', ['b.md'], ['x/b.md'])) t(rel, outlinks, inlinks)", arrays=('outlinks', 'inlinks'))
 def links_in_out(spark, sf):
     return graph.relations(values(spark, _LINKS, "lib, rel, pos, links")).select("rel", "outlinks", "inlinks")
 
@@ -318,7 +325,7 @@ def page_nodes(spark, sf):
     return graph.page_nodes(pages).select("id", "type", "page")
 
 
-@query("SELECT * FROM (VALUES ('n', ['a.md', 'b.md']), ('m', ['a.md'])) t(target, sources)")
+@query("SELECT * FROM (VALUES ('n', ['a.md', 'b.md']), ('m', ['a.md'])) t(target, sources)", arrays=('sources',))
 def backlinks(spark, sf):
     return graph.backlinks(values(spark, "('a.md', 'x [[f/n|alias]] [[m#h]] [[#own]]'), ('b.md', '![[n]]')", "rel, text"))
 
@@ -374,7 +381,7 @@ _cleaned("ctx_prefix", [("x", "Note / A title / b / H2")], lambda c: text.contex
 _cleaned("table_markdown", [("x", "| a \\| b | c d |\n|---|---|\n| 1 | 2 |")], lambda c: text.table_markdown(F.array(F.array(F.lit("a | b"), F.lit("c\nd")), F.array(F.lit(""), F.lit(" ")), F.array(F.lit("1"), F.lit("2")))))
 
 
-@query("SELECT * FROM (VALUES (0, ['b', 'n']), (1, []::VARCHAR[])) t(id, targets)")
+@query("SELECT * FROM (VALUES (0, ['b', 'n']), (1, []::VARCHAR[])) t(id, targets)", arrays=('targets',))
 def wikilink_targets(spark, sf):
     return values(spark, "(0, '[[n#h]] ![[e]] [[f/b|x]] [[#own]] [[n]]'), (1, 'none')", "id, text").select("id", text.wikilink_targets(F.col("text")).alias("targets"))
 
@@ -387,13 +394,13 @@ def sentence_counts(spark, sf):
     return docs.select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"))
 
 
-@query("SELECT * FROM (VALUES (0, ['One two. ', 'Dr. Who is here. ', 'Pi is 3.14 ok.']), (1, ['你好。 世界！ ', '再见'])) t(id, pieces)")
+@query("SELECT * FROM (VALUES (0, ['One two. ', 'Dr. Who is here. ', 'Pi is 3.14 ok.']), (1, ['你好。 世界！ ', '再见'])) t(id, pieces)", arrays=('pieces',))
 def sentence_pieces(spark, sf):
     rows = values(spark, "(0, 'One two. Dr. Who is here. Pi is 3.14 ok.', 16), (1, '你好。世界！再见', 7)", "id, text, n")
     return rows.select("id", F.when(F.col("n") == 16, text.pack_sentences(F.concat(F.lit(""), F.col("text")), 16)).otherwise(text.pack_sentences(F.col("text"), 7)).alias("pieces"))
 
 
-@query("SELECT * FROM (VALUES (['a', 'b\nc'], true, ['- x', '- y' || chr(10) || '  z'])) t(paras, is_list, pieces)".replace("\\n", "' || chr(10) || '").replace("b\nc", "b' || chr(10) || 'c"))
+@query("SELECT * FROM (VALUES (['a', 'b\nc'], true, ['- x', '- y' || chr(10) || '  z'])) t(paras, is_list, pieces)".replace("\\n", "' || chr(10) || '").replace("b\nc", "b' || chr(10) || 'c"), arrays=('paras', 'pieces'))
 def paragraphs_and_lists(spark, sf):
     one = spark.range(1)
     items = F.lit("- x\n- y\n  z")
@@ -414,7 +421,7 @@ def front_matter(spark, sf):
     return spark.range(1).select(F.explode(markdown.front_matter_udf()(F.lit(_DOC))["fields"]))
 
 
-@query("SELECT * FROM (VALUES (['lead' || chr(10) || chr(10) || '| a |' || chr(10) || chr(10) || 'tail', 'next', '- a' || chr(10) || chr(10) || '- b'])) t(groups)")
+@query("SELECT * FROM (VALUES (['lead' || chr(10) || chr(10) || '| a |' || chr(10) || chr(10) || 'tail', 'next', '- a' || chr(10) || chr(10) || '- b'])) t(groups)", arrays=('groups',))
 def table_binding(spark, sf):
     return spark.range(1).select(markdown.bound_paragraphs_udf()(F.lit("lead\n\n| a |\n\ntail\n\nnext\n\n- a\n\n- b")).alias("groups"))
 
@@ -475,7 +482,7 @@ def selection_changes(spark, sf):
     return diagnostics.apply_choices(values(spark, "('l', 'a.md', 'in', 0), ('l', 'a.md', 'out', 1), ('l', 'b', 'in', 2), ('l', 'c', 'in', 3), ('l', 'c', 'neutral', 4)", "lib, path, action, pos"))
 
 
-@query("SELECT * FROM (VALUES (['d'], ['a.pdf', 'x.PDF'])) t(selection_in, selection_out)")
+@query("SELECT * FROM (VALUES (['d'], ['a.pdf', 'x.PDF'])) t(selection_in, selection_out)", arrays=('selection_in', 'selection_out'))
 def format_bulk(spark, sf):
     row = values(spark, "(array('d', 'x.PDF'), array('a.pdf'))", "i, o")
     return row.select(diagnostics.bulk_format(F.col("i"), F.col("o"), "pdf", False).alias("s")).select("s.*")
@@ -590,7 +597,7 @@ def daily_quota(spark, sf):
     return diagnostics.daily_quota(log).withColumn("day", F.col("day").cast("string"))
 
 
-@query("SELECT * FROM (VALUES ('笔记.md', ['R3', 'FM']), ('plain_name.md', ['R1', 'R2', 'R4', 'H1'])) t(rel, rules)")
+@query("SELECT * FROM (VALUES ('笔记.md', ['R3', 'FM']), ('plain_name.md', ['R1', 'R2', 'R4', 'H1'])) t(rel, rules)", arrays=('rules',))
 def note_rules(spark, sf):
     rows = values(spark, r"('笔记.md', 'no heading', ''), ('plain_name.md', '# 1.2\nx', 't'), ('2024-01-02 x.md', '', ''), ('templates/a.md', '', '')", "rel, body, title")
     return diagnostics.note_report(rows.withColumn("body", F.replace("body", F.lit("\\n"), F.lit("\n"))), values(spark, "('x', array('y'))", "target, sources")).select("rel", "rules")
