@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import stripped, suffix
@@ -80,6 +80,22 @@ def included(rel: Column, root: Column, chosen_in, chosen_out, excluded_dirs, ex
     return F.when(explicit, v["included"] == "in").when(default == "exclude", F.lit(False)).when(default == "include", rules).otherwise(rules & known)
 
 
+def effective_state(rel: Column, chosen_in: Column, chosen_out: Column, extensions: Column, supported: Column, default: Column) -> Column:
+    """Why a path is in or out: chosen_in, chosen_out, unsupported, default_out, format_in or format_out."""
+    action = nearest_choice(chosen_in, chosen_out, rel)["action"]
+    return (
+        F.when(action == "in", "chosen_in").when(action == "out", "chosen_out").when(~F.array_contains(supported, suffix(rel)), "unsupported")
+        .when(default == "exclude", "default_out").when(F.array_contains(extensions, suffix(rel)), "format_in").otherwise("format_out")
+    )
+
+
+def tree(listed: DataFrame) -> DataFrame:
+    """listed: rel, included. (prefix, depth, files, included) for each folder and file of the tree."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(_parts(F.col("rel")))), lambda i: F.array_join(F.slice(_parts(F.col("rel")), F.lit(1), i), "/"))
+    each = listed.select(F.posexplode(prefixes).alias("depth", "prefix"), "included")
+    return each.groupBy("prefix", (F.col("depth") + 1).alias("depth")).agg(F.count("*").alias("files"), F.count_if("included").alias("included"))
+
+
 def in_folder(rel: Column, folder: str) -> Column:
     """Whether rel is the folder, or below it; an empty folder holds everything."""
     f = folder.strip().replace("\\", "/").strip("/").strip()

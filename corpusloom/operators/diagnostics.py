@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import suffix
+from ..functions.text import stripped, suffix
 from .ingest import REASONS, terminal
 
 HEARTBEAT_TIMEOUT, STALL_TIMEOUT = 15, 25
@@ -116,6 +116,17 @@ def violations(rel: Column, body: Column, title: Column) -> Column:
     return F.array_compact(F.array(*rules))
 
 
+def suggested_name(base: Column, texts: list[Column], headings: Column) -> Column:
+    """A note's name from what it says of itself: the first part of texts (title, tags, ...) with Han signs,
+    else the first such heading, cut at punctuation and at 24 signs; the old name follows if it isn't in it."""
+    parts = F.flatten(F.array(*[F.split(F.coalesce(t, F.lit("")), ",") for t in texts]))
+    han = lambda xs: F.get(F.filter(F.transform(xs, stripped), lambda x: x.rlike(HAN)), F.lit(0))
+    chosen = F.coalesce(han(parts), han(headings))
+    head = F.regexp_replace(F.regexp_replace(F.get(F.split(chosen, "[—–；;，,。：:]"), F.lit(0)), r"^[【\s]*", ""), r"\s+", " ")
+    head = stripped(F.left(stripped(head), F.lit(24)))
+    return F.when(F.coalesce(head, F.lit("")) == "", F.lit(None)).when(F.contains(F.lower(head), F.lower(base)), head).otherwise(stripped(F.concat_ws(" ", head, base)))
+
+
 def note_report(notes: DataFrame, inlinks: DataFrame) -> DataFrame:
     """notes: rel, body, title. inlinks: target, sources. (rel, rules, inlinks, risky) of the notes that
     break a rule; renaming one with many links is risky."""

@@ -66,6 +66,15 @@ def pairs(reps: DataFrame, threshold: float = THRESHOLD, strict: bool = True) ->
     return found.withColumn("sim", jaccard(F.col("sa"), F.col("sb"))).where(F.col("sim") >= threshold).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
+def library_pairs(docs: DataFrame, library: str, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(library, a, b, sim) of all libraries, each compared within itself: the library is part of every
+    hash, so that sketches of different libraries share nothing."""
+    made = sketches(docs.select(F.struct(library, key).alias("_key"), text), "_key", text)
+    marked = made.withColumn("sk", F.transform("sk", lambda h: F.concat(h, F.lit("@"), F.coalesce(F.col(f"key.{library}").cast("string"), F.lit("")))))
+    reps = materialise(classes(marked), "sketch-classes")
+    return pairs(reps, threshold).select(F.col(f"a.{library}").alias(library), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), "sim")
+
+
 def clusters(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key, cluster): the smallest key reachable; only documents that have a near-duplicate."""
     sketched = materialise(sketches(docs, key, text), "sketches")

@@ -262,6 +262,19 @@ def near_dup_pairs(spark, sf):
     return neardup.pairs(reps)
 
 
+_SCOPED = (
+    _SKETCH.replace("d AS (SELECT doc_id,", "d AS (SELECT doc_id, source,").replace("g AS (SELECT doc_id,", "g AS (SELECT doc_id, source,").replace("k AS (SELECT doc_id,", "k AS (SELECT doc_id, source,")
+    .replace("c AS (SELECT sk, min(doc_id) AS rep, count(*) AS copies FROM k GROUP BY 1)", "c AS (SELECT source, sk, min(doc_id) AS rep, count(*) AS copies FROM k GROUP BY 1, 2)")
+    .replace("z AS (SELECT rep,", "z AS (SELECT source, rep,").replace("ON l.band = r.band", "ON l.source = r.source AND l.band = r.band")
+)
+
+
+@query(f"WITH {_SCOPED} SELECT c.source AS lib, a, b, sim FROM pairs JOIN c ON c.rep = a")
+def near_dup_by_library(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("source").alias("lib"), "doc_id", "text")
+    return neardup.library_pairs(docs, "lib", "doc_id", "text")
+
+
 @query(f"WITH RECURSIVE {_SKETCH}{_GROUPS} SELECT k.doc_id, r.root AS cluster FROM k JOIN c USING (sk) JOIN roots r ON r.node = c.rep JOIN many USING (root)")
 def near_dup_clusters(spark, sf):
     return neardup.clusters(table(spark, sf, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "cluster")
@@ -603,6 +616,37 @@ def note_rules(spark, sf):
     return diagnostics.note_report(rows.withColumn("body", F.replace("body", F.lit("\\n"), F.lit("\n"))), values(spark, "('x', array('y'))", "target, sources")).select("rel", "rules")
 
 
+@query("SELECT * FROM (VALUES (0, '火箭 x'), (1, '标题一 y'), (2, NULL), (3, '很长 z9 的名字')) t(id, name)")
+def name_suggestions(spark, sf):
+    rows = values(spark, "(0, 'x', '【火箭：发动机', array('h')), (1, 'y', 'abc,,d', array('plain', '标题一；二')), (2, 'q', 'abc', array('no')), (3, 'z9', '很长  z9 的名字', array('h'))", "id, base, title, headings")
+    return rows.select("id", diagnostics.suggested_name(F.col("base"), [F.col("title")], F.col("headings")).alias("name"))
+
+
+@query("SELECT * FROM (VALUES ('a/x.md', 'chosen_in'), ('a/b/y.md', 'chosen_out'), ('z.exe', 'unsupported'), ('q.md', 'format_in'), ('w.pdf', 'format_out')) t(rel, state)")
+def effective_states(spark, sf):
+    rels = values(spark, "('a/x.md'), ('a/b/y.md'), ('z.exe'), ('q.md'), ('w.pdf')", "rel")
+    strings = lambda *x: F.array(*map(F.lit, x))
+    return rels.select("rel", paths.effective_state(F.col("rel"), strings("a"), strings("a/b"), strings("md"), strings("md", "pdf"), F.lit("follow")).alias("state"))
+
+
+@query("SELECT * FROM (VALUES ('a', 1, 3, 2), ('a/b', 2, 2, 1), ('a/b/y', 3, 1, 0), ('a/b/z', 3, 1, 1), ('a/x', 2, 1, 1)) t(prefix, depth, files, included)")
+def selection_tree(spark, sf):
+    return paths.tree(values(spark, "('a/x', true), ('a/b/y', false), ('a/b/z', true)", "rel, included"))
+
+
+@query("SELECT * FROM (VALUES (0, 1.5::DOUBLE), (1, 8.0::DOUBLE), (2, 60.0::DOUBLE), (3, 60.0::DOUBLE), (4, 2.5::DOUBLE)) t(id, seconds)")
+def retry_delays(spark, sf):
+    rows = values(spark, "(0, 1, 0.5D, null), (1, 4, 0D, 0D), (2, 9, 0D, null), (3, 1, 0D, 300D), (4, 7, 1D, 2.5D)", "id, attempt, jitter, after")
+    return rows.select("id", streams.retry_delay(F.col("attempt"), F.col("jitter"), F.col("after")).alias("seconds"))
+
+
+@query("WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT epoch(now) - epoch(ts) AS age FROM events, n WHERE epoch(now) - epoch(ts) < 86400) SELECT round(greatest(0, 86400 - max(age)), 3) AS wait FROM l")
+def slot_waits(spark, sf):
+    events = table(spark, sf, "events")
+    now = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    return streams.slot_wait(events, "ts", F.lit(now), 2, 86400).select(F.round("wait", 3).alias("wait"))
+
+
 @query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) > 3")
 def keep_newest(spark, sf):
     return diagnostics.keep_newest(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id", 3).select("source", "doc_id")

@@ -50,7 +50,16 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     return timed.groupBy(F.session_window("_ts", gap).alias("session"), key).agg(F.count("*").alias("n")).select(F.col("session.start").alias("start"), F.col("session.end").alias("end"), key, "n")
 
 
-def retry_delay(attempt: Column, base: float = 1.0, most: float = 60.0, retry_after: Column | None = None) -> Column:
-    """Seconds before the next try: doubling up to most, or what the server asks for, also up to most."""
-    doubled = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
-    return doubled if retry_after is None else F.coalesce(F.least(retry_after, F.lit(most)), doubled)
+def retry_delay(attempt: Column, jitter: Column, retry_after: Column, most: float = 60.0) -> Column:
+    """Seconds before the next try: what the server asks for, up to most; else 1, 2, 4, ... up to most, and
+    up to as much again (jitter is in 0..1)."""
+    base = F.least(F.lit(most), F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)))
+    return F.when(retry_after > 0, F.least(retry_after, F.lit(most))).otherwise(base * (1 + jitter))
+
+
+def slot_wait(log: DataFrame, ts: str, now: Column, limit: int, seconds: int = 60) -> DataFrame:
+    """One row: wait, the seconds until fewer than limit submissions lie in the last seconds."""
+    age = F.unix_micros(now) - F.unix_micros(F.col(ts).cast("timestamp"))
+    live = log.select(age.alias("age")).where(F.col("age") < seconds * 1_000_000)
+    first = live.agg(F.count("*").alias("n"), F.max("age").alias("oldest"))
+    return first.select(F.when(F.lit(limit <= 0) | (F.col("n") < limit), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), seconds - F.col("oldest") / 1e6)).alias("wait"))
