@@ -115,9 +115,9 @@ def host_counts(marked: DataFrame, languages=LANGUAGES) -> DataFrame:
     add = lambda c: F.array(*[F.sum(c[i]) for i in range(len(names))])
     by_host = materialise(marked.groupBy("host").agg(counts.alias("host_n")), "langid-hosts")
     by_domain = by_host.groupBy(_domain(F.col("host")).alias("domain")).agg(add(F.col("host_n")).alias("domain_n"))
-    everything = by_host.agg(add(F.col("host_n")).alias("all_n"))  # one row
+    everything = by_host.agg(add(F.col("host_n")).alias("all_n")).first()["all_n"]  # a number for each language
     joined = by_host.join(by_domain, _domain(F.col("host")).eqNullSafe(F.col("domain"))).drop("domain")
-    return materialise(joined.join(F.broadcast(everything)), "langid-priors")
+    return materialise(joined.withColumn("all_n", F.array(*[F.lit(float(x or 0)) for x in everything])), "langid-priors")
 
 
 def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host: Column, model: np.ndarray, languages=LANGUAGES, with_text: bool = True) -> DataFrame:
