@@ -46,13 +46,19 @@ def score_term(tf: Column, qtf: Column, df: Column, dl: Column, n: Column, avgdl
     return idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / avgdl)) * qtf
 
 
+def _statistics(stats: DataFrame) -> tuple[Column, Column]:
+    """Number of chunks and their average length, as literals."""
+    r = stats.first()  # one row
+    return F.lit(r["n"]), F.lit(r["avgdl"])
+
+
 def score(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """(cid, bm25) of the chunks that have any of the query's terms."""
     spark = index.postings.sparkSession
     hits = index.postings.join(F.broadcast(query_terms(spark, query)), "term")
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))  # MAX_QUERY_TERMS rows at most
-    hits = hits.join(F.broadcast(frequency), "term").join(index.lengths.select("cid", "dl"), "cid").crossJoin(F.broadcast(index.stats))  # one row
-    part = score_term(*map(F.col, ("tf", "qtf", "df", "dl", "n", "avgdl")), k1, b)
+    hits = hits.join(F.broadcast(frequency), "term").join(index.lengths.select("cid", "dl"), "cid")
+    part = score_term(*map(F.col, ("tf", "qtf", "df", "dl")), *_statistics(index.stats), k1, b)
     return hits.groupBy("cid").agg(F.sum(part).alias("bm25")).where("bm25 > 0")
 
 
@@ -69,8 +75,9 @@ def score_documents(docs: DataFrame, key: str, text: str, query: str, *more: str
     stats = slim.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     counted = slim.where(F.size("hits") > 0).select("cid", *more, "dl", F.explode(F.array_distinct("hits")).alias("term"), "hits")
     counted = counted.withColumn("tf", F.size(F.filter("hits", lambda x: x == F.col("term"))).cast("long")).drop("hits")
-    frequency = slim.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    qtf = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])
-    joined = counted.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(stats)).withColumn("qtf", F.element_at(qtf, F.col("term")))
-    part = score_term(*map(F.col, ("tf", "qtf", "df", "dl", "n", "avgdl")), k1, b)
-    return joined.groupBy("cid", *more).agg(F.sum(part).alias("bm25")).where("bm25 > 0")
+    frequency = slim.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()  # a row for each term of the query
+    if not frequency:
+        return counted.select("cid", *more, F.lit(0.0).alias("bm25")).limit(0)
+    known = lambda pairs: F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), F.col("term"))
+    part = score_term(F.col("tf"), known(asked.items()), known((r["term"], r["df"]) for r in frequency), F.col("dl"), *_statistics(stats), k1, b)
+    return counted.groupBy("cid", *more).agg(F.sum(part).alias("bm25")).where("bm25 > 0")

@@ -22,17 +22,21 @@ def dense_limit(top_k: int) -> int:
     return max(top_k * DENSE_FACTOR, DENSE_LEAST)
 
 
+def _vector(query: DataFrame) -> Column:
+    """The query's vector (column q of its one row) as a literal."""
+    r = query.select("q").first()
+    return F.array(*[F.lit(float(x)) for x in r["q"]]) if r and r["q"] is not None else F.array().cast("array<double>")
+
+
 def nearest(vectors: DataFrame, key: str, vector: str, query: DataFrame, k: int) -> DataFrame:
     """(key, distance) of the k rows nearest to the query's one vector (column q): an exact scan whose
     tasks send k rows each."""
-    found = vectors.select(key, F.col(vector).alias("v")).crossJoin(F.broadcast(query.select("q").limit(1)))  # one row
-    return found.select(key, (1 - cosine(F.col("v"), F.col("q"))).alias("distance")).orderBy("distance", key).limit(k)
+    return vectors.select(key, (1 - cosine(F.col(vector), _vector(query))).alias("distance")).orderBy("distance", key).limit(k)
 
 
 def nearest_per_library(vectors: DataFrame, library: str, key: str, vector: str, query: DataFrame, k: int) -> DataFrame:
     """(library, key, score) of the k best pages of each library, then the k best of all."""
-    found = vectors.select(library, key, F.col(vector).alias("v")).crossJoin(F.broadcast(query.select("q").limit(1)))  # one row
-    found = found.select(library, key, F.round(cosine(F.col("v"), F.col("q")), 4).alias("score"))
+    found = vectors.select(library, key, F.round(cosine(F.col(vector), _vector(query)), 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy(library).orderBy(F.desc("score"), key))
     return found.withColumn("n", rank).where(F.col("n") <= k).drop("n").orderBy(F.desc("score"), library, key).limit(k)
 
