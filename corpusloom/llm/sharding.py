@@ -10,6 +10,13 @@ is a partial partition like any other, so the driver differences the bins' eight
 groups). Bins are at most ``MAX_BINS``; beyond that bins grow. A document finds its shard by
 its group's digest; slots are numbered with two-level counts, so that a shard needs no single task.
 
+Bins that are level each for itself cannot offset a group that is larger than a bin can level. So with
+more than one bin the largest groups stay out: from the top, octaves of sizes (powers of two) as long as
+each has at most ``HEAVY`` groups a bin. What stays in is then no larger than an eighth of the mean bin.
+The heavy groups are differenced first, in a task of their own; every bin is differenced together with
+its share of their eight sums, which leaves room for them in proportion, and the driver differences the
+heavy sums and those of the bins, without the shares.
+
 Law: ``bytes``. Defined results: a null text has no bytes, so size 1; the null text and the empty text
 are one group; rows with equal or null doc_id are documents of their own; an empty table gives an empty
 result. Extra columns are never read by name.
@@ -30,6 +37,7 @@ from .shared import documents, local_rows, materialise
 SHARDS = 8
 BIN = 20_000
 MAX_BINS = 1 << 14
+HEAVY = 16
 SLOT_BUCKETS = 4096
 
 
@@ -64,31 +72,59 @@ def leaves(member) -> Iterator:
             yield m
 
 
-def partition(sizes: list[int], shards: int = SHARDS) -> list[int]:
-    """The place (0: the largest sum) of each of the sizes."""
+def partition(sizes: list[int], shards: int = SHARDS, beside: list[int] | None = None) -> list[int]:
+    """The place (0: the largest sum) of each of the sizes. beside: sums that are there already, one for
+    each shard; places are then numbered by what they and the sizes sum up to."""
     parts = [([s] + [0] * (shards - 1), [i] + [None] * (shards - 1)) for i, s in enumerate(sizes)]
     place = [0] * len(sizes)
     if parts:
+        if beside and any(beside):
+            parts.append((beside, [None] * shards))
         for k, member in enumerate(difference(parts)[1]):
             for i in leaves(member):
                 place[i] = k
     return place
 
 
-def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """groups: digest (string, hexadecimal), bytes. Returns digest, shard."""
-    spark, n = groups.sparkSession, groups.count()
-    bins = max(1, min(MAX_BINS, -(-n // BIN)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("digest", kind="stable")
-        return pdf.assign(place=partition(pdf["bytes"].tolist(), shards))
-
-    dealt = groups.withColumn("bin", F.pmod(F.xxhash64("digest"), F.lit(bins)).cast("int"))
-    placed = materialise(dealt.groupBy("bin").applyInPandas(run, "digest string, bytes long, bin int, place int"), "shard-places")
+def _sums(placed: DataFrame, shards: int) -> dict[int, list[int]]:
+    """The sums of each bin by place."""
     sums: dict[int, list[int]] = {}
     for r in placed.groupBy("bin", "place").agg(F.sum("bytes").alias("bytes")).collect():  # a row for each bin and place
         sums.setdefault(r["bin"], [0] * shards)[r["place"]] = r["bytes"]
+    return sums
+
+
+def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """groups: digest (string, hexadecimal), bytes. Returns digest, shard."""
+    spark = groups.sparkSession
+    octave = F.length(F.bin("bytes"))
+    octaves = groups.groupBy(octave.alias("octave")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # at most 64 rows
+    bins = max(1, min(MAX_BINS, -(-sum(r["n"] for r in octaves) // BIN)))
+    heavy = 65  # the least octave that stays out of the bins
+    for r in sorted(octaves, key=lambda r: -r["octave"]) if bins > 1 else []:
+        if r["n"] > HEAVY * bins:
+            break
+        heavy = r["octave"]
+
+    def placed_in(dealt: DataFrame, beside: list[int], of: int) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("digest", kind="stable")
+            sizes = pdf["bytes"].tolist()
+            share = [x * sum(sizes) // of for x in beside]
+            return pdf.assign(place=partition(sizes, shards, share))
+
+        return materialise(dealt.groupBy("bin").applyInPandas(run, "digest string, bytes long, bin int, place int"), "shard-places")
+
+    sums, beside, apart = {}, [0] * shards, None
+    if any(r["octave"] >= heavy for r in octaves):
+        apart = placed_in(groups.where(octave >= heavy).withColumn("bin", F.lit(-1)), beside, 1)
+        sums = _sums(apart, shards)
+        beside = sums[-1]
+    dealt = groups.where(octave < heavy).withColumn("bin", F.pmod(F.xxhash64("digest"), F.lit(bins)).cast("int"))
+    placed = placed_in(dealt, beside, max(1, sum(r["bytes"] for r in octaves if r["octave"] < heavy)))
+    sums |= _sums(placed, shards)
+    if apart is not None:
+        placed = placed.unionByName(apart)
     chosen = []
     if sums:
         parts = [(s, [f"{b}/{k}" for k in range(shards)]) for b, s in sorted(sums.items())]
@@ -103,7 +139,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.sha2(raw, 256).alias("digest"))
     slim = materialise(slim, "shard-docs")
-    groups = slim.groupBy("digest").agg(F.sum("size").alias("bytes"))
+    groups = materialise(slim.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
     placed = shard_groups(groups, shards).withColumnRenamed("digest", "of")
     found = slim.join(placed, F.col("digest") == F.col("of")).drop("of")
     found = materialise(found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SLOT_BUCKETS)).cast("int")), "shard-found")

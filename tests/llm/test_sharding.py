@@ -1,9 +1,12 @@
 """Sharding: the law, slots and groups on whole tables; differencing on numbers."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from corpusloom.llm import sharding
 
 SCHEMA = "doc_id long, text string"
@@ -59,6 +62,23 @@ def test_many_bins(spark, sf, monkeypatch):
     assert max(bytes_of.values()) - min(bytes_of.values()) <= 0.02 * sum(bytes_of.values())
 
 
+@pytest.mark.parametrize("part, fullest", [(0.1, 1), (0.05, 1), (1 / 3, 8 / 3)])
+def test_heavy_group_in_many_bins(spark, monkeypatch, part, fullest):
+    monkeypatch.setattr(sharding, "BIN", 2000)
+    rng = random.Random(1)
+    sizes = [int(rng.lognormvariate(8, 1)) + 1 for _ in range(10_000)]
+    sizes.append(int(sum(sizes) * part / (1 - part)))
+    of = {hashlib.sha256(str(i).encode()).hexdigest(): s for i, s in enumerate(sizes)}
+    rows = sharding.shard_groups(spark.createDataFrame(list(of.items()), "digest string, bytes long")).collect()
+    assert sorted(r.digest for r in rows) == sorted(of)
+    sums = defaultdict(int)
+    for r in rows:
+        sums[r.shard] += of[r.digest]
+    levels = sorted(sums.values())
+    assert levels[-1] <= fullest * 1.001 * sum(sizes) / 8
+    assert levels[-2] - levels[0] <= 0.001 * sum(sizes) / 8
+
+
 def test_edge_rows(spark):
     docs = [(1, None), (1, ""), (None, "x"), (None, "x"), (2, "y" * 50_000)]
     frame = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 AS shard", "2 AS digest", "3 AS size")
