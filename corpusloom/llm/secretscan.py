@@ -2,10 +2,14 @@
 
 Three base patterns find assignments to a few names, access keys and long hexadecimal strings. The
 lexer adds what they miss: it reads name-literal pairs from source and configuration syntax (``a = "x"``,
-``a: x``, ``"a": "x"``, ``a => 'x'``, ``export A=x``, ``<a>x</a>``), propagates constants (a name given
-to another name stands for the literal it was last given) and scores each literal by how sensitive the
-names are that it reaches. A literal counts if the name is sensitive and the literal looks like a
-secret: 8 or more characters, no white space, letters and digits mixed or high entropy.
+``a: x``, ``"a": "x"``, ``a => 'x'``, ``export A=x``, ``a: type = "x"``, ``b["a"] = "x"``, ``<a>x</a>``),
+propagates constants (a name given to another name stands for the literal it was last given; in
+``a = b = "x"`` the literal is given to both) and scores each literal by how sensitive the names are that
+it reaches. Values are read for pairs of their own: ``log: a=x``, ``b = "a=x"``; those in quotes give no
+constants. A literal counts if the name is sensitive and the literal looks like a secret: 8 or more
+characters, no white space, letters and digits mixed or high entropy. A literal ends with its quote (not
+one behind a backslash), a bare one at white space, a quote or one of ``,;(){}<>``; names and literals
+may have any length.
 
 Defined results: a null text counts as empty; texts are read whole, whatever their length; spans are in
 code points, end exclusive; repeated rows give repeated results; an empty table an empty result.
@@ -17,7 +21,8 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,10 +46,19 @@ SCORE = 3
 LEXED_LEAST = 8
 ENTROPY = 3.0  # bits a character
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.$-]{0,127}"
-#: A name, an operator and what is assigned: a quoted literal, a bare one, or another name.
-_PAIR = re.compile(rf"(?<![A-Za-z0-9_.$-])(?:[\"'])?({_NAME})[\"']?[ \t]*(?::=|=>|==?|:)[ \t]*(?:\"([^\"\n]{{1,4096}})\"|'([^'\n]{{1,4096}})'|([^\s\"',;(){{}}<>]{{1,4096}}))")
-_ELEMENT = re.compile(rf"<({_NAME})>([^<>\s]{{1,4096}})</\1>")
+# Possessive repeats: every character is tried once, however long names and literals are.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.$-]*+"
+#: A name and an operator; the value is read apart, so that a pair in it is found too.
+_HEAD = re.compile(rf"(?<![A-Za-z0-9_.$-])[0-9.$-]*+({_NAME})(?:\\?[\"'])?+[ \t]*+\]?+\??+[ \t]*+(:=|=>|={{1,3}}|:)[ \t]*+")
+#: What is assigned: a quoted literal, a bare one, or another name (the last group).
+_VALUE = re.compile(
+    r"(?:[A-Za-z@$]{1,2}(?=[\"']))?(?:\"((?:[^\"\\\n]++|\\.)++)\"|\"([^\"\n]++)\"|'((?:[^'\\\n]++|\\.)++)'|'([^'\n]++)')|\\\"([^\"\\\n]++)\\\"|([^\s\"',;(){}<>]++)"
+)
+_BARE = _VALUE.groups
+PREFIX = 2  # the most characters before a quote that belong to it
+_TYPE = rf"[&*]*+(?:'[a-z]++[ \t]++)?+{_NAME}(?:[\[<][A-Za-z0-9_.,|?&<>\[\] \t]*[\]>])?"
+_ANNOTATION = re.compile(rf"{_TYPE}(?:[ \t]*+\|[ \t]*+{_TYPE})*+[ \t]*+=(?!=)[ \t]*+")
+_ELEMENT = re.compile(rf"<({_NAME})>([^<>\s]++)</\1>")
 _BARE_NAME = re.compile(rf"\$?\{{?({_NAME})\}}?")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -67,34 +81,80 @@ def name_score(name: str) -> int:
     return max((sum(SENSITIVE.get(p, 0) for p in parts), *(SENSITIVE.get(p, 0) for p in pairs)), default=0)
 
 
-def looks_secret(literal: str) -> bool:
-    if len(literal) < LEXED_LEAST or any(c.isspace() for c in literal):
+def looks_secret(counts: Counter, length: int) -> bool:
+    """counts: how often each character is in the literal."""
+    if length < LEXED_LEAST or any(c.isspace() for c in counts):
         return False
-    counts = Counter(literal)
-    entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
-    mixed = any(c.isdigit() for c in literal) and any(c.isalpha() for c in literal)
-    return entropy >= ENTROPY and (mixed or len(literal) >= 20)
+    entropy = -math.fsum(n / length * math.log2(n / length) for n in counts.values())
+    mixed = any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)
+    return entropy >= ENTROPY and (mixed or length >= 20)
+
+
+def secret_spans(text: str, spans: Iterable[tuple[int, int]]) -> Iterator[Span]:
+    """Those that look like secrets. Values within a bare value end where it does, and are counted once."""
+    counts, begin, end = Counter(), -1, -1
+    for a, b in sorted(spans, key=lambda s: (s[1], -s[0])):
+        if b != end:
+            counts, begin, end = Counter(), b, b
+        counts.update(text[a:begin])
+        begin = a
+        if looks_secret(counts, b - a):
+            yield "lexed", a, b
+
+
+class Pair(NamedTuple):
+    at: int  # where the name starts
+    name: str
+    start: int  # of the value
+    end: int
+    bare: bool
+    inner: bool = False  # in a quoted value
+    given: bool = False  # by an operator that assigns, with the value right behind or after a name alone
+
+
+def _pairs(text: str) -> Iterator[Pair]:
+    quoted = bare = 0  # where the last quoted value and the last bare one end
+    for m in _HEAD.finditer(text):
+        inside = quoted
+        for begin in (m.end(), a.end() if m[2] == ":" and (a := _ANNOTATION.match(text, m.end())) else None):
+            if begin is None:
+                continue
+            if begin < bare - PREFIX:  # a bare value in another ends with it
+                span, is_bare = (begin, bare), True
+            elif v := _VALUE.match(text, begin):
+                span, is_bare = v.span(v.lastindex), v.lastindex == _BARE
+                bare, quoted = (v.end(), quoted) if is_bare else (bare, max(quoted, v.end()))
+            else:
+                continue
+            near = m.end() == m.end(2) or text[m.start(2) - 1] in " \t"
+            yield Pair(m.start(1), m[1], *span, is_bare, m.start() < inside, m[2] in ("=", ":=") and near)
 
 
 def lexed_spans(text: str) -> list[Span]:
     """Literals whose own or propagated names are sensitive."""
-    pairs: list[tuple[int, str, str, int, int, bool]] = []
+    pairs: list[Pair] = []
     if "=" in text or ":" in text:
-        for m in _PAIR.finditer(text):
-            group = 2 if m[2] is not None else 3 if m[3] is not None else 4
-            pairs.append((m.start(), m[1], m[group], *m.span(group), group == 4))
+        pairs += _pairs(text)
     if "</" in text:
-        pairs += [(m.start(), m[1], m[2], *m.span(2), False) for m in _ELEMENT.finditer(text)]
-    pairs.sort()
+        pairs += [Pair(m.start(1), m[1], *m.span(2), False) for m in _ELEMENT.finditer(text)]
+        pairs.sort(key=lambda p: p.at)
     literal: dict[str, tuple[int, int]] = {}  # of each name, at this point of the text
     score: dict[tuple[int, int], int] = {}
-    for _, name, value, start, end, bare in pairs:
-        span = (start, end)
-        if bare and (m := _BARE_NAME.fullmatch(value)) and m[1] in literal:
+    chain: list[Pair] = []
+    for i, pair in enumerate(pairs):
+        span = (pair.start, pair.end)
+        if i + 1 < len(pairs) and pair.bare and pairs[i + 1].at == pair.start and pairs[i + 1].given:
+            score[span] = max(score.get(span, 0), name_score(pair.name))
+            chain.append(pair)
+            continue
+        if pair.bare and (m := _BARE_NAME.fullmatch(text, *span)) and m[1] in literal:
             span = literal[m[1]]
-        literal[name] = span
-        score[span] = max(score.get(span, 0), name_score(name))
-    return [("lexed", a, b) for (a, b), s in score.items() if s >= SCORE and looks_secret(text[a:b])]
+        for p in (pair, *chain):
+            if not p.inner:
+                literal[p.name] = span
+            score[span] = max(score.get(span, 0), name_score(p.name))
+        chain = []
+    return list(secret_spans(text, [span for span, s in score.items() if s >= SCORE]))
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

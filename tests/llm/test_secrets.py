@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -48,6 +49,36 @@ def test_lexer():
     assert lexed("the author: somebody and the keyboard: qwerty") == []
 
 
+LONG = "Zx81kd92mQ" * 600
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f"private_key = {LONG}", LONG), (f'private_key = "{LONG}"', LONG), (f"private_key: '{LONG}'", LONG), (f"<clientSecret>{LONG}</clientSecret>", LONG),
+        (f'{"a_" * 200}private_key = "Zx81kd92kdLs"', "Zx81kd92kdLs"), (f'<{"a_" * 200}secret>Zx81.kd92kdLs</{"a_" * 200}secret>', "Zx81.kd92kdLs"),
+        (f'{"x" * 200} = "Zx81kd92kdLs"\nprivate_key = {"x" * 200}', "Zx81kd92kdLs"),
+        ('private_key: str = "Zx81kd92kdLs"', "Zx81kd92kdLs"), ('private_key: Optional[str] = "Zx81kd92kdLs"', "Zx81kd92kdLs"), ("let privateKey?: string | null = 'Zx81kd92kdLs'", "Zx81kd92kdLs"),
+        ("private_key: &'static str = \"Zx81kd92kdLs\"", "Zx81kd92kdLs"), ("config['private_key'] = 'Zx81kd92kdLs'", "Zx81kd92kdLs"), ('config[ "private_key" ] = "Zx81kd92kdLs"', "Zx81kd92kdLs"),
+        ('a = private_key = "Zx81kd92kdLs"', "Zx81kd92kdLs"), ('private_key = a = "Zx81kd92kdLs"', "Zx81kd92kdLs"), ("private_key=b=a='Zx81kd92kdLs'", "Zx81kd92kdLs"),
+        ("INFO: private_key=Zx81kd92kdLs", "Zx81kd92kdLs"), ("environment: PRIVATE_KEY=Zx81kd92kdLs", "Zx81kd92kdLs"), ("environment:PRIVATE_KEY=Zx81kd92kdLs", "Zx81kd92kdLs"),
+        ('run = "export PRIVATE_KEY=Zx81kd92kdLs"', "Zx81kd92kdLs"), ('x = "Zx81kd92kdLs"\nlog = "x=%s"\nprivate_key = x', "Zx81kd92kdLs"),
+        ("$private_key = 'Zx81kd92kdLs'", "Zx81kd92kdLs"), ("run --private-key=Zx81kd92kdLs", "Zx81kd92kdLs"), ('private_key = b"Zx81kd92kdLs"', "Zx81kd92kdLs"),
+        ('private_key = "Zx81\\"kd92kdLs"', 'Zx81\\"kd92kdLs'), ('{\\"private_key\\": \\"Zx81kd92kdLs\\"}', "Zx81kd92kdLs"), ("private_key=Zx81kd92kdLs= and more", "Zx81kd92kdLs="),
+    ],
+)
+def test_lexer_forms_and_lengths(text, want):
+    assert lexed(text) == [want]
+
+
+def test_lexer_takes_linear_time():
+    for unit in ("a", "a:", "a=", "a =", "a: b[", "a: b | ", "=\"", "='\\", "<a>", "-", " ", "a " + " " * 9, "a='", "secret_1=", "secret_1: a "):
+        for text in ("k: " + unit * (200_000 // len(unit)), "private_key" + unit * (200_000 // len(unit))):
+            began = time.process_time()
+            secretscan.lexed_spans(text)
+            assert time.process_time() - began < 10
+
+
 def test_base_stays_and_order_holds():
     text = 'a = "Zx9!kQ2#vL7p"\ntoken = "abcdef123"\nauth_key = a\n'
     base, every = secretscan.all_spans(text)
