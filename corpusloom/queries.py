@@ -407,6 +407,12 @@ def sentence_counts(spark, sf):
     return docs.select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"))
 
 
+@query()
+def sentence_counts_all(spark, sf):
+    """Of every document, those with abbreviations too, which the SQL of sentence_counts cannot follow."""
+    return table(spark, sf, "documents").select("doc_id", F.size(text.sentences(F.coalesce(F.col("text"), F.lit("")))).alias("sentences"))
+
+
 @query("SELECT * FROM (VALUES (0, ['One two. ', 'Dr. Who is here. ', 'Pi is 3.14 ok.']), (1, ['你好。 世界！ ', '再见'])) t(id, pieces)", arrays=('pieces',))
 def sentence_pieces(spark, sf):
     rows = values(spark, "(0, 'One two. Dr. Who is here. Pi is 3.14 ok.', 16), (1, '你好。世界！再见', 7)", "id, text, n")
