@@ -545,6 +545,12 @@ def content_fingerprint(spark, sf):
     return ingest.fingerprint(_snapshots(spark, sf)[0])
 
 
+@query("SELECT source AS lib, left(sha256(string_agg(x, '|' ORDER BY x)), 16) AS fingerprint FROM (SELECT source, 'd' || doc_id || ':' || md5(text) AS x FROM documents) GROUP BY 1")
+def content_fingerprint_all(spark, sf):
+    """Of the whole table; content_fingerprint takes the first of two versions of it."""
+    return ingest.fingerprint(table(spark, sf, "documents").select(F.col("source").alias("lib"), F.concat(F.lit("d"), F.col("doc_id")).alias("rel"), F.md5("text").alias("hash")))
+
+
 @query("SELECT c.conv_id, c.turn FROM conversations c LEFT JOIN (SELECT conv_id, conv_id % 3 AS n FROM conversations WHERE conv_id % 5 <> 0 GROUP BY 1) m USING (conv_id) WHERE m.n IS NULL OR c.turn >= m.n")
 def stale_chunks(spark, sf):
     chunks = table(spark, sf, "conversations").select(F.lit("l").alias("lib"), F.col("conv_id").alias("rel"), F.col("turn").alias("chunk"))

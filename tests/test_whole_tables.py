@@ -1,5 +1,8 @@
 """Queries over whole tables, against slow versions."""
 
+import hashlib
+from collections import defaultdict
+
 import __spark_entry__ as entry
 
 SHORT = "mr mrs ms dr prof e.g i.e etc vs st no al".split()
@@ -33,3 +36,11 @@ def test_sentences_of_all_documents(spark, sf):
     assert any(f" {x}. " in t for t in docs.values() for x in SHORT)
     got = {r.doc_id: r.sentences for r in entry.queries()["sentence_counts_all"](spark, sf).collect()}
     assert got == {d: slow_sentences(t) for d, t in docs.items()}
+
+
+def test_fingerprint_of_all_documents(spark, sf):
+    of = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        of[r.source].append(f"d{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}")
+    want = {lib: hashlib.sha256("|".join(sorted(x)).encode()).hexdigest()[:16] for lib, x in of.items()}
+    assert {r.lib: r.fingerprint for r in entry.queries()["content_fingerprint_all"](spark, sf).collect()} == want
