@@ -2,6 +2,9 @@
 
 Equal sketches are one class, represented by its smallest key: a text with thousands of copies is one
 row from there on, and copies are never expanded into pairs. Buckets then hold distinct sketches only.
+
+strict (the default, as in the reference) compares what shares a band of positions, and so misses links
+at any similarity below 1; with strict=False every two sketches that share a value are compared.
 """
 
 from __future__ import annotations
@@ -66,30 +69,30 @@ def pairs(reps: DataFrame, threshold: float = THRESHOLD, strict: bool = True) ->
     return found.withColumn("sim", jaccard(F.col("sa"), F.col("sb"))).where(F.col("sim") >= threshold).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
-def library_pairs(docs: DataFrame, library: str, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+def library_pairs(docs: DataFrame, library: str, key: str, text: str, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
     """(library, a, b, sim) of all libraries, each compared within itself: the library is part of every
     hash, so that sketches of different libraries share nothing."""
     made = sketches(docs.select(F.struct(library, key).alias("_key"), text), "_key", text)
     marked = made.withColumn("sk", F.transform("sk", lambda h: F.concat(h, F.lit("@"), F.coalesce(F.col(f"key.{library}").cast("string"), F.lit("")))))
     reps = materialise(classes(marked), "sketch-classes")
-    return pairs(reps, threshold).select(F.col(f"a.{library}").alias(library), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), "sim")
+    return pairs(reps, threshold, strict).select(F.col(f"a.{library}").alias(library), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), "sim")
 
 
-def clusters(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+def clusters(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
     """(key, cluster): the smallest key reachable; only documents that have a near-duplicate."""
     sketched = materialise(sketches(docs, key, text), "sketches")
     reps = materialise(classes(sketched), "sketch-classes")
-    roots = connected_components(pairs(reps, threshold), "a", "b")
+    roots = connected_components(pairs(reps, threshold, strict), "a", "b")
     labelled = reps.join(roots, F.col("rep") == F.col("node"), "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
     labelled = labelled.select("sk", F.coalesce("root", "rep").alias("cluster"))
     return sketched.join(labelled, "sk").select("key", "cluster")
 
 
-def statistics(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+def statistics(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
     """One row: scanned, skipped, pairs (between classes), groups."""
     sketched = materialise(sketches(docs, key, text), "sketches")
     reps = materialise(classes(sketched), "sketch-classes")
-    edges = materialise(pairs(reps, threshold), "sketch-pairs")
+    edges = materialise(pairs(reps, threshold, strict), "sketch-pairs")
     roots = connected_components(edges, "a", "b")
     grouped = reps.join(roots, F.col("rep") == F.col("node"), "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
     groups = grouped.agg(F.count_distinct(F.coalesce("root", "rep")).alias("groups"))
