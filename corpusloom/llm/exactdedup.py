@@ -3,10 +3,12 @@
 Entries (doc_id, 64-bit hash, SHA-256) of all documents go to a shared file. The directory addresses
 the hash by its first bits: it starts with one bucket and doubles while a bucket holds more than
 ``capacity`` distinct keys, splitting overfull buckets, up to 2^16 slots (beyond that depth a bucket
-just chains). Owner tasks aggregate the texts of their buckets: hash aggregation chains texts with the
-same hash and compares their bytes; copies are combined before the shuffle, so a text that fills a
-third of the rows arrives as a row for each map task. The index records, without texts, are written to
-shared files sorted by key range; entries then look their record up.
+just chains). The directory names the bucket of each record and so the order of the index files; it
+routes no rows. No task owns a bucket or key range: the texts are hash-partitioned over all tasks by
+(bucket, hash, text) and aggregated there, where hash aggregation chains texts with the same hash and
+compares their bytes; copies are combined before the shuffle, so a text that fills a third of the rows
+arrives as a row for each map task. The index records, without texts, are written to shared files sorted
+by key range; entries look their record up by a join on (hash, SHA-256), not through slot and bucket.
 
 Defined results: a null text counts as empty; texts are equal when identical after replacing each run
 of white space by one space. A null doc_id is larger than any other; of rows equal in both doc_id and
