@@ -46,9 +46,21 @@ def test_small_cache_gives_the_same(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     fresh = bpe.Encoder(PATH)
     text = "the quick brown fox jumps over the lazy dog " * 3
+    fresh.encode_text("some other words")
     assert fresh.encode_text(text)[0] == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
 
 
+def test_windows_and_batches_give_the_same(library, monkeypatch):
+    rng, words = random.Random(3), sorted(library.get_vocab())
+    texts = [" ".join(rng.choice(words).replace("</w>", "") + rng.choice(words)[:3] for _ in range(rng.randint(0, 400))) for _ in range(60)]
+    want = [" ".join(map(str, library.encode(t, add_special_tokens=False).ids)) for t in texts]
+    for size in (50, 3000, 1 << 21):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        enc = bpe.Encoder(PATH)
+        got = [x for ids, ends in enc.encode_texts(texts) for x in enc.joined(enc.numbers, ids, ends).to_pylist()]
+        assert got == want
+
+
 def test_documents(spark, sf, library):
     got = {r.doc_id: r for r in bpe.op10_bpe(spark, sf).collect()}
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
