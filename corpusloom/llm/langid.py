@@ -10,8 +10,9 @@ list explains it better than the class ``und`` does, a uniform trigram model, or
 Defined results: a null or empty text, or one without letters, is ``und`` and rejected; a null or
 unknown declaration, suffix or host is no evidence; repeated rows each count; an empty table gives an
 empty result. Without labelled rows every language is as likely as the unknown, so the other evidence
-decides. Whole texts are read, a mebibyte at a time. Input columns are kept in a struct, so their
-names may clash with those made here.
+decides. Whole texts are read, a mebibyte at a time, with the same trigrams wherever that cuts them. Of
+languages that tie, the first of the list wins, before ``und``. Input columns are kept in a struct, so
+their names may clash with those made here.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,37 +44,50 @@ _PIECE = 1 << 20
 
 
 def trigrams(text: bytes | None) -> Iterator[np.ndarray]:
-    """Bucket numbers of the text's letter trigrams, piece by piece."""
-    for i in range(0, len(text or b""), _PIECE):
-        words = text[max(0, i - 2) : i + _PIECE].lower().translate(_LETTERS).split()
-        if words:
-            b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
+    """Bucket numbers of the text's letter trigrams, piece by piece: of its words, joined by one space,
+    with one before the first and one after the last, wherever the pieces are cut."""
+    text, kept = text or b"", b" "
+    for i in range(0, len(text), _PIECE):
+        part = text[i : i + _PIECE].lower().translate(_LETTERS)
+        more = b" ".join(part.split())
+        if part[:1] == b" " and kept[-1:] != b" ":
+            more = b" " + more
+        if part[-1:] == b" " and more and more[-1:] != b" " or i + _PIECE >= len(text) and (kept + more)[-1:] != b" ":
+            more += b" "
+        b = np.frombuffer(kept + more, np.uint8).astype(np.uint32)
+        kept = (kept + more)[-2:]
+        if len(b) > 2:
             yield ((b[:-2] * np.uint32(40503) + b[1:-1] * np.uint32(9973) + b[2:] * np.uint32(257)) ^ (b[1:-1] << np.uint32(7))) % np.uint32(BUCKETS)
 
 
-def fit(docs: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Log probabilities, a row for each language, from docs (text, lang, and a key such as doc_id).
+def sampled(docs: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> Column:
+    """Whether a row of docs is in the sample: labelled rows whose hash falls below the share that makes
+    sample_rows of them, on average."""
+    labelled = F.col("lang").isin(*languages) & F.col("text").isNotNull()
+    share = min(1.0, sample_rows / max(1, docs.where(labelled).count()))
+    below = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
+    return F.coalesce(labelled & (F.xxhash64(*docs.columns) <= below), F.lit(False))
+
 
-    The sample is the labelled rows whose hash falls below the share that makes sample_rows of them, on
-    average; it is counted where it lies, and the driver gets a number for each language and bucket.
+def fit(docs: DataFrame, languages=LANGUAGES, sample_rows: int = SAMPLE_ROWS, chosen: Column | None = None) -> np.ndarray:
+    """Log probabilities, a row for each language, from the sample of docs (text, lang, and a key such as
+    doc_id). It is counted where it lies, and the driver gets a number for each language and bucket.
     """
-    labelled = docs.where(F.col("lang").isin(*languages) & F.col("text").isNotNull())
-    share = min(1.0, sample_rows / max(1, labelled.count()))
-    below = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
-    sample = labelled.where(F.xxhash64(*docs.columns) <= below).select("lang", F.col("text").cast("binary").alias("text"))
+    chosen = sampled(docs, languages, sample_rows) if chosen is None else chosen
+    sample = docs.where(chosen).select("lang", F.col("text").cast("binary").alias("text"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for t in trigrams(text):
+            for lang, text in zip(*batch.columns, strict=True):
+                total = sums.setdefault(lang.as_py(), np.zeros(BUCKETS, np.int64))
+                for t in trigrams(text.as_py()):
                     total += np.bincount(t, minlength=BUCKETS)
         for lang, total in sums.items():
             used = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "bucket": used.astype(np.int32), "n": total[used]})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(used)), "bucket": pa.array(used.astype(np.int32)), "n": pa.array(total[used])})
 
-    counted = sample.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = np.full((len(languages), BUCKETS), SMOOTHING)
     for r in counted.toLocalIterator():  # len(languages) * BUCKETS rows at most
         found[languages.index(r["lang"]), r["bucket"]] += r["n"]
@@ -86,16 +100,15 @@ def likelihoods(model: np.ndarray):
     by_bucket = np.ascontiguousarray(model.T)
     flat = -math.log(BUCKETS)
 
-    @F.pandas_udf("array<double>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            n, total = 0, np.zeros(model.shape[0])
-            for t in trigrams(text):
-                n += len(t)
-                total += by_bucket[t].sum(axis=0, dtype=np.float64)
-            out.append([float(n), *(TEMPER * total).tolist(), TEMPER * n * flat])
-        return pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), model.shape[0] + 2))
+        for i, text in enumerate(texts):
+            for t in trigrams(text.as_py()):
+                out[i, 0] += len(t)
+                out[i, 1:-1] += TEMPER * by_bucket[t].sum(axis=0, dtype=np.float64)
+        out[:, -1] = TEMPER * flat * out[:, 0]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
 
     return run
 
@@ -121,9 +134,9 @@ def host_counts(marked: DataFrame, languages=LANGUAGES) -> DataFrame:
 
 
 def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host: Column, model: np.ndarray, languages=LANGUAGES, with_text: bool = True) -> DataFrame:
-    """For each row: _row, lang, confidence, text_lang, n_trigrams, kept. Without the text in _row, texts
-    are read once and only their likelihoods are shuffled; with it, they are read for the hosts' counts
-    and again for the result."""
+    """For each row: _row (without the text unless with_text), lang, confidence, text_lang, n_trigrams,
+    kept. Texts are scored once; the scored rows are written to the shared folder, read there for the
+    hosts' counts and again for the result."""
     names, k = F.array(*map(F.lit, [*languages, UNKNOWN])), len(languages) + 1
     base = rows.select(
         whole_row(rows if with_text else rows.drop(text)), F.lower(F.substring(declared, 1, 2)).alias("declared"), suffix.alias("suffix"), host.alias("host"),
@@ -131,7 +144,7 @@ def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host:
     )
     base = base.withColumns({"n": F.element_at("found", 1), "scores": F.slice("found", 2, k)}).drop("found")
     base = base.withColumn("text_lang", _best(F.col("scores"), names))
-    base = base if with_text else materialise(base, "langid-scores")
+    base = materialise(base, "langid-scores")
     priors = host_counts(base.select("host", "text_lang"), languages).withColumnRenamed("host", "of")
     # a host that no row has cannot be missing here: both sides come from the same rows
     joined = base.join(priors, F.col("host").eqNullSafe(F.col("of")))
@@ -167,9 +180,11 @@ def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host:
 
 
 def identify_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, with_text: bool = True) -> DataFrame:
-    """docs: doc_id, text, lang (declared), source (host), and whatever else."""
-    nothing = F.lit(None).cast("string")
-    return identify(docs, "text", F.col("lang"), nothing, F.col("source"), fit(docs.select("doc_id", "text", "lang"), sample_rows=sample_rows), with_text=with_text)
+    """docs: doc_id, text, lang (declared), source (host), and whatever else. The text model has learnt the
+    declarations of the sample's rows, so for these they aren't evidence once more."""
+    nothing, labelled = F.lit(None).cast("string"), docs.select("doc_id", "text", "lang")
+    chosen = sampled(labelled, sample_rows=sample_rows)
+    return identify(docs, "text", F.when(~chosen, F.col("lang")), nothing, F.col("source"), fit(labelled, chosen=chosen), with_text=with_text)
 
 
 def visible_text(html: Column) -> Column:
@@ -177,15 +192,16 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(bare, r"(?s)<[^>]*>|&[A-Za-z#0-9]{1,10};", " ")
 
 
-def identify_pages(pages: DataFrame, model: np.ndarray) -> DataFrame:
-    """pages: page_id, url, html. Declared language: the lang attribute of the root element."""
+def identify_pages(pages: DataFrame, model: np.ndarray, by_markup: bool = True) -> DataFrame:
+    """pages: page_id, url, html. Declared language: the lang attribute of the root element, evidence
+    if by_markup."""
     host = F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#:]*)", 1))
     host = F.when(host == "", F.lit(None)).otherwise(host)
     rows = pages.select(
         "page_id", host.alias("host"), F.substring_index(host, ".", -1).alias("suffix"),
         F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})", 1).alias("declared"), visible_text(F.col("html")).alias("text"),
     )
-    return identify(rows, "text", F.col("declared"), F.col("suffix"), F.col("host"), model, with_text=False)
+    return identify(rows, "text", F.col("declared") if by_markup else F.lit(None).cast("string"), F.col("suffix"), F.col("host"), model, with_text=False)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
