@@ -47,9 +47,9 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+"
 CACHE = 100_000  # words that a worker remembers
 ARCS = 18  # 2^ARCS arcs that a worker remembers
-SLICE = 1 << 21  # bytes of text worked on at a time; longer texts are cut into such windows, at white space
+SLICE = 1 << 19  # bytes of text worked on at a time; longer texts are cut into such windows, at white space
 ROWS = 1000  # of a batch that are worked on at a time
-CELLS = 1 << 20  # letters of words that advance together
+CELLS = 1 << 18  # letters of words that advance together
 FEW = 24  # words that are not worth advancing together
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space for str.split() only
 _LAST = 256  # added to the byte that ends a word
