@@ -2,11 +2,13 @@
 
 Bytes are stored as WAVE files of 8-bit mu-law or A-law samples or of IMA ADPCM blocks. Decoding expands
 mu-law and A-law through 256-entry tables, made from the codecs' rules, and decodes ADPCM with numpy
-across blocks: all blocks of a file advance together, a nibble at a time. PCM is resampled from 8 to
-16 kHz by linear interpolation in integers and stored as 16-bit samples.
+across blocks: all blocks of a slice of rows advance together, a nibble at a time. PCM is resampled from
+8 to 16 kHz by linear interpolation in integers and stored as a column of 16-bit little-endian samples.
+Files are decoded piece by piece, so that besides a row's own file and PCM only pieces are in memory.
 
-Defined results: a null payload is the empty one; lengths are any; equal payloads give equal files and
-features; repeated rows are independent; an empty table gives an empty result.
+Defined results: a null payload is the empty one; payloads have any length; equal payloads give equal
+files, features and PCM, so rows that tie or repeat are independent of each other; an empty table gives
+an empty result. Other columns are kept in a struct, so their names may clash with those made here.
 """
 
 from __future__ import annotations
@@ -19,18 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, whole_row
+from .shared import documents, materialise, whole_row
 
 RATE = 8000
 UNIT = 576
 PAD = 255
 ACROSS = 2048  # ADPCM blocks decoded together
-SLICE = 512  # rows of a batch worked on at a time
+PIECE = 1 << 20  # mu-law or A-law samples decoded at a time
+ROWS, SLICE = 512, 1 << 22  # rows of a batch, and bytes of their files, worked on at a time
 #: WAVE format tags.
 ALAW, MULAW, IMA = 6, 7, 17
+#: Sizes of their blocks here.
+BLOCKS = {MULAW: 1, ALAW: 1, IMA: UNIT}
 #: Index steps of IMA ADPCM, by the three low bits of a nibble.
 INDEX_STEPS = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 #: Step sizes of IMA ADPCM.
@@ -104,23 +110,64 @@ def unpack(media: bytes) -> tuple[int, int, bytes]:
     raise ValueError("no data chunk")
 
 
+def pieces(files: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the file, PCM) of files (tag, block size, data), piece by piece, each file's in order.
+    Blocks of ADPCM files of the same block size are decoded together."""
+    for tag in TABLES:
+        for k, raw in ((k, np.frombuffer(data, np.uint8)) for k, (t, _, data) in enumerate(files) if t == tag):
+            for i in range(0, len(raw), PIECE):
+                yield k, TABLES[tag][raw[i : i + PIECE]]
+    if unknown := {t for t, _, _ in files} - {*TABLES, IMA}:
+        raise ValueError(f"formats {sorted(unknown)} are not telephony audio")
+    for size in {block for tag, block, _ in files if tag == IMA}:
+        mine = [k for k, (tag, block, _) in enumerate(files) if tag == IMA and block == size]
+        of = np.repeat(mine, [len(files[k][2]) // size for k in mine])
+        blocks = np.frombuffer(b"".join([files[k][2][: len(files[k][2]) // size * size] for k in mine]), np.uint8).reshape(-1, size)
+        for i in range(0, len(blocks), ACROSS):
+            pcm, owners = decode_ima(blocks[i : i + ACROSS]), of[i : i + ACROSS]
+            cuts = np.flatnonzero(np.diff(owners)) + 1
+            for k, rows in zip(owners[np.append(0, cuts)], np.split(pcm, cuts), strict=True):
+                yield int(k), rows.ravel()
+
+
 def decode(tag: int, block: int, data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
-    if tag in TABLES:
-        return TABLES[tag][raw]
-    if tag == IMA:
-        return decode_ima(raw[: len(raw) // block * block].reshape(-1, block)).ravel()
-    raise ValueError(f"format {tag} is not telephony audio")
+    return np.concatenate([np.zeros(0, np.int16), *(pcm for _, pcm in pieces([(tag, block, data)]))])
+
+
+class Track:
+    """A file's PCM, resampled from 8 to 16 kHz as it comes (between two samples their mean, rounded down;
+    the last sample twice), and its features: samples, root mean square, peak, zero crossings and the
+    checksum of the resampled PCM."""
+
+    def __init__(self):
+        self.stored, self.last = bytearray(), np.zeros(0, np.int16)
+        self.n = self.energy = self.peak = self.crossings = 0
+
+    def add(self, pcm: np.ndarray) -> None:
+        wide = pcm.astype(np.int64)
+        self.n += len(pcm)
+        self.energy += int(np.dot(wide, wide))
+        self.peak = max(self.peak, int(np.abs(wide).max(initial=0)))
+        joined = np.concatenate([self.last, pcm])
+        self.crossings += int(np.count_nonzero((joined[1:] < 0) != (joined[:-1] < 0)))
+        self.last = joined[-1:]
+        if len(joined) > 1:
+            out = np.empty(2 * len(joined) - 2, "<i2")
+            out[0::2], out[1::2] = joined[:-1], (joined[:-1].astype(np.int32) + joined[1:]) >> 1
+            self.stored += out.tobytes()
+
+    def finish(self) -> bytes:
+        self.stored += np.repeat(self.last, 2).astype("<i2").tobytes()
+        return bytes(self.stored)
+
+    def feature(self, tag: int, stored: bytes) -> str:
+        return f"tag={tag};n={self.n};rms={math.isqrt(self.energy // max(1, self.n))};peak={self.peak};zc={self.crossings};pcm16k_crc={zlib.crc32(stored)}"
 
 
 def resample(pcm: np.ndarray) -> np.ndarray:
-    """From 8 to 16 kHz: between two samples their mean, rounded down; the last sample twice."""
-    out = np.empty(2 * len(pcm), np.int16)
-    out[0::2] = pcm
-    if len(pcm):
-        out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-        out[-1] = pcm[-1]
-    return out
+    track = Track()
+    track.add(pcm)
+    return np.frombuffer(track.finish(), "<i2")
 
 
 def payload(text: bytes | None) -> bytes:
@@ -128,80 +175,70 @@ def payload(text: bytes | None) -> bytes:
     return text + bytes([PAD]) * (max(1, -(-len(text) // UNIT)) * UNIT - len(text))
 
 
-def adpcm_energy(datas: list[bytes]) -> list[tuple[int, int]]:
-    """(samples, sum of squares) of each of datas, whole UNITs read as ADPCM blocks. The blocks of all
-    of them are decoded together, ACROSS at a time."""
-    blocks = np.frombuffer(b"".join(datas), np.uint8).reshape(-1, UNIT)
-    energy = np.zeros(len(blocks) + 1, np.int64)
-    for i in range(0, len(blocks), ACROSS):
-        wide = decode_ima(blocks[i : i + ACROSS]).astype(np.int64)
-        energy[i + 1 : i + 1 + len(wide)] = np.einsum("ij,ij->i", wide, wide)
-    ends = np.concatenate([[0], np.cumsum([len(d) // UNIT for d in datas], dtype=np.int64)])
-    sums = np.cumsum(energy)[ends]
-    return [(int(n) * (2 * (UNIT - 4) + 1), int(e)) for n, e in zip(np.diff(ends), np.diff(sums), strict=True)]
+def codec_of(data: bytes) -> int:
+    """One of the three, by the data's checksum."""
+    return (MULAW, ALAW, IMA)[zlib.crc32(data) % 3]
 
 
-def features(tag: int, block: int, data: bytes, adpcm: tuple[int, int]) -> tuple[bytes, str]:
-    """(resampled PCM, features): samples, root mean square, peak, zero crossings, the root mean square
-    of the same bytes read as ADPCM blocks, and the checksum of the resampled PCM."""
-    pcm = decode(tag, block, data)
-    wide = pcm.astype(np.int64)
-    stored = resample(pcm).tobytes()
-    crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    rms = lambda n, e: math.isqrt(e // max(1, n))
-    return stored, f"n={len(pcm)};rms={rms(len(pcm), int(np.dot(wide, wide)))};peak={int(np.abs(wide).max(initial=0))};zc={crossings};adpcm_rms={rms(*adpcm)};pcm16k_crc={zlib.crc32(stored)}"
+def sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of up to ROWS rows, that end where the bytes of the column exceed SLICE."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < batch.num_rows:
+            stop = int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SLICE, side="right")) + 1
+            stop = min(stop, i + ROWS, batch.num_rows)
+            yield batch.slice(i, stop - i)
+            i = stop
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, SLICE):
-            yield batch.slice(i, SLICE)
+def _beside(rows: DataFrame, column: str) -> DataFrame:
+    rest = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != column])
+    return rows.select(whole_row(rest), F.col(f"`{column}`").cast("binary").alias("data"))
 
 
-def store_media(rows: DataFrame, data: str, tag: int = MULAW, block: int = 1) -> DataFrame:
-    """Adds media (a WAVE file around the padded bytes of column data) as _row, n_bytes, media."""
-    rest = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != data])
-    packed = rows.select(whole_row(rest), F.col(data).cast("binary").alias("data"))
+def store_media(rows: DataFrame, data: str, tag: int | None = None) -> DataFrame:
+    """_row (the other columns), n_bytes and media: a WAVE file around the padded bytes of column data, in
+    the codec of the tag, else in the one that codec_of picks. Written to the shared folder."""
+    packed = _beside(rows, data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1):
             n, media = [], []
             for x in batch.column(1):
                 raw = x.as_py() or b""
                 n.append(len(raw))
-                media.append(pack(payload(raw), tag, block))
+                kind = codec_of(raw) if tag is None else tag
+                media.append(pack(payload(raw), kind, BLOCKS[kind]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["_row", "n_bytes", "media"])
 
-    return packed.mapInArrow(run, f"_row {packed.schema['_row'].dataType.simpleString()}, n_bytes long, media binary")
+    return materialise(packed.mapInArrow(run, f"_row {packed.schema['_row'].dataType.simpleString()}, n_bytes long, media binary"), "media")
 
 
-def decode_media(stored: DataFrame, with_pcm: bool = True) -> DataFrame:
-    """Reads media back: the columns of stored, payload digests, feature, and pcm (16 kHz, 16 bits)."""
-    schema = stored.schema.simpleString()[len("struct<") : -1]
-    digests = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+def decode_media(stored: DataFrame, media: str = "media") -> DataFrame:
+    """Reads media back: _row (the other columns), payload digests, feature and pcm (16 kHz, 16 bits)."""
+    files = _beside(stored, media)
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "pcm": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            found: dict[str, list] = {k: [] for k in [*digests, "pcm"]}
-            files = batch.column(batch.schema.get_field_index("media")).to_pylist()
-            opened = [unpack(media) for media in files]
-            energies = adpcm_energy([data[: len(data) // UNIT * UNIT] for _, _, data in opened])
-            for media, (tag, block, data), energy in zip(files, opened, energies, strict=True):
-                pcm, feature = features(tag, block, data, energy)
-                values = len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
-                for k, v in zip(digests, values, strict=True):
+        for batch in sliced(batches, 1):
+            found: dict[str, list] = {k: [] for k in kinds}
+            raw = [x or pack(b"") for x in batch.column(1).to_pylist()]
+            opened = [unpack(x) for x in raw]
+            tracks = [Track() for _ in opened]
+            for k, pcm in pieces(opened):
+                tracks[k].add(pcm)
+            for whole, (tag, _, data), track in zip(raw, opened, tracks, strict=True):
+                pcm = track.finish()
+                values = len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(whole), hashlib.sha256(whole).hexdigest(), track.feature(tag, pcm), pcm
+                for k, v in zip(kinds, values, strict=True):
                     found[k].append(v)
-                if with_pcm:
-                    found["pcm"].append(pcm)
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if with_pcm or n != "media"} | {k: pa.array(found[k], t) for k, t in digests.items()}
-            yield pa.RecordBatch.from_pydict(columns | ({"pcm": pa.array(found["pcm"], pa.binary())} if with_pcm else {}))
+            yield pa.RecordBatch.from_pydict({"_row": batch.column(0)} | {k: pa.array(found[k], t) for k, t in kinds.items()})
 
-    keep = stored if with_pcm else stored.drop("media")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema)
-    return stored.mapInArrow(run, schema + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * with_pcm)
+    return files.mapInArrow(run, f"_row {files.schema['_row'].dataType.simpleString()}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
-    """op8: digests of every document as a mu-law file."""
-    found = decode_media(store_media(documents(spark, sf_dir, "doc_id", "text"), "text"), with_pcm=False)
-    return found.select("_row.doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """op8: digests, features and resampled PCM of every document, stored as mu-law, A-law or ADPCM."""
+    found = decode_media(store_media(documents(spark, sf_dir, "doc_id", "text"), "text"))
+    return found.select("_row._row.doc_id", "_row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")

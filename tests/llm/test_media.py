@@ -1,6 +1,7 @@
 """Telephony audio: tables against the codecs' formulas, ADPCM against a sample-by-sample decoder, and the round trip."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -70,16 +71,45 @@ def test_documents(spark, sf):
         padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         g = got[r.doc_id]
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
-        samples = [slow_mulaw(b) for b in padded]
-        assert f"peak={max(map(abs, samples))};" in g.feature and g.media_bytes > g.payload_bytes
+        tag = (media.MULAW, media.ALAW, media.IMA)[zlib.crc32(raw) % 3]
+        if tag == media.IMA:
+            samples = [x for i in range(0, len(padded), 576) for x in slow_ima(padded[i : i + 576])] if len(padded) < 20_000 else None
+        else:
+            samples = [(slow_mulaw if tag == media.MULAW else slow_alaw)(b) for b in padded]
+        if samples:
+            later = [*samples[1:], samples[-1]]
+            pcm = np.array([x for a, b in zip(samples, later, strict=True) for x in (a, (a + b) >> 1)], "<i2").tobytes()
+            rms = math.isqrt(sum(x * x for x in samples) // len(samples))
+            zc = sum((a < 0) != (b < 0) for a, b in zip(samples, later, strict=True))
+            assert g.pcm == pcm
+            assert g.feature == f"tag={tag};n={len(samples)};rms={rms};peak={max(map(abs, samples))};zc={zc};pcm16k_crc={zlib.crc32(pcm)}"
+        whole = media.pack(padded, tag, media.BLOCKS[tag])
+        assert (g.media_bytes, g.media_sha256) == (len(whole), hashlib.sha256(whole).hexdigest())
+
+
+def test_pieces_do_not_matter(monkeypatch):
+    rng = random.Random(9)
+    files = [(tag, block, bytes(rng.randrange(256) for _ in range(n * 40))) for tag, block, n in ((media.MULAW, 1, 5), (media.IMA, 40, 7), (media.IMA, 20, 3), (media.ALAW, 1, 0), (media.IMA, 40, 1))]
+    want = [media.decode(*f).tolist() for f in files]
+    for piece, across in ((7, 2), (1, 1), (100, 3)):
+        monkeypatch.setattr(media, "PIECE", piece)
+        monkeypatch.setattr(media, "ACROSS", across)
+        got = [[] for _ in files]
+        tracks = [media.Track() for _ in files]
+        for k, pcm in media.pieces(files):
+            got[k] += pcm.tolist()
+            tracks[k].add(pcm)
+        assert got == want
+        for track, pcm in zip(tracks, want, strict=True):
+            assert track.finish() == media.resample(np.array(pcm, np.int16)).tobytes()
 
 
 def test_edge_rows(spark):
-    rows = spark.createDataFrame([(1, None), (1, None), (None, "é"), (2, "")], "doc_id long, text string").selectExpr("*", "1 AS media", "'x' AS pcm")
-    stored = media.store_media(rows.select("doc_id", "text"), "text")
+    rows = spark.createDataFrame([(1, None), (1, None), (None, "é"), (2, "")], "doc_id long, text string").selectExpr("*", "1 AS media", "'x' AS pcm", "2 AS feature", "3 AS data")
+    stored = media.store_media(rows, "text")
     got = media.decode_media(stored).collect()
-    assert len(got) == 4 and len({r.feature for r in got if r.n_bytes == 0}) == 1
-    assert all(len(r.pcm) == 4 * r.payload_bytes for r in got)
-    kept = media.store_media(rows, "text").select("_row.*").collect()
-    assert all(r.pcm == "x" for r in kept)
-    assert media.decode_media(stored.where("false"), with_pcm=False).collect() == []
+    assert len(got) == 4 and len({r.feature for r in got if r._row.n_bytes == 0}) == 1
+    assert all(r._row._row.pcm == "x" and r._row._row.feature == 2 for r in got)
+    for tag, per in ((media.MULAW, 4), (media.ALAW, 4)):
+        assert all(len(r.pcm) == per * r.payload_bytes for r in media.decode_media(media.store_media(rows, "text", tag)).collect())
+    assert media.decode_media(stored.where("false")).collect() == []
