@@ -48,10 +48,30 @@ def test_conversations(spark, sf):
     assert got == slow(rows)
 
 
+def test_the_log_has_all_kinds_of_events(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    ops = {r.op: r["count"] for r in chat.as_log(rows).groupBy("op").count().collect()}
+    assert set(ops) == {"message", "delta", "edit", "regenerate"} and ops["message"] == rows.count() and min(ops.values()) > rows.count() // 10
+
+
+def test_reading_does_not_depend_on_the_pieces(spark):
+    turns = spark.createDataFrame([("c", i, 0, "user" if i % 2 else "assistant", t) for i, t in enumerate(NASTY)], "conv_id string, turn long, tie int, role string, text string")
+    whole = "".join(r.rendered for r in chat.render(turns).orderBy("turn").collect())
+    rng, found = random.Random(4), set()
+    for _ in range(50):
+        reader, at = chat.Reader(), 0
+        while at < len(whole):
+            n = rng.randint(1, 30)
+            reader.feed(whole[at : at + n])
+            at += n
+        found.add(reader.finish()[:2])
+    assert found == {(len(NASTY), hashlib.sha256("".join(f"{'user' if i % 2 else 'assistant'}\n{t}\n" for i, t in enumerate(NASTY)).encode()).hexdigest())}
+
+
 def test_edge_rows(spark):
     rows = [(1, 0, "user", t) for t in NASTY] + [(1, 0, "user", None), (1, 0, "user", None), (2, None, None, "x"), (2, 1, "as\\n\nsistant", "y"), (2, 2, "assistant", "z" * 200_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS tie", "2 AS seq")
-    turns = chat.fold(chat.as_events(df), ("conv_id", "turn", "tie"))
+    turns = chat.fold(chat.as_log(df), ("conv_id", "turn", "tie"))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(chat.render(turns)).collect()}
     want = slow([(c, -1 if t is None else t, role, text) for c, t, role, text in rows])
     assert got == want
