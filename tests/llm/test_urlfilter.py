@@ -44,3 +44,26 @@ def test_filter_only_saves_work(spark, sf, monkeypatch):
     with_filter = sorted(map(str, urlfilter.op7_urls(spark, sf).collect()))
     monkeypatch.setattr(urlfilter, "build_filter", lambda keys: np.full((1, 8), -1, np.int64))
     assert sorted(map(str, urlfilter.op7_urls(spark, sf).collect())) == with_filter
+
+
+def test_canonical(spark):
+    cases = [
+        ("u:p@bad.org.:8080", "/a/../b/./c//d", "bad.org/b/c/d"), ("a.org", "", "a.org/"), ("a.org", "/..", "a.org/"), ("a.org", "/x/..", "a.org/"), ("a.org", "/x/y/..", "a.org/x/"),
+        ("a.org", "/%70rivate/%2f%zz%4", "a.org/private/%2F%zz%4"), ("a.org", "/a/.", "a.org/a/"), ("a.org", "/a//", "a.org/a/"), ("a.org", "/%2e%2E/b", "a.org/b"), ("a.org", "/.well/..x", "a.org/.well/..x"), ("", "", "/"),
+    ]
+    df = spark.createDataFrame(cases, "host string, path string, want string")
+    assert [r.want for r in df.collect()] == [r.got for r in df.select(urlfilter.canonical(F.col("host"), F.col("path")).alias("got")).collect()]
+
+
+def test_evasion_and_long_urls(spark):
+    urls = ["http://me@bad.org/x", "http://ok.org/x/../private/1", "http://ok.org/%70rivate/1", "http://ok.org/" + "a/" * 30_000, "http://" + "a." * 20_000 + "bad.org/", "http://ok.org/x/..%2fprivate/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(pages, listed(spark, ["bad.org/", "ok.org/private/"]), rules=(("block", "nowhere", "/"),)).collect()}
+    assert [got[i] for i in range(6)] == ["block", "block", "block", "allow", "block", "allow"]
+
+
+def test_production_list(spark):
+    keys = [r.key for r in urlfilter.production_list(spark).collect()]
+    assert len(keys) == len(set(keys)) == 6 * 3 * 100 + 3 + 3 * 999 * 2
+    assert {"free-bets.example.com/", "ads-track7.example.org/", "ththan.example.com/es/", "ththan.example.com/en/9990.html"} <= set(keys)
+    assert len(urlfilter.build_filter(urlfilter.production_list(spark))) == 256
