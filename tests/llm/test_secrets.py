@@ -1,6 +1,7 @@
 """Secret scans: base spans against the patterns as stated, the lexer on literal cases, edge rows."""
 
 import hashlib
+import random
 import re
 import time
 
@@ -50,6 +51,19 @@ def test_lexer():
 
 
 LONG = "Zx81kd92mQ" * 600
+S = "Zx81kd92kdLs"
+MORE = [
+    (f'private_key =\n    "{S}"', [S]), (f"private_key = (\n  '{S}'\n)", [S]), (f'private_key = \\\n  "{S}"', [S]), (f'private_keys = ["{S}", "{S}x"]', [S, S + "x"]), (f'private_keys: [\n "{S}",\n]', [S]),
+    (f'private_key = f("{S}")', [S]), (f'private_key = base64.b64decode("{S}")', [S]), (f'set_private_key("{S}")', [S]), (f"client.setPrivateKey('{S}')", [S]), ('private_key = os.getenv("PRIVATE_KEY_NAME_2")', []),
+    (f'private_key = a + "{S}"', [S]), (f'a = "{S}x"\nprivate_key = a + "{S}"', [S + "x", S]), (f'private_key = "{S}" "{S}y"', [S, S + "y"]), (f'private_key = "{S}" +\n  "{S}y"', [S, S + "y"]), (f'private_key = "{S}" + b + "{S}y"', [S, S + "y"]),
+    (f'private_key = """{S}"""', [S]), (f'private_key = """\n  {S}\n{S}y\n"""', [S, S + "y"]), ('private_key = """not closed', []), (f'private_key = """a"""\nb = "{S}"', []),
+    (f"private_key: |\n  {S}\n\n  {S}y\nother: {S}z", [S, S + "y"]), (f"a:\n  private_key: >-\n    {S}\n  b: {S}z", [S]), (f"private_key: |\n{S}", []),
+    (f'<add key="private_key" value="{S}"/>', [S]), (f'<add key="colour" value="{S}"/>', []), (f"<server\n  privateKey='{S}'>", [S]), (f'<item value="{S}" name="clientSecret" />', [S]),
+    (f'def f():\n    a = "{S}"\nprivate_key = a', []), (f'a = "{S}"\ndef f():\n    private_key = a', [S]), (f'a = "{S}"\ndef f():\n    a = "{S}y"\nprivate_key = a', [S]),
+    (f'# a = "{S}"\nprivate_key = a', []), (f'# private_key = "{S}"', [S]), (f'x = 1  // private_key = "{S}"', [S]), (f'url = "http://a"\na = "{S}"\nprivate_key = a', [S]),
+    (f'private_key = "{"Zx81kd92mQ" * 10_000}"', ["Zx81kd92mQ" * 10_000]), (f"private_key: |\n  {'Zx81kd92mQ' * 10_000}", ["Zx81kd92mQ" * 10_000]), (f'private_key = ("{"Zx81kd92mQ" * 10_000}")', ["Zx81kd92mQ" * 10_000]),
+    (f'{{"colour": "{S}", "private_key": "{S}y"}}', [S + "y"]), (f'secrets = {{"db": "{S}"}}', []), ("note (private key: see below)", []), ("it's a key: don't", []),
+]
 
 
 @pytest.mark.parametrize(
@@ -71,8 +85,33 @@ def test_lexer_forms_and_lengths(text, want):
     assert lexed(text) == [want]
 
 
+@pytest.mark.parametrize("text, want", MORE)
+def test_lexer_reads_values_of_all_kinds(text, want):
+    assert lexed(text) == want
+
+
+def test_lexer_on_files_put_together(monkeypatch):
+    """Files of many statements in random order: what was put in is found, and nothing else."""
+    rng = random.Random(11)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    forms = [
+        "{n} = '{s}'", '{n}: "{s}"', "{n} => '{s}'", 'export {n}="{s}"', '{n}: str = "{s}"', "conf['{n}'] = '{s}'", '<{n}>{s}</{n}>', '<add key="{n}" value="{s}"/>', "{n} =\n    '{s}'",
+        '{n} = (\n    "{s}"\n)', "{n} = wrap('{s}')", "set_{n}('{s}')", "{n} = prefix + '{s}'", '{n} = """{s}"""', "{n}: |\n    {s}", "# {n} = '{s}'", "{v} = '{s}'\n{n} = {v}", "    {v} = '{s}'\n    {n} = {v}",
+    ]
+    for _ in range(300):
+        want, parts = [], []
+        for k in range(rng.randint(1, 12)):
+            secret = "".join(rng.choice(letters) for _ in range(rng.randint(12, 40))) + "a1B2c3D4"
+            name, told = rng.choice([("db_credentials", True), ("private_key", True), ("clientSecretRef", True), ("colour", False), ("author", False)])
+            parts.append(rng.choice(forms).format(n=name, s=secret, v=f"v{k}"))
+            want += [secret] * told
+        text = "\n".join(parts) + "\n"
+        got = [text[a:b] for _, a, b in secretscan.lexed_spans(text)]
+        assert sorted(got) == sorted(want), text
+
+
 def test_lexer_takes_linear_time():
-    for unit in ("a", "a:", "a=", "a =", "a: b[", "a: b | ", "=\"", "='\\", "<a>", "-", " ", "a " + " " * 9, "a='", "secret_1=", "secret_1: a "):
+    for unit in ("a=\"\"\"", "a: |\n ", "f('", "a = ('", "a = [\"x\",", "<a b='", "<a b='c' ", "\na = b\n " , "# a = b ", "a + 'b' ", "x=['y:[\"", '"x:["', '{"a":', " a = b\n  a = b\n", "a.b(\n", '"a" "b" ', "// a: ","a", "a:", "a=", "a =", "a: b[", "a: b | ", "=\"", "='\\", "<a>", "-", " ", "a " + " " * 9, "a='", "secret_1=", "secret_1: a "):
         for text in ("k: " + unit * (200_000 // len(unit)), "private_key" + unit * (200_000 // len(unit))):
             began = time.process_time()
             secretscan.lexed_spans(text)
