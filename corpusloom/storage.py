@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="tables")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir.
 
@@ -24,8 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and an executor
-    that is lost takes nothing with it. Use for slim tables only."""
-    path = f"{_own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    that is lost takes nothing with it. It stays until drop_materialised()."""
+    path = f"{_own_dir(df.sparkSession)}/{_scope.get()}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -34,7 +40,18 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
 
 
-def drop_materialised(spark: SparkSession) -> None:
-    """Deletes what this application has written with materialise(). Call it when results are stored."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """What is materialised inside can be dropped by this name."""
+    before = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+
+
+def drop_materialised(spark: SparkSession, name: str | None = None) -> None:
+    """Deletes what this application has written with materialise(), all of it or one scope's. Call it
+    when results are stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{_own_dir(spark)}/{name}" if name else _own_dir(spark))
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
