@@ -97,3 +97,36 @@ def test_encode(steps):
 
 def test_run_is_the_same(spark, sf, steps):
     assert rows(corpus_pipeline.run(spark, sf)) == rows(steps[-1][1])
+
+
+def test_stages_leave_no_tables_of_earlier_ones(spark, sf, steps):
+    from corpusloom import storage
+
+    corpus_pipeline.run(spark, sf)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(storage._own_dir(spark))
+    left = {s.getPath().getName() for s in place.getFileSystem(conf).listStatus(place)}
+    assert not left & {f"pipeline-stage-{i}" for i in range(4)} and {x for x in left if x.startswith("pipeline-result")} == {"pipeline-result-3"}
+
+
+def test_edge_rows_in_every_stage(spark, sf, tmp_path):
+    """Nulls, empty, repeated, very long and tied rows, clashing names, and the empty table."""
+    long = "the house of the river and the water of the town " * 20_000
+    words = "the small house near the river is older than the town and the people who live there say so"
+    given = [
+        (1, None, "en", "a"), (2, "", None, None), (3, words, "en", "a"), (3, words, "en", "a"), (None, words, None, None), (None, "der Hund und die Katze sind in dem Haus bei dem Fluss", "de", "b"),
+        (5, long, "en", "b"), (6, long + "x", "xx", "b"), (7, words.upper(), "en", None), (8, "12 34", "en", "a"),
+    ]
+    df = spark.createDataFrame(given, "doc_id long, text string, lang string, source string").selectExpr("*", "1L AS n_chars", "2 AS _row", "3 AS id", "4 AS h", "5 AS bucket", "6 AS fp", "7 AS size")
+    for rows_in in (df, df.where("false")):
+        docs = rows_in
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            path = f"{tmp_path}/{rows_in is df}-{i}"
+            out.write.parquet(path)
+            after = spark.read.parquet(path)
+            assert i == len(corpus_pipeline.STAGES) - 1 or after.columns == df.columns
+            docs = after
+            if i == 1 and rows_in is df:
+                assert sorted((r.doc_id is None, r.doc_id, r.text[:20]) for r in docs.collect() if r.doc_id != 6) == sorted([(False, 3, words[:20]), (True, None, "der Hund und die Kat"), (False, 5, long[:20]), (False, 7, words.upper()[:20])])
+    assert docs.count() == 0
