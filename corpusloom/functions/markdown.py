@@ -1,13 +1,16 @@
-"""Markdown structure: front matter, sections and pieces of bounded length.
+"""Markdown structure: sections and pieces of bounded length, and a preview.
 
-These are line-by-line state machines, linear in the length of the text, so they are Python; the rest of
-the cleaning is in text.py. Each works on one document and is applied through Arrow batches.
+A document is looked at as a whole: one pass finds the marks (headings outside fences), sections are the
+slices between them, paragraphs get a kind each, and long ones are filled up to the limit by one greedy
+rule. Everything is linear in the length of the text and works on Arrow batches. Front matter and the
+rest of the cleaning are columns, see text.py.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -17,130 +20,113 @@ from .text import ABBREVIATIONS, LIST_ITEM
 CHUNK_LIMIT = 600
 SHORT_DOCUMENT = 200
 
-_LINE = re.compile(r"^\s{0,3}(?P<fence>`{3,}|~{3,})|^(?P<level>#{1,3})\s+(?P<title>.+)$")
-_FIELD = re.compile(r"^(?P<key>[\w-]+):\s*(?P<value>.*)$")
-_ITEM = re.compile(r"^\s+-\s+(?P<value>.*)$")
-_LIST = re.compile(LIST_ITEM)
-_SHORT_FORMS = re.compile("|".join(" " + re.escape(a) for x in ABBREVIATIONS for a in (x, x.capitalize())))
-_SENTENCE_END = re.compile(r"(?<=[。！？])\s*|(?<=[.!?])\s+(?=[A-Z0-9])")
-
-
-def _scalar(value: str) -> str:
-    return value.strip().strip('"').strip("'").strip()
-
-
-def front_matter(text: str) -> tuple[dict[str, str], str]:
-    """(fields, body). Lists, in brackets or a line each, become their values joined by commas."""
-    close = text.find("\n---", 3) if text.startswith("---") else -1
-    if close < 0:
-        return {}, text
-    fields: dict[str, str] = {}
-    key = None
-    for line in filter(str.strip, text[3:close].splitlines()):
-        if key and (m := _ITEM.match(line)):
-            fields[key] = ", ".join(filter(None, [fields[key], _scalar(m["value"])]))
-        elif m := _FIELD.match(line):
-            key, value = m["key"], _scalar(m["value"])
-            listed = len(value) > 1 and value[0] == "[" and value[-1] == "]"
-            fields[key] = ", ".join(filter(None, map(_scalar, value[1:-1].split(",")))) if listed else value
-        elif not _ITEM.match(line):
-            key = None
-    return fields, text[close + 4 :]
+#: A fence, or a heading of one of the three levels that split.
+_MARK = re.compile(r"^(?:[^\S\n]{0,3}(?P<fence>`{3,}|~{3,})|(?P<signs>#{1,3})[^\S\n]+(?P<title>.+)$)", re.MULTILINE)
+_BLANK_LINES = re.compile(r"\n\s*\n")
+_ITEM = re.compile(LIST_ITEM, re.MULTILINE)
+_STOP = re.compile(r"[。！？]\s*|[.!?]\s+(?=[A-Z0-9])")
+_SHORT = re.compile(" (?:" + "|".join(re.escape(a) + "|" + re.escape(a.capitalize()) for a in ABBREVIATIONS) + ")")
+TEXT, LIST, TABLE = "text", "list", "table"
+
+
+def headings(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """(begin, end, level, title) of each heading line that no fence holds. A fence is closed by the same
+    sign, at least as many times."""
+    fence = None
+    for m in _MARK.finditer(text):
+        if m["fence"] is None:
+            if fence is None:
+                yield m.start(), m.end(), len(m["signs"]), m["title"].strip()
+        elif fence is None:
+            fence = m["fence"]
+        elif m["fence"].startswith(fence):
+            fence = None
 
 
 def sections(text: str) -> Iterator[tuple[str, str]]:
-    """(heading path, body) of each section that has a body. Headings inside fences are text; a fence is
-    closed by the same sign, at least as many times."""
-    trail: dict[int, str] = {}
-    body: list[str] = []
-    fence = ""
-
-    def section() -> Iterator[tuple[str, str]]:
-        if whole := "\n".join(body).strip():
-            yield " / ".join(trail[k] for k in sorted(trail)), whole
-
-    for line in text.splitlines():
-        m = _LINE.match(line)
-        if m and m["fence"]:
-            if not fence:
-                fence = m["fence"]
-            elif m["fence"].startswith(fence):
-                fence = ""
-        elif m and not fence:
-            yield from section()
-            level = len(m["level"])
-            trail = {k: v for k, v in trail.items() if k < level} | {level: m["title"].strip()}
-            body = []
-            continue
-        body.append(line)
-    yield from section()
-
-
-def is_list(text: str) -> bool:
-    full = [x for x in text.splitlines() if x.strip()]
-    items = sum(bool(_LIST.match(x)) for x in full)
-    return 0 < items >= len(full) - items
+    """(heading path, body) of each section that has a body."""
+    text = "\n".join(text.splitlines())
+    path: list[tuple[int, str]] = []
+    end_of_text = (len(text), len(text), 0, "")
+    for (_, begin, level, title), (end, *_) in pairwise(chain([(0, 0, 0, "")], headings(text), [end_of_text])):
+        if level:
+            path = [*(x for x in path if x[0] < level), (level, title)]
+        if body := text[begin:end].strip():
+            yield " / ".join(t for _, t in path), body
+
+
+def kind_of(text: str) -> str:
+    """A table begins with a bar; in a list, items are half of the lines that aren't blank, or more."""
+    if text.startswith("|"):
+        return TABLE
+    lines = [x for x in text.splitlines() if x.strip()]
+    items = sum(_ITEM.match(x) is not None for x in lines)
+    return LIST if items and 2 * items >= len(lines) else TEXT
 
 
 def bound_paragraphs(text: str) -> list[str]:
     """Paragraphs, a table with the one before and the one after it, a list with the list before it."""
     groups: list[list[str]] = []
-    for p in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
-        if groups and (p.startswith("|") or (is_list(p) and is_list("\n\n".join(groups[-1])))):
+    for p in filter(None, map(str.strip, _BLANK_LINES.split(text))):
+        kind = kind_of(p)
+        if groups and (kind == TABLE or kind == LIST == kind_of("\n\n".join(groups[-1]))):
             groups[-1].append(p)
         else:
             groups.append([p])
+    whole = ["\n\n".join(g) for g in groups]
+    ends_in_table = [g.splitlines()[-1].strip().startswith("|") for g in whole]
     out: list[str] = []
-    open_table = False
-    for whole in map("\n\n".join, groups):
-        if open_table:
-            out[-1] += "\n\n" + whole
-            open_table = False
+    takes_next = False
+    for group, table in zip(whole, ends_in_table, strict=True):
+        if takes_next:
+            out[-1] += "\n\n" + group
         else:
-            out.append(whole)
-            open_table = whole.splitlines()[-1].strip().startswith("|")
+            out.append(group)
+        takes_next = table and not takes_next
     return out
 
 
-def split_list(text: str, limit: int) -> Iterator[str]:
-    now: list[str] = []
-    size = 0  # of now, joined by line ends
-    for line in text.splitlines():
-        if now and _LIST.match(line) and size + len(line) > limit:
-            if piece := "\n".join(now).strip():
-                yield piece
-            now, size = [], 0
-        size += len(line) + bool(now)
-        now.append(line)
-    if piece := "\n".join(now).strip():
-        yield piece
-
-
-def pack_sentences(text: str, limit: int) -> Iterator[str]:
-    guarded = _SHORT_FORMS.sub(lambda m: m[0].replace(".", "\0"), text)
-    now = ""
-    for s in _SENTENCE_END.split(guarded):
-        if s := s.replace("\0", ".").strip():
-            if now and len(now) + len(s) > limit:
-                yield now
-                now = ""
-            now += s + " "
-    if now:
-        yield now.strip()
+def filled(units: list[str], limit: int, opens: Callable[[str], object]) -> Iterator[list[str]]:
+    """Consecutive units, each with one sign behind it, in groups of up to limit. A group is closed only
+    before a unit that may open one, so it may be longer."""
+    begin = size = 0
+    for i, unit in enumerate(units):
+        if i > begin and size + len(unit) > limit and opens(unit):
+            yield units[begin:i]
+            begin, size = i, 0
+        size += len(unit) + 1
+    if units:
+        yield units[begin:]
+
+
+def list_pieces(text: str, limit: int) -> list[str]:
+    """A list, cut only before items; line ends between the lines count."""
+    groups = filled(text.splitlines(), limit + 1, _ITEM.match)
+    return [p for p in ("\n".join(g).strip() for g in groups) if p]
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences; a full stop within an abbreviation ends none."""
+    inside = {m.start() + k for m in _SHORT.finditer(text) for k, c in enumerate(m[0]) if c == "."}
+    cuts = [m.end() for m in _STOP.finditer(text) if m.start() not in inside]
+    return [s for a, b in pairwise([0, *cuts, len(text)]) if (s := text[a:b].strip())]
+
+
+def sentence_pieces(text: str, limit: int) -> list[str]:
+    """Sentences packed up to limit; each piece but the last keeps the space after its last sentence."""
+    packed = ["".join(f"{s} " for s in g) for g in filled(sentences(text), limit, lambda _: True)]
+    return [*packed[:-1], *(p.strip() for p in packed[-1:])]
 
 
 def pieces(text: str, limit: int = CHUNK_LIMIT) -> Iterator[tuple[str, str]]:
     """(heading path, piece). Tables are never cut, lists only before an item, sentences never."""
     for heading, body in sections(text):
-        if len(body) <= limit:
-            yield heading, body
-            continue
-        for p in bound_paragraphs(body):
-            if len(p) <= limit or any(x.strip().startswith("|") for x in p.splitlines()):
-                yield heading, p
+        for p in bound_paragraphs(body) if len(body) > limit else [body]:
+            if len(p) <= limit or any(x.lstrip().startswith("|") for x in p.splitlines()):
+                parts = [p]
             else:
-                for piece in split_list(p, limit) if is_list(p) else pack_sentences(p, limit):
-                    yield heading, piece
+                parts = (list_pieces if kind_of(p) == LIST else sentence_pieces)(p, limit)
+            yield from ((heading, x) for x in parts)
 
 
 def document_pieces(title: str, body: str, limit: int = CHUNK_LIMIT, short: int = SHORT_DOCUMENT) -> list[tuple[str, str]]:
@@ -148,31 +134,24 @@ def document_pieces(title: str, body: str, limit: int = CHUNK_LIMIT, short: int
     return [(title, body)] if len(body) <= short else list(pieces(body, limit))
 
 
-def front_matter_udf():
-    """Column function of a text: its fields and body."""
-
-    @F.pandas_udf("struct<fields:map<string,string>,body:string>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [front_matter(t or "") for t in texts]
-        return pd.DataFrame({"fields": [f for f, _ in found], "body": [b for _, b in found]})
+def _each(kind: str, make: Callable[[str], object]):
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([make(t or "") for t in texts])
 
     return run
 
 
 def sections_udf():
-    @F.pandas_udf("array<struct<heading:string,body:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"heading": h, "body": b} for h, b in sections(t or "")] for t in texts])
-
-    return run
+    return _each("array<struct<heading:string,body:string>>", lambda t: [{"heading": h, "body": b} for h, b in sections(t)])
 
 
 def bound_paragraphs_udf():
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([bound_paragraphs(t or "") for t in texts])
+    return _each("array<string>", bound_paragraphs)
 
-    return run
+
+def pieces_udf(limit: int = CHUNK_LIMIT):
+    return _each("array<struct<heading:string,body:string>>", lambda t: [{"heading": h, "body": b} for h, b in pieces(t, limit)])
 
 
 def to_html(text: str) -> str:

@@ -81,6 +81,56 @@ def placeholder_heavy(text: Column, ratio: float) -> Column:
     return F.coalesce(heavy, F.lit(False))
 
 
+# Front matter
+
+#: A key with the value behind it and the list items below it, blank lines between them.
+_INLINE = r"[\s&&[^\n]]"
+_ENTRY = rf"(?mU)^%s:{_INLINE}*(.*(?:\n{_INLINE}*$|\n{_INLINE}+-{_INLINE}+.*)*+)"
+_PLAIN = r"(?s)^\s*\"*'*\s*(.*?)\s*'*\"*\s*$"
+
+
+def _header_end(text: Column) -> Column:
+    """Where the line that closes a front matter begins (0: there is none)."""
+    return F.when(F.startswith(text, F.lit("---")), F.locate("\n---", text, 4)).otherwise(F.lit(0))
+
+
+def front_header(text: Column) -> Column:
+    """The lines between the two rules, or an empty text."""
+    header = let(_header_end(text), lambda end: F.when(end > 0, F.substr(text, F.lit(4), end - 4)).otherwise(F.lit("")))
+    return joined(lines(header))
+
+
+def front_body(text: Column) -> Column:
+    """What follows the front matter, or the whole text."""
+    return let(_header_end(text), lambda end: F.when(end > 0, F.substr(text, end + 4)).otherwise(text))
+
+
+def _plain(value: Column) -> Column:
+    return F.regexp_extract(value, _PLAIN, 1)
+
+
+def _entry_value(entry: Column) -> Column:
+    """Of what stands behind a key: its values, in brackets or a line each, joined by commas."""
+    first, items = _plain(F.substring_index(entry, "\n", 1)), F.regexp_extract_all(entry, F.lit(rf"(?mU)^{_INLINE}+-{_INLINE}+(.*)$"), F.lit(1))
+    listed = lambda v: F.split(F.substr(v, F.lit(2), F.length(v) - 2), ",")
+    inline = let(first, lambda v: F.when((F.length(v) > 1) & v.startswith("[") & v.endswith("]"), F.transform(listed(v), _plain)).otherwise(F.array(v)))
+    return F.array_join(F.filter(F.concat(inline, F.transform(items, _plain)), lambda v: v != ""), ", ")
+
+
+def front_field(text: Column, key: str) -> Column:
+    """The value of a key in the front matter (the last, if there are several), or an empty text."""
+    found = let(front_header(text), lambda h: F.regexp_extract_all(h, F.lit(_ENTRY % key), F.lit(1)))
+    return F.when(F.startswith(text, F.lit("---")), let(found, lambda x: F.when(F.size(x) > 0, _entry_value(F.get(x, F.size(x) - 1))).otherwise(F.lit("")))).otherwise(F.lit(""))
+
+
+def front_fields(text: Column) -> Column:
+    """All keys and values of the front matter, as an array of (key, value) in their order."""
+    pair = lambda e: F.struct(F.regexp_extract(e, r"^([^:]*):", 1).alias("key"), _entry_value(F.regexp_replace(e, r"^[^:]*:", "")).alias("value"))
+    entry = "(?mU)(" + (_ENTRY % r"[\w-]+").removeprefix("(?mU)").replace("*(.*", "*(?:.*") + ")"
+    every = F.transform(F.regexp_extract_all(front_header(text), F.lit(entry), F.lit(1)), pair)
+    return let(every, lambda x: F.filter(x, lambda p, i: ~F.exists(F.slice(x, i + 2, F.size(x)), lambda q: q["key"] == p["key"])))
+
+
 # Wiki links
 
 

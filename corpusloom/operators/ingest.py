@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markdown import CHUNK_LIMIT, SHORT_DOCUMENT, document_pieces, front_matter_udf
-from ..functions.text import clean_wikilinks, context, placeholder_heavy, stem, strip_boilerplate, strip_dead_images, strip_page_numbers, strip_sidecar_noise, stripped, wikilink_targets
+from ..functions.markdown import CHUNK_LIMIT, SHORT_DOCUMENT, document_pieces
+from ..functions.text import clean_wikilinks, context, front_body, front_field, placeholder_heavy, stem, strip_boilerplate, strip_dead_images, strip_page_numbers, strip_sidecar_noise, stripped, wikilink_targets
 
 META_VERSION = 1
 #: Reasons of files that have no pieces, and the mark of one that can't be read.
@@ -117,11 +117,11 @@ def chunk_files(files: DataFrame, limit: int = CHUNK_LIMIT, short: int = SHORT_D
     """
     has_blocks = "blocks" in files.columns
     heavy = placeholder_heavy(F.coalesce("text", F.lit("")), ratio)
-    read = files.withColumn("heavy", heavy).withColumn("front", front_matter_udf()(F.coalesce("text", F.lit(""))))
-    body = strip_dead_images(clean_wikilinks(F.col("front.body")))
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    read = files.withColumns({"heavy": heavy, "title": front_field(whole, "title"), "tags": front_field(whole, "tags"), "front": front_body(whole)})
+    body = strip_dead_images(clean_wikilinks(F.col("front")))
     body = strip_sidecar_noise(body, F.col("blocks")) if has_blocks else body
-    get = lambda name: F.coalesce(F.col("front.fields")[name], F.lit(""))
-    clean = read.select("lib", "rel", "heavy", get("title").alias("title"), get("tags").alias("tags"), wikilink_targets(F.col("front.body")).alias("links"), body.alias("body"))
+    clean = read.select("lib", "rel", "heavy", "title", "tags", wikilink_targets(F.col("front")).alias("links"), body.alias("body"))
     clean = clean.withColumn("body", strip_boilerplate(strip_page_numbers(F.col("body"))))
     reason = F.when(F.col("heavy"), F.lit("tbd")).when(stripped(F.col("body")) == "", F.lit("empty"))
     clean = clean.withColumn("reason", reason)

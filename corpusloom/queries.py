@@ -431,13 +431,12 @@ _DOC = "---\ntitle: Rocket\ntags:\n  - 航天\n  - CFD\naliases: [发动机, 引
 
 @query("SELECT * FROM (VALUES ('', 'intro'), ('A', 'body a'), ('A / B', concat_ws(chr(10), '```', '# not a heading', '```')), ('A / B / C', 'body c'), ('D', 'body d')) t(heading, body)")
 def heading_chunks(spark, sf):
-    front = spark.range(1).select(markdown.front_matter_udf()(F.lit(_DOC)).alias("f"))
-    return front.select(F.inline(markdown.sections_udf()(F.col("f.body"))))
+    return spark.range(1).select(F.inline(markdown.sections_udf()(text.front_body(F.lit(_DOC)))))
 
 
 @query("SELECT * FROM (VALUES ('title', 'Rocket'), ('tags', '航天, CFD'), ('aliases', '发动机, 引擎')) t(key, value)")
 def front_matter(spark, sf):
-    return spark.range(1).select(F.explode(markdown.front_matter_udf()(F.lit(_DOC))["fields"]))
+    return spark.range(1).select(F.inline(text.front_fields(F.lit(_DOC))))
 
 
 @query("SELECT * FROM (VALUES (['lead' || chr(10) || chr(10) || '| a |' || chr(10) || chr(10) || 'tail', 'next', '- a' || chr(10) || chr(10) || '- b'])) t(groups)", arrays=('groups',))

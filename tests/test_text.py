@@ -27,9 +27,10 @@ def test_lines(spark):
 
 @pytest.mark.parametrize("limit", [5, 20, 600])
 def test_splitters_agree(spark, limit):
-    assert column(spark, PROSE, lambda c: text.pack_sentences(c, limit)) == [list(markdown.pack_sentences(t, limit)) for t in PROSE]
-    assert column(spark, LISTS, lambda c: text.split_list(c, limit)) == [list(markdown.split_list(t, limit)) for t in LISTS]
-    assert column(spark, LISTS, text.is_list) == [markdown.is_list(t) for t in LISTS]
+    assert column(spark, PROSE, lambda c: text.pack_sentences(c, limit)) == [markdown.sentence_pieces(t, limit) for t in PROSE]
+    assert column(spark, LISTS, lambda c: text.split_list(c, limit)) == [markdown.list_pieces(t, limit) for t in LISTS]
+    assert column(spark, LISTS, text.is_list) == [markdown.kind_of(t) == markdown.LIST for t in LISTS]
+    assert column(spark, PROSE, text.sentences) == [markdown.sentences(t) for t in PROSE]
 
 
 def slow_boilerplate(t):
@@ -59,10 +60,20 @@ def test_fences():
     assert list(markdown.sections("# a\n### c\nx\n## b\ny")) == [("a / c", "x"), ("a / b", "y")]
 
 
-def test_front_matter():
-    assert markdown.front_matter("---\nt: 'x'\n\nl:\n - a\n\n - \"b\"\nodd line\n - lost\n---\nbody") == ({"t": "x", "l": "a, b"}, "\nbody")
-    assert markdown.front_matter("---\nnever closed") == ({}, "---\nnever closed")
-    assert markdown.front_matter("plain") == ({}, "plain")
+FRONT = [
+    "---\nt: 'x'\n\nl:\n - a\n\n - \"b\"\nodd line\n - lost\n---\nbody", "---\nnever closed", "plain", "---\nt: a\nt: [b, 'c' , ]\nu: v\n  - w\n---", "---\r\nt: \"two: parts\"\r\n---\r\nrest",
+    "---\nt:\nkéy: x\nt : no\n---", "----\nt: x\n---\n", "---t: x\n---", "---\nt: [a\n  -\n  - \n  - b\n---", "",
+]
+
+
+def test_front_matter(spark):
+    fields = column(spark, FRONT, text.front_fields)
+    assert [{r.key: r.value for r in f} for f in fields] == [{"t": "x", "l": "a, b"}, {}, {}, {"t": "b, c", "u": "v, w"}, {"t": "two: parts"}, {"t": "", "kéy": "x"}, {"t": "x"}, {"t": "x"}, {"t": "[a"}, {}]
+    assert column(spark, FRONT, lambda c: text.front_field(c, "t")) == ["x", "", "", "b, c", "two: parts", "", "x", "x", "[a", ""]
+    long = "---\nt:\n" + "  - item\n\n" * 50_000 + "---\nx"
+    assert column(spark, [long], lambda c: text.front_field(c, "t")) == [", ".join(["item"] * 50_000)]
+    assert column(spark, FRONT, text.front_body) == ["\nbody", "---\nnever closed", "plain", "", "\r\nrest", "", "\n", "", "", ""]
+
 
 
 def test_pieces():
