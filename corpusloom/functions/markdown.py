@@ -150,8 +150,9 @@ def bound_paragraphs_udf():
     return _each("array<string>", bound_paragraphs)
 
 
-def pieces_udf(limit: int = CHUNK_LIMIT):
-    return _each("array<struct<heading:string,body:string>>", lambda t: [{"heading": h, "body": b} for h, b in pieces(t, limit)])
+def parts_udf(cut: Callable[[str, int], list[str]], limit: int):
+    """One of the splitters above as a function of a column."""
+    return _each("array<string>", lambda t: cut(t, limit))
 
 
 def to_html(text: str) -> str:

@@ -111,6 +111,12 @@ def hubs(edges: DataFrame, n: int = HUBS) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree")).orderBy(F.desc("degree"), "id").limit(n)
 
 
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(lib, nodes, edges) of a graph of several libraries. nodes: lib; edges: lib."""
+    n, e = nodes.groupBy("lib").agg(F.count("*").alias("nodes")), edges.groupBy("lib").agg(F.count("*").alias("edges"))
+    return n.join(e, "lib", "left").select("lib", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 def mark_hubs(nodes: DataFrame, edges: DataFrame, n: int = HUBS) -> DataFrame:
     top = hubs(edges, n).select(F.col("id").alias("_hub"))  # n rows
     return nodes.join(F.broadcast(top), F.col("id") == F.col("_hub"), "left").withColumn("big", F.col("_hub").isNotNull()).drop("_hub")

@@ -213,12 +213,6 @@ def truncate_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.truncate_at_line(F.col("text"), 2000, "[cut]")).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES (['single_strong', 'same_title'])) t(advice)", arrays=('advice',))
-def search_advice(spark, sf):
-    hits = values(spark, "('a', 'x/FLUENT 1.md', 'FLUENT 1', 0.9D, false, 1), ('a', 'y/fluent1.md', 'fluent1', 0.2D, false, 2), ('b', 'z.pdf', '', 0.1D, true, 3)", "lib, rel, title, score, backfilled, delivered")
-    return delivery.advice(hits, "k-ω", defaults=("a",), top_k=5)
-
-
 @query("""
 SELECT b.item_id, min(d.doc_id) AS first_doc, count(d.doc_id) AS golds FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
 def retrieval_gold(spark, sf):
@@ -310,39 +304,6 @@ def hub_nodes(spark, sf):
     return graph.hubs(semantic_edges(spark, sf))
 
 
-_LINKS = "('l', 'a.md', 0, array('b', '子/c.md')), ('l', 'b.md', 1, cast(array() as array<string>)), ('l', '子/c.md', 2, array('a.md')), ('l', 'd.md', 3, array('不存在', 'd')), ('l', 'x/b.md', 4, array('FLUENT 2.0')), ('l', 'FLUENT 2.md', 5, array('b.md'))"
-
-
-@query("SELECT * FROM (VALUES ('a.md', ['x/b.md', '子/c.md'], ['子/c.md']), ('b.md', []::VARCHAR[], ['FLUENT 2.md']), ('子/c.md', ['a.md'], ['a.md']), ('d.md', []::VARCHAR[], []::VARCHAR[]), ('x/b.md', ['FLUENT 2.md'], ['a.md']), ('FLUENT 2.md', ['b.md'], ['x/b.md'])) t(rel, outlinks, inlinks)", arrays=('outlinks', 'inlinks'))
-def links_in_out(spark, sf):
-    return graph.relations(values(spark, _LINKS, "lib, rel, pos, links")).select("rel", "outlinks", "inlinks")
-
-
-@query("SELECT * FROM (VALUES ('a.md', 'x/b.md'), ('a.md', '子/c.md'), ('FLUENT 2.md', 'x/b.md'), ('FLUENT 2.md', 'b.md')) t(a, b)")
-def link_edges(spark, sf):
-    return graph.link_edges(values(spark, _LINKS, "lib, rel, pos, links")).select("a", "b")
-
-
-@query("""SELECT * FROM (VALUES ('l|a.md', 'md', 3, NULL, 'general', 'done', 'none', NULL), ('l|扫描/b.pdf', 'pdf', 0, 'scanned', 'mineru', 'queued', 'none', NULL),
- ('l|c.pdf', 'pdf', 7, NULL, 'general', 'done', 'done', 2), ('l|d.pdf', 'pdf', 0, 'render', 'general', 'none', 'failed', NULL)) t(id, type, chunks, fail_reason, theme, mineru, wemm, pages)""")
-def graph_nodes(spark, sf):
-    meta = values(spark, "('l', 'a.md', 3, 1L, false, cast(null as string), cast(null as string)), ('l', '扫描/b.pdf', 5, 1L, true, 'scanned', 'sig'), ('l', 'c.pdf', 7, 1L, false, null, null)", "lib, rel, chunks, updated, xfail, reason, xsrc")
-    disk = values(spark, "('l', 'C.pdf'), ('l', 'd.pdf')", "lib, rel")
-    pages = values(spark, "('l', 'c.pdf', 2, false, cast(null as string)), ('l', 'd.pdf', 0, true, 'render')", "lib, rel, pages, failed, reason")
-    return graph.file_nodes(meta, disk, pages, "sig").select("id", "type", "chunks", "fail_reason", "theme", "pipeline.mineru", "pipeline.wemm", "pages")
-
-
-@query("SELECT * FROM (VALUES ('l|wemm|a.pdf|p1', 'page', 1), ('l|wemm|a.pdf|p2', 'page', 2), ('l|wemm|b.pdf|grp', 'pagegroup', 25)) t(id, type, page)")
-def page_nodes(spark, sf):
-    pages = values(spark, "('l', 'a.pdf', 2, false), ('l', 'b.pdf', 25, false), ('l', 'c.pdf', 3, true)", "lib, rel, pages, failed")
-    return graph.page_nodes(pages).select("id", "type", "page")
-
-
-@query("SELECT * FROM (VALUES ('n', ['a.md', 'b.md']), ('m', ['a.md'])) t(target, sources)", arrays=('sources',))
-def backlinks(spark, sf):
-    return graph.backlinks(values(spark, "('a.md', 'x [[f/n|alias]] [[m#h]] [[#own]]'), ('b.md', '![[n]]')", "rel, text"))
-
-
 # Sampling
 
 
@@ -353,9 +314,6 @@ def fps_sample(spark, sf):
 
 # Cleaning and structure
 
-_LINES = r"string_split_regex(coalesce(text, ''), '\r\n|\n|\r')"
-
-
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, len(string_split(text, chr(10))) AS total FROM documents),
 k AS (SELECT *, trim(line, ' ' || chr(9)) AS s FROM l WHERE NOT (pos = total AND line = '')),
@@ -367,83 +325,6 @@ def strip_boilerplate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.strip_boilerplate(F.col("text"))).alias("digest"))
 
 
-def _cleaned(name: str, rows: list[tuple[str, str]], clean) -> None:
-    """A query over literal inputs; the SQL holds the outputs that are to be."""
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    lit = lambda s: "concat_ws(chr(10), " + ", ".join(q(x) for x in s.split("\n")) + ")"
-    sql = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {lit(out)})" for i, (_, out) in enumerate(rows)) + ") t(id, cleaned)"
-
-    def run(spark, sf):
-        given = spark.range(len(rows)).select(F.col("id").cast("int"), F.get(F.array(*[F.lit(a) for a, _ in rows]), F.col("id").cast("int")).alias("text"))
-        return given.select("id", clean(F.col("text")).alias("cleaned"))
-
-    QUERIES[name], ORACLES[name] = run, sql
-
-
-_cleaned("strip_page_numbers", [("a\n第 3 页\nPage 12\n- 7 -\nb", "a\nb"), ("a\n12\nb", "a\n12\nb"), ("a\n12\nb\n13\nc", "a\nb\nc"), ("x\n12\n12", "x\n12\n12")], text.strip_page_numbers)
-_cleaned("strip_dead_images", [("![ a ](img/x.png) t", "a t"), ("![r](https://h/x.png)", "![r](https://h/x.png)"), ("![](x.png)b<img src=x alt='q w'>", "bq w"), ('<IMG alt="z"><img src=y>', "z"), ("![d](data:image/png;base64,x)", "![d](data:image/png;base64,x)")], text.strip_dead_images)
-_cleaned("clean_wikilinks", [("a [[b|C]] d", "a C d"), ("[[f/n#h]] [[n#^x]] [[#t]] [[#^b]]", "n n t "), ("![[i.png]]x", "x"), ("[[t\\|al]] [[ sp ]]", "al sp"), ("no link", "no link")], text.clean_wikilinks)
-_cleaned("strip_boilerplate_cases", [("head\nx1\nhead\nx2\nhead", "x1\nx2"), ("head\nx\nhead", "head\nx\nhead"), ("```\nsame line\nsame line\nsame line\n```", "```\nsame line\nsame line\nsame line\n```"), ("# h title\n# h title\n# h title\n| a |\n| a |\n| a |\n- item\n- item\n- item\nabc\nabc\nabc", "# h title\n# h title\n# h title\n| a |\n| a |\n| a |\n- item\n- item\n- item\nabc\nabc\nabc")], text.strip_boilerplate)
-_cleaned("sidecar_noise", [("Title\nbody\nTitle foot\n# Title", "body\nTitle foot\n# Title")], lambda c: text.strip_sidecar_noise(c, F.from_json(F.lit('[{"type":"header","text":" Title "},{"type":"text","text":"body"},{"type":"page_number","text":null}]'), "array<struct<type:string,text:string>>")))
-_cleaned("title_keys", [("  F L u ent", "fluent"), ("", "")], text.title_key)
-_cleaned("file_stems", [("a/b c.tar.gz", "b c.tar"), (".hidden", ".hidden"), ("x\\y.md", "y"), ("plain", "plain")], text.stem)
-_cleaned("collection_names", [("My Notes", "kb_my_notes"), ("火箭笔记", "kb_" + __import__("hashlib").md5("火箭笔记".encode()).hexdigest()[:8]), ("a  b", "kb_a_b_" + __import__("hashlib").md5(b"a  b").hexdigest()[:8])], paths.collection_name)
-_cleaned("style_headings", [("Heading 1", "#"), ("标题 4", "###"), ("title", "#"), ("Normal", ""), ("heading2", "##")], extraction.heading_marks)
-_cleaned("service_texts", [('{"md_content": "x"}', "x"), ('{"md_content": " ", "markdown": "m"}', "m"), ('{"results": {"f.pdf": {"md_content": "r"}}}', "r"), ('{"results": [{"md_content": "l"}]}', "l")], extraction.response_text)
-_cleaned("ctx_prefix", [("x", "Note / A title / b / H2")], lambda c: text.context(F.array(F.lit("Note"), F.lit(" A title "), F.lit(""), F.lit("note"), F.lit("b"), F.lit("H2"), F.lit("B"))))
-_cleaned("table_markdown", [("x", "| a \\| b | c d |\n|---|---|\n| 1 | 2 |")], lambda c: text.table_markdown(F.array(F.array(F.lit("a | b"), F.lit("c\nd")), F.array(F.lit(""), F.lit(" ")), F.array(F.lit("1"), F.lit("2")))))
-
-
-@query("SELECT * FROM (VALUES (0, ['b', 'n']), (1, []::VARCHAR[])) t(id, targets)", arrays=('targets',))
-def wikilink_targets(spark, sf):
-    return values(spark, "(0, '[[n#h]] ![[e]] [[f/b|x]] [[#own]] [[n]]'), (1, 'none')", "id, text").select("id", text.wikilink_targets(F.col("text")).alias("targets"))
-
-
-@query(r"""
-WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g') AS t FROM documents WHERE NOT regexp_matches(text, ' (mr|mrs|ms|dr|prof|e\.g|i\.e|etc|vs|st|no|al|Mr|Mrs|Ms|Dr|Prof|E\.g|I\.e|Etc|Vs|St|No|Al)\.'))
-SELECT doc_id, len(list_filter(string_split(t, chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> ''))::INT AS sentences FROM m""")
-def sentence_counts(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.col("text").rlike(r" (mr|mrs|ms|dr|prof|e\.g|i\.e|etc|vs|st|no|al|Mr|Mrs|Ms|Dr|Prof|E\.g|I\.e|Etc|Vs|St|No|Al)\."))
-    return docs.select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"))
-
-
-@query()
-def sentence_counts_all(spark, sf):
-    """Of every document, those with abbreviations too, which the SQL of sentence_counts cannot follow."""
-    return table(spark, sf, "documents").select("doc_id", F.size(text.sentences(F.coalesce(F.col("text"), F.lit("")))).alias("sentences"))
-
-
-@query("SELECT * FROM (VALUES (0, ['One two. ', 'Dr. Who is here. ', 'Pi is 3.14 ok.']), (1, ['你好。 世界！ ', '再见'])) t(id, pieces)", arrays=('pieces',))
-def sentence_pieces(spark, sf):
-    rows = values(spark, "(0, 'One two. Dr. Who is here. Pi is 3.14 ok.', 16), (1, '你好。世界！再见', 7)", "id, text, n")
-    return rows.select("id", F.when(F.col("n") == 16, text.pack_sentences(F.concat(F.lit(""), F.col("text")), 16)).otherwise(text.pack_sentences(F.col("text"), 7)).alias("pieces"))
-
-
-@query("SELECT * FROM (VALUES (['a', 'b\nc'], true, ['- x', '- y' || chr(10) || '  z'])) t(paras, is_list, pieces)".replace("\\n", "' || chr(10) || '").replace("b\nc", "b' || chr(10) || 'c"), arrays=('paras', 'pieces'))
-def paragraphs_and_lists(spark, sf):
-    one = spark.range(1)
-    items = F.lit("- x\n- y\n  z")
-    return one.select(text.paragraphs(F.lit("a\n \n\nb\nc\n")).alias("paras"), text.is_list(items).alias("is_list"), text.split_list(items, 5).alias("pieces"))
-
-
-_DOC = "---\ntitle: Rocket\ntags:\n  - 航天\n  - CFD\naliases: [发动机, 引擎]\n---\nintro\n# A\nbody a\n## B\n```\n# not a heading\n```\n### C\nbody c\n# D\nbody d"
-
-
-@query("SELECT * FROM (VALUES ('', 'intro'), ('A', 'body a'), ('A / B', concat_ws(chr(10), '```', '# not a heading', '```')), ('A / B / C', 'body c'), ('D', 'body d')) t(heading, body)")
-def heading_chunks(spark, sf):
-    return spark.range(1).select(F.inline(markdown.sections_udf()(text.front_body(F.lit(_DOC)))))
-
-
-@query("SELECT * FROM (VALUES ('title', 'Rocket'), ('tags', '航天, CFD'), ('aliases', '发动机, 引擎')) t(key, value)")
-def front_matter(spark, sf):
-    return spark.range(1).select(F.inline(text.front_fields(F.lit(_DOC))))
-
-
-@query("SELECT * FROM (VALUES (['lead' || chr(10) || chr(10) || '| a |' || chr(10) || chr(10) || 'tail', 'next', '- a' || chr(10) || chr(10) || '- b'])) t(groups)", arrays=('groups',))
-def table_binding(spark, sf):
-    return spark.range(1).select(markdown.bound_paragraphs_udf()(F.lit("lead\n\n| a |\n\ntail\n\nnext\n\n- a\n\n- b")).alias("groups"))
-
-
 @query("SELECT source || '/' || doc_id || '.md' AS rel, count(*) AS n FROM documents WHERE false GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM documents WHERE length(text) <= 200 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
 def short_documents(spark, sf):
     files = table(spark, sf, "documents").select(F.col("source").alias("lib"), F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit(".md")).alias("rel"), "text").where(F.length("text") <= 200)
@@ -451,61 +332,8 @@ def short_documents(spark, sf):
     return chunks.groupBy(F.lit("all").alias("rel")).agg(F.count("*").alias("n"))
 
 
-@query()
-def document_chunks(spark, sf):
-    files = table(spark, sf, "documents").select(F.col("source").alias("lib"), F.concat_ws("", "doc_id", F.lit(".md")).alias("rel"), "text")
-    chunks, _ = ingest.chunk_files(files)
-    return chunks.select("lib", "rel", "chunk", "heading", "ctx", F.length("body").alias("n_chars"), F.md5("text").alias("digest"))
-
-
-@query("SELECT * FROM (VALUES (0, true), (1, false), (2, false), (3, true)) t(id, heavy)")
-def placeholder_files(spark, sf):
-    rows = values(spark, r"(0, '[TBD] a\nb'), (1, 'a\nb\n'), (2, ''), (3, 'TODO - x\n\n')", "id, text")
-    return rows.select("id", text.placeholder_heavy(F.replace("text", F.lit("\\n"), F.lit("\n")), 0.1).alias("heavy"))
-
-
 # Selection
 
-_SEL = "(array('课件'), array('课件/小明账单.pdf'), array('私人'), {})"
-
-
-@query("SELECT * FROM (VALUES ('课件/青苹果菜单.pdf', 'in', false), ('课件/小明账单.pdf', 'out', false), ('私人/账单.pdf', 'out', false), ('笔记.md', NULL, false), ('TEMP', 'out', true), ('TEMP/keep/x.md', 'in', false), ('MYTEMP/y.md', 'out', false)) t(rel, included, tie)")
-def selection_verdict(spark, sf):
-    rels = values(spark, "('课件/青苹果菜单.pdf'), ('课件/小明账单.pdf'), ('私人/账单.pdf'), ('笔记.md'), ('TEMP'), ('TEMP/keep/x.md'), ('MYTEMP/y.md')", "rel")
-    strings = lambda *x: F.array(*map(F.lit, x))
-    v = paths.verdict(strings("课件", "TEMP", "TEMP/keep"), strings("课件/小明账单.pdf"), strings("私人", "TEMP"), F.col("rel"))
-    return rels.select("rel", v["included"].alias("included"), v["tie"].alias("tie"))
-
-
-@query("SELECT * FROM (VALUES ('a.md', true, true, false), ('b.PDF', true, true, false), ('c.exe', false, true, false), ('tmp-x.md', false, false, false), ('TEMP/d.md', false, false, false), ('pick/tmp-e.exe', true, true, true)) t(rel, follow, include, exclude)")
-def include_funnel(spark, sf):
-    rels = values(spark, "('a.md'), ('b.PDF'), ('c.exe'), ('tmp-x.md'), ('TEMP/d.md'), ('pick/tmp-e.exe')", "rel")
-    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
-    decide = lambda d: paths.included(F.col("rel"), F.lit("/root"), strings("pick"), strings(), strings("TEMP"), strings("log.md"), strings("tmp-"), strings("md", "pdf"), F.lit(d))
-    return rels.select("rel", *[decide(d).alias(d) for d in paths.DEFAULTS])
-
-
-@query("SELECT * FROM (VALUES ('a\\b/', 'a/b'), ('/abs', NULL), ('~x', NULL), ('C:/x', NULL), ('a/../b', NULL), ('', NULL), (' a / b ', 'a/b')) t(path, clean)")
-def selection_paths(spark, sf):
-    return values(spark, r"('a\\b/'), ('/abs'), ('~x'), ('C:/x'), ('a/../b'), (''), (' a / b ')", "path").select("path", paths.normalised(F.col("path")).alias("clean"))
-
-
-@query("SELECT * FROM (VALUES ('AI', true), ('AI/x.md', true), ('AIML/x.md', false), ('AI.md', false)) t(rel, inside)")
-def folder_scope(spark, sf):
-    return values(spark, "('AI'), ('AI/x.md'), ('AIML/x.md'), ('AI.md')", "rel").select("rel", paths.in_folder(F.col("rel"), " AI/ ").alias("inside"))
-
-
-@query("SELECT * FROM (VALUES ('l', 'a.md', 'out'), ('l', 'b', 'in')) t(lib, path, action)")
-def selection_changes(spark, sf):
-    return diagnostics.apply_choices(values(spark, "('l', 'a.md', 'in', 0), ('l', 'a.md', 'out', 1), ('l', 'b', 'in', 2), ('l', 'c', 'in', 3), ('l', 'c', 'neutral', 4)", "lib, path, action, pos"))
-
-
-@query("SELECT * FROM (VALUES (['d'], ['a.pdf', 'x.PDF'])) t(selection_in, selection_out)", arrays=('selection_in', 'selection_out'))
-def format_bulk(spark, sf):
-    row = values(spark, "(array('d', 'x.PDF'), array('a.pdf'))", "i, o")
-    return row.select(diagnostics.bulk_format(F.col("i"), F.col("o"), "pdf", False).alias("s")).select("s.*")
-
-
 # Ingest
 
 _OLD = "SELECT source AS lib, 'd' || doc_id AS rel, n_chars AS size, 1 AS mtime_ns, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 0"
@@ -539,14 +367,8 @@ def ingest_counts(spark, sf):
     return ingest.diff_counts(ingest.diff(new, old), old).select("lib", "added", "removed", "changed", "same")
 
 
-@query("SELECT source AS lib, left(sha256(string_agg(x, '|' ORDER BY x)), 16) AS fingerprint FROM (SELECT source, 'd' || doc_id || ':' || md5(text) AS x FROM documents WHERE doc_id % 10 <> 0) GROUP BY 1")
-def content_fingerprint(spark, sf):
-    return ingest.fingerprint(_snapshots(spark, sf)[0])
-
-
 @query("SELECT source AS lib, left(sha256(string_agg(x, '|' ORDER BY x)), 16) AS fingerprint FROM (SELECT source, 'd' || doc_id || ':' || md5(text) AS x FROM documents) GROUP BY 1")
-def content_fingerprint_all(spark, sf):
-    """Of the whole table; content_fingerprint takes the first of two versions of it."""
+def content_fingerprint(spark, sf):
     return ingest.fingerprint(table(spark, sf, "documents").select(F.col("source").alias("lib"), F.concat(F.lit("d"), F.col("doc_id")).alias("rel"), F.md5("text").alias("hash")))
 
 
@@ -569,12 +391,6 @@ def consistency(spark, sf):
     return ingest.consistent(d, d.where("doc_id % 10 <> 0"))
 
 
-@query("SELECT * FROM (VALUES (0, true), (1, false), (2, false), (3, false)) t(id, retry)")
-def retry_rules(spark, sf):
-    rows = values(spark, "(0, true, 'scanned', 'a'), (1, true, 'scanned', 'b'), (2, true, 'empty', 'a'), (3, false, cast(null as string), cast(null as string))", "id, xfail, reason, xsrc")
-    return rows.select("id", ingest.worth_retrying(F.col("xfail"), F.col("reason"), F.col("xsrc"), F.lit("b")).alias("retry"))
-
-
 # Diagnostics
 
 _META = """
@@ -609,12 +425,6 @@ def dashboard(spark, sf):
     return diagnostics.snapshot(meta, stale).select("lib", "files", "chunks", "failed", "state", "overall")
 
 
-@query("SELECT * FROM (VALUES (0, 'idle'), (1, 'done'), (2, 'dead'), (3, 'running'), (4, 'running'), (5, 'stalled'), (6, 'running')) t(id, state)")
-def heartbeat_states(spark, sf):
-    rows = values(spark, "(0, false, 'index', null, 0, 0, null), (1, false, 'done', 7, 0, 0, null), (2, true, 'converting', 7, 980, 980, 2000), (3, true, 'converting', 7, 995, 900, null), (4, true, 'embed', 7, 995, 900, 1001), (5, true, 'embed', 7, 995, 900, 1000), (6, true, 'embed', 7, 995, 990, null)", "id, running, phase, pid, updated, advanced, grace")
-    return rows.select("id", diagnostics.heartbeat(*map(F.col, ("running", "phase", "pid", "updated", "advanced", "grace")), F.lit(1000)).alias("state"))
-
-
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS files, sum(event_id % 5)::BIGINT AS pages, sum(event_id % 5) > 800 AS over FROM events GROUP BY 1")
 def daily_quota(spark, sf):
     log = table(spark, sf, "events").select("ts", F.lit(1).alias("files"), F.expr("event_id % 5").alias("pages"))
@@ -633,24 +443,6 @@ def name_suggestions(spark, sf):
     return rows.select("id", diagnostics.suggested_name(F.col("base"), [F.col("title")], F.col("headings")).alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('a/x.md', 'chosen_in'), ('a/b/y.md', 'chosen_out'), ('z.exe', 'unsupported'), ('q.md', 'format_in'), ('w.pdf', 'format_out')) t(rel, state)")
-def effective_states(spark, sf):
-    rels = values(spark, "('a/x.md'), ('a/b/y.md'), ('z.exe'), ('q.md'), ('w.pdf')", "rel")
-    strings = lambda *x: F.array(*map(F.lit, x))
-    return rels.select("rel", paths.effective_state(F.col("rel"), strings("a"), strings("a/b"), strings("md"), strings("md", "pdf"), F.lit("follow")).alias("state"))
-
-
-@query("SELECT * FROM (VALUES ('a', 1, 3, 2), ('a/b', 2, 2, 1), ('a/b/y', 3, 1, 0), ('a/b/z', 3, 1, 1), ('a/x', 2, 1, 1)) t(prefix, depth, files, included)")
-def selection_tree(spark, sf):
-    return paths.tree(values(spark, "('a/x', true), ('a/b/y', false), ('a/b/z', true)", "rel, included"))
-
-
-@query("SELECT * FROM (VALUES (0, 1.5::DOUBLE), (1, 8.0::DOUBLE), (2, 60.0::DOUBLE), (3, 60.0::DOUBLE), (4, 2.5::DOUBLE)) t(id, seconds)")
-def retry_delays(spark, sf):
-    rows = values(spark, "(0, 1, 0.5D, null), (1, 4, 0D, 0D), (2, 9, 0D, null), (3, 1, 0D, 300D), (4, 7, 1D, 2.5D)", "id, attempt, jitter, after")
-    return rows.select("id", streams.retry_delay(F.col("attempt"), F.col("jitter"), F.col("after")).alias("seconds"))
-
-
 @query("WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT epoch(now) - epoch(ts) AS age FROM events, n WHERE epoch(now) - epoch(ts) < 86400) SELECT round(greatest(0, 86400 - max(age)), 3) AS wait FROM l")
 def slot_waits(spark, sf):
     events = table(spark, sf, "events")
@@ -672,12 +464,6 @@ def pending_formats(spark, sf):
 # Extraction and packages
 
 
-@query("SELECT * FROM (VALUES (0, 'inline', 0, NULL, NULL), (1, 'cloud', 2, true, 'ocr:mineru-cloud'), (2, 'cloud', 1, false, 'mineru-text'), (3, 'inline', 0, NULL, NULL)) t(id, kind, n_pages, is_ocr, route)")
-def extraction_routes(spark, sf):
-    rows = values(spark, "(0, false, false, array('x')), (1, true, false, array('long enough page', ' short ')), (2, true, false, array('long enough page')), (3, true, true, array('x'))", "id, pdf, cached, pages")
-    return rows.select("id", extraction.classify(F.col("pdf"), F.col("cached"), F.col("pages"), "mineru-cloud", "mineru-cloud", True).alias("c")).select("id", "c.*")
-
-
 @query("WITH c AS (SELECT md5(text) AS hash, CASE doc_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'mineru-text' ELSE 'ocr:mineru-local' END AS route FROM documents) SELECT DISTINCT hash, route FROM c QUALIFY dense_rank() OVER (PARTITION BY hash ORDER BY list_position(['ocr:mineru-cloud', 'ocr:mineru-local', 'mineru-text', 'local'], route)) = 1")
 def cache_priority(spark, sf):
     route = F.when(F.expr("doc_id % 3 = 0"), "local").when(F.expr("doc_id % 3 = 1"), "mineru-text").otherwise("ocr:mineru-local")
@@ -691,11 +477,6 @@ def package_check(spark, sf):
     return package.verify(package.manifest(files), package.manifest(damaged))
 
 
-@query("SELECT * FROM (VALUES ('a/b', true), ('../x', false), ('/x', false), ('C:\\x', false), ('a\\..\\b', false), ('a..b', true)) t(name, safe)")
-def package_members(spark, sf):
-    return values(spark, r"('a/b'), ('../x'), ('/x'), ('C:\\x'), ('a\\..\\b'), ('a..b')", "name").select("name", package.safe_member(F.col("name")).alias("safe"))
-
-
 # Rates and gaps of events
 
 
@@ -723,3 +504,4 @@ def orders_by_nation(spark, sf):
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+from . import note_queries  # noqa: E402, F401  registers its queries with those above

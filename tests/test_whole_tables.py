@@ -34,7 +34,7 @@ def test_sentences_of_all_documents(spark, sf):
     assert slow_sentences("See no. 5. Dr. Who is here, e.g. Today! Yes") == 3
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert any(f" {x}. " in t for t in docs.values() for x in SHORT)
-    got = {r.doc_id: r.sentences for r in entry.queries()["sentence_counts_all"](spark, sf).collect()}
+    got = {r.doc_id: r.sentences for r in entry.queries()["sentence_counts"](spark, sf).collect()}
     assert got == {d: slow_sentences(t) for d, t in docs.items()}
 
 
@@ -43,4 +43,4 @@ def test_fingerprint_of_all_documents(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         of[r.source].append(f"d{r.doc_id}:{hashlib.md5(r.text.encode()).hexdigest()}")
     want = {lib: hashlib.sha256("|".join(sorted(x)).encode()).hexdigest()[:16] for lib, x in of.items()}
-    assert {r.lib: r.fingerprint for r in entry.queries()["content_fingerprint_all"](spark, sf).collect()} == want
+    assert {r.lib: r.fingerprint for r in entry.queries()["content_fingerprint"](spark, sf).collect()} == want
