@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     Each round links every larger neighbour of a node to the smallest node around it, then every
     smaller neighbour; both minima are aggregates with map-side combination and the joins are plain
     equi-joins, so a hub is split. The number of rounds grows with the logarithm of the number of
-    nodes, not with the diameter. Edges with a null end and loops are ignored.
+    nodes, not with the diameter. Rounds are written to files in proportion to the edges, which never
+    become more. Edges with a null end and loops are ignored.
     """
     x, y = F.col("x"), F.col("y")
     sound = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
@@ -30,5 +31,5 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         large = both.where(y > x).join(least, x == F.col("u")).select(y.alias("x"), F.col("m").alias("y")).distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m")).select(x.alias("u"), "m")
         small = large.join(least, x == F.col("u")).where(y != F.col("m")).select(y.alias("x"), F.col("m").alias("y"))
-        links = materialise(small.unionByName(least.select(F.col("u").alias("x"), F.col("m").alias("y"))).distinct(), "links")
+        links = materialise(small.unionByName(least.select(F.col("u").alias("x"), F.col("m").alias("y"))).distinct(), "links", now[0])
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -28,9 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+ROWS_A_FILE = 50_000
+
+
+def materialise(df: DataFrame, label: str, most: int | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage is cut, and an executor
-    that is lost takes nothing with it. It stays until drop_materialised()."""
+    that is lost takes nothing with it. It stays until drop_materialised(). most: how many slim rows df
+    has at most, if that is known; they go to files of ROWS_A_FILE, not to one for each task."""
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // ROWS_A_FILE)))
     path = f"{_own_dir(df.sparkSession)}/{_scope.get()}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
