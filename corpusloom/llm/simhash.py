@@ -132,14 +132,14 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_components(marked: DataFrame) -> DataFrame:
-    """(fp, component_id, keep_id, keep_hash) for each distinct fp of marked (doc_id, text_hash, fp)."""
+    """(fp, component_id, keep_hash) for each distinct fp of marked (doc_id, text_hash, fp)."""
     first = lambda a, b: F.struct(F.col(a).isNull().alias("none"), F.col(a).alias("id"), F.col(b).alias("hash"))
-    fps = materialise(marked.groupBy("fp").agg(F.min(first("doc_id", "text_hash")).alias("least")), "simhash-fps")
-    roots = materialise(connected_components(links(fps.select("fp")), "fp", "center"), "simhash-roots")
-    joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = materialise(joined, "simhash-joined")
-    least = joined.groupBy("root").agg(F.min("least").alias("least"))
-    return joined.select("fp", "root").join(least, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.hash").alias("keep_hash"))
+    fps = materialise(marked.groupBy("fp").agg(F.min(first("doc_id", "text_hash")).alias("least")), "simhash-fps", marked.count())
+    roots = materialise(connected_components(links(fps.select("fp")), "fp", "center"), "simhash-roots", fps.count())
+    linked = roots.withColumnRenamed("node", "fp")
+    least = fps.join(linked, "fp").groupBy("root").agg(F.min("least").alias("of_root"))
+    joined = fps.join(linked.join(least, "root").select("fp", "of_root"), "fp", "left").withColumn("least", F.coalesce("of_root", "least"))
+    return joined.select("fp", F.col("least.id").alias("component_id"), F.col("least.hash").alias("keep_hash"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("text_hash"))
     found = rows.join(keep, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
     once = found.where("count = 1").select("_row")
-    again = found.where("count > 1").withColumn("n", F.row_number().over(Window.partitionBy("id", "hash").orderBy("_row"))).where("n = 1").select("_row")
+    again = found.where("count > 1").groupBy("id", "hash").agg(F.min("_row").alias("_row")).select("_row")
     return once.unionByName(again).select("_row.*")
 
 
