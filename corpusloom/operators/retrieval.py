@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import in_folder
 from ..models import cosine
-from .ranking import global_rank
+from .ranking import global_rank, group_rank
 
 RRF_K = 2
 DENSE_FACTOR, DENSE_LEAST = 8, 200
@@ -56,6 +56,23 @@ def fuse(dense: DataFrame, keyword: DataFrame, key: str, w_dense: float = 1.0, w
     return d.join(b, key, "full").select(key, (part(w_dense, "rd") + part(w_keyword, "rb")).alias("rrf"))
 
 
+def fuse_libraries(dense: DataFrame, keyword: DataFrame, w_dense: float = 1.0, w_keyword: float = 1.0, k: int = RRF_K) -> DataFrame:
+    """The same for all libraries in one plan: (lib, cid, rrf). dense: lib, cid, distance, a limited number
+    for each library; keyword: lib, cid, bm25."""
+    d = dense.select("lib", "cid", F.row_number().over(Window.partitionBy("lib").orderBy("distance", "cid")).alias("rd"))
+    b = group_rank(keyword.select("lib", "cid", "bm25"), "lib", [F.desc("bm25"), F.col("cid")], "rb").select("lib", "cid", "rb")
+    part = lambda w, r: F.coalesce(F.lit(float(w)) / (F.lit(k) + F.col(r)), F.lit(0.0))
+    return d.join(b, ["lib", "cid"], "full").select("lib", "cid", (part(w_dense, "rd") + part(w_keyword, "rb")).alias("rrf"))
+
+
+def nearest_of_each(vectors: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
+    """(lib, key, distance) of the k nearest rows of each library; tasks keep k of each before the shuffle."""
+    q = F.array(*map(F.lit, query)) if query else F.array().cast("array<double>")
+    found = vectors.select("lib", key, (1 - cosine(F.col(vector), q)).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("lib").orderBy("distance", key))
+    return found.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+
+
 def fused_confidence(rrf: Column, w_dense: float = 1.0, w_keyword: float = 1.0, k: int = RRF_K) -> Column:
     """1 if both routes rank it first."""
     best = (w_dense + w_keyword) / (k + 1)

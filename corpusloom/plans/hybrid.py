@@ -32,41 +32,43 @@ class Options:
 
 @dataclass
 class Corpus:
-    """chunks: lib, rel, chunk, hp, title, body, text; vectors: lib, rel, chunk, vec."""
+    """chunks: lib, rel, chunk, hp, title, body, text; vectors: lib, rel, chunk, vec; index: the stored
+    keyword index over the chunks, cid being (lib, rel, chunk). Without it texts are read for each query."""
 
     chunks: DataFrame
     vectors: DataFrame
+    index: bm25.Index | None = None
 
     def keyed(self) -> DataFrame:
         return self.chunks.withColumn("cid", F.struct("lib", "rel", "chunk"))
 
 
-def candidates(corpus: Corpus, query: str, options: Options, embedder: Embedder | None = None) -> DataFrame:
-    """(cid, lib, rrf): each library's own fusion, for all libraries in one plan."""
-    spark, embedder = corpus.chunks.sparkSession, embedder or HashedTokens()
-    chunks = corpus.keyed()
-    vectors = corpus.vectors.withColumn("cid", F.struct("lib", "rel", "chunk"))
+def keyword_index(chunks: DataFrame) -> bm25.Index:
+    """The keyword index of chunks (lib, rel, chunk, text)."""
+    return bm25.build(chunks.withColumn("cid", F.struct("lib", "rel", "chunk")), "cid", "text", "lib")
+
+
+def candidates(corpus: Corpus, query: str, options: Options, embedder: Embedder | None = None, vector: list[float] | None = None) -> DataFrame:
+    """(cid, lib, rrf): each library's own fusion, for all libraries in one plan. vector: the query's, if
+    it is known already."""
+    if vector is None:
+        vector = (embedder or HashedTokens()).encode([query])[0].astype(float).tolist()
+    index = corpus.index or keyword_index(corpus.chunks)
+    near, postings, lengths = corpus.vectors.withColumn("cid", F.struct("lib", "rel", "chunk")), index.postings, index.lengths
     if options.libraries:
-        chunks, vectors = (d.where(F.col("lib").isin(*options.libraries)) for d in (chunks, vectors))
-    libraries = [r["lib"] for r in chunks.select("lib").distinct().collect()] if not options.libraries else list(options.libraries)  # names only
-    q = spark.createDataFrame([(embedder.encode([query])[0].astype(float).tolist(),)], "q array<double>")
-    out = None
-    for lib in libraries:
-        mine, near = chunks.where(F.col("lib") == lib), vectors.where(F.col("lib") == lib)
-        if not options.strict:
-            near = retrieval.restrict(near, "rel", options.folder)
-        dense = retrieval.nearest(near, "cid", "vec", q, retrieval.dense_limit(options.top_k))
-        dense = dense.where(in_folder(F.col("cid.rel"), options.folder))
-        keyword = bm25.score(bm25.build(mine, "cid", "text"), query).where(in_folder(F.col("cid.rel"), options.folder))
-        fused = retrieval.fuse(dense, keyword, "cid", options.w_dense, options.w_keyword).withColumn("lib", F.lit(lib))
-        out = fused if out is None else out.unionByName(fused)
-    return out if out is not None else chunks.select("cid", F.lit(0.0).alias("rrf"), "lib").limit(0)
-
-
-def search(corpus: Corpus, query: str, options: Options | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None) -> DataFrame:
+        near, postings, lengths = (d.where(F.col("lib").isin(*options.libraries)) for d in (near, postings, lengths))
+    if not options.strict:
+        near = retrieval.restrict(near, "rel", options.folder)
+    inside = in_folder(F.col("cid.rel"), options.folder)
+    dense = retrieval.nearest_of_each(near, "cid", "vec", vector, retrieval.dense_limit(options.top_k)).where(inside)
+    keyword = bm25.score(bm25.Index(postings, lengths), query).where(inside)
+    return retrieval.fuse_libraries(dense, keyword, options.w_dense, options.w_keyword).select("cid", "lib", "rrf")
+
+
+def search(corpus: Corpus, query: str, options: Options | None = None, embedder: Embedder | None = None, reranker: Reranker | None = None, vector: list[float] | None = None) -> DataFrame:
     """Hits: lib, rel, chunk, hp, score, delivered, backfilled, text, total (pieces of the file), tier."""
     o = options or Options()
-    pool = materialise(retrieval.rerank_pool(candidates(corpus, query, o, embedder), "lib", "cid", "rrf"), "pool")
+    pool = materialise(retrieval.rerank_pool(candidates(corpus, query, o, embedder, vector), "lib", "cid", "rrf"), "pool")
     chunks = corpus.keyed().select("cid", "hp", "title", "body", F.col("text").alias("_text"))
     if reranker:
         texts = pool.where("in_pool").join(chunks.select("cid", "_text"), "cid")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .functions import markdown, paths, text
 from .models import truncate_vector
-from .operators import bm25, delivery, diagnostics, graph, ingest, neardup, ranking, retrieval, sampling
+from .operators import bm25, delivery, diagnostics, evaluation, graph, ingest, neardup, ranking, retrieval, sampling
+from .plans import hybrid
 from .sources import extraction, package
 from .streaming import ingest as streams
 
@@ -80,10 +81,65 @@ def bm25_folder_topk(spark, sf):
 @query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b")
 def bm25_index(spark, sf):
     """The same through the index tables."""
-    index = bm25.build(table(spark, sf, "documents"), "doc_id", "text", "source")
+    index = bm25.build(table(spark, sf, "documents"), "doc_id", "text")
     return bm25.score(index, QUERY).select(F.col("cid").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
+_BM25_BY_LIBRARY = f"""
+d AS (SELECT doc_id, source AS lib, {_TOKENS} AS terms FROM documents),
+p AS (SELECT doc_id, lib, len(terms) AS dl, term, count(*) AS tf FROM (SELECT doc_id, lib, terms, unnest(terms) AS term FROM d) GROUP BY 1, 2, 3, 4),
+s AS (SELECT lib, count(*) AS n, avg(len(terms)) AS avgdl FROM d GROUP BY 1),
+q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(regexp_extract_all(lower('{QUERY}'), '[a-z0-9][a-z0-9._+-]{{1,}}')) AS term) GROUP BY 1),
+f AS (SELECT lib, term, count(*) AS df FROM p GROUP BY 1, 2),
+b AS (SELECT p.doc_id, p.lib, sum(ln(1 + (s.n - f.df + 0.5::DOUBLE) / (f.df + 0.5::DOUBLE)) * (p.tf * 2.5::DOUBLE) / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / s.avgdl)) * q.qtf) AS bm25
+  FROM p JOIN q USING (term) JOIN f ON f.lib = p.lib AND f.term = p.term JOIN s ON s.lib = p.lib GROUP BY 1, 2)"""
+
+
+def _corpus(spark, sf) -> hybrid.Corpus:
+    """Documents as files of one piece, in libraries by source, with the vectors of the same number."""
+    docs = table(spark, sf, "documents").select(F.col("source").alias("lib"), F.lpad("doc_id", 9, "0").alias("rel"), F.lit(0).alias("chunk"), F.lit("").alias("hp"), F.lit("").alias("title"), F.col("text").alias("body"), "text", "doc_id")
+    vectors = docs.join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")).select("lib", "rel", "chunk", F.col("embedding").alias("vec"))
+    return hybrid.Corpus(docs.drop("doc_id"), vectors)
+
+
+@query(f"""
+WITH {_BM25_BY_LIBRARY},
+e AS (SELECT vec_id AS doc_id, source AS lib, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))) AS distance FROM embeddings JOIN documents ON doc_id = vec_id),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY lib ORDER BY round(distance, 12), doc_id) AS rd FROM e QUALIFY rd <= 200),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY lib ORDER BY round(bm25, 12) DESC, doc_id) AS rb FROM b WHERE bm25 > 0),
+u AS (SELECT coalesce(r1.lib, r2.lib) AS lib, coalesce(r1.doc_id, r2.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (2 + rd), 0) + coalesce(1.0::DOUBLE / (2 + rb), 0) AS rrf FROM r1 FULL JOIN r2 ON r1.lib = r2.lib AND r1.doc_id = r2.doc_id)
+SELECT lib, doc_id, round(rrf, 6) AS rrf, row_number() OVER (PARTITION BY lib ORDER BY round(rrf, 9) DESC, doc_id) <= 50 AS in_pool FROM u""")
+def hybrid_search(spark, sf):
+    """Candidates of all libraries in one plan, with the pool that a reranker would see."""
+    corpus, q = _corpus(spark, sf), _probe(spark, sf)[1].first()["q"]
+    found = hybrid.candidates(corpus, QUERY, hybrid.Options(), vector=[float(x) for x in q])
+    pool = retrieval.rerank_pool(found.withColumn("rrf", F.round("rrf", 9)), "lib", "cid", "rrf")
+    return pool.select("lib", F.col("cid.rel").cast("long").alias("doc_id"), F.round("rrf", 6).alias("rrf"), "in_pool")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS terms FROM documents),
+p AS (SELECT doc_id, len(terms) AS dl, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM d) GROUP BY 1, 2, 3),
+s AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM d),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:12], ' ')), '[a-z0-9][a-z0-9._+-]{{1,}}')) AS term FROM benchmark) GROUP BY 1, 2),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+b AS (SELECT item_id, p.doc_id, sum(ln(1 + (s.n - f.df + 0.5::DOUBLE) / (f.df + 0.5::DOUBLE)) * (p.tf * 2.5::DOUBLE) / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / s.avgdl)) * q.qtf) AS bm25
+  FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, doc_id) AS pos FROM b QUALIFY pos <= 5),
+g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+x AS (SELECT g.item_id, min(pos) AS pos FROM g LEFT JOIN r ON r.item_id = g.item_id AND r.doc_id = g.doc_id GROUP BY 1)
+SELECT count(*) AS questions, count(*) FILTER (pos <= 1) AS hit_1, count(*) FILTER (pos <= 3) AS hit_3, count(*) FILTER (pos <= 5) AS hit_5 FROM x""")
+def retrieval_evaluation(spark, sf):
+    """The beginnings of the benchmark's passages as questions, the documents that hold them as gold."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("question"))
+    return evaluation.hits(_ranked(spark, sf, items), _gold(spark, sf).withColumnRenamed("item_id", "qid"))
+
+
+def _ranked(spark, sf, items):
+    index = bm25.build(table(spark, sf, "documents"), "doc_id", "text")
+    return evaluation.keyword_ranks(index, items, 5)
+
+
 @query(f"WITH d AS (SELECT {_TOKENS} AS terms FROM documents) SELECT term, count(*) AS tf FROM (SELECT unnest(terms) AS term FROM d) GROUP BY 1")
 def term_counts(spark, sf):
     return table(spark, sf, "documents").select(F.explode(text.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
@@ -216,18 +272,15 @@ def truncate_lines(spark, sf):
 @query("""
 SELECT b.item_id, min(d.doc_id) AS first_doc, count(d.doc_id) AS golds FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1""")
 def retrieval_gold(spark, sf):
-    """Gold documents of each passage: those that contain it. Candidates share the passage's first words,
-    an equality; containment is checked after."""
-    head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 3), " ")
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), head(F.col("text")).alias("head"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    parts = docs.withColumn("w", F.split("text", " "))
-    starts = parts.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))).alias("gram")).distinct()
-    # a passage may begin or end inside a word that spaces bound: compare the second and third word only
-    key = lambda c: F.get(F.split(c, " "), F.lit(1))
-    found = items.select("item_id", "passage", key(F.col("passage")).alias("k")).join(starts.select("doc_id", key(F.col("gram")).alias("k")).distinct(), "k").join(docs, "doc_id").where(F.contains("text", F.col("passage")))
-    gold = found.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count_distinct("doc_id").alias("golds"))
-    return items.select("item_id").join(gold, "item_id", "left").select("item_id", "first_doc", F.coalesce("golds", F.lit(0)).cast("long").alias("golds"))
+    """Gold documents of each passage: those that contain it."""
+    gold = _gold(spark, sf).groupBy("item_id").agg(F.min("cid").alias("first_doc"), F.count_distinct("cid").alias("golds"))
+    return table(spark, sf, "benchmark").select("item_id").join(gold, "item_id", "left").select("item_id", "first_doc", F.coalesce("golds", F.lit(0)).cast("long").alias("golds"))
+
+
+def _gold(spark, sf):
+    """(item_id, cid)."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return evaluation.containing(items, table(spark, sf, "documents").select(F.col("doc_id").alias("cid"), "text"), "item_id")
 
 
 # Near-duplicates
