@@ -1,24 +1,28 @@
 """The engine as a user sees it: libraries that are indexed, searched, related and checked.
 
-Tables (see tables.Tables): libraries, file_meta, file_text, chunks, vectors, and optionally page_vectors
-and page_meta. Results are DataFrames with structured rows; small answers are dictionaries.
+Tables (see tables.Tables), with a part for each library: file_meta, file_text, chunks, vectors, postings,
+lengths, index_states, and optionally page_vectors and page_meta; libraries and extractions are shared. Results are DataFrames with structured rows; small answers are dictionaries.
 """
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .control import LIBRARY, SUMMARY_LENGTH, Gate, Library, Registry
 from .functions import paths
-from .functions.text import stem
-from .models import Embedder, HashedTokens, Reranker, embed
-from .operators import diagnostics, graph, ingest, neardup, retrieval, sampling
+from .functions.text import inline_html_as_markdown, stem, stripped, suffix
+from .models import Embedder, Extractor, HashedTokens, Reranker, embed
+from .operators import bm25, diagnostics, graph, ingest, neardup, retrieval, sampling
 from .plans import hybrid
-from .sources import config, files
+from .sources import config, extraction, files, package
+from .sources.docx import Docx
 from .storage import materialise
 from .tables import Tables
 
@@ -27,14 +31,26 @@ CHUNKS = "lib string, rel string, chunk int, heading string, title string, tags
 VECTORS = "lib string, rel string, chunk int, vec array<float>"
 TEXT = "lib string, rel string, text string"
 PAGES = "lib string, rel string, page int, vec array<float>"
-PAGE_META = "lib string, rel string, pages int, failed boolean, reason string"
+POSTINGS = "lib string, term string, cid struct<lib:string,rel:string,chunk:int>, tf long, dl long"
+LENGTHS = "lib string, cid struct<lib:string,rel:string,chunk:int>, dl long"
+STATES = "lib string, version int, indexed_at double"
+CACHE = "hash string, route string, version int, markdown string"
+#: Files that are read by their paths; if more have changed, the folder is read as a whole.
+LISTED_FILES = 10_000
+PAGE_META = "lib string, rel string, pages int, failed boolean, reason string, size long, mtime_ns long, signature string"
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, reranker: Reranker | None = None, show_code: Callable[[str], None] = print):
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, reranker: Reranker | None = None, show_code: Callable[[str], None] = print, extractor: Extractor | None = None):
         self.spark, self.tables = spark, Tables(spark, root)
-        self.embedder, self.reranker = embedder or HashedTokens(), reranker
+        self.embedder, self.reranker, self.extractor = embedder or HashedTokens(), reranker, extractor or Docx()
         self.gate = Gate(show_code)
+        self._refreshing: dict[str, threading.Thread] = {}
+
+    @property
+    def signature(self) -> str:
+        """What the engine can extract with: files that failed with something else are tried again."""
+        return getattr(self.extractor, "signature", type(self.extractor).__name__)
 
     # Libraries
 
@@ -56,11 +72,12 @@ class Engine:
         self._save(registry)
 
     def list_libraries(self) -> DataFrame:
-        """(name, path, summary, files, chunks, failed)."""
-        known = self.tables.read("libraries", LIBRARY).select("name", "path", "summary")
+        """(name, path, summary, options, files, chunks, failed, indexed_at)."""
+        known = self.tables.read("libraries", LIBRARY).select("name", "path", "summary", "options")
         meta = self.tables.read("file_meta", META)
         counts = meta.groupBy(F.col("lib").alias("name")).agg(F.count("*").alias("files"), F.sum(F.coalesce("chunks", F.lit(0))).alias("chunks"), F.count_if(ingest.terminal(F.col("xfail"), F.col("tbd"))).alias("failed"))
-        return known.join(counts, "name", "left").fillna(0, ["files", "chunks", "failed"])
+        states = self.tables.read("index_states", STATES).select(F.col("lib").alias("name"), "indexed_at")
+        return known.join(counts, "name", "left").fillna(0, ["files", "chunks", "failed"]).join(states, "name", "left")
 
     # Selections and summaries, in two steps
 
@@ -103,59 +120,222 @@ class Engine:
 
     # Index
 
-    def listing(self, library: Library) -> DataFrame:
-        """The library's files that its selection includes."""
+    def listing(self, library: Library, approved: Sequence[str] | None = None) -> DataFrame:
+        """(lib, rel, path, size, mtime_ns) of the files that the library's selection includes, contents
+        unread. approved: formats that may be indexed beside text; others are left as they are."""
         o = config.effective(config.DEFAULTS, library.options)
         strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
         wanted = paths.included(
             F.col("rel"), F.lit(library.path), strings(library.selection_in), strings(library.selection_out), strings(o["exclude_dirs"]), strings(o["exclude_files"]),
             strings(o["exclude_patterns"]), strings(o["extensions"]), F.lit(library.selection_default),
         )
-        return files.read(self.spark, library.path, library.name).where(wanted)
+        found = files.listing(self.spark, library.path, library.name).where(wanted)
+        return found if approved is None else found.where(suffix(F.col("rel")).isin(*files.TEXT_SUFFIXES, *approved))
+
+    def _suspects(self, library: Library, listed: DataFrame, mine: DataFrame, everything: bool) -> DataFrame:
+        """The listed files that may have changed, by size and time, or may succeed now, with contents."""
+        old = mine.select("lib", "rel", F.col("size").alias("_size"), F.col("mtime_ns").alias("_time"), "xfail", "reason", "xsrc")
+        known = F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime_ns").eqNullSafe(F.col("_time"))
+        again = ingest.worth_retrying(F.col("xfail"), F.col("reason"), F.col("xsrc"), F.lit(self.signature))
+        doubtful = F.lit(True) if everything else ~F.coalesce(known & ~again, F.lit(False))
+        suspects = listed.join(old, ["lib", "rel"], "left").where(doubtful).select("lib", "rel", "path")
+        some = [r["path"] for r in suspects.select("path").limit(LISTED_FILES + 1).collect()]
+        if not some:
+            return files.read(self.spark, library.path, library.name).limit(0)
+        if len(some) <= LISTED_FILES:
+            return files.read(self.spark, library.path, library.name, some)
+        return files.read(self.spark, library.path, library.name).join(suspects.select("lib", "rel"), ["lib", "rel"], "left_semi")
 
     def changes(self, library: str) -> DataFrame:
+        """(lib, rel, status). Of files whose size and time are as they were no content is read."""
         x = self._registry().get(library)
-        return ingest.diff(self.listing(x), self.tables.read("file_meta", META).where(F.col("lib") == library))
+        mine, listed = self.tables.read("file_meta", META, library), self.listing(x)
+        read = self._suspects(x, listed, mine, False).select("lib", "rel", "hash")
+        return ingest.diff(listed.join(read, ["lib", "rel"], "left"), mine, self.signature)
 
-    def reindex_knowledge(self, library: str) -> dict:
-        """Indexes what has changed. A folder that lists nothing any more deletes nothing."""
+    def is_stale(self, library: str) -> bool:
+        """Whether files were added, removed or touched since the last index, by size and time alone."""
+        x = self._registry().get(library)
+        mine = self.tables.read("file_meta", META, library)
+        listed = self.listing(x).withColumn("hash", F.lit(None).cast("string"))
+        return self._outdated(library) or not ingest.diff(listed, mine, self.signature).where("status <> 'same'").isEmpty()
+
+    def _outdated(self, library: str) -> bool:
+        state = self.tables.read("index_states", STATES, library).first()
+        return state is not None and state["version"] != ingest.META_VERSION
+
+    def _healthy(self, library: str) -> bool:
+        row = ingest.consistent(self.tables.read("file_meta", META, library), self.tables.read("chunks", CHUNKS, library)).first()
+        return row is None or row["consistent"]
+
+    def _markdown(self, new: DataFrame) -> DataFrame:
+        """new with text and reason: what the extractor reads of files that aren't text, from the cache if
+        it has been read before. Adds what is read now to the cache."""
+        cached = self.tables.read("extractions", CACHE)
+        others = new.where("content IS NOT NULL").select("hash", "rel", "content", F.lit(self.signature).alias("route"))
+        todo = extraction.missing(others, cached, ingest.META_VERSION).dropDuplicates(["hash"])
+        pages = materialise(extraction.extract(todo, self.extractor), "extracted")
+        if not pages.isEmpty():
+            made = pages.select("hash", F.lit(self.signature).alias("route"), F.lit(ingest.META_VERSION).alias("version"), F.array_join(F.filter("pages", lambda p: p.isNotNull()), "\n\n").alias("markdown"))
+            self.tables.commit({"extractions": {uuid.uuid4().hex: made.where("markdown IS NOT NULL")}})
+            cached = self.tables.read("extractions", CACHE)
+        known = cached.where((F.col("route") == self.signature) & (F.col("version") == ingest.META_VERSION)).groupBy("hash").agg(F.first("markdown").alias("markdown"))
+        joined = new.join(known, "hash", "left").withColumn("markdown", F.when(stripped(F.col("markdown")) != "", F.col("markdown")))
+        reason = F.when(F.col("text").isNull() & F.col("markdown").isNull(), F.when(F.col("hash") == ingest.UNREADABLE, ingest.UNREADABLE).when(F.col("content").isNull(), "empty").otherwise("extract-failed"))
+        return joined.select("lib", "rel", "size", "mtime_ns", "hash", F.coalesce("text", "markdown").alias("text"), reason.alias("failed"))
+
+    def reindex_knowledge(self, library: str, approved: Sequence[str] | None = None) -> dict:
+        """Indexes what has changed and commits all tables of the library at once. Contents are read of
+        files whose size or time has changed only. A folder that lists nothing any more deletes nothing;
+        an index of another version, or one that lost pieces, is built anew. approved: see listing()."""
         x = self._registry().get(library)
-        meta, o = self.tables.read("file_meta", META), config.effective(config.DEFAULTS, x.options)
-        mine = meta.where(F.col("lib") == library)
-        now = materialise(self.listing(x), "listing")
-        diffed = materialise(ingest.diff(now, mine), "diff")
+        o = config.effective(config.DEFAULTS, x.options)
+        read = lambda name, schema: self.tables.read(name, schema, library)
+        allowed = (lambda d: d) if approved is None else (lambda d: d.where(suffix(F.col("rel")).isin(*files.TEXT_SUFFIXES, *approved)))
+        mine, anew = allowed(read("file_meta", META)), self._outdated(library) or not self._healthy(library)
+        listed = materialise(self.listing(x, approved), "listing")
+        suspects = self._suspects(x, listed, mine, anew)
+        hashes = materialise(suspects.select("lib", "rel", "hash"), "hashes")
+        diffed = ingest.diff(listed.join(hashes, ["lib", "rel"], "left"), mine, self.signature)
+        if anew:
+            diffed = diffed.withColumn("status", F.when(F.col("status") == "same", "changed").otherwise(F.col("status")))
+        diffed = materialise(diffed, "diff")
         counts = {r["status"]: r["count"] for r in diffed.groupBy("status").count().collect()}  # five rows at most
-        if not sum(v for k, v in counts.items() if k != "removed"):
-            return counts | {"emptied": bool(counts)}
+        emptied = bool(counts) and not sum(v for k, v in counts.items() if k != "removed")
+        if not counts or emptied:
+            return counts | {"emptied": emptied}
         touched = diffed.where("status <> 'same'")
-        new = now.join(diffed.where("status IN ('added', 'changed', 'retry')"), ["lib", "rel"], "left_semi")
+        new = self._markdown(suspects.join(diffed.where("status IN ('added', 'changed', 'retry')"), ["lib", "rel"], "left_semi"))
+        new = materialise(new, "new-files")
         texts = new.where("text IS NOT NULL").select("lib", "rel", "text")
         chunks, states = ingest.chunk_files(texts, o["chunk_char_limit"], o["short_doc_char_limit"], o["tbd_exclude_ratio"])
-        chunks = materialise(chunks, "chunks")
+        chunks, states = materialise(chunks, "chunks"), materialise(states, "file-states")
         pieces = chunks.groupBy("lib", "rel").agg(F.count("*").cast("int").alias("chunks"))
-        reason = F.coalesce("reason", F.when(F.col("text").isNull(), F.when(F.col("content").isNull(), F.lit("empty")).otherwise(F.lit("extract-failed"))))
-        fresh = new.join(states, ["lib", "rel"], "left").withColumn("reason", reason).join(pieces, ["lib", "rel"], "left").select(
+        fresh = new.join(states, ["lib", "rel"], "left").withColumn("reason", F.coalesce("failed", "reason")).join(pieces, ["lib", "rel"], "left").select(
             "lib", "rel", "size", "mtime_ns", "hash", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("reason").isNotNull().alias("xfail"),
-            F.lit(False).alias("tbd"), "reason", F.lit(None).cast("string").alias("xsrc"), "links",
+            F.lit(False).alias("tbd"), "reason", F.lit(self.signature).alias("xsrc"), "links",
         )
+        seen = listed.select("lib", "rel", F.col("size").alias("_size"), F.col("mtime_ns").alias("_time"))
+        kept = read("file_meta", META).join(seen, ["lib", "rel"], "left").withColumns({"size": F.coalesce("_size", "size"), "mtime_ns": F.coalesce("_time", "mtime_ns")}).drop("_size", "_time")
         vectors = chunks.select("lib", "rel", "chunk", embed(F.col("text"), self.embedder).alias("vec"))
-        for name, schema, rows in (("chunks", CHUNKS, chunks), ("vectors", VECTORS, vectors), ("file_text", TEXT, texts), ("file_meta", META, fresh)):
-            self.tables.write(name, ingest.publish(self.tables.read(name, schema), rows, touched))
+        index = hybrid.keyword_index(chunks)
+        by_file = lambda d: d.withColumns({"_lib": F.col("cid.lib"), "_rel": F.col("cid.rel")})
+        gone = touched.select(F.col("lib").alias("_lib"), F.col("rel").alias("_rel"))
+        postings = by_file(read("postings", POSTINGS)).join(gone, ["_lib", "_rel"], "left_anti").drop("_lib", "_rel").unionByName(index.postings)
+        lengths = by_file(read("lengths", LENGTHS)).join(gone, ["_lib", "_rel"], "left_anti").drop("_lib", "_rel").unionByName(index.lengths)
+        state = self.spark.createDataFrame([(library, ingest.META_VERSION, time.time())], STATES)
+        next_version = {
+            "file_meta": ingest.publish(kept, fresh, touched), "file_text": ingest.publish(read("file_text", TEXT), texts, touched), "chunks": ingest.publish(read("chunks", CHUNKS), chunks, touched),
+            "vectors": ingest.publish(read("vectors", VECTORS), vectors, touched), "postings": bm25.stored(postings), "lengths": lengths, "index_states": state,
+        }
+        self.tables.commit({name: {library: rows} for name, rows in next_version.items()})
         return counts | {"emptied": False}
 
+    def ensure_fresh(self, library: str) -> str:
+        """Before a search: an empty index is built at once; a stale one is built in the background, while
+        searches see the old one. Returns fresh, built, started or running."""
+        thread = self._refreshing.get(library)
+        if thread and thread.is_alive():
+            return "running"
+        if not self.is_stale(library):
+            return "fresh"
+        if self.tables.read("index_states", STATES, library).isEmpty():
+            self.reindex_knowledge(library)
+            return "built"
+        self._refreshing[library] = InheritableThread(target=self.reindex_knowledge, args=(library,), session=self.spark, daemon=True)
+        self._refreshing[library].start()
+        return "started"
+
+    def preview(self, path: str) -> dict:
+        """What one file gives: text, reason, route, number of characters and seconds; nothing is stored."""
+        began = time.perf_counter()
+        new = files.read(self.spark, path.rsplit("/", 1)[0], "preview", [path])
+        pages = extraction.extract(new.where("content IS NOT NULL"), self.extractor).select("hash", F.array_join("pages", "\n\n").alias("markdown"))
+        row = new.join(pages, "hash", "left").select("hash", inline_html_as_markdown(F.coalesce("text", "markdown")).alias("text"), F.when(F.col("content").isNull(), "text").otherwise(self.signature).alias("route")).first()
+        text = row["text"] if row else None
+        reason = None if text else "empty" if row and row["route"] == "text" else "extract-failed"
+        return {"text": text, "reason": reason, "route": row["route"] if row else None, "chars": len(text or ""), "seconds": time.perf_counter() - began}
+
+    def collect_garbage(self) -> dict[str, int]:
+        """Deletes the rows of libraries that are no longer registered and extractions that no file refers
+        to. An empty registry deletes nothing: it is more likely lost than true."""
+        names = {x.name for x in self._registry()}
+        if not names:
+            return {"parts": 0, "extractions": 0}
+        per_library = ("file_meta", "file_text", "chunks", "vectors", "postings", "lengths", "index_states")
+        now = self.tables.current()
+        gone = {name: {part: None for part in now.get(name, {}) if part not in names} for name in per_library}
+        live = self.tables.read("file_meta", META).where(F.col("lib").isin(*names)).select("hash").distinct()
+        cached = self.tables.read("extractions", CACHE)
+        orphaned = cached.join(live, "hash", "left_anti").count()
+        changes = {name: parts for name, parts in gone.items() if parts}
+        if orphaned:
+            changes["extractions"] = {part: None for part in now.get("extractions", {})} | {"kept": materialise(cached.join(live, "hash", "left_semi"), "extractions-kept")}
+        if changes:
+            self.tables.commit(changes)
+        return {"parts": sum(map(len, gone.values())), "extractions": orphaned}
+
+    def import_package(self, library: str, path: str) -> dict:
+        """Takes the vectors of an export package (ids: rel::chunk) for a library's pieces. The number of rows
+        and three samples must agree with what is written, else nothing is."""
+        loaded = materialise(package.load(self.spark, path), "package")
+        ids = F.concat_ws("::", "rel", "chunk")
+        rows = self.tables.read("vectors", VECTORS, library).select("lib", "rel", "chunk", ids.alias("id"))
+        taken = rows.join(loaded.select("id", F.col("embedding").cast("array<float>").alias("vec")), "id").select("lib", "rel", "chunk", "vec")
+        taken = materialise(taken, "imported")
+        expected, written = loaded.count(), taken.count()
+        samples = package.same_vectors(loaded, taken.select(ids.alias("id"), F.col("vec").alias("embedding")))
+        sound = expected == written and all(r["same"] for r in samples.collect())  # three rows
+        if sound:
+            others = self.tables.read("vectors", VECTORS, library).join(taken.select("rel", "chunk"), ["rel", "chunk"], "left_anti").select("lib", "rel", "chunk", "vec")
+            self.tables.commit({"vectors": {library: others.unionByName(taken)}})
+        return {"expected": expected, "written": written, "imported": sound}
+
+    def index_pages(self, library: str, render: Extractor, signature: str = "") -> dict:
+        """The page index: an image text for each page of a PDF that is new, has changed, or failed under
+        another signature; those that are gone go."""
+        x = self._registry().get(library)
+        listed = self.listing(x).where(suffix(F.col("rel")) == "pdf")
+        old = self.tables.read("page_meta", PAGE_META, library)
+        known = old.select("rel", F.col("size").alias("_size"), F.col("mtime_ns").alias("_time"), F.col("failed").alias("_failed"), F.col("signature").alias("_sig"))
+        todo = F.col("_time").isNull() | ~(F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime_ns").eqNullSafe(F.col("_time"))) | (F.col("_failed") & ~F.col("_sig").eqNullSafe(F.lit(signature)))
+        wanted = materialise(listed.join(known, "rel", "left").where(todo).select("lib", "rel", "path", "size", "mtime_ns"), "pages-todo")
+        some = [r["path"] for r in wanted.select("path").limit(LISTED_FILES + 1).collect()]
+        contents = files.read(self.spark, x.path, library, some if len(some) <= LISTED_FILES else None) if some else files.read(self.spark, x.path, library).limit(0)
+        contents = contents.join(wanted.select("lib", "rel"), ["lib", "rel"], "left_semi").withColumn("hash", F.col("rel"))
+        read = materialise(extraction.extract(contents, render).withColumnRenamed("hash", "rel"), "pages-read")
+        vectors = read.where("pages IS NOT NULL").select(F.lit(library).alias("lib"), "rel", F.posexplode("pages").alias("page", "text"))
+        vectors = vectors.select("lib", "rel", (F.col("page") + 1).alias("page"), embed(F.col("text"), self.embedder).alias("vec"))
+        state = wanted.join(read, "rel", "left").select("lib", "rel", F.coalesce(F.size("pages"), F.lit(0)).alias("pages"), F.col("pages").isNull().alias("failed"), F.when(F.col("pages").isNull(), "render").alias("reason"), "size", "mtime_ns", F.lit(signature).alias("signature"))
+        gone = old.join(listed.select("rel"), "rel", "left_anti").select("lib", "rel")
+        touched = materialise(wanted.select("lib", "rel").unionByName(gone), "pages-touched")
+        counts = {"rendered": read.where("pages IS NOT NULL").count(), "failed": read.where("pages IS NULL").count(), "removed": gone.count()}
+        self.tables.commit({"page_meta": {library: ingest.publish(old, state, touched)}, "page_vectors": {library: ingest.publish(self.tables.read("page_vectors", PAGES, library), vectors, touched)}})
+        return counts
+
     def index_status(self) -> DataFrame:
         meta = self.tables.read("file_meta", META)
         return ingest.consistent(meta, self.tables.read("chunks", CHUNKS)).join(diagnostics.library_rollup(meta).where("lib IS NOT NULL").select("lib", "files"), "lib", "left")
 
     def index_failures(self, library: str | None = None) -> DataFrame:
-        meta = self.tables.read("file_meta", META)
-        return diagnostics.failure_rows(meta.where(F.col("lib") == library) if library else meta)
+        return diagnostics.failure_rows(self.tables.read("file_meta", META, library), self.signature)
+
+    def failure_overview(self) -> DataFrame:
+        """(lib, healthy, failed) of all libraries."""
+        return diagnostics.healthy_counts(self.tables.read("file_meta", META))
+
+    def duplicate_report(self, library: str, threshold: float = neardup.THRESHOLD) -> str:
+        return neardup.report(self.tables.read("file_text", TEXT, library), "rel", "text", threshold)
 
     # Questions
 
-    def search_knowledge(self, query: str, top_k: int = 5, libraries=(), exclude=(), folder: str = "", include_body: bool = True) -> DataFrame:
+    def search_knowledge(self, query: str, top_k: int = 5, libraries=(), exclude=(), folder: str = "", include_body: bool = True, refresh: bool = False) -> DataFrame:
+        """refresh: first look whether files have changed, see ensure_fresh()."""
         scoped = tuple(self._registry().scope(libraries, exclude))
-        corpus = hybrid.Corpus(self.tables.read("chunks", CHUNKS), self.tables.read("vectors", VECTORS))
+        for name in scoped if refresh else ():
+            self.ensure_fresh(name)
+        index = bm25.Index(self.tables.read("postings", POSTINGS), self.tables.read("lengths", LENGTHS))
+        corpus = hybrid.Corpus(self.tables.read("chunks", CHUNKS), self.tables.read("vectors", VECTORS), index)
         options = hybrid.Options(top_k=top_k, folder=folder, libraries=scoped, with_body=include_body)
         return hybrid.search(corpus, query, options, self.embedder, self.reranker)
 
@@ -188,11 +368,23 @@ class Engine:
         return diagnostics.page_status(self.tables.read("page_meta", PAGE_META))
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        """(nodes, edges) of all libraries."""
+        """(nodes, edges) of all libraries; PDFs that are in the folders and not indexed are nodes too."""
         meta = self.tables.read("file_meta", META)
         pages = self.tables.read("page_meta", PAGE_META)
-        nodes = graph.file_nodes(meta.withColumn("updated", F.col("mtime_ns")), self.spark.createDataFrame([], "lib string, rel string"), pages)
-        links = graph.link_edges(meta.select("lib", "rel", F.col("rel").alias("pos"), F.coalesce("links", F.array().cast("array<string>")).alias("links")))
+        on_disk = self.spark.createDataFrame([], "lib string, rel string")
+        for x in self._registry():  # a listing for each registered folder, without contents
+            on_disk = on_disk.unionByName(self.listing(x).where(suffix(F.col("rel")) == "pdf").select("lib", "rel"))
+        nodes = graph.file_nodes(meta.withColumn("updated", F.col("mtime_ns")), on_disk, pages, self.signature)
+        links = graph.link_edges(self._links(meta))
         edges = links.select(F.concat_ws("|", "lib", "a").alias("a"), F.concat_ws("|", "lib", "b").alias("b"), F.lit("link").alias("kind"))
         edges = edges.unionByName(graph.page_nodes(pages).select(F.col("parent").alias("a"), F.col("id").alias("b"), F.lit("page").alias("kind")))
         return graph.mark_hubs(nodes, edges), edges
+
+    def graph_counts(self) -> DataFrame:
+        """(lib, nodes, edges) of the links between files."""
+        meta = self.tables.read("file_meta", META)
+        return graph.counts(meta.select("lib"), graph.link_edges(self._links(meta)))
+
+    @staticmethod
+    def _links(meta: DataFrame) -> DataFrame:
+        return meta.select("lib", "rel", F.col("rel").alias("pos"), F.coalesce("links", F.array().cast("array<string>")).alias("links"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain, pairwise
+from html import escape
+from itertools import chain, groupby, pairwise
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -155,62 +156,81 @@ def parts_udf(cut: Callable[[str, int], list[str]], limit: int):
     return _each("array<string>", lambda t: cut(t, limit))
 
 
-def to_html(text: str) -> str:
-    """A safe preview of Markdown: headings, rules, quotes, lists, tables, fences and inline marks."""
-    esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+_INLINE = re.compile(
+    r"`(?P<code>[^`\n]+)`|!\[(?P<image>[^\]]*)\]\([^)]*\)|\[(?P<label>[^\]]+)\]\((?P<url>[^)\s]+)\)|(?P<strong>\*\*|__)(?P<bold>(?:(?!(?P=strong)).)+)(?P=strong)"
+    r"|~~(?P<gone>[^~]+)~~|(?<!\w)\*(?P<leaning>[^*\n]+)\*(?!\w)"
+)
+_SCHEME = re.compile(r"(?:https?|obsidian|mailto):|#|[^:]*$", re.IGNORECASE)
+_RULE_ROW = re.compile(r"\s*\|?[\s|:~-]*-[\s|:~-]*$")
+_KINDS = (
+    ("blank", re.compile(r"\s*$")), ("heading", re.compile(r"\s*(#{1,4})\s+(.*)$")), ("rule", re.compile(r"\s*([-*_]\s*){3,}$")), ("quote", re.compile(r"\s*>\s?(.*)$")),
+    ("ul", re.compile(r"\s*[-*+]\s+(.*)$")), ("ol", re.compile(r"\s*\d+[.)]\s+(.*)$")), ("text", re.compile(r"\s*(.*)$")),
+)
+
+
+def _inline(text: str) -> str:
+    """Marks inside a line; links only to the web, notes, mail and anchors."""
+
+    def shown(m: re.Match) -> str:
+        if m["code"] is not None:
+            return f"<code>{escape(m['code'])}</code>"
+        if m["image"] is not None:
+            return f'<span class="image">{escape(m["image"])}</span>'
+        if m["label"] is not None:
+            label = _inline(m["label"])
+            return f'<a href="{escape(m["url"])}" rel="noreferrer">{label}</a>' if _SCHEME.match(m["url"]) else f"{label} ({escape(m['url'])})"
+        tag, inside = ("b", m["bold"]) if m["bold"] is not None else ("del", m["gone"]) if m["gone"] is not None else ("i", m["leaning"])
+        return f"<{tag}>{_inline(inside)}</{tag}>"
+
+    out, at = [], 0
+    for m in _INLINE.finditer(text):
+        out += [escape(text[at : m.start()]), shown(m)]
+        at = m.end()
+    return "".join([*out, escape(text[at:])])
+
+
+def _tagged(lines: list[str]) -> Iterator[tuple[str, str]]:
+    """(kind, line): fenced lines and table rows first, which hold whatever they hold."""
+    fence, table = None, False
+    for i, line in enumerate(lines):
+        mark = re.match(r"\s*(`{3,}|~{3,})", line)
+        if fence or mark:
+            if mark and (not fence or mark[1].startswith(fence)):
+                fence = None if fence else mark[1]
+                yield "fence", line
+            else:
+                yield "code", line
+            continue
+        below = lines[i + 1] if i + 1 < len(lines) else ""
+        table = "|" in line and (table or bool(_RULE_ROW.match(below)))
+        yield ("table", line) if table else next((kind, line) for kind, form in _KINDS if form.match(line))
 
-    def inline(s: str) -> str:
-        s = esc(s)
-        s = re.sub(r"`([^`]+)`", r"<code>\1</code>", s)
-        s = re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", s)
-        s = re.sub(r"(?<!\*)\*([^*]+)\*(?!\*)", r"<em>\1</em>", s)
-        return re.sub(r"\[([^\]]+)\]\((https?://[^)\s]+)\)", r'<a href="\2">\1</a>', s)
 
-    out: list[str] = []
-    opened, fence = "", ""
-
-    def switch(tag: str) -> None:
-        nonlocal opened
-        if opened != tag:
-            out.extend([f"</{opened}>"] * bool(opened) + [f"<{tag}>"] * bool(tag))
-            opened = tag
-
-    for line in text.splitlines():
-        mark = re.match(r"^\s{0,3}(`{3,}|~{3,})", line)
-        if fence:
-            if mark and mark[1].startswith(fence):
-                fence = ""
-                out.append("</code></pre>")
-            else:
-                out.append(esc(line))
-        elif mark:
-            switch("")
-            fence = mark[1]
-            out.append("<pre><code>")
-        elif m := re.match(r"^(#{1,4})\s+(.+)$", line):
-            switch("")
-            out.append(f"<h{len(m[1])}>{inline(m[2].strip())}</h{len(m[1])}>")
-        elif re.match(r"^\s*([-*_])(\s*\1){2,}\s*$", line):
-            switch("")
-            out.append("<hr>")
-        elif m := re.match(r"^\s*[-*+]\s+(.*)$", line):
-            switch("ul")
-            out.append(f"<li>{inline(m[1])}</li>")
-        elif m := re.match(r"^\s*\d+[.)]\s+(.*)$", line):
-            switch("ol")
-            out.append(f"<li>{inline(m[1])}</li>")
-        elif m := re.match(r"^>\s?(.*)$", line):
-            switch("blockquote")
-            out.append(f"<p>{inline(m[1])}</p>")
-        elif line.strip().startswith("|"):
-            if not re.match(r"^\s*\|[\s:|-]+\|\s*$", line):
-                switch("table")
-                cells = re.split(r"(?<!\\)\|", line.strip().strip("|"))
-                out.append("<tr>" + "".join(f"<td>{inline(c.strip().replace(chr(92) + '|', '|'))}</td>" for c in cells) + "</tr>")
-        elif line.strip():
-            switch("")
-            out.append(f"<p>{inline(line)}</p>")
-        else:
-            switch("")
-    switch("")
-    return "\n".join(out + ["</code></pre>"] * bool(fence))
+def _cells(row: str, tag: str) -> str:
+    inner = row.strip().removeprefix("|").removesuffix("|")
+    return "<tr>" + "".join(f"<{tag}>{_inline(c.strip().replace(chr(92) + '|', '|'))}</{tag}>" for c in re.split(r"(?<!\\)\|", inner)) + "</tr>"
+
+
+def to_html(text: str) -> str:
+    """A safe preview of Markdown: headings 1 to 4, rules, quotes, lists, tables with a head, fences,
+    paragraphs and inline marks. Whatever isn't made here is escaped."""
+    form, out = dict(_KINDS), []
+    for kind, group in groupby(_tagged(text.splitlines()), key=lambda x: x[0]):
+        lines = [line for _, line in group]
+        content = [form[kind].match(x)[form[kind].groups] if kind in form and form[kind].groups else x for x in lines]
+        if kind == "heading":
+            out += [f"<h{n}>{_inline(c.strip())}</h{n}>" for c, n in ((c, len(form[kind].match(x)[1])) for c, x in zip(content, lines, strict=True))]
+        elif kind == "rule":
+            out += ["<hr/>"] * len(lines)
+        elif kind == "quote":
+            out.append("<blockquote>" + "<br/>".join(map(_inline, content)) + "</blockquote>")
+        elif kind in ("ul", "ol"):
+            out.append(f"<{kind}>" + "".join(f"<li>{_inline(c)}</li>" for c in content) + f"</{kind}>")
+        elif kind == "table":
+            head, _, *rows = [*lines, ""][: max(2, len(lines))]
+            out.append(f"<table><thead>{_cells(head, 'th')}</thead><tbody>" + "".join(_cells(r, "td") for r in rows) + "</tbody></table>")
+        elif kind == "code":
+            out.append("<pre><code>" + escape("\n".join(lines)) + "</code></pre>")
+        elif kind == "text":
+            out.append("<p>" + "<br/>".join(_inline(c.strip()) for c in content) + "</p>")
+    return "\n".join(out)

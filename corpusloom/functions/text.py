@@ -176,6 +176,18 @@ def strip_dead_images(text: Column) -> Column:
     return F.regexp_replace(quoted, r"(?i)<img\b[^>]*>", "")
 
 
+#: Inline tags, by the Markdown sign that stands for them.
+INLINE_TAGS = {"**": ("b", "strong"), "*": ("i", "em"), "`": ("code", "kbd"), "": ("u", "s", "del", "ins", "sub", "sup", "mark", "small", "span")}
+
+
+def inline_html_as_markdown(text: Column) -> Column:
+    """For a preview: bold, italics and code as Markdown, other inline tags dropped."""
+    for sign, tags in INLINE_TAGS.items():
+        tag = f"</?(?:{'|'.join(tags)})" + (">" if sign else "[^>]*>")
+        text = F.regexp_replace(text, f"`?{tag}`?" if sign == "`" else tag, sign)
+    return text
+
+
 # Lines that repeat on every page
 
 

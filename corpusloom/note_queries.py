@@ -87,6 +87,14 @@ def strip_dead_images(spark, sf):
     return _notes(spark, sf, note=_PICTURED).select("doc_id", _md5(text.strip_dead_images(F.col("note"))).alias("cleaned"))
 
 
+_HTML = "'<b>Note</b> <strong>' || doc_id || '</strong> <em>' || lang || '</em> <i>x</i> <code>c</code> `<kbd>k</kbd>` <u>u</u><span class=\"a\">' || source || '</span> <mark>m</mark><br><p>' || text"
+
+
+@query("SELECT doc_id, md5('**Note** **' || doc_id || '** *' || lang || '* *x* `c` `k` u' || source || ' m<br><p>' || text) AS cleaned FROM documents")
+def inline_html(spark, sf):
+    return _notes(spark, sf, note=_HTML).select("doc_id", _md5(text.inline_html_as_markdown(F.col("note"))).alias("cleaned"))
+
+
 _BARE = "regexp_full_match(x, '\\s*\\d{1,4}\\s*')"
 _NUMBERED = _sql("'Page ' || (doc_id % 90)", "text", "'- ' || (doc_id % 10000) || ' -'", "' 第 ' || (doc_id % 80) || ' 页 '", "' ' || (doc_id % 3) || ' '", "'x'", "(doc_id % 2) || ''", "'page 12 of 13'", "'12345'")
 
@@ -482,6 +490,18 @@ def heartbeat_states(spark, sf):
     return table(spark, sf, "events").select("event_id", beat.alias("state"), diagnostics.progress(done, total).alias("progress"), F.round(diagnostics.remaining_seconds(done, total, F.lit(10)), 6).alias("remaining"))
 
 
+@query("""
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'token' WHEN 1 THEN 'token' WHEN 2 THEN 'fatal' WHEN 3 THEN 'fatal' ELSE 'transient' END AS kind,
+  CASE WHEN event_id % 4 = 0 OR event_id % 17 > 15 THEN NULL WHEN event_id % 3 = 1 THEN 'converting' WHEN event_id % 13 = 0 THEN 'grace' END AS note, CASE WHEN event_id % 4 > 0 AND event_id % 17 <= 15 AND event_id % 3 <> 1 AND event_id % 13 = 0 THEN (event_id % 29)::BIGINT END AS quiet FROM events""")
+def service_errors(spark, sf):
+    """Classes of a service's error codes, and what excuses a standstill."""
+    i = F.col("event_id")
+    code = F.get(_strings("A0202", "a0211", "-60002", "-60006", "-10001", "429", "-60009", "what"), (i % 8).cast("int"))
+    phase = F.when(i % 3 == 0, "done").when(i % 3 == 1, "converting").otherwise("embed")
+    note = diagnostics.heartbeat_note(i % 4 != 0, phase, F.lit(1000) - i % 17, F.lit(1000) - i % 29, F.when(i % 13 == 0, 1001).otherwise(1000), F.lit(1000))
+    return table(spark, sf, "events").select("event_id", streams.error_class(code).alias("kind"), note["kind"].alias("note"), note["quiet"].alias("quiet"))
+
+
 @query("SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN least(60.0, event_id % 100 + 0.5) ELSE least(60.0, pow(2.0, greatest(0, event_id % 9 - 1))) * (1 + (event_id % 10) / 10.0) END::DOUBLE, 6) AS seconds FROM events")
 def retry_delays(spark, sf):
     i = F.col("event_id")
@@ -516,6 +536,12 @@ def style_headings(spark, sf):
     return _notes(spark, sf, style=style).select("doc_id", extraction.heading_marks(F.col("style")).alias("marks"))
 
 
+@query("SELECT source AS lib, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 5 <> 0) AS healthy, count(*) FILTER (doc_id % 7 = 0 OR doc_id % 5 = 0) AS failed FROM documents GROUP BY 1")
+def failure_overview(spark, sf):
+    meta = _notes(spark, sf, xfail="doc_id % 7 = 0", tbd="doc_id % 5 = 0").withColumn("lib", F.col("source"))
+    return diagnostics.healthy_counts(meta)
+
+
 @query("SELECT doc_id, doc_id % 6 < 2 AS safe FROM documents")
 def package_members(spark, sf):
     member = "CASE doc_id % 6 WHEN 0 THEN source || '/' || lang WHEN 1 THEN source || '..' || lang WHEN 2 THEN '../' || source WHEN 3 THEN '/' || source WHEN 4 THEN 'C:' || chr(92) || source ELSE source || chr(92) || '..' || chr(92) || lang END"

@@ -42,6 +42,12 @@ def failure_rows(meta: DataFrame, signature: str | None = None) -> DataFrame:
     return rows.select("lib", "rel", F.coalesce("reason", F.lit("unknown")).alias("reason"), worth_retrying(F.col("xfail"), F.col("reason"), F.col("xsrc"), F.lit(signature)).alias("will_retry")).orderBy("lib", "rel")
 
 
+def healthy_counts(meta: DataFrame) -> DataFrame:
+    """(lib, healthy, failed): files that are indexed and files in a state without pieces."""
+    bad = terminal(F.col("xfail"), F.col("tbd"))
+    return meta.groupBy("lib").agg(F.count_if(~bad).alias("healthy"), F.count_if(bad).alias("failed"))
+
+
 def page_status(pages: DataFrame) -> DataFrame:
     """(lib, files, pages, failed) of the page index."""
     bad = F.coalesce("failed", F.lit(False))
@@ -74,6 +80,22 @@ def heartbeat(running: Column, phase: Column, pid: Column, updated: Column, adva
     )
 
 
+def heartbeat_note(running: Column, phase: Column, updated: Column, advanced: Column, grace: Column, now: Column) -> Column:
+    """(kind, quiet): what excuses a standstill, converting or grace, and since how many seconds nothing has
+    moved in the latter; nothing excuses a heartbeat that is silent."""
+    alive = F.coalesce(running, F.lit(False)) & (now - F.coalesce(updated, F.lit(0)) <= HEARTBEAT_TIMEOUT)
+    kind = F.when(alive & (phase == "converting"), "converting").when(alive & (now < grace), "grace")
+    return F.struct(kind.alias("kind"), F.when(kind == "grace", F.greatest(F.lit(0), now - F.coalesce(advanced, F.lit(0)))).cast("long").alias("quiet"))
+
+
+def progress_text(p: dict) -> str:
+    """One line on a job: state, phase, library, message, share done and error."""
+    state = "running" if p.get("running") else {"done": "done", "error": "failed"}.get(p.get("phase"), "idle")
+    done, total = p.get("done") or 0, p.get("total") or 0
+    parts = [state, *(f"{k} {p[k]}" for k in ("phase", "library", "message") if p.get(k)), *([f"{done} of {total} ({min(100, 100 * done // total)} %)"] if total else []), *([f"error: {p['error']}"] if p.get("error") else [])]
+    return "; ".join(parts)
+
+
 def snapshot(meta: DataFrame, stale: DataFrame) -> DataFrame:
     """The dashboard: (lib, files, chunks, failed, state, overall), libraries with nothing indexed too."""
     counts = meta.groupBy("lib").agg(F.count("*").alias("files"), F.sum(F.coalesce("chunks", F.lit(0))).cast("long").alias("chunks"), F.count_if(terminal(F.col("xfail"), F.col("tbd"))).alias("failed"))

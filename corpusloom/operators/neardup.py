@@ -9,7 +9,7 @@ at any similarity below 1; with strict=False every two sketches that share a val
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, shingles, words
@@ -98,3 +98,15 @@ def statistics(docs: DataFrame, key: str, text: str, threshold: float = THRESHOL
     groups = grouped.agg(F.count_distinct(F.coalesce("root", "rep")).alias("groups"))
     one = docs.agg(F.count("*").alias("all")).crossJoin(sketched.agg(F.count("*").alias("scanned"))).crossJoin(edges.agg(F.count("*").alias("pairs"))).crossJoin(groups)  # one row each
     return one.select("scanned", (F.col("all") - F.col("scanned")).alias("skipped"), "pairs", "groups")
+
+
+def report(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, most: int = 20, names: int = 5) -> str:
+    """The statistics and the ``most`` largest groups as a text, with the first ``names`` keys of each."""
+    s = statistics(docs, key, text, threshold).first()  # one row
+    members = materialise(clusters(docs, key, text, threshold), "clusters")
+    largest = members.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").limit(most)
+    first = members.join(F.broadcast(largest), "cluster").withColumn("_n", F.row_number().over(Window.partitionBy("cluster").orderBy("key"))).where(F.col("_n") <= names)
+    lines = [f"{s['scanned']} documents compared, {s['skipped']} without enough words; {s['groups']} groups, {s['pairs']} pairs of different texts."]
+    for r in first.groupBy("cluster", "n").agg(F.array_sort(F.collect_list("key")).alias("keys")).orderBy(F.desc("n"), "cluster").collect():  # most rows of names keys
+        lines.append(f"- {r['n']} documents: " + ", ".join(map(str, r["keys"])) + (" ..." if r["n"] > len(r["keys"]) else ""))
+    return "\n".join(lines)

@@ -36,9 +36,10 @@ def decoded(content: Column) -> Column:
     return F.when(stripped(text) != "", text)
 
 
-def read(spark: SparkSession, root: str, lib: str) -> DataFrame:
-    """(lib, rel, size, mtime_ns, hash, text, content): text of text files, content of others."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def read(spark: SparkSession, root: str, lib: str, only: list[str] | None = None) -> DataFrame:
+    """(lib, rel, size, mtime_ns, hash, text, content): text of text files, content of others. only: the
+    paths of the files to read; else all below root are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root if only is None else only)
     plain = suffix(F.col("rel")).isin(*TEXT_SUFFIXES)
     return _paths(files, root, lib).select(
         "lib", "rel", F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), fingerprint(F.col("content")).alias("hash"),
@@ -47,6 +48,8 @@ def read(spark: SparkSession, root: str, lib: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str, mention: str, last: int = 3) -> DataFrame:
-    """(pos, line): the last lines of a log that mention something."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return rows.where(F.contains("line", F.lit(mention))).orderBy(F.desc("pos")).limit(last).orderBy("pos")
+    """(pos, line): the last lines of a log that mention something. A log is read in splits, line by line:
+    partitions follow its order, so a line's place is its partition and its number there."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("pos"))
+    found = lines.where(F.contains("value", F.lit(mention))).orderBy(F.desc("pos")).limit(last)
+    return found.orderBy("pos").select("pos", F.col("value").alias("line"))

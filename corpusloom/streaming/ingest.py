@@ -50,6 +50,17 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     return timed.groupBy(F.session_window("_ts", gap).alias("session"), key).agg(F.count("*").alias("n")).select(F.col("session.start").alias("start"), F.col("session.end").alias("end"), key, "n")
 
 
+#: A recognition service's error codes that no retry mends: of the key, of the file.
+KEY_ERRORS = ("A0202", "A0211")
+FILE_ERRORS = ("-60002", "-60004", "-60005", "-60006")
+
+
+def error_class(code: Column) -> Column:
+    """token (the key is wrong: stop the batch), fatal (the file is: don't retry) or transient."""
+    c = F.upper(code)
+    return F.when(c.isin(*KEY_ERRORS), "token").when(c.isin(*FILE_ERRORS), "fatal").otherwise("transient")
+
+
 def retry_delay(attempt: Column, jitter: Column, retry_after: Column, most: float = 60.0) -> Column:
     """Seconds before the next try: what the server asks for, up to most; else 1, 2, 4, ... up to most, and
     up to as much again (jitter is in 0..1)."""

@@ -233,3 +233,171 @@ def test_api(spark, tmp_path):
     shutil.rmtree(vault)
     vault.mkdir()
     assert engine.reindex_knowledge("n")["emptied"] and engine.read_document("n", "new").count() == 1
+
+
+def docx_bytes(text):
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:body></w:document>')
+    return buffer.getvalue()
+
+
+class Pages:
+    """Reads any file as pages of lines; broken ones raise."""
+
+    signature = "pages"
+
+    def pages(self, name, content):
+        if content.startswith(b"broken"):
+            raise ValueError(name)
+        return content.decode().split("\f")
+
+
+def test_extraction_in_the_index(spark, tmp_path):
+    from corpusloom.api import Engine
+
+    vault = tmp_path / "vault"
+    write(vault, a_md="plain note")
+    (vault / "w.docx").write_bytes(docx_bytes("from a word file"))
+    (vault / "p.pdf").write_bytes(b"page one\x0cpage two")
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.add_library("n", str(vault))
+    engine.reindex_knowledge("n")
+    assert {r.rel: r.reason for r in engine.index_failures("n").collect()} == {"p.pdf": "extract-failed"}
+    assert engine.search_knowledge("word file", top_k=1).first().rel == "w.docx"
+    assert {n.rel: n.pipeline.mineru for n in engine.graph()[0].collect()} == {"a.md": "done", "w.docx": "done", "p.pdf": "failed"}
+    # another extractor: what failed is tried again, and only that
+    able = Engine(spark, str(tmp_path / "index"), extractor=Pages())
+    assert able.changes("n").where("status = 'retry'").count() == 1
+    assert able.reindex_knowledge("n") == {"retry": 1, "same": 2, "emptied": False}
+    assert able.read_document("n", "p.pdf").first().text == "page one\n\npage two"
+    assert able.tables.read("extractions").where("route = 'pages'").count() == 1
+    assert able.failure_overview().first().asDict() == {"lib": "n", "healthy": 3, "failed": 0}
+    assert able.preview(str(vault / "p.pdf"))["text"] == "page one\n\npage two" and able.preview(str(vault / "a.md"))["route"] == "text"
+
+
+def test_formats_versions_and_healing(spark, tmp_path, monkeypatch):
+    from corpusloom.api import CHUNKS, Engine
+
+    vault = tmp_path / "vault"
+    write(vault, a_md="one note", b_md="another note")
+    (vault / "w.docx").write_bytes(docx_bytes("word"))
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.add_library("n", str(vault))
+    assert engine.reindex_knowledge("n", approved=()) == {"added": 2, "emptied": False}  # the Word file waits for approval
+    assert engine.reindex_knowledge("n", approved=("docx",)) == {"added": 1, "same": 2, "emptied": False}
+    (vault / "w.docx").write_bytes(docx_bytes("changed words"))
+    assert engine.reindex_knowledge("n", approved=()) == {"same": 2, "emptied": False} and engine.read_document("n", "w.docx").first().text == "word"
+    # pieces are lost: the next run builds anew
+    broken = engine.tables.read("chunks", CHUNKS, "n").where("rel <> 'a.md'")
+    engine.tables.commit({"chunks": {"n": spark.createDataFrame(broken.collect(), broken.schema)}})
+    assert not engine.index_status().first().consistent
+    assert engine.reindex_knowledge("n")["changed"] == 3 and engine.index_status().first().consistent
+    monkeypatch.setattr(ingest, "META_VERSION", ingest.META_VERSION + 1)
+    assert engine.is_stale("n") and engine.reindex_knowledge("n")["changed"] == 3 and not engine.is_stale("n")
+
+
+def test_only_suspects_are_read(spark, tmp_path, monkeypatch):
+    from corpusloom.api import Engine
+
+    vault, reads = tmp_path / "vault", []
+    write(vault, a_md="one note", b_md="another note")
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.add_library("n", str(vault))
+    engine.reindex_knowledge("n")
+    real = files.read
+    monkeypatch.setattr(files, "read", lambda s, root, lib, only=None: (reads.append(only), real(s, root, lib, only))[1])
+    write(vault, b_md="another note, changed")
+    assert engine.reindex_knowledge("n") == {"changed": 1, "same": 1, "emptied": False}
+    assert [[p.rsplit("/", 1)[1] for p in r] for r in reads] == [["b.md"]]
+    import os
+
+    os.utime(vault / "a.md", (1, 1))  # touched, not changed: read once, then known by its new time
+    assert engine.changes("n").where("status <> 'same'").count() == 0 and engine.is_stale("n")
+
+
+def test_refresh_garbage_and_import(spark, tmp_path):
+    from corpusloom.api import Engine
+
+    vault, other = tmp_path / "vault", tmp_path / "other"
+    write(vault, a_md="kerosene pumps")
+    write(other, o_md="sea water")
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.add_library("n", str(vault))
+    engine.add_library("o", str(other))
+    engine.reindex_knowledge("o")
+    assert engine.search_knowledge("kerosene", libraries=("n",), refresh=True).first().rel == "a.md"  # nothing was there: built at once
+    assert engine.ensure_fresh("n") == "fresh"
+    write(vault, b_md="oxygen tanks")
+    assert engine.ensure_fresh("n") == "started"
+    engine._refreshing["n"].join()
+    assert engine.ensure_fresh("n") == "fresh" and engine.search_knowledge("oxygen", libraries=("n",)).first().rel == "b.md"
+    engine.remove_library("o")
+    assert engine.collect_garbage()["parts"] == 7 and engine.tables.read("file_meta").select("lib").distinct().count() == 1
+    assert engine.collect_garbage() == {"parts": 0, "extractions": 0}
+    # vectors from a package: all or nothing
+    vectors = engine.tables.read("vectors", part="n").selectExpr("concat_ws('::', rel, chunk) AS id", "'t' AS text", "transform(vec, x -> double(-x)) AS embedding", "map('a', 'b') AS meta")
+    held = spark.createDataFrame([("x", bytearray(b"one"))], "rel string, content binary")
+    package.export(vectors, held, str(tmp_path / "pack"))
+    assert engine.import_package("n", str(tmp_path / "pack")) == {"expected": 2, "written": 2, "imported": True}
+    package.export(vectors.unionByName(vectors.limit(1).withColumn("id", F.lit("gone::0"))), held, str(tmp_path / "worse"))
+    assert engine.import_package("n", str(tmp_path / "worse")) == {"expected": 3, "written": 2, "imported": False}
+    assert "2 documents compared" in engine.duplicate_report("n")
+    assert engine.graph_counts().first().asDict() == {"lib": "n", "nodes": 2, "edges": 0}
+
+
+def test_page_index(spark, tmp_path):
+    from corpusloom.api import Engine
+
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    (vault / "a.pdf").write_bytes(b"pumps\x0ctanks")
+    (vault / "b.pdf").write_bytes(b"broken")
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.add_library("n", str(vault))
+    assert engine.index_pages("n", Pages(), "v1") == {"rendered": 1, "failed": 1, "removed": 0}
+    assert engine.index_pages("n", Pages(), "v1") == {"rendered": 0, "failed": 0, "removed": 0}
+    assert engine.index_pages("n", Pages(), "v2") == {"rendered": 0, "failed": 1, "removed": 0}
+    hit = engine.navigate_knowledge("tanks", top_k=1).first()
+    assert (hit.rel, hit.page) == ("a.pdf", 2)
+    assert engine.page_status().first().asDict() == {"lib": "n", "files": 1, "pages": 2, "failed": 1}
+    (vault / "a.pdf").unlink()
+    assert engine.index_pages("n", Pages(), "v2") == {"rendered": 0, "failed": 0, "removed": 1} and engine.tables.read("page_vectors").count() == 0
+
+
+def test_tables(spark, tmp_path):
+    import pytest
+
+    from corpusloom.tables import Tables
+
+    t = Tables(spark, str(tmp_path / "t"))
+    row = lambda *x: spark.createDataFrame([x], "k string, v int")
+    t.commit({"a": {"p": row("p", 1), "q": row("q", 1)}, "b": {"p": row("b", 1)}})
+    kept = t.current()["a"]["q"]
+    t.commit({"a": {"p": row("p", 2)}})
+    assert t.current()["a"]["q"] == kept and sorted(map(tuple, t.read("a").collect())) == [("p", 2), ("q", 1)]
+    assert t.read("a", part="q").first().v == 1 and t.read("c", "x int").count() == 0
+    with pytest.raises(FileNotFoundError):
+        t.read("c")
+    for v in (3, 4):
+        t.commit({"a": {"p": row("p", v), "q": None}})
+    assert len(t.versions()) == 2 and len(list((tmp_path / "t" / "a").iterdir())) == 2 and t.read("b").count() == 1
+
+
+def test_small_things(spark, tmp_path):
+    from corpusloom.operators import diagnostics
+    from corpusloom.sources import files
+
+    (tmp_path / "log").write_text("".join(f"line {i} {'x.md' if i % 3 == 0 else ''}\n" for i in range(5000)))
+    assert [r.line for r in files.log_lines(spark, str(tmp_path / "log"), "x.md").collect()] == [f"line {i} x.md" for i in (4992, 4995, 4998)]
+    assert diagnostics.progress_text({"running": True, "phase": "embed", "library": "n", "done": 1, "total": 4}) == "running; phase embed; library n; 1 of 4 (25 %)"
+    cached = spark.createDataFrame([("h", "local", 1, "t"), ("h", "ocr:mineru-cloud", 1, "better")], "hash string, route string, version int, markdown string")
+    wanted = spark.createDataFrame([("h", "p"), ("g", "q")], "hash string, path string")
+    assert {r.hash: (r.markdown, r.reason) for r in extraction.read_cached(wanted, cached).collect()} == {"h": ("better", None), "g": (None, "not-cached")}
+    jobs = spark.createDataFrame([("p", "h", 7), ("q", "old", 8)], "path string, hash string, job int")
+    assert [r.job for r in extraction.resume(jobs, wanted).collect()] == [7] and [r.job for r in ingest.live_jobs(jobs, wanted).collect()] == [7]
+    old = spark.sql("SELECT 'a' AS f, timestamp'2024-01-01 00:00:00' AS m UNION ALL SELECT 'b', timestamp'2024-01-02 12:00:00'")
+    assert [r.f for r in diagnostics.older_than(old, "m", F.lit("2024-01-03").cast("timestamp")).collect()] == ["a"]

@@ -86,5 +86,11 @@ def test_pieces():
 
 
 def test_html():
-    got = markdown.to_html("# T <b>\n- *x*\n- **y**\n\n`c`\n```\n<raw>\n```\n| a | b |\n|---|---|\n[l](https://e.org)")
-    assert "<h1>T &lt;b&gt;</h1>" in got and "<ul>\n<li><em>x</em></li>" in got and "&lt;raw&gt;" in got and "<td>a</td>" in got and '<a href="https://e.org">l</a>' in got
+    got = markdown.to_html("# T <b>\n- *x*\n- **y _z_**\n\n`c*c*` ~~d~~ ![p](x)\nnext\n\n> q\n> r\n***\n```py\n<raw>\n# x\n```\n| a | b\\|c |\n|---|---|\n| 1 | <2> |\n\n1. [l](https://e.org?a=1&b)\n2) [m](javascript:x)")
+    want = [
+        "<h1>T &lt;b&gt;</h1>", "<ul><li><i>x</i></li><li><b>y _z_</b></li></ul>", '<p><code>c*c*</code> <del>d</del> <span class="image">p</span><br/>next</p>', "<blockquote>q<br/>r</blockquote>", "<hr/>",
+        "<pre><code>&lt;raw&gt;\n# x</code></pre>", "<table><thead><tr><th>a</th><th>b|c</th></tr></thead><tbody><tr><td>1</td><td>&lt;2&gt;</td></tr></tbody></table>",
+        '<ol><li><a href="https://e.org?a=1&amp;b" rel="noreferrer">l</a></li><li>m (javascript:x)</li></ol>',
+    ]
+    assert got == "\n".join(want)
+    assert markdown.to_html("") == "" and "<script" not in markdown.to_html("<script>x</script>\n[a](data:text/html,x)")
\ No newline at end of file
