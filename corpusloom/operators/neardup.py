@@ -4,7 +4,12 @@ Equal sketches are one class, represented by its smallest key: a text with thous
 row from there on, and copies are never expanded into pairs. Buckets then hold distinct sketches only.
 
 strict (the default, as in the reference) compares what shares a band of positions, and so misses links
-at any similarity below 1; with strict=False every two sketches that share a value are compared.
+at any similarity below 1; with strict=False every two sketches that can be similar enough are compared.
+
+A bucket of many sketches (they share an opening or a licence) isn't compared all with all. Two sketches
+with a similarity of t or more share a value among the rarest of each: of n values the n - ceil(t n) + 1
+that are in the fewest sketches. Members of large buckets, and all sketches with strict=False, meet only
+on those, which loses nothing and makes no candidates of what is common.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from .components import connected_components
 
 K, SHINGLE, BANDS, ROWS, THRESHOLD = 64, 4, 16, 4, 0.8
 LEAST_WORDS = 2
+LARGE = 200  # sketches in a bucket that are compared by their rarest values
 
 
 def sketch(text: Column, k: int = K, n: int = SHINGLE) -> Column:
@@ -49,23 +55,41 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def classes(sketched: DataFrame) -> DataFrame:
-    """(rep, sk, copies): each distinct sketch with its smallest key."""
-    return sketched.groupBy("sk").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
+    """(rep, sk, copies): each distinct sketch with its smallest key. Written, as it is read many times."""
+    return materialise(sketched.groupBy("sk").agg(F.min("key").alias("rep"), F.count("*").alias("copies")), "sketch-classes")
 
 
-def exhaustive_segments(of: Column) -> Column:
-    """For a complete search: any shared value makes a candidate."""
-    return F.transform(of, lambda h: F.struct(F.lit(0).alias("band"), F.array(h).alias("seg")))
+def rare_prefixes(reps: DataFrame, threshold: float) -> DataFrame:
+    """(rep, v): of each sketch the values that are in the fewest sketches, as many as two similar ones
+    cannot both do without."""
+    values = reps.select("rep", F.size("sk").alias("n"), F.explode("sk").alias("v"))
+    often = values.groupBy("v").agg(F.count("*").alias("often"))
+    ordered = values.join(often, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("vs"))  # K values
+    needed = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1
+    return ordered.select("rep", F.explode(F.slice("vs", F.lit(1), needed)).alias("p")).where("p.often > 1").select("rep", "p.v")
 
 
-def pairs(reps: DataFrame, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
-    """(a, b, sim) between class representatives, a < b, sim >= threshold. strict: candidates by band
-    position; else by any shared value, which misses nothing."""
-    cut = bands(F.col("sk")) if strict else exhaustive_segments(F.col("sk"))
-    cells = reps.select("rep", F.explode(cut).alias("cell")).select("rep", "cell.band", "cell.seg")
+def _met(cells: DataFrame, *by: str) -> DataFrame:
+    """(a, b) of the reps that share a cell."""
     left, right = cells.withColumnRenamed("rep", "a"), cells.withColumnRenamed("rep", "b")
-    found = left.join(right, ["band", "seg"]).where("a < b").select("a", "b").distinct()
-    found = found.join(reps.select(F.col("rep").alias("a"), F.col("sk").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sk").alias("sb")), "b")
+    return left.join(right, list(by)).where("a < b").select("a", "b").distinct()
+
+
+def pairs(reps: DataFrame, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
+    """(a, b, sim) between class representatives, a < b, sim >= threshold. strict: only pairs that share a
+    band of positions."""
+    sketched = lambda x, y: reps.select(F.col("rep").alias(x), F.col("sk").alias(y))
+    if strict:
+        cells = materialise(reps.select("rep", F.explode(bands(F.col("sk"))).alias("cell")).select("rep", "cell.band", F.xxhash64("cell.seg").alias("seg")), "sketch-cells")
+        sizes = cells.groupBy("band", "seg").agg(F.count("*").alias("n")).where("n > 1")
+        small = cells.join(sizes.where(F.col("n") <= LARGE), ["band", "seg"]).select("rep", "band", "seg")
+        crowded = cells.join(sizes.where(F.col("n") > LARGE), ["band", "seg"], "left_semi").select("rep").distinct()
+        found = _met(small, "band", "seg").unionByName(_met(rare_prefixes(reps.join(crowded, "rep", "left_semi"), threshold), "v")).distinct()
+    else:
+        found = _met(rare_prefixes(reps, threshold), "v")
+    found = found.join(sketched("a", "sa"), "a").join(sketched("b", "sb"), "b")
+    if strict:
+        found = found.where(F.exists(F.arrays_zip(bands(F.col("sa")).alias("x"), bands(F.col("sb")).alias("y")), lambda z: z["x"]["seg"] == z["y"]["seg"]))
     return found.withColumn("sim", jaccard(F.col("sa"), F.col("sb"))).where(F.col("sim") >= threshold).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
@@ -74,14 +98,14 @@ def library_pairs(docs: DataFrame, library: str, key: str, text: str, threshold:
     hash, so that sketches of different libraries share nothing."""
     made = sketches(docs.select(F.struct(library, key).alias("_key"), text), "_key", text)
     marked = made.withColumn("sk", F.transform("sk", lambda h: F.concat(h, F.lit("@"), F.coalesce(F.col(f"key.{library}").cast("string"), F.lit("")))))
-    reps = materialise(classes(marked), "sketch-classes")
+    reps = classes(marked)
     return pairs(reps, threshold, strict).select(F.col(f"a.{library}").alias(library), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), "sim")
 
 
 def clusters(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
     """(key, cluster): the smallest key reachable; only documents that have a near-duplicate."""
     sketched = materialise(sketches(docs, key, text), "sketches")
-    reps = materialise(classes(sketched), "sketch-classes")
+    reps = classes(sketched)
     roots = connected_components(pairs(reps, threshold, strict), "a", "b")
     labelled = reps.join(roots, F.col("rep") == F.col("node"), "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
     labelled = labelled.select("sk", F.coalesce("root", "rep").alias("cluster"))
@@ -91,7 +115,7 @@ def clusters(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD,
 def statistics(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
     """One row: scanned, skipped, pairs (between classes), groups."""
     sketched = materialise(sketches(docs, key, text), "sketches")
-    reps = materialise(classes(sketched), "sketch-classes")
+    reps = classes(sketched)
     edges = materialise(pairs(reps, threshold, strict), "sketch-pairs")
     roots = connected_components(edges, "a", "b")
     grouped = reps.join(roots, F.col("rep") == F.col("node"), "left").where((F.col("copies") > 1) | F.col("root").isNotNull())

@@ -2,60 +2,41 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..storage import materialise
 
 K = 20
 
 
+def _gap(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+
+
 def farthest_points(vectors: DataFrame, group: str, key: str, vector: str, k: int = K) -> DataFrame:
     """(group, step, key): k rows of each group, starting at the smallest key; each next one is farthest
-    (Euclidean) from those chosen; the smallest key wins a tie. Groups of up to k rows return whole.
+    (Euclidean) from those chosen; the smallest key wins a tie. Groups of up to k rows return whole,
+    without rows at a distance of zero from those chosen.
 
-    The groups advance together, one aggregate a step: a step reads the vectors, the chosen ones (k a
-    group) are the only thing that is broadcast, and no group is gathered anywhere.
+    All groups advance together, one aggregate with map-side combination a step, so there may be any
+    number of them and none is gathered anywhere. What is chosen (k rows a group) is a table that each
+    step joins; the driver sees none of it.
     """
     base = vectors.select(F.col(group).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     base = materialise(base.where("v IS NOT NULL"), "points")
-    sizes = {r["g"]: r["n"] for r in base.groupBy("g").agg(F.count("*").alias("n")).collect()}  # a row a group
-    chosen = {r["g"]: [(r["p"]["id"], list(r["p"]["v"]))] for r in base.groupBy("g").agg(F.min(F.struct("id", "v")).alias("p")).collect()}
-    open_groups = {g for g, n in sizes.items() if n > 1}
-    for _ in range(1, k):
-        if not open_groups:
+    point = F.struct("id", "v")
+    chosen = materialise(base.groupBy("g").agg(F.min(point).alias("p")).select("g", F.lit(0).alias("step"), "p.id", "p.v"), "chosen")
+    for step in range(1, k):
+        places = chosen.groupBy(F.col("g").alias("of")).agg(F.collect_list(point).alias("places"))  # fewer than k each
+        near = lambda v, ps: F.array_min(F.transform(ps, lambda p: _gap(v, p["v"])))
+        far = base.join(places, F.col("g").eqNullSafe(F.col("of"))).where(~F.exists("places", lambda p: p["id"] == F.col("id")))
+        far = far.select("g", "id", "v", let(F.col("places"), lambda ps: near(F.col("v"), ps)).alias("gap")).where("gap > 0")
+        best = far.groupBy("g").agg(F.min(F.struct((-F.col("gap")).alias("near"), "id", "v")).alias("p"))
+        more = materialise(best.select("g", F.lit(step).alias("step"), "p.id", "p.v"), "chosen")
+        if more.isEmpty():
             break
-        places = {g: np.array([v for _, v in chosen[g]]) for g in open_groups}
-        taken = {g: {i for i, _ in chosen[g]} for g in open_groups}
-
-        def far(batches, places=places, taken=taken):
-            for pdf in batches:
-                best = []
-                for g, rows in pdf.groupby("g", dropna=False, sort=False):
-                    g = None if pd.isna(g) else g
-                    if g not in places:
-                        continue
-                    x = np.stack(rows["v"].to_numpy())
-                    gap = np.full(len(x), np.inf)
-                    for p in places[g]:
-                        gap = np.minimum(gap, ((x - p) ** 2).sum(axis=1))
-                    ids = rows["id"].to_numpy()
-                    gap[np.isin(ids, list(taken[g]))] = -1
-                    i = np.lexsort((ids, -gap))[0]
-                    if gap[i] > 0:
-                        best.append((g, ids[i], float(gap[i]), x[i].tolist()))
-                yield pd.DataFrame(best, columns=["g", "id", "gap", "v"])
-
-        schema = f"g {base.schema['g'].dataType.simpleString()}, id {base.schema['id'].dataType.simpleString()}, gap double, v array<double>"
-        best = base.mapInPandas(far, schema).groupBy("g").agg(F.max_by(F.struct("id", "v"), F.struct("gap", -F.col("id") if base.schema["id"].dataType.typeName() in ("long", "integer") else F.col("id"))).alias("p"))
-        found = {r["g"]: (r["p"]["id"], list(r["p"]["v"])) for r in best.collect()}
-        for g in list(open_groups):
-            if g in found:
-                chosen[g].append(found[g])
-            if g not in found or len(chosen[g]) >= sizes[g]:
-                open_groups.discard(g)
-    rows = [(g, i, point) for g, points in chosen.items() for i, (point, _) in enumerate(points[:k])]
-    schema = f"{group} {base.schema['g'].dataType.simpleString()}, step int, {key} {base.schema['id'].dataType.simpleString()}"
-    return vectors.sparkSession.createDataFrame(rows, schema)
+        chosen = chosen.unionByName(more)
+    return chosen.select(F.col("g").alias(group), "step", F.col("id").alias(key))

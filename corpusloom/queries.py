@@ -360,7 +360,18 @@ def hub_nodes(spark, sf):
 # Sampling
 
 
-@query()
+def _farthest_sql(k: int) -> str:
+    """Each step as a CTE: of each label the vector farthest from those chosen before."""
+    steps = ["e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)", "c0 AS (SELECT label, 0 AS step, vec_id, v FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)"]
+    for i in range(1, k):
+        chosen = " UNION ALL ".join(f"SELECT * FROM c{j}" for j in range(i))
+        steps.append(f"p{i} AS ({chosen})")
+        steps.append(f"d{i} AS (SELECT e.label, e.vec_id, any_value(e.v) AS v, min(list_sum(list_transform(list_zip(e.v, p.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS gap FROM e JOIN p{i} p ON p.label = e.label GROUP BY 1, 2)")
+        steps.append(f"c{i} AS (SELECT label, {i} AS step, vec_id, v FROM d{i} WHERE gap > 0 AND vec_id NOT IN (SELECT vec_id FROM p{i}) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(gap, 9) DESC, vec_id) = 1)")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT label, step, vec_id FROM c{j}" for j in range(k))
+
+
+@query(_farthest_sql(5))
 def fps_sample(spark, sf):
     return sampling.farthest_points(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", 5)
 

@@ -49,3 +49,23 @@ def test_exhaustive(spark):
     within = {(r.lib, r.a, r.b) for r in neardup.library_pairs(docs, "lib", "key", "text", strict=False).collect()}
     assert {(a, b) for _, a, b in within} >= {(a, b) for a, b in want if lib[a] == lib[b] and len(sk[a]) < neardup.K > len(sk[b])}
     assert all(lib[a] == lib[b] == x for x, a, b in within)
+
+
+def test_large_buckets_give_the_same(spark, monkeypatch):
+    """Whether buckets are compared directly or by their rarest values."""
+    docs = spark.createDataFrame(texts(), SCHEMA)
+    reps = neardup.classes(neardup.sketches(docs, "key", "text"))
+    want = sorted(map(tuple, neardup.pairs(reps).collect()))
+    for large in (1, 2, 3):
+        monkeypatch.setattr(neardup, "LARGE", large)
+        assert sorted(map(tuple, neardup.pairs(reps).collect())) == want
+    assert want
+
+
+def test_a_common_opening_makes_no_candidates(spark):
+    """300 texts with the same long opening and licence but bodies of their own: rare values hardly meet."""
+    common = " ".join(f"c{i}" for i in range(60))
+    docs = spark.range(300).selectExpr("int(id) AS key", f"concat('{common} ', array_join(transform(sequence(1, 200), i -> concat('b', id, 'x', i)), ' ')) AS text")
+    reps = neardup.classes(neardup.sketches(docs, "key", "text"))
+    assert neardup._met(neardup.rare_prefixes(reps, 0.8), "v").count() < 300
+    assert neardup.pairs(reps, strict=False).count() == 0 and neardup.pairs(reps).count() == 0
