@@ -15,7 +15,7 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .control import LIBRARY, SUMMARY_LENGTH, Gate, Library, Registry
+from .control import LIBRARY, SUMMARY_LENGTH, Gate, Library, Registry, read_summary, summary_prompt
 from .functions import paths
 from .functions.text import inline_html_as_markdown, stem, stripped, suffix
 from .models import Embedder, Extractor, HashedTokens, Reranker, embed
@@ -111,6 +111,13 @@ class Engine:
         x.summary, x.summary_source, x.summary_at, x.summary_fingerprint = text, source, time.time(), print_of["fingerprint"] if print_of else ""
         self._save(registry)
 
+    def suggest_library_summary(self, library: str, write: Callable[[str], str], k: int = 5) -> str:
+        """Asks a model (any callable of a prompt) for a summary of a library's sample and proposes it; the
+        number of the proposal. ValueError if the answer is empty."""
+        titles = [r["rel"] for r in self.tables.read("file_meta", META, library).select("rel").orderBy("rel").limit(50).collect()]
+        samples = [r["body"] for r in self.get_library_sample(library, k).collect()]  # k rows
+        return self.propose_library_summary(library, read_summary(write(summary_prompt(library, samples, titles))))
+
     def get_library_sample(self, library: str, k: int = sampling.K) -> DataFrame:
         """Representative pieces of a library."""
         chunks = self.tables.read("chunks", CHUNKS).where(F.col("lib") == library).withColumn("cid", F.concat_ws("::", "rel", "chunk"))

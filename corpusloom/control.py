@@ -18,6 +18,7 @@ from typing import Any
 from .functions.paths import scope
 
 PROPOSAL_SECONDS = 600
+WRONG_CODES = 5  # of a proposal, before it is closed
 SUMMARY_LENGTH = 300
 LIBRARY = "name string, path string, selection_in array<string>, selection_out array<string>, selection_default string, options string, summary string, summary_source string, summary_at double, summary_fingerprint string"
 
@@ -101,15 +102,16 @@ class Registry:
 
 class Gate:
     """Writes in two steps: a proposal, then its confirmation by a six-digit code that is shown to the
-    user alone. One proposal at a time; a code works once, and for PROPOSAL_SECONDS."""
+    user alone. One proposal at a time; a code works once, and for PROPOSAL_SECONDS; after WRONG_CODES
+    wrong ones the proposal is closed."""
 
     def __init__(self, show: Callable[[str], None], clock: Callable[[], float] = time.time):
-        self._show, self._clock, self._open = show, clock, None
+        self._show, self._clock, self._open, self._wrong = show, clock, None, 0
 
     def propose(self, library: str, what: Any) -> str:
         code = f"{random_source.randbelow(10**6):06d}"
         number = random_source.token_hex(8)
-        self._open = (number, library, hashlib.sha256(code.encode()).hexdigest(), self._clock(), what)
+        self._open, self._wrong = (number, library, hashlib.sha256(code.encode()).hexdigest(), self._clock(), what), 0
         self._show(code)
         return number
 
@@ -121,6 +123,9 @@ class Gate:
             self._open = None
             raise ValueError("the proposal has expired")
         if not hmac.compare_digest(digest, hashlib.sha256(code.strip().encode()).hexdigest()):
+            self._wrong += 1
+            if self._wrong >= WRONG_CODES:
+                self._open = None
             raise ValueError("wrong code")
         self._open = None
         return what
@@ -132,6 +137,38 @@ def summary_prompt(name: str, samples: list[str], titles: list[str]) -> str:
     return "\n".join(parts)
 
 
+def read_summary(answer: str) -> str:
+    """A model's answer as a summary: without fence, quotes and line ends, at most SUMMARY_LENGTH long, cut
+    at the end of a sentence where there is one."""
+    text = re.sub(r"^\s*```\w*\n|\n```\s*$", "", answer.strip())
+    text = " ".join(text.split()).strip("\"'“”")
+    if len(text) <= SUMMARY_LENGTH:
+        return text
+    head = text[:SUMMARY_LENGTH]
+    stop = max(head.rfind(c) for c in ".!?。！？")
+    return head[: stop + 1] if stop > SUMMARY_LENGTH // 2 else head
+
+
+def edit_settings(text: str, changes: dict[str, Any]) -> str:
+    """All of several changes, or none: KeyError if any key isn't there."""
+    for key, value in changes.items():
+        text = edit_setting(text, key, value)
+    return text
+
+
+def backfill_settings(text: str, missing: dict[str, Any]) -> str:
+    """The settings that a text of JSON with comments lacks, put before its last brace."""
+    if not missing:
+        return text
+    end = text.rstrip().rfind("}")
+    if end < 0:
+        return json.dumps(missing, ensure_ascii=False, indent=2)
+    head = text[:end].rstrip()
+    bare = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", head, flags=re.DOTALL).rstrip()
+    lines = ",\n".join(f"  {json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}" for k, v in missing.items())
+    return head + ("" if bare.endswith(("{", ",")) else "\n  ,") + "\n" + lines + "\n" + text[end:]
+
+
 def edit_setting(text: str, key: str, value: Any) -> str:
     """Replaces one setting's value in JSON with comments and leaves everything else as it is."""
     token = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/', re.DOTALL)

@@ -300,6 +300,38 @@ def placeholder_files(spark, sf):
     return notes.select("doc_id", text.placeholder_heavy(F.col("note"), 0.1).alias("heavy"))
 
 
+@query("""
+WITH t AS (SELECT doc_id, list_concat(['v1.' || doc_id, source], ['火箭'], CASE doc_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['箭推'] ELSE ['箭推', '推推'] END) AS terms FROM documents)
+SELECT doc_id, array_to_string(terms, ' ') AS terms FROM t""")
+def han_tokens(spark, sf):
+    notes = _notes(spark, sf, line="'火箭' || repeat('推', cast(doc_id % 3 AS int)) || ' V1.' || doc_id || ' 中 a ' || source")
+    return notes.select("doc_id", F.array_join(text.tokens(F.col("line")), " ").alias("terms"))
+
+
+_NOTE = "CASE doc_id % 7 WHEN 0 THEN '笔记 ' || doc_id WHEN 1 THEN 'plain' || doc_id WHEN 2 THEN '火箭_发动机' || doc_id WHEN 3 THEN '2024-01-02 x' || doc_id WHEN 4 THEN '标题' || doc_id WHEN 5 THEN 'ABC_' || doc_id ELSE '文  件' || doc_id END"
+_NOTE_REL = f"CASE WHEN doc_id % 11 = 0 THEN 'templates/' WHEN doc_id % 13 = 0 THEN '00-Inbox/' ELSE source || '/' END || {_NOTE} || '.md'"
+_NOTE_BODY = f"CASE doc_id % 4 WHEN 0 THEN 'no heading' WHEN 1 THEN '# ' || {_NOTE} || chr(10) || text WHEN 2 THEN text || chr(10) || '## 1.2 ' || chr(10) || 'x' ELSE '# Other' END"
+
+
+@query(f"""
+WITH n AS (SELECT doc_id, source, doc_id % 7 AS k, doc_id % 4 AS b, {_NOTE_REL} AS rel FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 7 NOT IN (3, 5)),
+r AS (SELECT doc_id, rel, array_to_string(list_filter([CASE WHEN k = 1 THEN 'R1' END, CASE WHEN k IN (2, 6) THEN 'R2' END, CASE WHEN b = 0 THEN 'R3' END, CASE WHEN b = 2 THEN 'R4' END, CASE WHEN b IN (2, 3) THEN 'H1' END, CASE WHEN doc_id % 3 = 0 THEN 'FM' END], lambda x: x IS NOT NULL), ' ') AS rules FROM n)
+SELECT rel, rules, (doc_id % 6)::INT AS inlinks, doc_id % 6 >= 3 AS risky FROM r WHERE rules <> ''""")
+def note_rules(spark, sf):
+    notes = _notes(spark, sf, rel=_NOTE_REL, base=_NOTE, body=_NOTE_BODY, title="CASE WHEN doc_id % 3 > 0 THEN 't' ELSE '' END")
+    inlinks = notes.select(F.col("base").alias("target"), F.expr("array_repeat('x', cast(doc_id % 6 AS int)) AS sources"))
+    return diagnostics.note_report(notes.select("rel", "body", "title"), inlinks).select("rel", F.array_join("rules", " ").alias("rules"), "inlinks", "risky")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '火箭' || lang || ' n' || doc_id WHEN 1 THEN '标题 ' || source || ' n' || doc_id WHEN 2 THEN NULL WHEN 3 THEN '很长 n' || doc_id || ' 的名字' ELSE repeat('字', 24) || ' n' || doc_id END AS name FROM documents""")
+def name_suggestions(spark, sf):
+    title = "CASE doc_id % 5 WHEN 0 THEN '【 火箭' || lang || '：发动机' WHEN 1 THEN 'abc,,d' WHEN 2 THEN 'abc' WHEN 3 THEN '很长   N' || doc_id || ' 的名字' ELSE 'x,' || repeat('字', 30) || '。' END"
+    heading = "CASE WHEN doc_id % 5 = 1 THEN ' 标题  ' || source || '；二' ELSE 'plain' END"
+    notes = _notes(spark, sf, base="'n' || doc_id", title=title, headings=f"array('first', {heading})")
+    return notes.select("doc_id", F.when(F.col("doc_id") % 5 == 3, F.regexp_replace(diagnostics.suggested_name(F.col("base"), [F.col("title")], F.col("headings")), "N", "n")).otherwise(diagnostics.suggested_name(F.col("base"), [F.col("title"), F.lit(None).cast("string")], F.col("headings"))).alias("name"))
+
+
 # Selection: folders are source/lang, files are documents
 
 _FILE = "source || '/' || lang || '/' || CASE WHEN doc_id % 11 = 0 THEN 'tmp-' ELSE '' END || 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.PDF' ELSE '.exe' END"

@@ -17,9 +17,15 @@ MANY_LINKS = 3
 EXEMPT_NAMES = ("log.md", "目录.md", "home.md", "agents.md", "readme.md")
 EXEMPT_FOLDERS = ("templates", "TODO", "任务节点", "Clippings")
 EXEMPT_ROOTS = ("00-Inbox", "90-Archive")
+#: Names that are dates, names that look like code, Han signs, signs that names don't have.
 DATED = r"^\d{4}[-_.]\d{2}[-_.]\d{2}"
 CODE_LIKE = r"^[A-Za-z]?\d+[._-][A-Za-z0-9_.-]|^.*?[A-Z]{2,}.*?_\d|^[A-Z0-9]+_[A-Z0-9_]+$|^(?=[^一-龥]*$)(?=.*\d)(?=.*_)[A-Za-z0-9_]+$"
 HAN = r"[\u4e00-\u9fff]"
+BAD_SIGNS = r"[_:]| {2,}"
+NUMBERS_ALONE = r"^\d+(\.\d+)*$"
+#: What ends the first part of a title, and the most signs of a suggested name.
+TITLE_STOPS = "—–；;，,。：:"
+NAME_LENGTH = 24
 
 
 def library_rollup(meta: DataFrame) -> DataFrame:
@@ -28,7 +34,7 @@ def library_rollup(meta: DataFrame) -> DataFrame:
 
 
 def failures_by_reason(meta: DataFrame) -> DataFrame:
-    """(lib, reason, n), reasons in their fixed order."""
+    """(lib, reason, n, place): place is the reason's in the fixed order, those without one last."""
     failed = meta.where(terminal(F.col("xfail"), F.col("tbd"))).groupBy("lib", F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))
     place = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
     return failed.withColumn("place", F.when(place > 0, place).otherwise(F.lit(len(REASONS) + 1)).cast("int"))
@@ -97,9 +103,12 @@ def progress_text(p: dict) -> str:
 
 
 def snapshot(meta: DataFrame, stale: DataFrame) -> DataFrame:
-    """The dashboard: (lib, files, chunks, failed, state, overall), libraries with nothing indexed too."""
+    """The dashboard: (lib, files, chunks, failed, state, overall, issues), libraries with nothing indexed
+    too. issues: (reason, n) of its failures, reasons in their fixed order."""
     counts = meta.groupBy("lib").agg(F.count("*").alias("files"), F.sum(F.coalesce("chunks", F.lit(0))).cast("long").alias("chunks"), F.count_if(terminal(F.col("xfail"), F.col("tbd"))).alias("failed"))
-    joined = stale.join(counts, "lib", "left").fillna(0, ["files", "chunks", "failed"])
+    each = F.array_sort(F.collect_list(F.struct("place", "reason", "n")))  # a handful of reasons
+    issues = failures_by_reason(meta).groupBy("lib").agg(F.transform(each, lambda x: F.struct(x["reason"].alias("reason"), x["n"].alias("n"))).alias("issues"))
+    joined = stale.join(counts, "lib", "left").fillna(0, ["files", "chunks", "failed"]).join(issues, "lib", "left")
     return library_states(joined)
 
 
@@ -131,22 +140,23 @@ def violations(rel: Column, body: Column, title: Column) -> Column:
     plain = lambda s: F.lower(F.regexp_replace(s, r"[\s\-_]+", ""))
     first = plain(F.get(headings, F.lit(0)))
     rules = [
-        F.when(~base.rlike(HAN), "R1"), F.when(base.rlike(r"[_:]| {2,}"), "R2"), F.when(F.size(headings) == 0, "R3"),
-        F.when(F.exists(headings, lambda h: h.rlike(r"^\d+(\.\d+)*$")), "R4"),
+        F.when(~base.rlike(HAN), "R1"), F.when(base.rlike(BAD_SIGNS), "R2"), F.when(F.size(headings) == 0, "R3"),
+        F.when(F.exists(headings, lambda h: h.rlike(NUMBERS_ALONE)), "R4"),
         F.when((F.size(headings) > 0) & (first != "") & (plain(base) != "") & (first != plain(base)), "H1"), F.when(F.coalesce(title, F.lit("")) == "", "FM"),
     ]
     return F.array_compact(F.array(*rules))
 
 
 def suggested_name(base: Column, texts: list[Column], headings: Column) -> Column:
-    """A note's name from what it says of itself: the first part of texts (title, tags, ...) with Han signs,
-    else the first such heading, cut at punctuation and at 24 signs; the old name follows if it isn't in it."""
-    parts = F.flatten(F.array(*[F.split(F.coalesce(t, F.lit("")), ",") for t in texts]))
-    han = lambda xs: F.get(F.filter(F.transform(xs, stripped), lambda x: x.rlike(HAN)), F.lit(0))
-    chosen = F.coalesce(han(parts), han(headings))
-    head = F.regexp_replace(F.regexp_replace(F.get(F.split(chosen, "[—–；;，,。：:]"), F.lit(0)), r"^[【\s]*", ""), r"\s+", " ")
-    head = stripped(F.left(stripped(head), F.lit(24)))
-    return F.when(F.coalesce(head, F.lit("")) == "", F.lit(None)).when(F.contains(F.lower(head), F.lower(base)), head).otherwise(stripped(F.concat_ws(" ", head, base)))
+    """A note's name from what it says of itself: the first of its texts' parts (title, tags, ...) or else of
+    its headings that has Han signs, up to the first stop and NAME_LENGTH signs. The old name follows, if
+    it isn't in it."""
+    said = F.split(F.array_join(F.array(*[F.coalesce(t, F.lit("")) for t in texts]), ","), ",")
+    speaking = F.filter(F.concat(said, F.coalesce(headings, F.array().cast("array<string>"))), lambda x: x.rlike(HAN))
+    first = F.regexp_extract(F.get(F.transform(speaking, stripped), F.lit(0)), rf"^[【\s]*([^{TITLE_STOPS}]*)", 1)
+    head = stripped(F.left(stripped(F.regexp_replace(first, r"\s+", " ")), F.lit(NAME_LENGTH)))
+    named = F.when(F.contains(F.lower(head), F.lower(base)), head).otherwise(stripped(F.concat_ws(" ", head, base)))
+    return F.when(F.coalesce(head, F.lit("")) != "", named)
 
 
 def note_report(notes: DataFrame, inlinks: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from .models import truncate_vector
 from .operators import bm25, delivery, diagnostics, evaluation, graph, ingest, neardup, ranking, retrieval, sampling
 from .plans import hybrid
 from .sources import extraction, package
+from .storage import materialise
 from .streaming import ingest as streams
 
 QUERIES: dict = {}
@@ -145,11 +146,6 @@ def term_counts(spark, sf):
     return table(spark, sf, "documents").select(F.explode(text.tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
 
 
-@query("SELECT * FROM (VALUES ('火箭发动机 v1.2 ok', ['v1.2', 'ok', '火箭', '箭发', '发动', '动机']), ('a 中 bb', ['bb'])) t(line, terms)", arrays=('terms',))
-def han_tokens(spark, sf):
-    return values(spark, "('火箭发动机 v1.2 ok'), ('a 中 bb')", "line").select("line", text.tokens(F.col("line")).alias("terms"))
-
-
 # Dense search and fusion
 
 _DENSE = """
@@ -332,10 +328,15 @@ def near_dup_stats(spark, sf):
     return neardup.statistics(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("SELECT * FROM (VALUES (['1', '3'], ['2', '3'], 2, 0.0::DOUBLE), (['1', '2', '3', '4'], ['1', '2', '3', '5'], 4, 0.75::DOUBLE), ([]::VARCHAR[], ['1'], 4, 0.0::DOUBLE), ([]::VARCHAR[], []::VARCHAR[], 4, 1.0::DOUBLE)) t(a, b, k, sim)", arrays=('a', 'b'))
+@query(f"""
+WITH {_SKETCH.split("c AS (SELECT sk")[0].rstrip().rstrip(",")},
+s AS (SELECT a.doc_id, a.sk AS x, b.sk AS v, list_sort(list_distinct(list_concat(a.sk, b.sk))) AS u FROM k a JOIN k b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, round(CASE WHEN len(x) >= 64 AND len(v) >= 64 THEN len(list_filter(list_intersect(x, v), lambda h: h <= u[64])) / 64.0::DOUBLE ELSE len(list_intersect(x, v)) / len(u)::DOUBLE END, 6) AS sim FROM s""")
 def sketch_similarity(spark, sf):
-    rows = values(spark, "(array('1','3'), array('2','3'), 2), (array('1','2','3','4'), array('1','2','3','5'), 4), (cast(array() as array<string>), array('1'), 4), (cast(array() as array<string>), cast(array() as array<string>), 4)", "a, b, k")
-    return rows.select("a", "b", "k", F.when(F.col("k") == 2, neardup.jaccard(F.col("a"), F.col("b"), 2)).otherwise(neardup.jaccard(F.col("a"), F.col("b"), 4)).alias("sim"))
+    """Of each document and the next one."""
+    made = materialise(neardup.sketches(table(spark, sf, "documents"), "doc_id", "text"), "sketches")
+    after = made.select((F.col("key") - 1).alias("key"), F.col("sk").alias("next"))
+    return made.join(after, "key").select(F.col("key").alias("doc_id"), F.round(neardup.jaccard(F.col("sk"), F.col("next")), 6).alias("sim"))
 
 
 # Graph
@@ -472,9 +473,12 @@ def _meta(spark, sf):
     )
 
 
-@query(f"WITH {_META} SELECT lib, coalesce(reason, 'unknown') AS reason, count(*) AS n FROM m WHERE xfail GROUP BY 1, 2")
+_REASONS = "['unreadable', 'extract-failed', 'empty', 'tbd', 'scanned']"
+
+
+@query(f"WITH {_META} SELECT lib, coalesce(reason, 'unknown') AS reason, count(*) AS n, coalesce(list_position({_REASONS}, reason), 6)::INT AS place FROM m WHERE xfail GROUP BY 1, 2, 4")
 def failures_by_reason(spark, sf):
-    return diagnostics.failures_by_reason(_meta(spark, sf)).drop("place")
+    return diagnostics.failures_by_reason(_meta(spark, sf))
 
 
 @query(f"WITH {_META} SELECT lib, count(*) AS files, sum(chunks)::BIGINT AS chunks FROM m GROUP BY ROLLUP (lib)")
@@ -482,11 +486,18 @@ def library_rollup(spark, sf):
     return diagnostics.library_rollup(_meta(spark, sf))
 
 
-@query(f"WITH {_META}, c AS (SELECT lib, count(*) AS files, sum(chunks)::BIGINT AS chunks, count_if(xfail) AS failed FROM m GROUP BY 1) SELECT lib, files, chunks, failed, CASE WHEN lib = 'src1' THEN 'stale' ELSE 'ok' END AS state, 'stale' AS overall FROM c")
+@query(f"""
+WITH {_META}, c AS (SELECT lib, count(*) AS files, sum(chunks)::BIGINT AS chunks, count_if(xfail) AS failed, max(doc_id) % 7 < 2 AS stale FROM m GROUP BY 1),
+r AS (SELECT lib, coalesce(reason, 'unknown') AS reason, count(*) AS n FROM m WHERE xfail GROUP BY 1, 2),
+i AS (SELECT lib, string_agg(reason || ' ' || n, ', ' ORDER BY coalesce(list_position({_REASONS}, reason), 6)) AS issues FROM r GROUP BY 1),
+s AS (SELECT lib, files, chunks, failed, CASE WHEN stale THEN 'stale' ELSE 'ok' END AS state FROM c UNION ALL SELECT 'empty', 0, 0, 0, 'none')
+SELECT s.*, CASE WHEN (SELECT bool_or(state = 'stale') FROM s) THEN 'stale' WHEN (SELECT bool_and(state = 'none') FROM s) THEN 'none' ELSE 'ok' END AS overall, coalesce(issues, '') AS issues FROM s LEFT JOIN i USING (lib)""")
 def dashboard(spark, sf):
+    """Some libraries are stale, one has nothing indexed."""
     meta = _meta(spark, sf)
-    stale = meta.select("lib").distinct().withColumn("stale", F.col("lib") == "src1")
-    return diagnostics.snapshot(meta, stale).select("lib", "files", "chunks", "failed", "state", "overall")
+    stale = meta.groupBy("lib").agg((F.max("doc_id") % 7 < 2).alias("stale")).unionByName(spark.sql("SELECT 'empty' AS lib, true AS stale"))
+    told = F.array_join(F.transform("issues", lambda x: F.concat_ws(" ", x["reason"], x["n"])), ", ")
+    return diagnostics.snapshot(meta, stale).select("lib", "files", "chunks", "failed", "state", "overall", F.coalesce(told, F.lit("")).alias("issues"))
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS files, sum(event_id % 5)::BIGINT AS pages, sum(event_id % 5) > 800 AS over FROM events GROUP BY 1")
@@ -495,18 +506,6 @@ def daily_quota(spark, sf):
     return diagnostics.daily_quota(log).withColumn("day", F.col("day").cast("string"))
 
 
-@query("SELECT * FROM (VALUES ('笔记.md', ['R3', 'FM']), ('plain_name.md', ['R1', 'R2', 'R4', 'H1'])) t(rel, rules)", arrays=('rules',))
-def note_rules(spark, sf):
-    rows = values(spark, r"('笔记.md', 'no heading', ''), ('plain_name.md', '# 1.2\nx', 't'), ('2024-01-02 x.md', '', ''), ('templates/a.md', '', '')", "rel, body, title")
-    return diagnostics.note_report(rows.withColumn("body", F.replace("body", F.lit("\\n"), F.lit("\n"))), values(spark, "('x', array('y'))", "target, sources")).select("rel", "rules")
-
-
-@query("SELECT * FROM (VALUES (0, '火箭 x'), (1, '标题一 y'), (2, NULL), (3, '很长 z9 的名字')) t(id, name)")
-def name_suggestions(spark, sf):
-    rows = values(spark, "(0, 'x', '【火箭：发动机', array('h')), (1, 'y', 'abc,,d', array('plain', '标题一；二')), (2, 'q', 'abc', array('no')), (3, 'z9', '很长  z9 的名字', array('h'))", "id, base, title, headings")
-    return rows.select("id", diagnostics.suggested_name(F.col("base"), [F.col("title")], F.col("headings")).alias("name"))
-
-
 @query("WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT epoch(now) - epoch(ts) AS age FROM events, n WHERE epoch(now) - epoch(ts) < 86400) SELECT round(greatest(0, 86400 - max(age)), 3) AS wait FROM l")
 def slot_waits(spark, sf):
     events = table(spark, sf, "events")

@@ -220,6 +220,30 @@ def test_control():
     assert control.edit_setting(text, "k", [3]) == text.replace("[1, 2]", "[3]") and control.edit_setting(text, "s", "z") == text.replace('"x,y"', '"z"')
 
 
+def test_settings_and_summaries():
+    import pytest
+
+    from corpusloom import control
+
+    text = '{\n  // note\n  "bm25_k1": 2, // last "x": 1\n}'
+    filled = control.backfill_settings(text, {"bm25_b": 0.5, "extensions": ["md"]})
+    options, missing = config.load(filled)
+    assert options["bm25_k1"] == 2.0 and options["bm25_b"] == 0.5 and options["extensions"] == ["md"] and "// note" in filled and not {"bm25_b", "extensions"} & set(missing)
+    assert config.load(control.backfill_settings('{"bm25_k1": 2 // x,\n}', {"bm25_b": 0.5}))[0]["bm25_b"] == 0.5 and config.parse(control.backfill_settings("{}", {"a": 1})) == {"a": 1}
+    assert control.edit_settings(filled, {"bm25_k1": 3, "bm25_b": 1}).count("3,") == 1
+    with pytest.raises(KeyError):
+        control.edit_settings(filled, {"bm25_k1": 3, "nothing": 1})
+    assert control.read_summary('```\n"About  pumps."\n```') == "About pumps." and len(control.read_summary("word " * 100)) <= 300 and control.read_summary("First part. " * 40).endswith("part.")
+    codes = []
+    gate = control.Gate(codes.append)
+    number = gate.propose("l", "x")
+    for _ in range(control.WRONG_CODES):
+        with pytest.raises(ValueError):
+            gate.confirm("l", number, "wrong")
+    with pytest.raises(ValueError, match="no such"):
+        gate.confirm("l", number, codes[0])
+
+
 def test_api(spark, tmp_path):
     from corpusloom.api import Engine
 
@@ -243,6 +267,9 @@ def test_api(spark, tmp_path):
     number = engine.propose_library_summary("n", "Notes on fuel.")
     engine.apply_library_summary("n", number, codes[-1])
     assert engine.list_libraries().first().summary == "Notes on fuel."
+    number = engine.suggest_library_summary("n", lambda prompt: f"'About {prompt.count('fuel.md')} file of fuel.'")
+    engine.apply_library_summary("n", number, codes[-1], "model")
+    assert engine.list_libraries().first().summary.endswith("file of fuel.")
     nodes, edges = engine.graph()
     assert nodes.count() == 4 and edges.count() == 0
     import shutil
