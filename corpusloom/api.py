@@ -34,7 +34,8 @@ PAGES = "lib string, rel string, page int, vec array<float>"
 POSTINGS = "lib string, term string, cid struct<lib:string,rel:string,chunk:int>, tf long, dl long"
 LENGTHS = "lib string, cid struct<lib:string,rel:string,chunk:int>, dl long"
 STATES = "lib string, version int, indexed_at double"
-CACHE = "hash string, route string, version int, markdown string"
+CACHE = "hash string, route string, version int, markdown string, sidecar string"
+BLOCKS = "array<struct<type:string,text:string>>"
 #: Files that are read by their paths; if more have changed, the folder is read as a whole.
 LISTED_FILES = 10_000
 PAGE_META = "lib string, rel string, pages int, failed boolean, reason string, size long, mtime_ns long, signature string"
@@ -176,20 +177,22 @@ class Engine:
         return row is None or row["consistent"]
 
     def _markdown(self, new: DataFrame) -> DataFrame:
-        """new with text and reason: what the extractor reads of files that aren't text, from the cache if
-        it has been read before. Adds what is read now to the cache."""
+        """new with text, blocks and failed (a reason): what the extractor reads of files that aren't text,
+        from the cache if it has been read before. Adds what is read now to the cache. Files that the
+        extractor defers are left out."""
         cached = self.tables.read("extractions", CACHE)
         others = new.where("content IS NOT NULL").select("hash", "rel", "content", F.lit(self.signature).alias("route"))
         todo = extraction.missing(others, cached, ingest.META_VERSION).dropDuplicates(["hash"])
-        pages = materialise(extraction.extract(todo, self.extractor), "extracted")
-        if not pages.isEmpty():
-            made = pages.select("hash", F.lit(self.signature).alias("route"), F.lit(ingest.META_VERSION).alias("version"), F.array_join(F.filter("pages", lambda p: p.isNotNull()), "\n\n").alias("markdown"))
-            self.tables.commit({"extractions": {uuid.uuid4().hex: made.where("markdown IS NOT NULL")}})
+        read = materialise(extraction.extract(todo, self.extractor), "extracted")
+        made = read.where("pages IS NOT NULL").select("hash", F.lit(self.signature).alias("route"), F.lit(ingest.META_VERSION).alias("version"), F.array_join("pages", "\n\n").alias("markdown"), "sidecar")
+        if not made.isEmpty():
+            self.tables.commit({"extractions": {uuid.uuid4().hex: made}})
             cached = self.tables.read("extractions", CACHE)
-        known = cached.where((F.col("route") == self.signature) & (F.col("version") == ingest.META_VERSION)).groupBy("hash").agg(F.first("markdown").alias("markdown"))
-        joined = new.join(known, "hash", "left").withColumn("markdown", F.when(stripped(F.col("markdown")) != "", F.col("markdown")))
+        known = cached.where((F.col("route") == self.signature) & (F.col("version") == ingest.META_VERSION)).groupBy("hash").agg(F.first("markdown").alias("markdown"), F.first("sidecar").alias("sidecar"))
+        there = new.join(read.where("deferred").select("hash"), "hash", "left_anti")
+        joined = there.join(known, "hash", "left").withColumn("markdown", F.when(stripped(F.col("markdown")) != "", F.col("markdown")))
         reason = F.when(F.col("text").isNull() & F.col("markdown").isNull(), F.when(F.col("hash") == ingest.UNREADABLE, ingest.UNREADABLE).when(F.col("content").isNull(), "empty").otherwise("extract-failed"))
-        return joined.select("lib", "rel", "size", "mtime_ns", "hash", F.coalesce("text", "markdown").alias("text"), reason.alias("failed"))
+        return joined.select("lib", "rel", "size", "mtime_ns", "hash", F.coalesce("text", "markdown").alias("text"), F.from_json("sidecar", BLOCKS).alias("blocks"), reason.alias("failed"))
 
     def reindex_knowledge(self, library: str, approved: Sequence[str] | None = None) -> dict:
         """Indexes what has changed and commits all tables of the library at once. Contents are read of
@@ -211,10 +214,12 @@ class Engine:
         emptied = bool(counts) and not sum(v for k, v in counts.items() if k != "removed")
         if not counts or emptied:
             return counts | {"emptied": emptied}
-        touched = diffed.where("status <> 'same'")
-        new = self._markdown(suspects.join(diffed.where("status IN ('added', 'changed', 'retry')"), ["lib", "rel"], "left_semi"))
-        new = materialise(new, "new-files")
-        texts = new.where("text IS NOT NULL").select("lib", "rel", "text")
+        wanted = diffed.where("status IN ('added', 'changed', 'retry')")
+        new = materialise(self._markdown(suspects.join(wanted, ["lib", "rel"], "left_semi")), "new-files")
+        touched = new.select("lib", "rel").unionByName(diffed.where("status = 'removed'").select("lib", "rel"))
+        deferred = wanted.join(new, ["lib", "rel"], "left_anti")
+        counts |= {"deferred": n} if (n := deferred.count()) else {}
+        texts = new.where("text IS NOT NULL").select("lib", "rel", "text", "blocks")
         chunks, states = ingest.chunk_files(texts, o["chunk_char_limit"], o["short_doc_char_limit"], o["tbd_exclude_ratio"])
         chunks, states = materialise(chunks, "chunks"), materialise(states, "file-states")
         pieces = chunks.groupBy("lib", "rel").agg(F.count("*").cast("int").alias("chunks"))
@@ -223,6 +228,7 @@ class Engine:
             F.lit(False).alias("tbd"), "reason", F.lit(self.signature).alias("xsrc"), "links",
         )
         seen = listed.select("lib", "rel", F.col("size").alias("_size"), F.col("mtime_ns").alias("_time"))
+        seen = seen.join(deferred.select("lib", "rel"), ["lib", "rel"], "left_anti")  # these are looked at again
         kept = read("file_meta", META).join(seen, ["lib", "rel"], "left").withColumns({"size": F.coalesce("_size", "size"), "mtime_ns": F.coalesce("_time", "mtime_ns")}).drop("_size", "_time")
         vectors = chunks.select("lib", "rel", "chunk", embed(F.col("text"), self.embedder).alias("vec"))
         index = hybrid.keyword_index(chunks)
@@ -232,7 +238,7 @@ class Engine:
         lengths = by_file(read("lengths", LENGTHS)).join(gone, ["_lib", "_rel"], "left_anti").drop("_lib", "_rel").unionByName(index.lengths)
         state = self.spark.createDataFrame([(library, ingest.META_VERSION, time.time())], STATES)
         next_version = {
-            "file_meta": ingest.publish(kept, fresh, touched), "file_text": ingest.publish(read("file_text", TEXT), texts, touched), "chunks": ingest.publish(read("chunks", CHUNKS), chunks, touched),
+            "file_meta": ingest.publish(kept, fresh, touched), "file_text": ingest.publish(read("file_text", TEXT), texts.drop("blocks"), touched), "chunks": ingest.publish(read("chunks", CHUNKS), chunks, touched),
             "vectors": ingest.publish(read("vectors", VECTORS), vectors, touched), "postings": bm25.stored(postings), "lengths": lengths, "index_states": state,
         }
         self.tables.commit({name: {library: rows} for name, rows in next_version.items()})

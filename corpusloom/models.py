@@ -29,9 +29,18 @@ class Reranker(Protocol):
 
 
 class Extractor(Protocol):
+    """pages: the text of each page of a file, or None. May raise Deferred. An extractor may also have
+    ``sidecar(name, content)``, which returns its blocks as JSON (type and text, see strip_sidecar_noise),
+    and ``signature``, the name of what it can do now."""
+
     def pages(self, name: str, content: bytes) -> list[str] | None: ...
 
 
+class Deferred(Exception):
+    """Raised by an extractor whose service will read the file later: the file is left as it is until the
+    next run, and isn't a failure."""
+
+
 class HashedTokens:
     """Tokens hashed to signed dimensions, summed and normalised."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
-from ..models import Extractor
+from ..models import Deferred, Extractor
 
 TEXT_PAGE_LEAST = 10
 ROUTES = ("ocr:mineru-cloud", "ocr:mineru-local", "mineru-text", "local")
@@ -55,20 +55,26 @@ def read_cached(files: DataFrame, cache: DataFrame, routes: tuple[str, ...] = RO
 
 
 def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
-    """files: hash, rel, content. (hash, pages): page texts, null where the file can't be read. A batch
-    of files at a time; a failure is a row, not a failed task."""
+    """files: hash, rel, content. (hash, pages, sidecar, deferred): page texts, null where the file can't be
+    read; the extractor's blocks as JSON, if it has any. A batch of files at a time; a failure is a row, not
+    a failed task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for rel, content in zip(pdf["rel"], pdf["content"], strict=True):
+            rows = []
+            for key, rel, content in zip(pdf["hash"], pdf["rel"], pdf["content"], strict=True):
+                pages, sidecar, deferred = None, None, False
                 try:
-                    out.append(extractor.pages(rel, bytes(content)))
+                    pages = extractor.pages(rel, bytes(content))
+                    sidecar = extractor.sidecar(rel, bytes(content)) if pages is not None and hasattr(extractor, "sidecar") else None
+                except Deferred:
+                    deferred = True
                 except Exception:  # noqa: BLE001  whatever a parser raises
-                    out.append(None)
-            yield pd.DataFrame({"hash": pdf["hash"], "pages": out})
+                    pages = None
+                rows.append((key, pages, sidecar, deferred))
+            yield pd.DataFrame(rows, columns=["hash", "pages", "sidecar", "deferred"])
 
-    return files.select("hash", "rel", "content").mapInPandas(run, "hash string, pages array<string>")
+    return files.select("hash", "rel", "content").mapInPandas(run, "hash string, pages array<string>, sidecar string, deferred boolean")
 
 
 def heading_marks(style: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.models import HashedTokens, TokenOverlap, embed
+from corpusloom.models import Deferred, HashedTokens, TokenOverlap, embed
 from corpusloom.operators import components, delivery, graph, ingest, sampling
 from corpusloom.plans import hybrid
 from corpusloom.sources import config, extraction, files, package
@@ -323,6 +323,41 @@ def test_extraction_in_the_index(spark, tmp_path):
     assert able.preview(str(vault / "p.pdf"))["text"] == "page one\n\npage two" and able.preview(str(vault / "a.md"))["route"] == "text"
 
 
+class Service(Pages):
+    """A service that takes its time: the first request for a file only queues it."""
+
+    signature = "service"
+    queued: set = set()
+
+    def pages(self, name, content):
+        import pathlib
+
+        mark = pathlib.Path(content.decode().split("\x0c")[0])
+        if not mark.exists():
+            mark.touch()
+            raise Deferred(name)
+        return ["Report 7", "body of the report", "Report 7"]
+
+    def sidecar(self, name, content):
+        return '[{"type": "header", "text": " Report 7 "}, {"type": "text", "text": "body of the report"}]'
+
+
+def test_deferred_files_and_sidecars(spark, tmp_path):
+    from corpusloom.api import CHUNKS, Engine
+
+    vault = tmp_path / "vault"
+    write(vault, a_md="plain note")
+    (vault / "scan.pdf").write_bytes(f"{tmp_path / 'mark'}\x0cx".encode())
+    engine = Engine(spark, str(tmp_path / "index"), extractor=Service())
+    engine.add_library("n", str(vault))
+    assert engine.reindex_knowledge("n") == {"added": 2, "deferred": 1, "emptied": False}
+    assert engine.index_failures("n").count() == 0 and engine.tables.read("file_meta").count() == 1
+    assert engine.reindex_knowledge("n") == {"added": 1, "same": 1, "emptied": False}
+    assert engine.read_document("n", "scan.pdf").first().text.count("Report 7") == 2  # as it was read
+    assert [r.body for r in engine.tables.read("chunks", CHUNKS).where("rel = 'scan.pdf'").collect()] == ["\nbody of the report"]  # page furniture is gone
+    assert engine.reindex_knowledge("n") == {"same": 2, "emptied": False}
+
+
 def test_formats_versions_and_healing(spark, tmp_path, monkeypatch):
     from corpusloom.api import CHUNKS, Engine
 
