@@ -161,9 +161,23 @@ class Engine:
         read = self._suspects(x, listed, mine, False).select("lib", "rel", "hash")
         return ingest.diff(listed.join(read, ["lib", "rel"], "left"), mine, self.signature)
 
+    def staleness(self, library: str) -> dict:
+        """Numbers of files by status, and whether the folder is missing, is emptied, or the index is of
+        another version. A missing or emptied folder is no reason to delete."""
+        x = self._registry().get(library)
+        if not files.exists(self.spark, x.path):
+            return {"missing": True, "emptied": False, "version_upgrade": self._outdated(library)}
+        mine = self.tables.read("file_meta", META, library)
+        row = ingest.diff_counts(self.changes(library), mine).first()
+        counts = row.asDict() if row else dict.fromkeys(("added", "removed", "changed", "retry", "same"), 0) | {"emptied": False}
+        return {k: v for k, v in counts.items() if k not in ("lib", "stale")} | {"missing": False, "version_upgrade": self._outdated(library)}
+
     def is_stale(self, library: str) -> bool:
-        """Whether files were added, removed or touched since the last index, by size and time alone."""
+        """Whether files were added, removed or touched since the last index, by size and time alone. A
+        library whose folder is missing is not."""
         x = self._registry().get(library)
+        if not files.exists(self.spark, x.path):
+            return False
         mine = self.tables.read("file_meta", META, library)
         listed = self.listing(x).withColumn("hash", F.lit(None).cast("string"))
         return self._outdated(library) or not ingest.diff(listed, mine, self.signature).where("status <> 'same'").isEmpty()
@@ -196,9 +210,11 @@ class Engine:
 
     def reindex_knowledge(self, library: str, approved: Sequence[str] | None = None) -> dict:
         """Indexes what has changed and commits all tables of the library at once. Contents are read of
-        files whose size or time has changed only. A folder that lists nothing any more deletes nothing;
+        files whose size or time has changed only. A folder that is missing or lists nothing deletes nothing;
         an index of another version, or one that lost pieces, is built anew. approved: see listing()."""
         x = self._registry().get(library)
+        if not files.exists(self.spark, x.path):
+            return {"missing": True, "emptied": False}
         o = config.effective(config.DEFAULTS, x.options)
         read = lambda name, schema: self.tables.read(name, schema, library)
         allowed = (lambda d: d) if approved is None else (lambda d: d.where(suffix(F.col("rel")).isin(*files.TEXT_SUFFIXES, *approved)))
@@ -286,6 +302,7 @@ class Engine:
             changes["extractions"] = {part: None for part in now.get("extractions", {})} | {"kept": materialise(cached.join(live, "hash", "left_semi"), "extractions-kept")}
         if changes:
             self.tables.commit(changes)
+        self.tables.sweep_drafts()
         return {"parts": sum(map(len, gone.values())), "extractions": orphaned}
 
     def import_package(self, library: str, path: str) -> dict:

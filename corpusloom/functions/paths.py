@@ -96,6 +96,17 @@ def tree(listed: DataFrame) -> DataFrame:
     return each.groupBy("prefix", (F.col("depth") + 1).alias("depth")).agg(F.count("*").alias("files"), F.count_if("included").alias("included"))
 
 
+def tree_states(listed: DataFrame, chosen_in: Column, chosen_out: Column, extensions: Column, supported: Column, default: Column) -> DataFrame:
+    """The tree with each node's state: effective_state() of files, of folders the choice that holds there
+    (chosen_in, chosen_out, or neutral)."""
+    node = tree(listed)
+    leaf = listed.select(F.col("rel").alias("prefix"), F.lit(True).alias("_leaf")).distinct()
+    action = nearest_choice(chosen_in, chosen_out, F.col("prefix"))["action"]
+    of_folder = F.when(action == "in", "chosen_in").when(action == "out", "chosen_out").otherwise("neutral")
+    state = F.when(F.col("_leaf"), effective_state(F.col("prefix"), chosen_in, chosen_out, extensions, supported, default)).otherwise(of_folder)
+    return node.join(leaf, "prefix", "left").withColumn("state", state).drop("_leaf")
+
+
 def in_folder(rel: Column, folder: str) -> Column:
     """Whether rel is the folder, or below it; an empty folder holds everything."""
     f = folder.strip().replace("\\", "/").strip("/").strip()

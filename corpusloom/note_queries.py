@@ -411,11 +411,13 @@ def effective_states(spark, sf):
 
 
 @query("""
-WITH f AS (SELECT source AS a, source || '/' || lang AS b, source || '/' || lang || '/d' || doc_id AS c, (doc_id % 3 = 0)::INT AS inc FROM documents),
-e AS (SELECT a AS prefix, 1 AS depth, inc FROM f UNION ALL SELECT b, 2, inc FROM f UNION ALL SELECT c, 3, inc FROM f)
-SELECT prefix, depth, count(*) AS files, sum(inc)::BIGINT AS included FROM e GROUP BY 1, 2""")
+WITH f AS (SELECT source AS a, source || '/' || lang AS b, source || '/' || lang || '/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.pdf' ELSE '.exe' END AS c, (doc_id % 3 = 0)::INT AS inc, doc_id FROM documents),
+e AS (SELECT a AS prefix, 1 AS depth, inc, a, b, NULL AS k FROM f UNION ALL SELECT b, 2, inc, a, b, NULL FROM f UNION ALL SELECT c, 3, inc, a, b, doc_id % 3 FROM f)
+SELECT prefix, depth, count(*) AS files, sum(inc)::BIGINT AS included,
+  CASE WHEN any_value(a) = 'src1' AND depth > 1 AND any_value(b) = 'src1/en' THEN 'chosen_out' WHEN any_value(a) = 'src1' THEN 'chosen_in' WHEN depth < 3 THEN 'neutral' WHEN any_value(k) = 2 THEN 'unsupported' WHEN any_value(k) = 0 THEN 'format_in' ELSE 'format_out' END AS state FROM e GROUP BY 1, 2""")
 def selection_tree(spark, sf):
-    return paths.tree(_notes(spark, sf, rel="source || '/' || lang || '/d' || doc_id", included="doc_id % 3 = 0").select("rel", "included"))
+    listed = _notes(spark, sf, rel="source || '/' || lang || '/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.pdf' ELSE '.exe' END", included="doc_id % 3 = 0").select("rel", "included")
+    return paths.tree_states(listed, _strings("src1"), _strings("src1/en"), _strings("md"), _strings("md", "pdf"), F.lit("follow"))
 
 
 # Links between notes: every folder has a note of each number, the last of a name is meant

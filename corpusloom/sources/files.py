@@ -10,6 +10,11 @@ from ..functions.text import stripped, suffix
 TEXT_SUFFIXES = ("md", "txt")
 
 
+def exists(spark: SparkSession, root: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def listing(spark: SparkSession, root: str, lib: str) -> DataFrame:
     """(lib, rel, path, size, mtime_ns), without reading contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -277,6 +277,10 @@ def test_api(spark, tmp_path):
     shutil.rmtree(vault)
     vault.mkdir()
     assert engine.reindex_knowledge("n")["emptied"] and engine.read_document("n", "new").count() == 1
+    assert engine.staleness("n")["emptied"] and engine.staleness("n")["removed"] == 4
+    vault.rmdir()
+    assert engine.staleness("n") == {"missing": True, "emptied": False, "version_upgrade": False} and not engine.is_stale("n")
+    assert engine.reindex_knowledge("n") == {"missing": True, "emptied": False} and engine.read_document("n", "new").count() == 1
 
 
 def docx_bytes(text):
@@ -464,6 +468,9 @@ def test_tables(spark, tmp_path):
     for v in (3, 4):
         t.commit({"a": {"p": row("p", v), "q": None}})
     assert len(t.versions()) == 2 and len(list((tmp_path / "t" / "a").iterdir())) == 2 and t.read("b").count() == 1
+    (tmp_path / "t" / "manifest" / ".dead").write_text("{}")
+    (tmp_path / "t" / "a" / "left-over").mkdir()
+    assert t.sweep_drafts() == 0 and t.sweep_drafts(hours=-1) == 2 and t.read("a").count() == 1
 
 
 def test_small_things(spark, tmp_path):
