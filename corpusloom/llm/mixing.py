@@ -10,7 +10,7 @@ The words before a document need a running sum in each source. A source may hold
 so the sum has two levels: 4096 hash buckets in a source, summed with map-side combination, then a
 window inside each (source, bucket).
 
-Defined results: a null text has size 0; a null source is a source of its own, ordered last; a null
+Defined results: a null text has size 0, texts have any length; a null source is a source of its own, ordered last; a null
 doc_id orders as the empty string; repeated rows are documents of their own (equal rows tie, and it
 does not matter which of them comes first); a source without words has target 0; an empty table gives
 an empty result. Input columns are kept in a struct, so their names may clash with those made here.

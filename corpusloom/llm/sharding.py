@@ -17,7 +17,8 @@ The heavy groups are differenced first, in a task of their own; every bin is dif
 its share of their eight sums, which leaves room for them in proportion, and the driver differences the
 heavy sums and those of the bins, without the shares.
 
-Law: ``bytes``. Defined results: a null text has no bytes, so size 1; the null text and the empty text
+Law: ``bytes``. Defined results: a null text has no bytes, so size 1; texts have any length (only digests
+and sizes leave the tasks that read them); groups that tie in size go by digest; the null text and the empty text
 are one group; rows with equal or null doc_id are documents of their own; an empty table gives an empty
 result. Extra columns are never read by name.
 """

@@ -12,7 +12,8 @@ variant: no group is hot. Those at most one bit from the variant are within 3 bi
 the group; each member is verified against the closest one (a star), never all pairs against each
 other. Stars then go through distributed connected components.
 
-Defined results: a null text is the empty text, with fingerprint zero, linked like any other. Rows with
+Defined results: a null text is the empty text, with fingerprint zero, linked like any other; texts have
+any length, they are read some thousand shingles at a time; an empty table gives an empty result. Rows with
 a null doc_id take part; component_id is the smallest doc_id that is not null. Repeated rows keep their
 number. Where one document of each group stays, it is the row with the smallest (doc_id, hash of the
 text), null last; of rows equal in both one stays. Extra columns are never read by name.
