@@ -6,8 +6,9 @@ sum) and adds them oppositely ordered, which cancels most of both spreads.
 
 The groups are reduced to (digest, bytes) before any of this. They are dealt to bins by digest, at
 most about ``BIN`` groups each, and each bin is differenced in a task of its own; what is left of a bin
-is a partial partition like any other, so the driver differences the bins' eight sums (never the
-groups). Bins are at most ``MAX_BINS``; beyond that bins grow. A document finds its shard by
+is a partial partition like any other: while there are more than ``MAX_BINS`` bins, the eight sums of about
+``FOLD`` bins each are differenced in tasks and make one bin; then the driver differences the bins' sums
+(never the groups). So neither a task nor the driver holds more than a stated number of them. A document finds its shard by
 its group's digest; slots are numbered with two-level counts, so that a shard needs no single task.
 
 Bins that are level each for itself cannot offset a group that is larger than a bin can level. So with
@@ -28,6 +29,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -38,6 +40,7 @@ from .shared import documents, local_rows, materialise
 SHARDS = 8
 BIN = 20_000
 MAX_BINS = 1 << 14
+FOLD = 1 << 11
 HEAVY = 16
 SLOT_BUCKETS = 4096
 
@@ -63,27 +66,40 @@ def difference(parts: list[tuple[list[int], list]]) -> tuple[list[int], list]:
     return [s for s, _ in slots], [m for _, m in slots]
 
 
+class Leaf(NamedTuple):
+    """A member that is a tuple itself."""
+
+    value: tuple
+
+
 def leaves(member) -> Iterator:
     todo = [member]
     while todo:
         m = todo.pop()
-        if isinstance(m, tuple):
+        if isinstance(m, Leaf):
+            yield m.value
+        elif isinstance(m, tuple):
             todo += m
         elif m is not None:
             yield m
 
 
+def combine(parts: list[tuple[list[int], list]], beside: list[int] | None = None) -> list[list]:
+    """The leaves of each place (0: the largest sum). beside: sums that are there already, one for each
+    place; places are then numbered by what they and the parts sum up to."""
+    if not parts:
+        return []
+    if beside and any(beside):
+        parts = [*parts, (beside, [None] * len(beside))]
+    return [list(leaves(member)) for member in difference(parts)[1]]
+
+
 def partition(sizes: list[int], shards: int = SHARDS, beside: list[int] | None = None) -> list[int]:
-    """The place (0: the largest sum) of each of the sizes. beside: sums that are there already, one for
-    each shard; places are then numbered by what they and the sizes sum up to."""
-    parts = [([s] + [0] * (shards - 1), [i] + [None] * (shards - 1)) for i, s in enumerate(sizes)]
+    """The place of each of the sizes."""
     place = [0] * len(sizes)
-    if parts:
-        if beside and any(beside):
-            parts.append((beside, [None] * shards))
-        for k, member in enumerate(difference(parts)[1]):
-            for i in leaves(member):
-                place[i] = k
+    for k, found in enumerate(combine([([s] + [0] * (shards - 1), [i] + [None] * (shards - 1)) for i, s in enumerate(sizes)], beside)):
+        for i in found:
+            place[i] = k
     return place
 
 
@@ -100,7 +116,7 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = groups.sparkSession
     octave = F.length(F.bin("bytes"))
     octaves = groups.groupBy(octave.alias("octave")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # at most 64 rows
-    bins = max(1, min(MAX_BINS, -(-sum(r["n"] for r in octaves) // BIN)))
+    bins = max(1, -(-sum(r["n"] for r in octaves) // BIN))
     heavy = 65  # the least octave that stays out of the bins
     for r in sorted(octaves, key=lambda r: -r["octave"]) if bins > 1 else []:
         if r["n"] > HEAVY * bins:
@@ -116,13 +132,36 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
 
         return materialise(dealt.groupBy("bin").applyInPandas(run, "digest string, bytes long, bin int, place int"), "shard-places")
 
+    def folded(placed: DataFrame, into: int, beside: list[int], of: int) -> DataFrame:
+        """placed with the bins' sums combined into fewer bins."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = []
+            for number, rows in pdf.sort_values(["bin", "place"], kind="stable").groupby("bin"):
+                held = [0] * shards
+                for k, n in zip(rows["place"].tolist(), rows["bytes"].tolist(), strict=True):
+                    held[k] = n
+                parts.append((held, [(number, k) for k in range(shards)]))
+            share = [x * int(pdf["bytes"].sum()) // of for x in beside]
+            found = [(number, place, k) for k, members in enumerate(combine([(h, [Leaf(x) for x in ids]) for h, ids in parts], share)) for number, place in members]
+            return pd.DataFrame(found, columns=["of_bin", "of_place", "new_place"]).assign(new_bin=pdf["fold"].iloc[0])
+
+        sums = placed.groupBy("bin", "place").agg(F.sum("bytes").alias("bytes")).withColumn("fold", F.pmod(F.xxhash64("bin"), F.lit(into)).cast("int"))
+        moved = sums.groupBy("fold").applyInPandas(run, "of_bin int, of_place int, new_place int, new_bin int")
+        found = placed.join(moved, (F.col("bin") == F.col("of_bin")) & (F.col("place") == F.col("of_place")))
+        return materialise(found.select("digest", "bytes", F.col("new_bin").alias("bin"), F.col("new_place").alias("place")), "shard-places")
+
     sums, beside, apart = {}, [0] * shards, None
     if any(r["octave"] >= heavy for r in octaves):
         apart = placed_in(groups.where(octave >= heavy).withColumn("bin", F.lit(-1)), beside, 1)
         sums = _sums(apart, shards)
         beside = sums[-1]
     dealt = groups.where(octave < heavy).withColumn("bin", F.pmod(F.xxhash64("digest"), F.lit(bins)).cast("int"))
-    placed = placed_in(dealt, beside, max(1, sum(r["bytes"] for r in octaves if r["octave"] < heavy)))
+    light = max(1, sum(r["bytes"] for r in octaves if r["octave"] < heavy))
+    placed = placed_in(dealt, beside, light)
+    while bins > MAX_BINS:
+        bins = -(-bins // FOLD)
+        placed = folded(placed, bins, beside, light)
     sums |= _sums(placed, shards)
     if apart is not None:
         placed = placed.unionByName(apart)

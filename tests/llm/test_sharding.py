@@ -79,6 +79,23 @@ def test_heavy_group_in_many_bins(spark, monkeypatch, part, fullest):
     assert levels[-2] - levels[0] <= 0.001 * sum(sizes) / 8
 
 
+@pytest.mark.parametrize("part", [0.1, 0.05, 0.001])
+def test_more_bins_than_the_driver_takes(spark, monkeypatch, part):
+    """Bins are folded twice before the driver sees them."""
+    for name, value in (("BIN", 50), ("MAX_BINS", 4), ("FOLD", 8)):
+        monkeypatch.setattr(sharding, name, value)
+    rng = random.Random(6)
+    sizes = [int(rng.lognormvariate(8, 1)) + 1 for _ in range(10_000)]
+    sizes.append(int(sum(sizes) * part / (1 - part)))
+    of = {hashlib.sha256(str(i).encode()).hexdigest(): s for i, s in enumerate(sizes)}
+    rows = sharding.shard_groups(spark.createDataFrame(list(of.items()), "digest string, bytes long")).collect()
+    assert sorted(r.digest for r in rows) == sorted(of)
+    sums = defaultdict(int)
+    for r in rows:
+        sums[r.shard] += of[r.digest]
+    assert max(sums.values()) - min(sums.values()) <= 0.001 * sum(sizes) / 8
+
+
 def test_edge_rows(spark):
     docs = [(1, None), (1, ""), (None, "x"), (None, "x"), (2, "y" * 50_000)]
     frame = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 AS shard", "2 AS digest", "3 AS size")
