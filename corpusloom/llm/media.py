@@ -32,7 +32,7 @@ UNIT = 576
 PAD = 255
 ACROSS = 2048  # ADPCM blocks decoded together
 PIECE = 1 << 20  # mu-law or A-law samples decoded at a time
-ROWS, SLICE = 512, 1 << 22  # rows of a batch, and bytes of their files, worked on at a time
+ROWS, SLICE = 256, 1 << 20  # rows of a batch, and bytes of their files, worked on at a time
 #: WAVE format tags.
 ALAW, MULAW, IMA = 6, 7, 17
 #: Sizes of their blocks here.
