@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdedup, langid, media, mixing, secretscan, shared, sharding, simhash, urlfilter
+from . import bpe, chat, exactdedup, langid, media, mixing, secretscan, shared, sharding, simhash, substrings, urlfilter
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_shards": sharding.op9_shards,
     "op10_bpe": bpe.op10_bpe,
+    "op11_substrings": substrings.op11_substrings,
     "langid_pages": langid.langid_pages,
 }
 
@@ -25,6 +26,7 @@ ORACLES = {
     "op3_chat": chat.ORACLE,
     "op5_exact_dedup": exactdedup.ORACLE,
     "op7_urls": urlfilter.ORACLE,
+    "op11_substrings": substrings.ORACLE,
 }
 
 

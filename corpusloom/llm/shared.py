@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 from ..storage import materialise, shared_dir
 
-__all__ = ["SPACE", "documents", "local_rows", "materialise", "shared_dir", "table", "whole_row"]
+__all__ = ["SPACE", "documents", "local_rows", "materialise", "nullable", "shared_dir", "table", "whole_row"]
 
 #: Fixed value: the white space of every contract, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -28,6 +29,17 @@ def whole_row(df: DataFrame, alias: str = "_row") -> Column:
     return F.struct(*columns).alias(alias)
 
 
+def nullable(kind: DataType) -> DataType:
+    """The type with nulls allowed everywhere, which is how Arrow functions return it."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType)) for f in kind])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
 def local_rows(spark: SparkSession, json_array: str, schema: str) -> DataFrame:
     """A small driver-side table (JSON text of an array of objects) without leaving the JVM."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json_array), f"array<struct<{schema}>>")))
