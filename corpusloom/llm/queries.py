@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdedup, langid, media, mixing, secretscan, shared, sharding, simhash, substrings, urlfilter
+from . import bpe, chat, exactdedup, langid, media, mixing, secretscan, shared, sharding, simhash, substrings, urlfilter, vectorcodes, whitening
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -18,6 +18,9 @@ QUERIES = {
     "op9_shards": sharding.op9_shards,
     "op10_bpe": bpe.op10_bpe,
     "op11_substrings": substrings.op11_substrings,
+    "op12_vector_codes": vectorcodes.op12_vector_codes,
+    "op13_whitening": whitening.op13_whitening,
+    "whitening_deviations": whitening.whitening_deviations,
     "langid_pages": langid.langid_pages,
 }
 
@@ -27,6 +30,8 @@ ORACLES = {
     "op5_exact_dedup": exactdedup.ORACLE,
     "op7_urls": urlfilter.ORACLE,
     "op11_substrings": substrings.ORACLE,
+    "op12_vector_codes": vectorcodes.ORACLE,
+    "whitening_deviations": whitening.DEVIATIONS,
 }
 
 
