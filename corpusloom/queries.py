@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions import markdown, paths, text
 from .models import truncate_vector
-from .operators import bm25, delivery, diagnostics, evaluation, graph, ingest, neardup, ranking, retrieval, sampling
+from .operators import bm25, delivery, diagnostics, evaluation, graph, ingest, neardup, ranking, retrieval, sampling, vectorindex
 from .plans import hybrid
 from .sources import extraction, package
-from .storage import materialise
+from .storage import materialise, own_path
 from .streaming import ingest as streams
 
 QUERIES: dict = {}
@@ -171,6 +171,16 @@ def dense_knn(spark, sf):
     return _dense(spark, sf).orderBy("distance", "doc_id").limit(20).select("doc_id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"WITH {_DENSE} SELECT doc_id, round(distance, 6) AS distance FROM n ORDER BY distance, doc_id LIMIT 20")
+def dense_knn_indexed(spark, sf):
+    """The same through a stored index, exactly: what its bounds exclude isn't read."""
+    vectors, q = _probe(spark, sf)
+    index = vectorindex.write(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "embedding", own_path(spark, "vector-index"))
+    # a few more than asked for, since rows are ordered by rounded distances
+    near = vectorindex.search(index, "doc_id", "embedding", [float(x) for x in q.first()["q"]], 40)
+    return near.withColumn("distance", F.round("distance", 9)).orderBy("distance", "doc_id").limit(20).select("doc_id", F.round("distance", 6).alias("distance"))
+
+
 def _fusion_sql(wd: float, wb: float) -> str:
     return f"""{_BM25}, {_DENSE},
 r1 AS (SELECT doc_id, row_number() OVER (ORDER BY distance, doc_id) AS rd FROM n),

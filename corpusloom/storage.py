@@ -37,11 +37,16 @@ def materialise(df: DataFrame, label: str, most: int | None = None) -> DataFrame
     has at most, if that is known; they go to files of ROWS_A_FILE, not to one for each task."""
     if most is not None:
         df = df.coalesce(max(1, -(-most // ROWS_A_FILE)))
-    path = f"{_own_dir(df.sparkSession)}/{_scope.get()}/{label}-{uuid.uuid4().hex}"
+    path = own_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A new folder for something that this application stores, in the present scope."""
+    return f"{_own_dir(spark)}/{_scope.get()}/{label}-{uuid.uuid4().hex}"
+
+
 def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
 
