@@ -46,7 +46,7 @@ class Centers(NamedTuple):
     most: np.ndarray
 
     def angles(self, query: np.ndarray) -> np.ndarray:
-        return np.arccos(np.clip(self.vectors @ query, -1, 1))
+        return np.arccos(np.clip(self.vectors @ query, -1, 1)) if len(self.vectors) else np.zeros(0)
 
 
 class VectorIndex(NamedTuple):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import markdown, paths, text
 from .models import truncate_vector
-from .operators import bm25, delivery, diagnostics, evaluation, graph, ingest, neardup, ranking, retrieval, sampling, vectorindex
+from .operators import blockmax, bm25, delivery, diagnostics, evaluation, graph, ingest, neardup, ranking, retrieval, sampling, vectorindex
 from .plans import hybrid
 from .sources import extraction, package
 from .storage import materialise, own_path
@@ -96,6 +96,15 @@ b AS (SELECT p.doc_id, p.lib, sum(ln(1 + (s.n - f.df + 0.5::DOUBLE) / (f.df + 0.
   FROM p JOIN q USING (term) JOIN f ON f.lib = p.lib AND f.term = p.term JOIN s ON s.lib = p.lib GROUP BY 1, 2)"""
 
 
+@query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM b ORDER BY round(bm25, 6) DESC, doc_id LIMIT 10")
+def bm25_blocks(spark, sf):
+    """The same through a stored index with block maxima."""
+    path = own_path(spark, "block-index")
+    index = blockmax.write(blockmax.build(table(spark, sf, "documents"), "doc_id", "text"), path)
+    found = blockmax.top(index, QUERY, 10).rows
+    return found.select(F.col("cid").alias("doc_id"), F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(10)
+
+
 def _corpus(spark, sf) -> hybrid.Corpus:
     """Documents as files of one piece, in libraries by source, with the vectors of the same number."""
     docs = table(spark, sf, "documents").select(F.col("source").alias("lib"), F.lpad("doc_id", 9, "0").alias("rel"), F.lit(0).alias("chunk"), F.lit("").alias("hp"), F.lit("").alias("title"), F.col("text").alias("body"), "text", "doc_id")
