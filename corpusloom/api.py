@@ -1,7 +1,7 @@
 """The engine as a user sees it: libraries that are indexed, searched, related and checked.
 
 Tables (see tables.Tables), with a part for each library: file_meta, file_text, chunks, vectors, postings,
-lengths, index_states, and optionally page_vectors and page_meta; libraries and extractions are shared. Results are DataFrames with structured rows; small answers are dictionaries.
+lengths, totals, index_states, and optionally page_vectors and page_meta; libraries and extractions are shared. Results are DataFrames with structured rows; small answers are dictionaries.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .plans import hybrid
 from .sources import config, extraction, files, package
 from .sources.docx import Docx
 from .storage import materialise
-from .tables import Tables
+from .tables import Change, Tables
 
 META = "lib string, rel string, size long, mtime_ns long, hash string, chunks int, xfail boolean, tbd boolean, reason string, xsrc string, links array<string>"
 CHUNKS = "lib string, rel string, chunk int, heading string, title string, tags string, hp string, ctx string, body string, text string"
@@ -32,18 +32,21 @@ VECTORS = "lib string, rel string, chunk int, vec array<float>"
 TEXT = "lib string, rel string, text string"
 PAGES = "lib string, rel string, page int, vec array<float>"
 POSTINGS = "lib string, term string, cid struct<lib:string,rel:string,chunk:int>, tf long, dl long"
+TOTALS = "lib string, n long, avgdl double"
 LENGTHS = "lib string, cid struct<lib:string,rel:string,chunk:int>, dl long"
 STATES = "lib string, version int, indexed_at double"
 CACHE = "hash string, route string, version int, markdown string, sidecar string"
 BLOCKS = "array<struct<type:string,text:string>>"
 #: Files that are read by their paths; if more have changed, the folder is read as a whole.
 LISTED_FILES = 10_000
+#: A library with more segments is compacted after an index run.
+SEGMENTS = 16
 PAGE_META = "lib string, rel string, pages int, failed boolean, reason string, size long, mtime_ns long, signature string"
 
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, reranker: Reranker | None = None, show_code: Callable[[str], None] = print, extractor: Extractor | None = None):
-        self.spark, self.tables = spark, Tables(spark, root)
+        self.spark, self.tables = spark, Tables(spark, root, keys={"postings": ("cid.lib", "cid.rel"), "lengths": ("cid.lib", "cid.rel")})
         self.embedder, self.reranker, self.extractor = embedder or HashedTokens(), reranker, extractor or Docx()
         self.gate = Gate(show_code)
         self._refreshing: dict[str, threading.Thread] = {}
@@ -243,23 +246,32 @@ class Engine:
             "lib", "rel", "size", "mtime_ns", "hash", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.col("reason").isNotNull().alias("xfail"),
             F.lit(False).alias("tbd"), "reason", F.lit(self.signature).alias("xsrc"), "links",
         )
-        seen = listed.select("lib", "rel", F.col("size").alias("_size"), F.col("mtime_ns").alias("_time"))
-        seen = seen.join(deferred.select("lib", "rel"), ["lib", "rel"], "left_anti")  # these are looked at again
-        kept = read("file_meta", META).join(seen, ["lib", "rel"], "left").withColumns({"size": F.coalesce("_size", "size"), "mtime_ns": F.coalesce("_time", "mtime_ns")}).drop("_size", "_time")
         vectors = chunks.select("lib", "rel", "chunk", embed(F.col("text"), self.embedder).alias("vec"))
         index = hybrid.keyword_index(chunks)
-        by_file = lambda d: d.withColumns({"_lib": F.col("cid.lib"), "_rel": F.col("cid.rel")})
-        gone = touched.select(F.col("lib").alias("_lib"), F.col("rel").alias("_rel"))
-        postings = by_file(read("postings", POSTINGS)).join(gone, ["_lib", "_rel"], "left_anti").drop("_lib", "_rel").unionByName(index.postings)
-        lengths = by_file(read("lengths", LENGTHS)).join(gone, ["_lib", "_rel"], "left_anti").drop("_lib", "_rel").unionByName(index.lengths)
+        # files that were touched without a change: their size and time alone, in the rows of file_meta
+        seen = listed.select("lib", "rel", F.col("size").alias("_size"), F.col("mtime_ns").alias("_time"))
+        seen = seen.join(deferred.select("lib", "rel"), ["lib", "rel"], "left_anti").join(touched, ["lib", "rel"], "left_anti")  # deferred ones are looked at again
+        moved = ~(F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime_ns").eqNullSafe(F.col("_time")))
+        looked = read("file_meta", META).join(seen, ["lib", "rel"]).where(moved).withColumns({"size": F.col("_size"), "mtime_ns": F.col("_time")}).drop("_size", "_time")
+        looked = materialise(looked, "looked-at")
+        touched = materialise(touched.distinct(), "touched")
+        by_file = touched.select(F.struct("lib", "rel").alias("_cid"))
+        remaining = read("lengths", LENGTHS).withColumn("_cid", F.struct("cid.lib", "cid.rel")).join(by_file, "_cid", "left_anti").drop("_cid")
+        totals = bm25.statistics(remaining.unionByName(index.lengths)).select("lib", "n", "avgdl")
         state = self.spark.createDataFrame([(library, ingest.META_VERSION, time.time())], STATES)
-        next_version = {
-            "file_meta": ingest.publish(kept, fresh, touched), "file_text": ingest.publish(read("file_text", TEXT), texts.drop("blocks"), touched), "chunks": ingest.publish(read("chunks", CHUNKS), chunks, touched),
-            "vectors": ingest.publish(read("vectors", VECTORS), vectors, touched), "postings": bm25.stored(postings), "lengths": lengths, "index_states": state,
-        }
+        added = {"file_text": texts.drop("blocks"), "chunks": chunks, "vectors": vectors, "postings": bm25.stored(index.postings), "lengths": index.lengths}
+        next_version = {name: Change(rows, touched) for name, rows in added.items()}
+        next_version["file_meta"] = Change(fresh.unionByName(looked), touched.unionByName(looked.select("lib", "rel")))
+        next_version |= {"totals": totals, "index_states": state}
         self.tables.commit({name: {library: rows} for name, rows in next_version.items()})
+        if self.tables.segments("chunks", library) > SEGMENTS:
+            self.tables.compact(library)
         return counts | {"emptied": False}
 
+    def compact(self, library: str) -> int:
+        """Writes the library's tables as one segment each; the number of tables that had several."""
+        return self.tables.compact(library)
+
     def ensure_fresh(self, library: str) -> str:
         """Before a search: an empty index is built at once; a stale one is built in the background, while
         searches see the old one. Returns fresh, built, started or running."""
@@ -291,7 +303,7 @@ class Engine:
         names = {x.name for x in self._registry()}
         if not names:
             return {"parts": 0, "extractions": 0}
-        per_library = ("file_meta", "file_text", "chunks", "vectors", "postings", "lengths", "index_states")
+        per_library = ("file_meta", "file_text", "chunks", "vectors", "postings", "lengths", "totals", "index_states")
         now = self.tables.current()
         gone = {name: {part: None for part in now.get(name, {}) if part not in names} for name in per_library}
         live = self.tables.read("file_meta", META).where(F.col("lib").isin(*names)).select("hash").distinct()
@@ -364,11 +376,16 @@ class Engine:
         scoped = tuple(self._registry().scope(libraries, exclude))
         for name in scoped if refresh else ():
             self.ensure_fresh(name)
-        index = bm25.Index(self.tables.read("postings", POSTINGS), self.tables.read("lengths", LENGTHS))
-        corpus = hybrid.Corpus(self.tables.read("chunks", CHUNKS), self.tables.read("vectors", VECTORS), index)
+        corpus = self._corpus()
         options = hybrid.Options(top_k=top_k, folder=folder, libraries=scoped, with_body=include_body)
         return hybrid.search(corpus, query, options, self.embedder, self.reranker)
 
+    def _corpus(self) -> hybrid.Corpus:
+        """All libraries, in one version."""
+        read = self.tables.snapshot()
+        index = bm25.Index(read("postings", POSTINGS), read("lengths", LENGTHS), read("totals", TOTALS))
+        return hybrid.Corpus(read("chunks", CHUNKS), read("vectors", VECTORS), index)
+
     def navigate_knowledge(self, query: str, top_k: int = 5, libraries=(), exclude=()) -> DataFrame:
         """The best pages of page images."""
         scoped = self._registry().scope(libraries, exclude)

@@ -22,10 +22,14 @@ LISTED_TERMS = 1000  # a query with more is joined, not listed in a filter
 
 @dataclass
 class Index:
-    """postings: lib, term, cid, tf, dl. lengths: lib, cid, dl."""
+    """postings: lib, term, cid, tf, dl. lengths: lib, cid, dl. totals: lib, n, avgdl, if they are stored."""
 
     postings: DataFrame
     lengths: DataFrame
+    totals: DataFrame | None = None
+
+    def statistics(self) -> DataFrame:
+        return self.totals if self.totals is not None else statistics(self.lengths)
 
 
 def build(docs: DataFrame, key: str, text: str, lib: str | None = None) -> Index:
@@ -63,7 +67,7 @@ def score_many(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -
     asked = queries.select("term").distinct()
     hits = index.postings.join(asked, "term", "left_semi")
     frequency = hits.groupBy("lib", "term").agg(F.count("*").alias("df"))
-    weighed = frequency.join(statistics(index.lengths), "lib").join(queries, "term")
+    weighed = frequency.join(index.statistics(), "lib").join(queries, "term")
     hits = hits.join(weighed, ["lib", "term"])
     part = score_term(*map(F.col, ("tf", "qtf", "df", "dl", "n", "avgdl")), k1, b)
     return hits.groupBy("qid", "lib", "cid").agg(F.sum(part).alias("bm25")).where("bm25 > 0")
@@ -76,7 +80,7 @@ def score(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
         return index.postings.select("lib", "cid", F.lit(0.0).alias("bm25")).limit(0)
     rows = spark.createDataFrame(list(asked.items()), "term string, qtf long").withColumn("qid", F.lit(0))
     narrow = index.postings.where(F.col("term").isin(*asked)) if len(asked) <= LISTED_TERMS else index.postings
-    return score_many(Index(narrow, index.lengths), rows, k1, b).drop("qid")
+    return score_many(Index(narrow, index.lengths, index.totals), rows, k1, b).drop("qid")
 
 
 def score_documents(docs: DataFrame, key: str, text: str, query: str, *more: str, k1: float = K1, b: float = B) -> DataFrame:

@@ -61,7 +61,7 @@ def candidates(corpus: Corpus, query: str, options: Options, embedder: Embedder
         near = retrieval.restrict(near, "rel", options.folder)
     inside = in_folder(F.col("cid.rel"), options.folder)
     dense = retrieval.nearest_of_each(near, "cid", "vec", vector, retrieval.dense_limit(options.top_k)).where(inside)
-    keyword = bm25.score(bm25.Index(postings, lengths), query).where(inside)
+    keyword = bm25.score(bm25.Index(postings, lengths, index.totals), query).where(inside)
     return retrieval.fuse_libraries(dense, keyword, options.w_dense, options.w_keyword).select("cid", "lib", "rrf")
 
 
@@ -83,7 +83,9 @@ def search(corpus: Corpus, query: str, options: Options | None = None, embedder:
     top = ranked.orderBy(*order).limit(window)
     top = top.withColumn("pos", F.row_number().over(Window.orderBy(*order)))  # `window` rows
     rows = top.join(chunks, "cid").select("cid.lib", "cid.rel", "cid.chunk", "hp", "title", "body", "score", "pos")
-    totals = delivery.piece_position(corpus.chunks.select("lib", "rel"))
+    rows = materialise(rows, "window")
+    # only the pieces of the files in the window are counted
+    totals = delivery.piece_position(corpus.chunks.select("lib", "rel").join(F.broadcast(rows.select("lib", "rel").distinct()), ["lib", "rel"], "left_semi"))
     if o.with_body:
         wanted = rows.select("lib", "rel", "hp").distinct()
         sections = delivery.whole_sections(corpus.chunks.join(F.broadcast(wanted), ["lib", "rel", "hp"], "left_semi")) if o.small_to_big else delivery.whole_sections(corpus.chunks.limit(0))

@@ -419,7 +419,7 @@ def test_refresh_garbage_and_import(spark, tmp_path):
     engine._refreshing["n"].join()
     assert engine.ensure_fresh("n") == "fresh" and engine.search_knowledge("oxygen", libraries=("n",)).first().rel == "b.md"
     engine.remove_library("o")
-    assert engine.collect_garbage()["parts"] == 7 and engine.tables.read("file_meta").select("lib").distinct().count() == 1
+    assert engine.collect_garbage()["parts"] == 8 and engine.tables.read("file_meta").select("lib").distinct().count() == 1
     assert engine.collect_garbage() == {"parts": 0, "extractions": 0}
     # vectors from a package: all or nothing
     vectors = engine.tables.read("vectors", part="n").selectExpr("concat_ws('::', rel, chunk) AS id", "'t' AS text", "transform(vec, x -> double(-x)) AS embedding", "map('a', 'b') AS meta")
@@ -456,7 +456,7 @@ def test_tables(spark, tmp_path):
 
     from corpusloom.tables import Tables
 
-    t = Tables(spark, str(tmp_path / "t"))
+    t = Tables(spark, str(tmp_path / "t"), hours=0)
     row = lambda *x: spark.createDataFrame([x], "k string, v int")
     t.commit({"a": {"p": row("p", 1), "q": row("q", 1)}, "b": {"p": row("b", 1)}})
     kept = t.current()["a"]["q"]
