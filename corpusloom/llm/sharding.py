@@ -11,12 +11,12 @@ is a partial partition like any other: while there are more than ``MAX_BINS`` bi
 (never the groups). So neither a task nor the driver holds more than a stated number of them. A document finds its shard by
 its group's digest; slots are numbered with two-level counts, so that a shard needs no single task.
 
-Bins that are level each for itself cannot offset a group that is larger than a bin can level. So with
-more than one bin the largest groups stay out: from the top, octaves of sizes (powers of two) as long as
-each has at most ``HEAVY`` groups a bin. What stays in is then no larger than an eighth of the mean bin.
-The heavy groups are differenced first, in a task of their own; every bin is differenced together with
-its share of their eight sums, which leaves room for them in proportion, and the driver differences the
-heavy sums and those of the bins, without the shares.
+Bins that are level each for itself cannot offset a group that is larger than a bin can level. So groups
+go in tiers by octaves of sizes (powers of two), the heaviest first: as many octaves as one bin holds; then
+one by one those that have at most ``HEAVY`` groups a bin; then the rest, whose groups are no larger than an
+eighth of the mean bin. Each tier has bins of its own, of ``BIN`` groups like all others. A tier's bins are differenced
+together with their share of the eight sums that the tiers before have left, which leaves room for them in
+proportion, and the driver differences these sums and those of the tier's bins, without the shares.
 
 Law: ``bytes``. Defined results: a null text has no bytes, so size 1; texts have any length (only digests
 and sizes leave the tasks that read them); groups that tie in size go by digest; the null text and the empty text
@@ -111,17 +111,28 @@ def _sums(placed: DataFrame, shards: int) -> dict[int, list[int]]:
     return sums
 
 
+def tiers(octaves: dict[int, int]) -> list[tuple[int, int]]:
+    """Ranges of octaves (from, below), the heaviest first. octaves: the number of groups in each."""
+    bins = max(1, -(-sum(octaves.values()) // BIN))
+    if bins == 1:
+        return [(0, 65)]
+    first = heavy = 65
+    taken, few = 0, True
+    for octave in sorted(octaves, reverse=True):
+        if octaves[octave] > HEAVY * bins:
+            break
+        heavy, taken = octave, taken + octaves[octave]
+        few = few and taken <= BIN
+        first = octave if few else first
+    edges = [65, first, *sorted((o for o in octaves if heavy <= o < first), reverse=True), 0]
+    return [(low, high) for high, low in zip(edges, edges[1:]) if low < high]
+
+
 def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """groups: digest (string, hexadecimal), bytes. Returns digest, shard."""
     spark = groups.sparkSession
     octave = F.length(F.bin("bytes"))
     octaves = groups.groupBy(octave.alias("octave")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()  # at most 64 rows
-    bins = max(1, -(-sum(r["n"] for r in octaves) // BIN))
-    heavy = 65  # the least octave that stays out of the bins
-    for r in sorted(octaves, key=lambda r: -r["octave"]) if bins > 1 else []:
-        if r["n"] > HEAVY * bins:
-            break
-        heavy = r["octave"]
 
     def placed_in(dealt: DataFrame, beside: list[int], of: int) -> DataFrame:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,27 +162,29 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
         found = placed.join(moved, (F.col("bin") == F.col("of_bin")) & (F.col("place") == F.col("of_place")))
         return materialise(found.select("digest", "bytes", F.col("new_bin").alias("bin"), F.col("new_place").alias("place")), "shard-places")
 
-    sums, beside, apart = {}, [0] * shards, None
-    if any(r["octave"] >= heavy for r in octaves):
-        apart = placed_in(groups.where(octave >= heavy).withColumn("bin", F.lit(-1)), beside, 1)
-        sums = _sums(apart, shards)
-        beside = sums[-1]
-    dealt = groups.where(octave < heavy).withColumn("bin", F.pmod(F.xxhash64("digest"), F.lit(bins)).cast("int"))
-    light = max(1, sum(r["bytes"] for r in octaves if r["octave"] < heavy))
-    placed = placed_in(dealt, beside, light)
-    while bins > MAX_BINS:
-        bins = -(-bins // FOLD)
-        placed = folded(placed, bins, beside, light)
-    sums |= _sums(placed, shards)
-    if apart is not None:
-        placed = placed.unionByName(apart)
-    chosen = []
-    if sums:
-        parts = [(s, [f"{b}/{k}" for k in range(shards)]) for b, s in sorted(sums.items())]
-        for shard, member in enumerate(difference(parts)[1]):
-            chosen += [{"bin": int(x.split("/")[0]), "place": int(x.split("/")[1]), "shard": shard} for x in leaves(member)]
-    table = local_rows(spark, json.dumps(chosen), "bin int, place int, shard int")
-    return placed.join(F.broadcast(table), ["bin", "place"]).select("digest", "shard")  # MAX_BINS * shards rows of three integers
+    settled, totals = groups.limit(0).select("digest", F.lit(0).alias("shard")), [0] * shards
+    for low, high in tiers({r["octave"]: r["n"] for r in octaves}):
+        inside = [r for r in octaves if low <= r["octave"] < high]
+        bins, size = max(1, -(-sum(r["n"] for r in inside) // BIN)), max(1, sum(r["bytes"] for r in inside))
+        dealt = groups.where((octave >= low) & (octave < high)).withColumn("bin", F.pmod(F.xxhash64("digest"), F.lit(bins)).cast("int"))
+        placed = placed_in(dealt, totals, size)
+        while bins > MAX_BINS:
+            bins = -(-bins // FOLD)
+            placed = folded(placed, bins, totals, size)
+        sums = _sums(placed, shards)
+        if any(totals):
+            sums[-1] = totals
+        chosen, totals = [], [0] * shards
+        parts = [(held, [f"{b}/{k}" for k in range(shards)]) for b, held in sorted(sums.items())]
+        for shard, member in enumerate(difference(parts)[1] if parts else []):
+            for of_bin, place in (map(int, x.split("/")) for x in leaves(member)):
+                chosen.append({"bin": of_bin, "place": place, "shard": shard})
+                totals[shard] += sums[of_bin][place]
+        # MAX_BINS * shards rows of three integers
+        table = F.broadcast(local_rows(spark, json.dumps(chosen), "bin int, place int, shard int"))
+        before = settled.withColumnRenamed("shard", "place").withColumn("bin", F.lit(-1))
+        settled = before.unionByName(placed.select("digest", "bin", "place")).join(table, ["bin", "place"]).select("digest", "shard")
+    return settled
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

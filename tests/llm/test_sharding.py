@@ -96,6 +96,37 @@ def test_more_bins_than_the_driver_takes(spark, monkeypatch, part):
     assert max(sums.values()) - min(sums.values()) <= 0.001 * sum(sizes) / 8
 
 
+def test_no_task_holds_more_than_a_bin(spark, monkeypatch):
+    """A heavy tail, in all octaves: whatever tier, the groups of a task are about BIN, and the shards are level."""
+    monkeypatch.setattr(sharding, "BIN", 500)
+    rng = random.Random(9)
+    sizes = [int(100 * rng.paretovariate(1.3)) for _ in range(60_000)]
+    of = {hashlib.sha256(str(i).encode()).hexdigest(): s for i, s in enumerate(sizes)}
+    held, keep = [], sharding.materialise
+
+    def spy(df, label, *more):
+        out = keep(df, label, *more)
+        if label == "shard-places":
+            held.append(out.groupBy("bin").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(sharding, "materialise", spy)
+    rows = sharding.shard_groups(spark.createDataFrame(list(of.items()), "digest string, bytes long")).collect()
+    assert len(rows) == len(of) == len({r.digest for r in rows})
+    assert len(held) >= 3 and max(held) <= 1.3 * 500, held
+    sums = defaultdict(int)
+    for r in rows:
+        sums[r.shard] += of[r.digest]
+    assert max(sums.values()) - min(sums.values()) <= 0.001 * sum(sizes) / 8
+
+
+def test_tiers(monkeypatch):
+    monkeypatch.setattr(sharding, "BIN", 100)
+    assert sharding.tiers({5: 90}) == [(0, 65)] and sharding.tiers({}) == [(0, 65)]
+    assert sharding.tiers({20: 1, 19: 50, 18: 60, 17: 70, 5: 900}) == [(19, 65), (18, 19), (17, 18), (0, 17)]
+    assert sharding.tiers({20: 5000, 5: 10}) == [(0, 65)]
+
+
 def test_edge_rows(spark):
     docs = [(1, None), (1, ""), (None, "x"), (None, "x"), (2, "y" * 50_000)]
     frame = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 AS shard", "2 AS digest", "3 AS size")
