@@ -15,12 +15,36 @@ STRONG, WARN, DROP = 0.75, 0.30, 0.0
 FILE_CAP = 3
 SECTION_LEAST = 300
 RETURN_LIMIT = 2000
+#: Fixed value: what ends a text that was cut.
 MARK = "… [本块已截断，完整内容见源文件]"
 #: Words that make a query a question, and the longest keyword query.
 QUESTION_WORDS = ("怎么", "如何", "为什么", "哪些", "什么", "是否", "能不能")
 KEYWORD_LENGTH = 12
 
 
+#: What each rule of advice() tells the one who searched.
+ADVICE = {
+    "all_weak": "All hits are weak: the libraries may have no direct answer. Search with words that the notes use, or list candidates first.",
+    "single_strong": "Only one hit is strong: rely on this one, and read its whole document for more.",
+    "medium_only": "The best hit is related but no direct answer: read it in its document, or ask more precisely.",
+    "same_title": "Notes of the same title lie in different places: they are different notes, so name them by their paths.",
+    "foreign_library": "Some hits are from libraries beside the default ones: name the libraries to search if these aren't wanted.",
+    "many_strong": "Several strong hits: a larger top_k gives more of this subject.",
+    "one_file": "Most hits are from one file: leave it out or raise top_k to compare others.",
+    "office_files": "There are PDF or Word files among the hits: their text can be read, their figures are on the pages.",
+    "backfilled": "Whole sections are delivered, each once: read the document for the rest.",
+    "list_mode": "This is a list of candidates without texts: read one to three of them.",
+    "few_hits": "There are few hits: try other words, or more libraries.",
+    "keyword_query": "The query is a list of words: a whole question finds more by meaning.",
+}
+
+
+def advice_text(names: Column) -> Column:
+    """The sentences of the rules that advice() names."""
+    known = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    return F.transform(names, lambda name: F.element_at(known, name))
+
+
 def whole_sections(chunks: DataFrame, least: int = SECTION_LEAST) -> DataFrame:
     """(lib, rel, hp, parent): the text of each section that was cut in several pieces and is longer than
     least. chunks: lib, rel, hp, chunk, body."""

@@ -69,28 +69,59 @@ def rare_prefixes(reps: DataFrame, threshold: float) -> DataFrame:
     return ordered.select("rep", F.explode(F.slice("vs", F.lit(1), needed)).alias("p")).where("p.often > 1").select("rep", "p.v")
 
 
-def _met(cells: DataFrame, *by: str) -> DataFrame:
+def _cells(reps: DataFrame, threshold: float, strict: bool) -> DataFrame:
+    """(rep, band, seg): two sketches that are to be compared share a cell. Rare values are band -1."""
+    rare = lambda some: rare_prefixes(some, threshold).select("rep", F.lit(-1).alias("band"), F.xxhash64("v").alias("seg"))
+    if not strict:
+        return materialise(rare(reps), "sketch-cells")
+    cells = materialise(reps.select("rep", F.explode(bands(F.col("sk"))).alias("cell")).select("rep", "cell.band", F.xxhash64("cell.seg").alias("seg")), "sketch-cells")
+    sizes = cells.groupBy("band", "seg").agg(F.count("*").alias("n"))
+    large = materialise(sizes.where(F.col("n") > LARGE).select("band", "seg"), "crowded-cells")
+    if large.isEmpty():
+        return cells
+    crowded = cells.join(large, ["band", "seg"], "left_semi").select("rep").distinct()
+    return materialise(cells.join(large, ["band", "seg"], "left_anti").unionByName(rare(reps.join(crowded, "rep", "left_semi"))), "sketch-cells")
+
+
+def _met(cells: DataFrame) -> DataFrame:
     """(a, b) of the reps that share a cell."""
     left, right = cells.withColumnRenamed("rep", "a"), cells.withColumnRenamed("rep", "b")
-    return left.join(right, list(by)).where("a < b").select("a", "b").distinct()
+    return left.join(right, ["band", "seg"]).where("a < b").select("a", "b").distinct()
 
 
-def pairs(reps: DataFrame, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
-    """(a, b, sim) between class representatives, a < b, sim >= threshold. strict: only pairs that share a
-    band of positions."""
+def _verified(found: DataFrame, reps: DataFrame, threshold: float, strict: bool) -> DataFrame:
+    """found (a, b) with sim, those that are similar enough and, if strict, share a band."""
     sketched = lambda x, y: reps.select(F.col("rep").alias(x), F.col("sk").alias(y))
-    if strict:
-        cells = materialise(reps.select("rep", F.explode(bands(F.col("sk"))).alias("cell")).select("rep", "cell.band", F.xxhash64("cell.seg").alias("seg")), "sketch-cells")
-        sizes = cells.groupBy("band", "seg").agg(F.count("*").alias("n")).where("n > 1")
-        small = cells.join(sizes.where(F.col("n") <= LARGE), ["band", "seg"]).select("rep", "band", "seg")
-        crowded = cells.join(sizes.where(F.col("n") > LARGE), ["band", "seg"], "left_semi").select("rep").distinct()
-        found = _met(small, "band", "seg").unionByName(_met(rare_prefixes(reps.join(crowded, "rep", "left_semi"), threshold), "v")).distinct()
-    else:
-        found = _met(rare_prefixes(reps, threshold), "v")
     found = found.join(sketched("a", "sa"), "a").join(sketched("b", "sb"), "b")
     if strict:
         found = found.where(F.exists(F.arrays_zip(bands(F.col("sa")).alias("x"), bands(F.col("sb")).alias("y")), lambda z: z["x"]["seg"] == z["y"]["seg"]))
-    return found.withColumn("sim", jaccard(F.col("sa"), F.col("sb"))).where(F.col("sim") >= threshold).select("a", "b", F.round("sim", 4).alias("sim"))
+    return found.withColumn("sim", jaccard(F.col("sa"), F.col("sb"))).where(F.col("sim") >= threshold).select("a", "b", "sim")
+
+
+def pairs(reps: DataFrame, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
+    """(a, b, sim) between class representatives, a < b, sim >= threshold: all pairs, which a family of n
+    texts has n * n of. strict: only pairs that share a band of positions."""
+    return _verified(_met(_cells(reps, threshold, strict)), reps, threshold, strict).withColumn("sim", F.round("sim", 4))
+
+
+def links(reps: DataFrame, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
+    """(a, b): some of the pairs, which connect what all of them connect, in two levels. First every sketch is
+    compared with the first one of each of its cells; that joins a family by an edge or a few for each
+    member. Then, in cells with more than one component, those outside the cell's largest component are
+    compared with all that are in other components; within a component nothing is left to find."""
+    cells = _cells(reps, threshold, strict)
+    first = cells.groupBy("band", "seg").agg(F.min("rep").alias("b"))
+    stars = cells.join(first, ["band", "seg"]).where("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+    stars = materialise(_verified(stars, reps, threshold, strict).select("a", "b"), "sketch-stars")
+    roots = connected_components(stars, "a", "b")
+    labelled = materialise(cells.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "labelled-cells")
+    sizes = labelled.groupBy("band", "seg", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "seg").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").drop("roots")
+    held = labelled.join(mixed, ["band", "seg"])
+    minor = held.where("root != main").select("band", "seg", F.col("rep").alias("x"), F.col("root").alias("of_x"))
+    met = minor.join(held.select("band", "seg", F.col("rep").alias("y"), "root"), ["band", "seg"]).where("of_x != root")
+    rest = _verified(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), reps, threshold, strict)
+    return stars.unionByName(rest.select("a", "b"))
 
 
 def library_pairs(docs: DataFrame, library: str, key: str, text: str, threshold: float = THRESHOLD, strict: bool = True) -> DataFrame:
@@ -106,7 +137,7 @@ def clusters(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD,
     """(key, cluster): the smallest key reachable; only documents that have a near-duplicate."""
     sketched = materialise(sketches(docs, key, text), "sketches")
     reps = classes(sketched)
-    roots = connected_components(pairs(reps, threshold, strict), "a", "b")
+    roots = connected_components(links(reps, threshold, strict), "a", "b")
     labelled = reps.join(roots, F.col("rep") == F.col("node"), "left").where((F.col("copies") > 1) | F.col("root").isNotNull())
     labelled = labelled.select("sk", F.coalesce("root", "rep").alias("cluster"))
     return sketched.join(labelled, "sk").select("key", "cluster")

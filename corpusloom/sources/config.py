@@ -10,6 +10,7 @@ from typing import Any
 _COMMENT = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/', re.DOTALL)
 _TRAILING = re.compile(r'"(?:\\.|[^"\\])*"|,(?=\s*[}\]])', re.DOTALL)
 
+#: The names of the options, their defaults, and which must be above 0.
 DEFAULTS: dict[str, Any] = {
     "extensions": ["md", "txt", "pdf", "docx"],
     "exclude_dirs": [".obsidian", ".smart-env", ".trash", ".git", "TEMP", "templates"],
@@ -31,6 +32,7 @@ DEFAULTS: dict[str, Any] = {
     "confidence_warn_threshold": 0.30,
     "confidence_drop_threshold": 0.0,
 }
+POSITIVE = ("chunk_char_limit", "short_doc_char_limit", "max_chunks_per_file", "bm25_k1", "dense_candidate_factor", "dense_min_candidates", "default_top_k")
 
 
 def parse(text: str) -> dict[str, Any]:
@@ -38,18 +40,17 @@ def parse(text: str) -> dict[str, Any]:
     return json.loads(_TRAILING.sub(keep, _COMMENT.sub(keep, text)) or "{}")
 
 
-def coerce(value: Any, default: Any) -> Any:
-    """value in the type of default; the default where that isn't possible."""
-    try:
-        if isinstance(default, bool):
-            return value if isinstance(value, bool) else {"true": True, "false": False, "1": True, "0": False}[str(value).strip().lower()]
-        if isinstance(default, list):
-            return [str(x) for x in value] if isinstance(value, list) else default
-        if isinstance(default, str):
-            return value if isinstance(value, str) else default
-        return type(default)(value) if not isinstance(value, bool) else default
-    except (KeyError, TypeError, ValueError):
+def coerce(value: Any, default: Any, positive: bool = False) -> Any:
+    """value, if it has the type of default, else the default: no text is a number or a switch, no switch is
+    a number, no fraction a whole number; a whole number is a fraction too."""
+    kind = type(default)
+    if kind is list:
+        return value if isinstance(value, list) and all(isinstance(x, str) for x in value) else default
+    if kind is float and type(value) is int:
+        value = float(value)
+    if type(value) is not kind or (positive and value <= 0):
         return default
+    return value
 
 
 def load(text: str, defaults: dict[str, Any] | None = None) -> tuple[dict[str, Any], list[str]]:
@@ -60,12 +61,14 @@ def load(text: str, defaults: dict[str, Any] | None = None) -> tuple[dict[str, A
     except ValueError:
         found = {}
     found = found if isinstance(found, dict) else {}
-    return {k: coerce(found[k], d) if k in found else d for k, d in base.items()}, [k for k in base if k not in found]
+    return {k: coerce(found[k], d, k in POSITIVE) if k in found else d for k, d in base.items()}, [k for k in base if k not in found]
 
 
 def effective(options: dict[str, Any], library: dict[str, Any]) -> dict[str, Any]:
-    """Options of a library: its own where it has them; agent formats only among its extensions."""
-    out = options | {k: v for k, v in library.items() if v is not None}
+    """Options of a library: its own where it has them, in the types of the defaults; agent formats only among its
+    extensions."""
+    own = {k: coerce(v, DEFAULTS[k], k in POSITIVE) if k in DEFAULTS else v for k, v in library.items() if v is not None}
+    out = options | own
     if "agent_formats" in out:
         out["agent_formats"] = [e for e in out["extensions"] if e in set(out["agent_formats"] or [])]
     return out

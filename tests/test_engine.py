@@ -169,12 +169,38 @@ def test_extraction(spark):
 
 
 def test_config():
-    options, missing = config.load('// c\n{"default_top_k": "7", "small_to_big": "no", "extensions": ["md", "x//y"], /* z */ "bm25_k1": 2,}')
-    assert options["default_top_k"] == 7 and options["small_to_big"] is True and options["extensions"] == ["md", "x//y"] and options["bm25_k1"] == 2.0 and "bm25_b" in missing
+    options, missing = config.load('// c\n{"default_top_k": 7, "small_to_big": false, "extensions": ["md", "x//y"], /* z */ "bm25_k1": 2,}')
+    assert options["default_top_k"] == 7 and options["small_to_big"] is False and options["extensions"] == ["md", "x//y"] and options["bm25_k1"] == 2.0 and "bm25_b" in missing
     assert config.load("not json")[0] == config.DEFAULTS
     assert config.effective({"extensions": ["md", "pdf"]}, {"agent_formats": ["docx", "pdf"]})["agent_formats"] == ["pdf"]
 
 
+def test_options_of_another_type_fall_back():
+    given = '{"small_to_big": "false", "chunk_char_limit": -5, "default_top_k": 3.9, "bm25_k1": "2", "extensions": ["md", 3], "bm25_b": true, "rerank_candidates": 0, "dense_min_candidates": false, "exclude_dirs": "x"}'
+    options, _ = config.load(given)
+    assert {k: options[k] for k in ("small_to_big", "chunk_char_limit", "default_top_k", "bm25_k1", "bm25_b", "dense_min_candidates")} == {"small_to_big": True, "chunk_char_limit": 600, "default_top_k": 5, "bm25_k1": 1.5, "bm25_b": 0.75, "dense_min_candidates": 200}
+    assert options["extensions"] == config.DEFAULTS["extensions"] and options["exclude_dirs"] == config.DEFAULTS["exclude_dirs"] and options["rerank_candidates"] == 0
+    assert config.effective(config.DEFAULTS, {"chunk_char_limit": "9"})["chunk_char_limit"] == 600
+
+
+def test_each_advice(spark):
+    """A set of hits for each rule, and the rule that it makes first or second."""
+    hit = lambda lib="a", rel="x.md", title="", score=0.6, filled=False: (lib, rel, title, score, filled)
+    cases = {
+        "all_weak": ([hit(score=0.1), hit(rel="y.md", score=0.2)], {}), "single_strong": ([hit(score=0.9), hit(rel="y.md")], {}), "medium_only": ([hit(), hit(rel="y.md")], {}),
+        "same_title": ([hit(score=0.9, title="Fuel"), hit(score=0.8, rel="old/x.md", title="fuel")], {}), "foreign_library": ([hit(score=0.8), hit(rel="y.md", lib="b", score=0.8)], {"defaults": ("a",)}),
+        "many_strong": ([hit(rel=f"{i}.md", score=0.8) for i in range(3)], {}), "one_file": ([hit(score=0.8), hit(score=0.8), hit(rel="y.md", score=0.4)], {}),
+        "office_files": ([hit(score=0.8, rel="a.PDF"), hit(score=0.8, rel="b.md")], {}), "backfilled": ([hit(score=0.8, filled=True), hit(score=0.8, rel="y.md")], {}),
+        "list_mode": ([hit(score=0.8), hit(score=0.8, rel="y.md")], {"mode": "list"}), "few_hits": ([hit(score=0.8)], {}), "keyword_query": ([hit(score=0.8, rel=f"{i}.md") for i in range(2)] + [hit(score=0.4, rel="z.md")], {"query": "fuel pumps"}),
+    }
+    for name, (hits, options) in cases.items():
+        frame = spark.createDataFrame([(*h, i + 1) for i, h in enumerate(hits)], "lib string, rel string, title string, score double, backfilled boolean, delivered int")
+        found = delivery.advice(frame, options.pop("query", "how do pumps feed the chamber"), **options).select("advice", delivery.advice_text(F.col("advice")).alias("text")).first()
+        assert name in found.advice, (name, found)
+        assert len(found.text) == len(found.advice) and all(len(t) > 20 for t in found.text)
+    assert set(cases) == set(delivery.ADVICE)
+
+
 def test_docx():
     import io
     import zipfile

@@ -67,5 +67,41 @@ def test_a_common_opening_makes_no_candidates(spark):
     common = " ".join(f"c{i}" for i in range(60))
     docs = spark.range(300).selectExpr("int(id) AS key", f"concat('{common} ', array_join(transform(sequence(1, 200), i -> concat('b', id, 'x', i)), ' ')) AS text")
     reps = neardup.classes(neardup.sketches(docs, "key", "text"))
-    assert neardup._met(neardup.rare_prefixes(reps, 0.8), "v").count() < 300
+    assert neardup._met(neardup._cells(reps, 0.8, False)).count() < 300
     assert neardup.pairs(reps, strict=False).count() == 0 and neardup.pairs(reps).count() == 0
+
+
+def test_links_of_a_template(spark):
+    """400 variants of one text: clusters are those of all pairs, with edges in proportion to the rows."""
+    rng, docs = random.Random(6), []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for i in range((400, 40, 3)[family]):
+            made = list(base)
+            for _ in range(rng.randrange(1, 7)):
+                made[rng.randrange(len(made))] = f"x{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(made)))
+    frame = spark.createDataFrame(docs, "key int, text string")
+    reps = neardup.classes(neardup.sketches(frame, "key", "text"))
+    for strict in (True, False):
+        sk = {r.rep: r.sk for r in reps.collect()}
+        edges = [(r.a, r.b) for r in neardup.links(reps, strict=strict).collect()]
+        assert len(edges) < 32 * len(sk)  # a few for each of its cells
+        every = [(r.a, r.b) for r in neardup.pairs(reps, strict=strict).collect()]
+        assert len(every) > 2 * len(edges)
+
+        def roots(links):
+            root = {k: k for k in sk}
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for a, b in links:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+            return {k: find(k) for k in sk}
+
+        assert roots(edges) == roots(every)
