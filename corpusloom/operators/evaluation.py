@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from . import bm25
+from . import bm25, retrieval
+from .ranking import group_rank
 
 KEY_WORDS = 5  # whole words of a passage that a document must share before it is searched for the passage
 
@@ -33,10 +34,32 @@ def containing(passages: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def _scored(index: bm25.Index, questions: DataFrame) -> DataFrame:
+    terms = questions.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    return bm25.score_many(index, terms).withColumn("bm25", F.round("bm25", 9))
+
+
+def hybrid_ranks(index: bm25.Index, vectors: DataFrame, questions: DataFrame, k: int, w_dense: float = 1.0, w_keyword: float = 1.0) -> DataFrame:
+    """(qid, cid, pos): the first k of each question by hybrid search, in one plan for all of them. vectors: lib, cid,
+    vec; questions: qid, question, q (its vector); cid is a number or a text. Routes are fused for each question
+    and library; libraries are level by their best, as in a search."""
+    by = ["qid", "lib"]
+    near = retrieval.nearest_of_many(vectors, "cid", "vec", questions.select("qid", "q"), retrieval.dense_limit(k))
+    dense = near.select(*by, "cid", F.row_number().over(Window.partitionBy(*by).orderBy(F.round("distance", 9), "cid")).alias("rd"))
+    scored = _scored(index, questions).withColumn("_of", F.struct(*by))
+    keyword = group_rank(scored, "_of", [F.desc("bm25"), F.col("cid")], "rb").select(*by, "cid", "rb")
+    part = lambda w, r: F.coalesce(F.lit(float(w)) / (F.lit(retrieval.RRF_K) + F.col(r)), F.lit(0.0))
+    fused = dense.join(keyword, [*by, "cid"], "full").select(*by, "cid", F.round(part(w_dense, "rd") + part(w_keyword, "rb"), 9).alias("rrf"))
+    of_library = Window.partitionBy(*by)
+    first = fused.withColumn("_n", F.row_number().over(of_library.orderBy(F.desc("rrf"), "cid"))).where(F.col("_n") <= k)
+    level = first.withColumn("merged", F.round(F.col("rrf") / F.max("rrf").over(of_library), 9))  # k rows of each
+    pos = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("merged"), "lib", "_n"))
+    return level.withColumn("pos", pos).where(F.col("pos") <= k).select("qid", "cid", "pos")
+
+
 def keyword_ranks(index: bm25.Index, questions: DataFrame, k: int) -> DataFrame:
     """(qid, cid, pos): the first k of each question. questions: qid, question."""
-    terms = questions.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    scored = bm25.score_many(index, terms).withColumn("bm25", F.round("bm25", 9))
+    scored = _scored(index, questions)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25"), "cid"))
     return scored.withColumn("pos", rank).where(F.col("pos") <= k).select("qid", "cid", "pos")
 

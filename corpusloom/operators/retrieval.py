@@ -5,6 +5,10 @@ Ties are broken by key everywhere, so every order is total.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from .ranking import global_rank, group_rank
 RRF_K = 2
 DENSE_FACTOR, DENSE_LEAST = 8, 200
 RERANK_POOL = 50
+BLOCK = 1024  # vectors packed in a row
 WINDOW_FACTOR = 4
 
 
@@ -73,6 +78,43 @@ def nearest_of_each(vectors: DataFrame, key: str, vector: str, query: list[float
     return found.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
 
 
+def _packed(rows: DataFrame, by: list[str], key: str, vector: str, name: str) -> tuple[DataFrame, int]:
+    """(by, name, ids, vs): about BLOCK vectors a row; the number of blocks."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.where(F.col(vector).isNotNull()).withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    pairs = F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")))
+    return dealt.groupBy(*by, name).agg(pairs.alias("ps")).select(*by, name, F.transform("ps", lambda p: p["id"]).alias("ids"), F.transform("ps", lambda p: p["v"]).alias("vs")), blocks
+
+
+def nearest_of_many(vectors: DataFrame, key: str, vector: str, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, lib, key, distance): of each library the k rows nearest to each question. vectors: lib, key, vector; key
+    is a number or a text. questions: qid, q. Blocks of vectors meet blocks of questions by an equality, and of
+    each pair of blocks the k nearest of each question leave the matrix product."""
+    kinds = {c: d.schema[c].dataType.simpleString() for c, d in (("lib", vectors), (key, vectors), ("qid", questions))}
+    packed, _ = _packed(vectors, ["lib"], key, vector, "_block")
+    asked, blocks = _packed(questions, [], "qid", "q", "_asked")
+    met = packed.withColumn("_asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked.select("_asked", F.col("ids").alias("qids"), F.col("vs").alias("qs")), "_asked")
+
+    def unit(rows) -> np.ndarray:
+        x = np.array([np.asarray(r, float) for r in rows])
+        norms = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(norms > 0, norms, 1)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids = np.array(r.ids)
+                order = np.argsort(ids, kind="stable")  # equal distances go by key
+                away = 1 - unit(r.qs) @ unit(r.vs)[order].T
+                near = np.argsort(np.round(away, 9), axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(away)), near.shape[1])
+                yield pd.DataFrame({"qid": np.array(r.qids)[rows], "lib": r.lib, key: ids[order][near.ravel()], "distance": away[rows, near.ravel()]})
+
+    found = met.select("lib", "ids", "vs", "qids", "qs").mapInPandas(best, f"qid {kinds['qid']}, lib {kinds['lib']}, {key} {kinds[key]}, distance double")
+    rank = F.row_number().over(Window.partitionBy("qid", "lib").orderBy(F.round("distance", 9), key))
+    return found.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+
+
 def fused_confidence(rrf: Column, w_dense: float = 1.0, w_keyword: float = 1.0, k: int = RRF_K) -> Column:
     """1 if both routes rank it first."""
     best = (w_dense + w_keyword) / (k + 1)
@@ -95,8 +137,3 @@ def rerank_pool(results: DataFrame, library: str, key: str, score: str, n: int =
     """Adds rank (within the library) and in_pool, whether the reranker sees it."""
     rank = F.row_number().over(Window.partitionBy(library).orderBy(F.desc(score), key))
     return results.withColumn("rank", rank).withColumn("in_pool", F.col("rank") <= n)
-
-
-def reranked_order(pool: DataFrame, library: str, key: str) -> DataFrame:
-    """The pool by the reranker's score, then what each library has left, in its own order."""
-    return pool.orderBy(F.desc("in_pool"), F.when(F.col("in_pool"), -F.col("rerank")), library, "rank", key)

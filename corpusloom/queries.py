@@ -145,6 +145,37 @@ def retrieval_evaluation(spark, sf):
     return evaluation.hits(_ranked(spark, sf, items), _gold(spark, sf).withColumnRenamed("item_id", "qid"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, source AS lib, {_TOKENS} AS terms FROM documents),
+p AS (SELECT doc_id, lib, len(terms) AS dl, term, count(*) AS tf FROM (SELECT doc_id, lib, terms, unnest(terms) AS term FROM d) GROUP BY ALL),
+s AS (SELECT lib, count(*) AS n, avg(len(terms)) AS avgdl FROM d GROUP BY lib),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:12], ' ')), '[a-z0-9][a-z0-9._+-]{{1,}}')) AS term FROM benchmark) GROUP BY 1, 2),
+f AS (SELECT lib, term, count(*) AS df FROM p GROUP BY ALL),
+b AS (SELECT item_id, p.lib, p.doc_id, round(sum(ln(1 + (s.n - f.df + 0.5::DOUBLE) / (f.df + 0.5::DOUBLE)) * (p.tf * 2.5::DOUBLE) / (p.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.dl / s.avgdl)) * q.qtf), 9) AS bm25
+  FROM p JOIN q USING (term) JOIN f ON f.term = p.term AND f.lib = p.lib JOIN s ON s.lib = p.lib GROUP BY ALL HAVING bm25 > 0),
+kw AS (SELECT *, row_number() OVER (PARTITION BY item_id, lib ORDER BY bm25 DESC, doc_id) AS rb FROM b),
+v AS (SELECT vec_id AS doc_id, source AS lib, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings JOIN documents ON doc_id = vec_id),
+x AS (SELECT item_id, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON vec_id = item_id % (SELECT count(*) FROM embeddings)),
+dn AS (SELECT item_id, lib, doc_id, row_number() OVER (PARTITION BY item_id, lib ORDER BY round(1 - list_cosine_similarity(vec, q), 9), doc_id) AS rd FROM x, v QUALIFY rd <= 200),
+u AS (SELECT coalesce(dn.item_id, kw.item_id) AS item_id, coalesce(dn.lib, kw.lib) AS lib, coalesce(dn.doc_id, kw.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (2 + rd), 0) + coalesce(1.0::DOUBLE / (2 + rb), 0), 9) AS rrf
+  FROM dn FULL JOIN kw ON dn.item_id = kw.item_id AND dn.lib = kw.lib AND dn.doc_id = kw.doc_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY item_id, lib ORDER BY rrf DESC, doc_id) AS n FROM u QUALIFY n <= 5),
+m AS (SELECT *, round(rrf / max(rrf) OVER (PARTITION BY item_id, lib), 9) AS merged FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY merged DESC, lib, n) AS pos FROM m QUALIFY pos <= 5),
+g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+y AS (SELECT g.item_id, min(pos) AS pos FROM g LEFT JOIN r ON r.item_id = g.item_id AND r.doc_id = g.doc_id GROUP BY 1)
+SELECT count(*) AS questions, count(*) FILTER (pos <= 1) AS hit_1, count(*) FILTER (pos <= 3) AS hit_3, count(*) FILTER (pos <= 5) AS hit_5 FROM y""")
+def hybrid_evaluation(spark, sf):
+    """The same by hybrid search over libraries, all questions in one plan; vectors stand in for those of questions."""
+    docs, vectors = table(spark, sf, "documents").withColumnRenamed("source", "lib"), table(spark, sf, "embeddings")
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("question"))
+    n = vectors.count()
+    items = items.join(vectors.select("vec_id", F.col("embedding").alias("q")), F.col("qid") % F.lit(n) == F.col("vec_id")).drop("vec_id")
+    placed = docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select("lib", F.col("doc_id").alias("cid"), F.col("embedding").alias("vec"))
+    ranked = evaluation.hybrid_ranks(bm25.build(docs, "doc_id", "text", "lib"), placed, items, 5)
+    return evaluation.hits(ranked, _gold(spark, sf).withColumnRenamed("item_id", "qid"))
+
+
 def _ranked(spark, sf, items):
     index = bm25.build(table(spark, sf, "documents"), "doc_id", "text")
     return evaluation.keyword_ranks(index, items, 5)
