@@ -21,7 +21,7 @@ from .functions.text import inline_html_as_markdown, stem, stripped, suffix
 from .models import Embedder, Extractor, HashedTokens, Reranker, embed
 from .operators import bm25, diagnostics, graph, ingest, neardup, retrieval, sampling
 from .plans import hybrid
-from .sources import config, extraction, files, package
+from .sources import bundle, config, extraction, files, package
 from .sources.docx import Docx
 from .storage import materialise
 from .tables import Change, Tables
@@ -36,6 +36,8 @@ TOTALS = "lib string, n long, avgdl double"
 LENGTHS = "lib string, cid struct<lib:string,rel:string,chunk:int>, dl long"
 STATES = "lib string, version int, indexed_at double"
 CACHE = "hash string, route string, version int, markdown string, sidecar string"
+#: What a package holds of a library.
+EXPORTED = {"file_meta": META, "file_text": TEXT, "chunks": CHUNKS, "vectors": VECTORS}
 BLOCKS = "array<struct<type:string,text:string>>"
 #: Files that are read by their paths; if more have changed, the folder is read as a whole.
 LISTED_FILES = 10_000
@@ -333,6 +335,49 @@ class Engine:
             self.tables.commit({"vectors": {library: others.unionByName(taken)}})
         return {"expected": expected, "written": written, "imported": sound}
 
+    def export_library(self, library: str, path: str) -> dict:
+        """Writes what can't be made anew without the files (metadata, texts, pieces, vectors) as a package. The
+        number of rows of each table."""
+        self._registry().get(library)
+        self.spark.dataSource.register(bundle.Bundle)
+        read, rows = self.tables.snapshot(), None
+        for name, schema in EXPORTED.items():
+            made = read(name, schema, library).select(F.lit(name).alias("table"), F.to_json(F.struct("*"), {"ignoreNullFields": "true"}).alias("json"))
+            rows = made if rows is None else rows.unionByName(made)
+        rows.repartitionByRange("table", "json").sortWithinPartitions("table", "json").write.format("corpusloom_bundle").mode("append").save(path)
+        return self._packed(path)
+
+    @staticmethod
+    def _packed(path: str) -> dict:
+        counts = dict.fromkeys(EXPORTED, 0)
+        for part in bundle.manifest(path)["parts"]:
+            for m in part["members"]:
+                counts[m["name"].removeprefix("payload/").removesuffix(".jsonl.gz")] += m["rows"]
+        return counts
+
+    def import_library(self, library: str, path: str) -> dict:
+        """Replaces a registered library by what a package holds, under its own name; the keyword index is made
+        anew. Nothing is changed if a member is damaged or leaves the folder (bundle.Unsound, as the cause of
+        Spark's error), if rows are missing, or if any of three samples' vectors isn't what was written."""
+        self._registry().get(library)
+        self.spark.dataSource.register(bundle.Bundle)
+        held = materialise(self.spark.read.format("corpusloom_bundle").load(path), "package")
+        expected, written = self._packed(path), {}
+        taken = {}
+        for name, schema in EXPORTED.items():
+            parsed = held.where(F.col("table") == name).select(F.from_json("json", schema).alias("r")).select("r.*").withColumn("lib", F.lit(library))
+            taken[name] = materialise(parsed, f"import-{name}")
+            written[name] = taken[name].count()
+        vectors = lambda d: d.select(F.concat_ws("::", "rel", "chunk").alias("id"), F.col("vec").alias("embedding"))
+        packed = held.where("table = 'vectors'").select(F.from_json("json", EXPORTED["vectors"]).alias("r")).select("r.*")
+        sound = expected == written and all(r["same"] for r in package.same_vectors(vectors(packed), vectors(taken["vectors"])).collect())  # three rows
+        if sound:
+            index = hybrid.keyword_index(taken["chunks"])
+            state = self.spark.createDataFrame([(library, ingest.META_VERSION, time.time())], STATES)
+            made = taken | {"postings": bm25.stored(index.postings), "lengths": index.lengths, "totals": bm25.statistics(index.lengths).select("lib", "n", "avgdl"), "index_states": state}
+            self.tables.commit({name: {library: rows} for name, rows in made.items()})
+        return {"expected": expected, "written": written, "imported": sound}
+
     def index_pages(self, library: str, render: Extractor, signature: str = "") -> dict:
         """The page index: an image text for each page of a PDF that is new, has changed, or failed under
         another signature; those that are gone go."""
