@@ -24,6 +24,7 @@ from .plans import hybrid
 from .sources import bundle, config, extraction, files, package
 from .sources.docx import Docx
 from .storage import materialise
+from .streaming import live
 from .tables import Change, Tables
 
 META = "lib string, rel string, size long, mtime_ns long, hash string, chunks int, xfail boolean, tbd boolean, reason string, xsrc string, links array<string>"
@@ -52,6 +53,7 @@ class Engine:
         self.embedder, self.reranker, self.extractor = embedder or HashedTokens(), reranker, extractor or Docx()
         self.gate = Gate(show_code)
         self._refreshing: dict[str, threading.Thread] = {}
+        self._progress: dict[str, dict] = {}
 
     @property
     def signature(self) -> str:
@@ -213,7 +215,34 @@ class Engine:
         reason = F.when(F.col("text").isNull() & F.col("markdown").isNull(), F.when(F.col("hash") == ingest.UNREADABLE, ingest.UNREADABLE).when(F.col("content").isNull(), "empty").otherwise("extract-failed"))
         return joined.select("lib", "rel", "size", "mtime_ns", "hash", F.coalesce("text", "markdown").alias("text"), F.from_json("sidecar", BLOCKS).alias("blocks"), reason.alias("failed"))
 
+    def index_progress(self, library: str) -> dict:
+        """library, running, phase, done and total (files of the run), tasks and tasks_total (of the Spark jobs that run
+        just now): of this engine's present or last index run of the library."""
+        now = {"library": library, "running": False, "phase": "idle", "done": 0, "total": 0} | self._progress.get(library, {})
+        tasks = live.task_progress(self.spark, f"reindex-{library}") if now["running"] else {"done": 0, "total": 0}
+        return now | {"tasks": tasks["done"], "tasks_total": tasks["total"]}
+
+    def _reached(self, library: str, phase: str, **more) -> None:
+        self._progress[library] = self._progress.get(library, {}) | {"phase": phase, "running": True} | more
+
     def reindex_knowledge(self, library: str, approved: Sequence[str] | None = None) -> dict:
+        """Indexes what has changed, see _reindex(); index_progress() tells how far it is."""
+        context = self.spark.sparkContext
+        self._progress[library] = {"running": True, "phase": "listing", "done": 0, "total": 0}
+        context.setJobGroup(f"reindex-{library}", f"index of {library}")
+        try:
+            found = self._reindex(library, approved)
+            self._progress[library] |= {"phase": "done", "done": self._progress[library]["total"]}
+            return found
+        except Exception:
+            self._progress[library] |= {"phase": "error"}
+            raise
+        finally:
+            self._progress[library] |= {"running": False}
+            context.setLocalProperty("spark.jobGroup.id", None)
+            context.setLocalProperty("spark.job.description", None)
+
+    def _reindex(self, library: str, approved: Sequence[str] | None) -> dict:
         """Indexes what has changed and commits all tables of the library at once. Contents are read of
         files whose size or time has changed only. A folder that is missing or lists nothing deletes nothing;
         an index of another version, or one that lost pieces, is built anew. approved: see listing()."""
@@ -236,11 +265,13 @@ class Engine:
         if not counts or emptied:
             return counts | {"emptied": emptied}
         wanted = diffed.where("status IN ('added', 'changed', 'retry')")
+        self._reached(library, "extracting", total=sum(counts.get(k, 0) for k in ("added", "changed", "retry", "removed")))
         new = materialise(self._markdown(suspects.join(wanted, ["lib", "rel"], "left_semi")), "new-files")
         touched = new.select("lib", "rel").unionByName(diffed.where("status = 'removed'").select("lib", "rel"))
         deferred = wanted.join(new, ["lib", "rel"], "left_anti")
         counts |= {"deferred": n} if (n := deferred.count()) else {}
         texts = new.where("text IS NOT NULL").select("lib", "rel", "text", "blocks")
+        self._reached(library, "chunking", done=counts.get("removed", 0))
         chunks, states = ingest.chunk_files(texts, o["chunk_char_limit"], o["short_doc_char_limit"], o["tbd_exclude_ratio"])
         chunks, states = materialise(chunks, "chunks"), materialise(states, "file-states")
         pieces = chunks.groupBy("lib", "rel").agg(F.count("*").cast("int").alias("chunks"))
@@ -260,6 +291,7 @@ class Engine:
         by_file = touched.select(F.struct("lib", "rel").alias("_cid"))
         remaining = read("lengths", LENGTHS).withColumn("_cid", F.struct("cid.lib", "cid.rel")).join(by_file, "_cid", "left_anti").drop("_cid")
         totals = bm25.statistics(remaining.unionByName(index.lengths)).select("lib", "n", "avgdl")
+        self._reached(library, "writing", done=states.count())
         state = self.spark.createDataFrame([(library, ingest.META_VERSION, time.time())], STATES)
         added = {"file_text": texts.drop("blocks"), "chunks": chunks, "vectors": vectors, "postings": bm25.stored(index.postings), "lengths": index.lengths}
         next_version = {name: Change(rows, touched) for name, rows in added.items()}
