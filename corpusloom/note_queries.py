@@ -206,8 +206,8 @@ def sentence_pieces(spark, sf):
     return by_columns.join(by_index, ["doc_id", "n", "piece"]).select("doc_id", "n", _md5(F.col("piece")).alias("piece"))
 
 
-_WORDS_OF = "array_join(transform(slice(split(regexp_replace(text, '\\\\s+', ' '), ' '), 1, 60), (w, i) -> CASE WHEN i % 4 = 3 THEN '  more ' ELSE '- ' END || w), chr(10))"
-_WORDS_DUCK = "array_to_string(list_transform(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:60], lambda w, i: CASE WHEN (i - 1) % 4 = 3 THEN '  more ' ELSE '- ' END || w), chr(10))"
+_WORDS_OF = "array_join(transform(split(regexp_replace(text, '\\\\s+', ' '), ' '), (w, i) -> CASE WHEN i % 4 = 3 THEN '  more ' ELSE '- ' END || w), chr(10))"
+_WORDS_DUCK = "array_to_string(list_transform(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda w, i: CASE WHEN (i - 1) % 4 = 3 THEN '  more ' ELSE '- ' END || w), chr(10))"
 
 
 @query(f"""

@@ -89,7 +89,7 @@ def weights(index: BlockIndex, query: str) -> Weights | None:
     known = index.terms.where(F.col("term").isin(*asked)).join(F.broadcast(rows), "term")  # the query's terms
     totals = index.totals.select(F.col("lib").alias("_lib"), F.col("n").alias("docs"), (F.col("words") / F.col("n")).alias("avgdl"))
     joined = known.join(totals, F.col("lib").eqNullSafe(F.col("_lib"))).drop("_lib")
-    return Weights(materialise(joined, "weights"), list(asked))
+    return Weights(joined, list(asked))
 
 
 def _part(tf: Column, dl: Column) -> Column:
@@ -104,12 +104,11 @@ def bounded(index: BlockIndex, asked: Weights) -> DataFrame:
     return joined.groupBy("lib", "block").agg(F.sum(_part(F.col("most_tf"), F.col("least_dl"))).alias("bound"))
 
 
-def scored(index: BlockIndex, asked: Weights, chosen: DataFrame) -> DataFrame:
-    """(lib, cid, bm25) of the chunks in the chosen blocks (lib, block)."""
+def scored(index: BlockIndex, asked: Weights, chosen: DataFrame, listed: list[int] | None = None) -> DataFrame:
+    """(lib, cid, bm25) of the chunks in the chosen blocks (lib, block). listed: their numbers, if they are few."""
     rows = index.blocks.where(F.col("term").isin(*asked.terms))
-    some = [r["block"] for r in chosen.select("block").distinct().limit(LISTED_BLOCKS + 1).collect()]
-    if len(some) <= LISTED_BLOCKS:
-        rows = rows.where(F.col("block").isin(*some)) if some else rows.limit(0)
+    if listed is not None:
+        rows = rows.where(F.col("block").isin(*listed)) if listed else rows.limit(0)
     c = chosen.select(F.col("lib").alias("_lib"), F.col("block").alias("_block"))
     rows = rows.join(c, F.col("lib").eqNullSafe(F.col("_lib")) & (F.col("block") == F.col("_block")), "left_semi")
     w = asked.rows.withColumnRenamed("lib", "_lib").withColumnRenamed("term", "_term")
@@ -119,26 +118,39 @@ def scored(index: BlockIndex, asked: Weights, chosen: DataFrame) -> DataFrame:
 
 
 class Found(NamedTuple):
+    """rows: lib, cid, bm25. bounds: the blocks that have a term of the query; wanted: those whose entries are read."""
+
     rows: DataFrame
-    blocks: int
-    read: int
+    bounds: DataFrame
+    wanted: DataFrame
+
+    @property
+    def blocks(self) -> int:
+        return self.bounds.count()
+
+    @property
+    def read(self) -> int:
+        return self.wanted.count()
 
 
 def top(index: BlockIndex, query: str, k: int, seeds: int = SEEDS, margin: float = MARGIN) -> Found:
-    """rows (lib, cid, bm25): of each library the k best chunks, and those within the margin of the k-th; how many
-    blocks have a term of the query, and of how many the entries were read."""
-    asked = weights(index, query)
+    """Of each library the k best chunks, and those within the margin of the k-th."""
+    spark, asked = index.blocks.sparkSession, weights(index, query)
+    lib, cid = index.blocks.schema["lib"].dataType, index.blocks.schema["entries"].dataType.elementType["cid"].dataType
     if asked is None:
-        return Found(index.blocks.select("lib", F.lit(None).cast(index.blocks.schema["entries"].dataType.elementType["cid"].dataType).alias("cid"), F.lit(0.0).alias("bm25")).limit(0), 0, 0)
+        none = index.blocks.select("lib", "block").limit(0)
+        return Found(none.select("lib", F.lit(None).cast(cid).alias("cid"), F.lit(0.0).alias("bm25")), none, none)
     bounds = materialise(bounded(index, asked), "block-bounds")
     place = F.row_number().over(Window.partitionBy("lib").orderBy(F.desc("bound"), "block"))
-    first = materialise(bounds.withColumn("place", place).where(F.col("place") <= seeds).select("lib", "block"), "seeds")
-    known = scored(index, asked, first)
+    first = bounds.withColumn("place", place).where(F.col("place") <= seeds).select("lib", "block").collect()  # a few of each library
+    frame = spark.createDataFrame([tuple(r) for r in first], f"lib {lib.simpleString()}, block long")
+    known = scored(index, asked, frame, sorted({r["block"] for r in first}) if len(first) <= LISTED_BLOCKS else None)
     best = F.row_number().over(Window.partitionBy("lib").orderBy(F.desc("bm25")))
-    least = known.withColumn("place", best).where(F.col("place") == k).select(F.col("lib").alias("_lib"), (F.col("bm25") - margin).alias("least"))
-    least = materialise(least, "least")  # a row for each library
+    least = known.withColumn("place", best).where(F.col("place") == k).select("lib", F.col("bm25") - margin).collect()  # a row for each library
+    least = F.broadcast(spark.createDataFrame([tuple(r) for r in least], f"_lib {lib.simpleString()}, least double"))
     # libraries with fewer than k scores so far have no least: all of their blocks are read
-    wanted = bounds.join(least, F.col("lib").eqNullSafe(F.col("_lib")), "left").where("least IS NULL OR bound >= least")
-    wanted = materialise(wanted.select("lib", "block"), "blocks-read")
-    rows = scored(index, asked, wanted).join(least, F.col("lib").eqNullSafe(F.col("_lib")), "left").where("least IS NULL OR bm25 >= least")
-    return Found(rows.select("lib", "cid", "bm25"), bounds.count(), wanted.count())
+    wanted = bounds.join(least, F.col("lib").eqNullSafe(F.col("_lib")), "left").where("least IS NULL OR bound >= least").select("lib", "block")
+    some = [r["block"] for r in wanted.select("block").distinct().limit(LISTED_BLOCKS + 1).collect()]
+    rows = scored(index, asked, wanted, some if len(some) <= LISTED_BLOCKS else None)
+    rows = rows.join(least, F.col("lib").eqNullSafe(F.col("_lib")), "left").where("least IS NULL OR bm25 >= least")
+    return Found(rows.select("lib", "cid", "bm25"), bounds, wanted)
