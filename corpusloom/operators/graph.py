@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stem, stripped, suffix
 from ..storage import materialise
+from . import vectorindex
 
 #: Themes and the words in a path that mean them, in order of priority.
 THEMES = (
@@ -171,6 +173,14 @@ def semantic_edges(vectors: DataFrame, key: str, vector: str, threshold: float =
     left = packed.select("cell", F.col("blk").alias("ba"), F.explode(every).alias("bb"), F.col("ps").alias("pa"))
     right = packed.select("cell", F.explode(every).alias("ba"), F.col("blk").alias("bb"), F.col("ps").alias("pb"))
 
+    met = left.join(right, ["cell", "ba", "bb"]).select("pa", "pb").mapInPandas(_best(threshold, per_node), f"a {kind}, b {kind}, sim double")
+    met = met.groupBy("a", "b").agg(F.max("sim").alias("sim")) if centers else met
+    return _undirected(met, per_node, cap)
+
+
+def _best(threshold: float, per_node: int):
+    """Of packed points pa and pb each a's nearest, at threshold or above."""
+
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for pa, pb in zip(pdf["pa"], pdf["pb"], strict=True):
@@ -185,14 +195,60 @@ def semantic_edges(vectors: DataFrame, key: str, vector: str, threshold: float =
                 good = found >= threshold
                 yield pd.DataFrame({"a": ia[rows[good]], "b": ib[near.ravel()[good]], "sim": found[good]})
 
-    met = left.join(right, ["cell", "ba", "bb"]).select("pa", "pb").mapInPandas(best, f"a {kind}, b {kind}, sim double")
-    met = met.groupBy("a", "b").agg(F.max("sim").alias("sim")) if centers else met
+    return best
+
+
+def _undirected(met: DataFrame, per_node: int, cap: int | None) -> DataFrame:
     near = met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b"))).where(F.col("r") <= per_node)
     first = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct(F.col("a").alias("node"), "r")).alias("at"), F.max("sim").alias("sim"))
     out = first.select("a", "b", F.round("sim", 3).alias("sim"), "at")
     return (out.orderBy("at.node", "at.r", "a", "b").limit(cap) if cap else out).drop("at")
 
 
+class BoundedBlocks(NamedTuple):
+    """packed: cell, blk, ps. pairs: cell, ba, other, bb, those that can reach the threshold. every: the number of all pairs."""
+
+    packed: DataFrame
+    pairs: DataFrame
+    every: int
+
+
+def bounded_blocks(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = 1024, cells: int | None = None) -> BoundedBlocks:
+    """Vectors packed in blocks of their cells (see vectorindex), and which blocks are to meet: two vectors are at
+    least as far apart as their cells' centers, less both cells' widest angles, so cells for which that is
+    more than the threshold's angle never meet."""
+    points = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    centers = vectorindex.fit_centers(points, "v", cells)
+    placed = materialise(vectorindex.assigned(points, "v", centers).select("cell", "angle", F.struct("id", "v").alias("p")), "placed")
+    found = placed.groupBy("cell").agg(F.max("angle").alias("most"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).orderBy("cell").collect()  # vectorindex.MOST_CELLS + 1 rows
+    reach = np.arccos(np.clip(threshold, -1, 1)) + 1e-7
+    known = [r for r in found if r["cell"] != vectorindex.NOWHERE]
+    numbers, most = np.array([r["cell"] for r in known], int), np.array([r["most"] for r in known], float)
+    away = np.arccos(np.clip(centers[numbers] @ centers[numbers].T, -1, 1)) if len(known) else np.zeros((0, 0))
+    near = [(int(numbers[i]), int(numbers[j])) for i, j in np.argwhere(away - most[:, None] - most[None, :] <= reach)]
+    if threshold <= 0:  # vectors without length have similarity 0 to all
+        near += [pair for r in found for pair in {(vectorindex.NOWHERE, r["cell"]), (r["cell"], vectorindex.NOWHERE)}] if any(r["cell"] == vectorindex.NOWHERE for r in found) else []
+    spark = vectors.sparkSession
+    sizes = F.broadcast(spark.createDataFrame([(r["cell"], r["blocks"]) for r in found], "cell int, blocks int"))
+    dealt = placed.join(sizes, "cell").withColumn("blk", F.pmod(F.xxhash64("p.id"), F.col("blocks")).cast("int"))
+    packed = materialise(dealt.groupBy("cell", "blk").agg(F.collect_list("p").alias("ps")), "bounded-blocks")  # block vectors a row
+    meet = spark.createDataFrame(sorted(set(near)), "cell int, other int")
+    names = packed.select("cell", "blk")
+    pairs = names.withColumnRenamed("blk", "ba").join(meet, "cell").join(names.select(F.col("cell").alias("other"), F.col("blk").alias("bb")), "other")
+    return BoundedBlocks(packed, pairs.select("cell", "ba", "other", "bb"), sum(r["blocks"] for r in found) ** 2)
+
+
+def semantic_edges_by_bounds(vectors: DataFrame, key: str, vector: str, threshold: float = EDGE_SIMILARITY, per_node: int = EDGES_A_NODE, cap: int | None = EDGE_CAP, block: int = 1024, cells: int | None = None) -> DataFrame:
+    """The rows of semantic_edges(), exactly, without the pairs of blocks that cannot reach the threshold. On vectors
+    with topics most pairs go; on vectors without any, none does."""
+    b = bounded_blocks(vectors, key, vector, threshold, block, cells)
+    kind = vectors.schema[key].dataType.simpleString()
+    left = b.packed.select("cell", F.col("blk").alias("ba"), F.col("ps").alias("pa"))
+    right = b.packed.select(F.col("cell").alias("other"), F.col("blk").alias("bb"), F.col("ps").alias("pb"))
+    met = b.pairs.join(left, ["cell", "ba"]).join(right, ["other", "bb"]).select("pa", "pb")
+    return _undirected(met.mapInPandas(_best(threshold, per_node), f"a {kind}, b {kind}, sim double"), per_node, cap)
+
+
 def backlink_target(link: Column) -> Column:
     """Of a link's inside: the file name, without alias, brackets, anchor and folder; empty if none."""
     t = stripped(F.substring_index(stripped(link), "|", 1))

@@ -403,6 +403,11 @@ def semantic_edges(spark, sf):
     return graph.semantic_edges(table(spark, sf, "embeddings"), "vec_id", "embedding", threshold=0.3, cap=None)
 
 
+@query(ORACLES["semantic_edges"])
+def semantic_edges_bounded(spark, sf):
+    return graph.semantic_edges_by_bounds(table(spark, sf, "embeddings"), "vec_id", "embedding", threshold=0.3, cap=None)
+
+
 @query(f"WITH {_EDGES}, d AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM g UNION ALL SELECT b FROM g) GROUP BY 1) SELECT id, degree FROM d ORDER BY degree DESC, id LIMIT 5")
 def hub_nodes(spark, sf):
     return graph.hubs(semantic_edges(spark, sf))

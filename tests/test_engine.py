@@ -135,6 +135,24 @@ def test_semantic_edges_in_cells(spark):
     assert graph.semantic_edges(vectors.where("false"), "vec_id", "embedding", centers=4).collect() == []
 
 
+def test_semantic_edges_by_bounds(spark):
+    """The rows of the exact way; on vectors with topics most pairs of blocks don't meet, on others nothing is lost."""
+    rng = np.random.default_rng(2)
+    topics = rng.normal(size=(12, 24))
+    rows = [(i, (topics[i % 12] + 0.1 * rng.normal(size=24)).tolist()) for i in range(900)] + [(900, [0.0] * 24), (901, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = graph.semantic_edges(vectors, "vec_id", "embedding", cap=None).collect()
+    found = graph.semantic_edges_by_bounds(vectors, "vec_id", "embedding", cap=None, block=20, cells=20).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, exact)) and len(exact) > 1500
+    blocks = graph.bounded_blocks(vectors, "vec_id", "embedding", 0.62, 20, 20)
+    assert blocks.pairs.count() < 0.5 * blocks.every, (blocks.pairs.count(), blocks.every)
+    few = vectors.where("vec_id < 60 OR vec_id >= 900")
+    for threshold in (0.0, 0.3):
+        same = graph.semantic_edges(few, "vec_id", "embedding", threshold=threshold, cap=None).collect()
+        assert sorted(map(tuple, graph.semantic_edges_by_bounds(few, "vec_id", "embedding", threshold=threshold, cap=None, block=9, cells=5).collect())) == sorted(map(tuple, same))
+    assert graph.semantic_edges_by_bounds(vectors.where("false"), "vec_id", "embedding").collect() == []
+
+
 def test_package(spark, tmp_path):
     rows = spark.createDataFrame([("b", "t2", [0.0, 1.0], {"file": "x"}), ("a", "t1", [1.0, 0.0], {"file": "x"})], "id string, text string, embedding array<double>, meta map<string,string>")
     held = spark.createDataFrame([("x", bytearray(b"one")), ("y", bytearray(b"two"))], "rel string, content binary")
