@@ -57,8 +57,8 @@ class VectorIndex(NamedTuple):
 
     def centers(self) -> Centers:
         found = self.bounds.where(F.col("cell") != NOWHERE).orderBy("cell").collect()  # MOST_CELLS rows
-        vectors = np.array([r["center"] for r in found], float).reshape(len(found), -1 if found else 0)
-        return Centers(*(np.array(x) if i != 1 else vectors for i, x in enumerate(([r["cell"] for r in found], None, [r["least"] for r in found], [r["most"] for r in found]))))
+        column = lambda name: np.array([r[name] for r in found])
+        return Centers(column("cell"), np.array([r["center"] for r in found], float).reshape(len(found), -1 if found else 0), column("least"), column("most"))
 
 
 def _length(v: Column) -> Column:
