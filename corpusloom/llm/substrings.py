@@ -17,7 +17,7 @@ chunks and owners a message holds few cells, and what is sent nears the size of
 Defined results: a null or empty text has no words and none removed; texts of fewer than ``window`` words
 stay. White space between kept words becomes one space. Windows are judged on the input: all copies of a
 passage go, also the first, and overlapping copies within a document too. A repeated row is a document of
-its own, so its windows are repeated. Texts of any length are read whole, with some forty bytes of memory
+its own, so its windows are repeated. Texts of any length are read whole, with some hundred bytes of memory
 a word. An empty table gives an empty result. Other columns are kept in a struct, whatever their names.
 Docs must give the same rows to the same partitions if read again, as a stored table does.
 """
