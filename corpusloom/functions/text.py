@@ -18,7 +18,8 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 #: Patterns of lines.
 LATIN_TOKEN = r"[a-z0-9][a-z0-9._+-]{1,}"
-CJK_RUN = r"[\u4e00-\u9fff]+"
+HAN = r"[\u4e00-\u9fff]"
+CJK_RUN = HAN + "+"
 PLACEHOLDER = r"(?i)\[TBD|TBD\s*[—-]|\[todo\]|TODO\s*[—-]"
 LIST_ITEM = r"^(\s*)([-*+]|\d+[.)])\s"
 FENCE = r"^\s{0,3}(`{3,}|~{3,})"
@@ -56,8 +57,7 @@ def joined(parts: Column, by: str = "\n") -> Column:
 def tokens(text: Column) -> Column:
     """Terms of the keyword index: Latin and digit words, then the two-letter shingles of Han runs."""
     low = F.lower(text)
-    runs = F.filter(F.regexp_extract_all(low, F.lit(f"({CJK_RUN})"), F.lit(1)), lambda s: F.length(s) > 1)
-    pairs = F.flatten(F.transform(runs, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))))
+    pairs = F.regexp_extract_all(low, F.lit(f"(?=({HAN}{HAN})){HAN}"), F.lit(1))
     return F.concat(F.regexp_extract_all(low, F.lit(f"({LATIN_TOKEN})"), F.lit(1)), pairs)
 
 

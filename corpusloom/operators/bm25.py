@@ -8,6 +8,7 @@ the reader skips the row groups that have none of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from ..functions.text import let, tokens
 from ..storage import materialise
 
 K1, B = 1.5, 0.75
+Terms = Callable[[Column], Column]  # of a text
 LISTED_TERMS = 1000  # a query with more is joined, not listed in a filter
 
 
@@ -32,10 +34,11 @@ class Index:
         return self.totals if self.totals is not None else statistics(self.lengths)
 
 
-def build(docs: DataFrame, key: str, text: str, lib: str | None = None) -> Index:
-    """docs: a row for each chunk. lib: column that says whose statistics count; else all rows are one."""
+def build(docs: DataFrame, key: str, text: str, lib: str | None = None, terms: Terms = tokens) -> Index:
+    """docs: a row for each chunk. lib: column that says whose statistics count; else all rows are one.
+    terms: what makes the terms, of questions too."""
     group = F.col(lib) if lib else F.lit("")
-    listed = docs.select(group.alias("lib"), F.col(key).alias("cid"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    listed = docs.select(group.alias("lib"), F.col(key).alias("cid"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     listed = listed.withColumn("dl", F.size("terms").cast("long"))
     postings = listed.select("lib", "cid", "dl", F.explode("terms").alias("term")).groupBy("lib", "term", "cid", "dl").agg(F.count("*").alias("tf"))
     return Index(postings.select("lib", "term", "cid", "tf", "dl"), listed.select("lib", "cid", "dl"))
@@ -46,10 +49,10 @@ def stored(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange("term", "lib").sortWithinPartitions("term", "lib")
 
 
-def query_terms(spark, query: str) -> dict[str, int]:
+def query_terms(spark, query: str, terms: Terms = tokens) -> dict[str, int]:
     """The query's terms and how often each is in it."""
-    terms = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-    return {r["term"]: r["qtf"] for r in terms.collect()}  # no more than the query has
+    asked = spark.range(1).select(F.explode(terms(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
+    return {r["term"]: r["qtf"] for r in asked.collect()}  # no more than the query has
 
 
 def score_term(tf: Column, qtf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
@@ -73,9 +76,9 @@ def score_many(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -
     return hits.groupBy("qid", "lib", "cid").agg(F.sum(part).alias("bm25")).where("bm25 > 0")
 
 
-def score(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
+def score(index: Index, query: str, k1: float = K1, b: float = B, terms: Terms = tokens) -> DataFrame:
     """(lib, cid, bm25) of the chunks that have any of the query's terms."""
-    spark, asked = index.postings.sparkSession, query_terms(index.postings.sparkSession, query)
+    spark, asked = index.postings.sparkSession, query_terms(index.postings.sparkSession, query, terms)
     if not asked:
         return index.postings.select("lib", "cid", F.lit(0.0).alias("bm25")).limit(0)
     rows = spark.createDataFrame(list(asked.items()), "term string, qtf long").withColumn("qid", F.lit(0))

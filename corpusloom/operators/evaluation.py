@@ -34,9 +34,9 @@ def containing(passages: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def _scored(index: bm25.Index, questions: DataFrame) -> DataFrame:
-    terms = questions.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    return bm25.score_many(index, terms).withColumn("bm25", F.round("bm25", 9))
+def _scored(index: bm25.Index, questions: DataFrame, terms: bm25.Terms = tokens) -> DataFrame:
+    asked = questions.select("qid", F.explode(terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    return bm25.score_many(index, asked).withColumn("bm25", F.round("bm25", 9))
 
 
 def hybrid_ranks(index: bm25.Index, vectors: DataFrame, questions: DataFrame, k: int, w_dense: float = 1.0, w_keyword: float = 1.0) -> DataFrame:
@@ -57,9 +57,9 @@ def hybrid_ranks(index: bm25.Index, vectors: DataFrame, questions: DataFrame, k:
     return level.withColumn("pos", pos).where(F.col("pos") <= k).select("qid", "cid", "pos")
 
 
-def keyword_ranks(index: bm25.Index, questions: DataFrame, k: int) -> DataFrame:
+def keyword_ranks(index: bm25.Index, questions: DataFrame, k: int, terms: bm25.Terms = tokens) -> DataFrame:
     """(qid, cid, pos): the first k of each question. questions: qid, question."""
-    scored = _scored(index, questions)
+    scored = _scored(index, questions, terms)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25"), "cid"))
     return scored.withColumn("pos", rank).where(F.col("pos") <= k).select("qid", "cid", "pos")
 

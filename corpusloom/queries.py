@@ -622,4 +622,4 @@ def orders_by_nation(spark, sf):
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-from . import note_queries  # noqa: E402, F401  registers its queries with those above
+from . import han_queries, note_queries  # noqa: E402, F401  register their queries with those above
