@@ -1,11 +1,12 @@
 """The engine as a user sees it: libraries that are indexed, searched, related and checked.
 
 Tables (see tables.Tables), with a part for each library: file_meta, file_text, chunks, vectors, postings,
-lengths, totals, index_states, and optionally page_vectors and page_meta; libraries and extractions are shared. Results are DataFrames with structured rows; small answers are dictionaries.
+lengths, totals, index_states, and optionally page_vectors and page_meta; libraries, extractions and words are shared. Results are DataFrames with structured rows; small answers are dictionaries.
 """
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
@@ -17,15 +18,15 @@ from pyspark.sql import functions as F
 
 from .control import LIBRARY, SUMMARY_LENGTH, Gate, Library, Registry, read_summary, summary_prompt
 from .functions import paths
-from .functions.text import inline_html_as_markdown, stem, stripped, suffix
+from .functions.text import inline_html_as_markdown, stem, stripped, suffix, tokens
 from .models import Embedder, Extractor, HashedTokens, Reranker, embed
-from .operators import bm25, diagnostics, graph, ingest, neardup, retrieval, sampling
+from .operators import bm25, diagnostics, graph, hanwords, ingest, neardup, retrieval, sampling
 from .plans import hybrid
 from .sources import bundle, config, extraction, files, package
 from .sources.docx import Docx
 from .storage import materialise
 from .streaming import live
-from .tables import Change, Tables
+from .tables import WHOLE, Change, Tables
 
 META = "lib string, rel string, size long, mtime_ns long, hash string, chunks int, xfail boolean, tbd boolean, reason string, xsrc string, links array<string>"
 CHUNKS = "lib string, rel string, chunk int, heading string, title string, tags string, hp string, ctx string, body string, text string"
@@ -36,6 +37,7 @@ POSTINGS = "lib string, term string, cid struct<lib:string,rel:string,chunk:int>
 TOTALS = "lib string, n long, avgdl double"
 LENGTHS = "lib string, cid struct<lib:string,rel:string,chunk:int>, dl long"
 STATES = "lib string, version int, indexed_at double"
+WORDS = "word string, n long"
 CACHE = "hash string, route string, version int, markdown string, sidecar string"
 #: What a package holds of a library.
 EXPORTED = {"file_meta": META, "file_text": TEXT, "chunks": CHUNKS, "vectors": VECTORS}
@@ -54,6 +56,7 @@ class Engine:
         self.gate = Gate(show_code)
         self._refreshing: dict[str, threading.Thread] = {}
         self._progress: dict[str, dict] = {}
+        self._cutter: tuple[str, hanwords.Segmenter] | None = None
 
     @property
     def signature(self) -> str:
@@ -280,7 +283,8 @@ class Engine:
             F.lit(False).alias("tbd"), "reason", F.lit(self.signature).alias("xsrc"), "links",
         )
         vectors = chunks.select("lib", "rel", "chunk", embed(F.col("text"), self.embedder).alias("vec"))
-        index = hybrid.keyword_index(chunks)
+        version = self.tables.current()
+        index, words = hybrid.keyword_index(chunks, self._terms(version)), {("words", WHOLE): version.get("words", {}).get(WHOLE)}
         # files that were touched without a change: their size and time alone, in the rows of file_meta
         seen = listed.select("lib", "rel", F.col("size").alias("_size"), F.col("mtime_ns").alias("_time"))
         seen = seen.join(deferred.select("lib", "rel"), ["lib", "rel"], "left_anti").join(touched, ["lib", "rel"], "left_anti")  # deferred ones are looked at again
@@ -297,11 +301,38 @@ class Engine:
         next_version = {name: Change(rows, touched) for name, rows in added.items()}
         next_version["file_meta"] = Change(fresh.unionByName(looked), touched.unionByName(looked.select("lib", "rel")))
         next_version |= {"totals": totals, "index_states": state}
-        self.tables.commit({name: {library: rows} for name, rows in next_version.items()})
+        self.tables.commit({name: {library: rows} for name, rows in next_version.items()}, words)
         if self.tables.segments("chunks", library) > SEGMENTS:
             self.tables.compact(library)
         return counts | {"emptied": False}
 
+    def _terms(self, version: dict) -> bm25.Terms:
+        """What makes the terms of a version's keyword indexes: with the words of its dictionary, if it has one."""
+        entries = version.get("words", {}).get(WHOLE)
+        if not entries:
+            return tokens
+        key = json.dumps(entries)
+        if self._cutter is None or self._cutter[0] != key:
+            self._cutter = key, hanwords.segmenter(self.spark, self.tables.snapshot(version)("words", WORDS))
+        return self._cutter[1].tokens
+
+    def learn_words(self) -> int:
+        """Learns the words of Han texts from the files of all libraries and makes the keyword indexes anew, with
+        words beside the shingles, in one commit; later index runs and searches cut by the same dictionary.
+        There is a Conflict if a library changes meanwhile. The number of words of two signs or more."""
+        version, names = self.tables.current(), [x.name for x in self._registry()]
+        read = self.tables.snapshot(version)
+        learned = hanwords.learn(read("file_text", TEXT), "text")
+        terms = hanwords.segmenter(self.spark, learned).tokens
+        changes: dict[str, dict] = {"words": {WHOLE: learned}, "postings": {}, "lengths": {}, "totals": {}}
+        for name in names:
+            index = hybrid.keyword_index(read("chunks", CHUNKS, name), terms)
+            lengths = materialise(index.lengths, "lengths")
+            changes["postings"][name], changes["lengths"][name] = bm25.stored(index.postings), lengths
+            changes["totals"][name] = bm25.statistics(lengths).select("lib", "n", "avgdl")
+        self.tables.commit(changes, {("chunks", name): version.get("chunks", {}).get(name) for name in names} | {("words", WHOLE): version.get("words", {}).get(WHOLE)})
+        return learned.where(F.length("word") > 1).count()
+
     def compact(self, library: str) -> int:
         """Writes the library's tables as one segment each; the number of tables that had several."""
         return self.tables.compact(library)
@@ -404,10 +435,11 @@ class Engine:
         packed = held.where("table = 'vectors'").select(F.from_json("json", EXPORTED["vectors"]).alias("r")).select("r.*")
         sound = expected == written and all(r["same"] for r in package.same_vectors(vectors(packed), vectors(taken["vectors"])).collect())  # three rows
         if sound:
-            index = hybrid.keyword_index(taken["chunks"])
+            version = self.tables.current()
+            index, words = hybrid.keyword_index(taken["chunks"], self._terms(version)), {("words", WHOLE): version.get("words", {}).get(WHOLE)}
             state = self.spark.createDataFrame([(library, ingest.META_VERSION, time.time())], STATES)
             made = taken | {"postings": bm25.stored(index.postings), "lengths": index.lengths, "totals": bm25.statistics(index.lengths).select("lib", "n", "avgdl"), "index_states": state}
-            self.tables.commit({name: {library: rows} for name, rows in made.items()})
+            self.tables.commit({name: {library: rows} for name, rows in made.items()}, words)
         return {"expected": expected, "written": written, "imported": sound}
 
     def index_pages(self, library: str, render: Extractor, signature: str = "") -> dict:
@@ -459,9 +491,10 @@ class Engine:
 
     def _corpus(self) -> hybrid.Corpus:
         """All libraries, in one version."""
-        read = self.tables.snapshot()
+        version = self.tables.current()
+        read = self.tables.snapshot(version)
         index = bm25.Index(read("postings", POSTINGS), read("lengths", LENGTHS), read("totals", TOTALS))
-        return hybrid.Corpus(read("chunks", CHUNKS), read("vectors", VECTORS), index)
+        return hybrid.Corpus(read("chunks", CHUNKS), read("vectors", VECTORS), index, self._terms(version))
 
     def navigate_knowledge(self, query: str, top_k: int = 5, libraries=(), exclude=()) -> DataFrame:
         """The best pages of page images."""

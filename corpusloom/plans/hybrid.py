@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import in_folder
+from ..functions.text import tokens
 from ..models import Embedder, HashedTokens, Reranker, rerank
 from ..operators import bm25, delivery, retrieval
 from ..storage import materialise
@@ -33,19 +34,21 @@ class Options:
 @dataclass
 class Corpus:
     """chunks: lib, rel, chunk, hp, title, body, text; vectors: lib, rel, chunk, vec; index: the stored
-    keyword index over the chunks, cid being (lib, rel, chunk). Without it texts are read for each query."""
+    keyword index over the chunks, cid being (lib, rel, chunk). Without it texts are read for each query.
+    terms: what makes the index's terms and the query's."""
 
     chunks: DataFrame
     vectors: DataFrame
     index: bm25.Index | None = None
+    terms: bm25.Terms = tokens
 
     def keyed(self) -> DataFrame:
         return self.chunks.withColumn("cid", F.struct("lib", "rel", "chunk"))
 
 
-def keyword_index(chunks: DataFrame) -> bm25.Index:
+def keyword_index(chunks: DataFrame, terms: bm25.Terms = tokens) -> bm25.Index:
     """The keyword index of chunks (lib, rel, chunk, text)."""
-    return bm25.build(chunks.withColumn("cid", F.struct("lib", "rel", "chunk")), "cid", "text", "lib")
+    return bm25.build(chunks.withColumn("cid", F.struct("lib", "rel", "chunk")), "cid", "text", "lib", terms)
 
 
 def candidates(corpus: Corpus, query: str, options: Options, embedder: Embedder | None = None, vector: list[float] | None = None) -> DataFrame:
@@ -53,7 +56,7 @@ def candidates(corpus: Corpus, query: str, options: Options, embedder: Embedder
     it is known already."""
     if vector is None:
         vector = (embedder or HashedTokens()).encode([query])[0].astype(float).tolist()
-    index = corpus.index or keyword_index(corpus.chunks)
+    index = corpus.index or keyword_index(corpus.chunks, corpus.terms)
     near, postings, lengths = corpus.vectors.withColumn("cid", F.struct("lib", "rel", "chunk")), index.postings, index.lengths
     if options.libraries:
         near, postings, lengths = (d.where(F.col("lib").isin(*options.libraries)) for d in (near, postings, lengths))
@@ -61,7 +64,7 @@ def candidates(corpus: Corpus, query: str, options: Options, embedder: Embedder
         near = retrieval.restrict(near, "rel", options.folder)
     inside = in_folder(F.col("cid.rel"), options.folder)
     dense = retrieval.nearest_of_each(near, "cid", "vec", vector, retrieval.dense_limit(options.top_k)).where(inside)
-    keyword = bm25.score(bm25.Index(postings, lengths, index.totals), query).where(inside)
+    keyword = bm25.score(bm25.Index(postings, lengths, index.totals), query, terms=corpus.terms).where(inside)
     return retrieval.fuse_libraries(dense, keyword, options.w_dense, options.w_keyword).select("cid", "lib", "rrf")
 
 

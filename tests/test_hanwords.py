@@ -5,11 +5,14 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpusloom import han_queries
+from corpusloom.api import Engine
 from corpusloom.operators import bm25, hanwords
+from corpusloom.tables import Conflict
 
 
 def texts(spark, *rows):
@@ -167,3 +170,48 @@ def test_queries(spark, sf):
     rows = {r.terms: r for r in entry.queries()["han_retrieval"](spark, sf).collect()}
     assert set(rows) == {"shingles", "words"}
     assert all(0 <= r.hit_1 <= r.hit_3 <= r.hit_5 <= r.questions for r in rows.values())
+
+
+def test_engine_learns_words_and_searches_by_them(spark, tmp_path):
+    rng = random.Random(3)
+    lexicon = ["发动机", "推进剂", "燃烧室", "喷管", "水泵", "阀门", "涡轮", "管路", "支架", "冷却"]
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    lines = lambda n: "。\n\n".join("".join(rng.choices(lexicon, k=12)) for _ in range(n))
+    for i in range(6):
+        (notes / f"n{i}.md").write_text(f"# 笔记\n{lines(25)}。")
+    engine = Engine(spark, "file://" + str(tmp_path / "index"))
+    engine.add_library("notes", "file://" + str(notes))
+    engine.reindex_knowledge("notes")
+    postings = lambda: {r.term for r in engine.tables.read("postings").select("term").distinct().collect()}
+    assert "发动" in postings() and not {"发动机", "推进剂", "燃烧室"} & postings()
+    assert engine.learn_words() >= len(lexicon)
+    assert {"发动", "发动机", "推进剂", "燃烧室"} <= postings()
+    (notes / "new.md").write_text("# 新\n" + "发动机阀门水泵" * 4)
+    engine.reindex_knowledge("notes")  # by the same dictionary
+    lengths = {(r.rel, r.chunk): r.dl for r in engine.tables.read("lengths").select("cid.rel", "cid.chunk", "dl").collect()}
+    terms = engine._terms(engine.tables.current())
+    again = engine.tables.read("chunks").select("rel", "chunk", F.size(terms(F.col("text"))).alias("dl")).collect()
+    assert lengths == {(r.rel, r.chunk): r.dl for r in again}
+    best = engine.search_knowledge("发动机阀门水泵", top_k=1).first()
+    assert best.rel == "new.md"
+
+
+def test_a_library_that_changes_while_words_are_learned(spark, tmp_path, monkeypatch):
+    notes = tmp_path / "notes"
+    notes.mkdir()
+    (notes / "a.md").write_text("# 笔记\n" + "火箭水泵。" * 9)
+    engine = Engine(spark, "file://" + str(tmp_path / "index"))
+    engine.add_library("notes", "file://" + str(notes))
+    engine.reindex_knowledge("notes")
+    learn = hanwords.learn
+
+    def meanwhile(*args, **more):
+        (notes / "b.md").write_text("# 二\n喷管")
+        engine.reindex_knowledge("notes")
+        return learn(*args, **more)
+
+    monkeypatch.setattr(hanwords, "learn", meanwhile)
+    with pytest.raises(Conflict):
+        engine.learn_words()
+    assert {r.rel for r in engine.tables.read("lengths").select("cid.rel").collect()} == {"a.md", "b.md"}
