@@ -7,7 +7,9 @@ lexer adds what they miss. It reads name-literal pairs from source and configura
 * elements ``<a>x</a>`` and attributes ``a="x"``, also ``<add key="a" value="x"/>``;
 * values that begin on the next line, stand in brackets or in a call, or go on: ``a = ("x"``, ``a: ["x",
   "y"]``, ``a = f("x")``, ``a = b + "x"``, ``a = "x" "y"``; calls ``set_a("x")`` name their literals;
-* triple-quoted strings and block scalars (``a: |``), whose lines are a literal each.
+* triple-quoted strings, here-documents and block scalars (``a: |``), whose lines are a literal each;
+* ``a += "x"``, ``a = b or "x"``, ``a = b || "x"``, ``a = getenv("b", "x")``, ``a = getenv("b") or "x"``;
+* options of commands, ``--a x``; names in quotes, ``a = "${b}"``, stand for their literal.
 
 It propagates constants: a name given to another name stands for the literal it was last given, in the
 block where it was given and the blocks inside (a block ends at a line that is indented less); in
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -57,10 +60,10 @@ ENTROPY = 3.0  # bits a character
 # Possessive repeats: every character is tried once, however long names and literals are.
 _NAME = r"[A-Za-z_][A-Za-z0-9_.$-]*+"
 #: A name and an operator; the value is read apart, so that a pair in it is found too.
-_HEAD = re.compile(rf"(?<![A-Za-z0-9_.$-])[0-9.$-]*+({_NAME})(?:\\?[\"'])?+[ \t]*+\]?+\??+[ \t]*+(:=|=>|={{1,3}}|:)[ \t]*+")
+_HEAD = re.compile(rf"(?<![A-Za-z0-9_.$-])[0-9.$-]*+({_NAME})(?:\\?[\"'])?+[ \t]*+\]?+\??+[ \t]*+(:=|=>|\+=|\?=|\|\|=|={{1,3}}|:)[ \t]*+")
 #: What is assigned: a quoted literal, a bare one, or another name (the last group).
 _VALUE = re.compile(
-    r"(?:[A-Za-z@$]{1,2}(?=[\"']))?(?:\"((?:[^\"\\\n]++|\\.)++)\"|\"([^\"\n]++)\"|'((?:[^'\\\n]++|\\.)++)'|'([^'\n]++)')|\\\"([^\"\\\n]++)\\\"|([^\s\"',;(){}<>]++)"
+    r"(?:[A-Za-z@$]{1,2}(?=[\"']))?(?:\"((?:[^\"\\\n]++|\\.)++)\"|\"([^\"\n]++)\"|'((?:[^'\\\n]++|\\.)++)'|'([^'\n]++)')|\\\"([^\"\\\n]++)\\\"|`([^`\n]++)`|([^\s\"'`,;(){}<>]++)"
 )
 _BARE = _VALUE.groups
 PREFIX = 2  # the most characters before a quote that belong to it
@@ -75,7 +78,16 @@ _BEFORE = re.compile(r"(?:[ \t\r\n]|\\\r?\n|[(\[{])*+(?:([A-Za-z_][A-Za-z0-9_.]*
 #: Between two literals of one value.
 _BETWEEN = re.compile(r"(?:[ \t\r\n]|\\\r?\n|[(\[{)\],+.])*+(?:[A-Za-z_][A-Za-z0-9_.]*+[ \t]*+\+[ \t\r\n]*+)*+(?:[A-Za-z@$]{1,2}(?=[\"']))?+(?=[\"'])")
 _QUOTED = re.compile(r"\"((?:[^\"\\\n]++|\\.)*+)\"|'((?:[^'\\\n]++|\\.)*+)'")
-_PLUS = re.compile(r"[ \t]*+\+[ \t\r\n]*+(?=[\"'])")
+_ELSE = r"(?:\+|\|\||\?\?|or\b)[ \t\r\n]*+(?=[\"'])"
+#: Between a name and a literal that is added to it or stands in for it; the same behind a call that looks a name
+#: up, or the call's second argument.
+_PLUS = re.compile(rf"[ \t]*+{_ELSE}")
+_DEFAULT = re.compile(rf"(?:\"[^\"\n]*+\"|'[^'\n]*+')\s*+(?:,\s*+(?=[\"'])|[)\]][ \t]*+{_ELSE})")
+_REFERENCE = re.compile(rf"\$\{{?({_NAME})\}}?")
+#: An option of a command and its value: quoted, or bare.
+_OPTION = re.compile(r"(?<![^\s\"'`(\[])--([A-Za-z][A-Za-z0-9_.-]*+)[ \t]++(?!-)(?:\"([^\"\n]++)\"|'([^'\n]++)'|([^\s\"'`,;(){}<>|&]++))")
+_HEREDOC = re.compile(r"(?:\$\(cat[ \t]++)?<<[-~]?[\"']?([A-Za-z_][A-Za-z0-9_]*+)[\"']?[ \t]*+\r?\n")
+_MARK_LINE = re.compile(r"^[ \t]*+([A-Za-z_][A-Za-z0-9_]*+)[ \t]*+\r?$", re.M)
 _AFTER = re.compile(r"[ \t]*+[:=]")  # a literal that is a name itself
 _CALL = re.compile(rf"(?<![A-Za-z0-9_.$-])({_NAME})\([ \t\r\n]*+(?=[\"'])")
 _TAG = re.compile(r"<[A-Za-z_][^<>]*+>")
@@ -174,6 +186,8 @@ class _Values:
 
     def __init__(self, text: str):
         self.text, self.open = text, {'"""': True, "'''": True}  # whether any more of them may be closed
+        self.marks: dict[str, list[int]] | None = None  # where lines that are a name alone begin
+        self.here = 0  # where the last here-document ends
 
     def triple(self, at: int) -> tuple[list[tuple[int, int]], int] | None:
         """Lines and end of a triple-quoted string that begins at a position."""
@@ -186,6 +200,22 @@ class _Values:
             return None
         return list(_lines_of(self.text, at + 3, end)), end + 3
 
+    def heredoc(self, at: int) -> tuple[list[tuple[int, int]], int] | None:
+        """Lines and end of a here-document whose mark is at a position; there are none in another one."""
+        m = _HEREDOC.match(self.text, at) if at >= self.here else None
+        if not m:
+            return None
+        if self.marks is None:
+            self.marks = {}
+            for line in _MARK_LINE.finditer(self.text):
+                self.marks.setdefault(line[1], []).append(line.start())
+        ends = self.marks.get(m[1], [])
+        i = bisect_left(ends, m.end())
+        if i == len(ends):
+            return None
+        self.here = ends[i]
+        return list(_lines_of(self.text, m.end(), ends[i])), ends[i]
+
     def block(self, at: int, indent: int) -> Iterator[tuple[int, int]]:
         """The lines of a block scalar whose mark is at a position: those indented more, and empty ones."""
         m = _BLOCK.match(self.text, at)
@@ -202,7 +232,7 @@ class _Values:
         text = self.text
         m = (_BEFORE if first else _BETWEEN).match(text, at)
         while m:
-            if first and m[1] and m[1].rpartition(".")[2].lower() in LOOKUPS:
+            if first and m[1] and m[1].rpartition(".")[2].lower() in LOOKUPS and not (m := _DEFAULT.match(text, m.end())):
                 return
             first, at = False, m.end()
             if t := self.triple(at):
@@ -225,7 +255,7 @@ def _pairs(text: str) -> Iterator[Pair]:
     for m in _HEAD.finditer(text):
         inside = quoted
         lines.to(m.start())
-        apart = m.start() < inside or lines.comment
+        apart = m.start() < inside or lines.comment or m[2] == "+="
         annotated = a.end() if m[2] == ":" and (a := _ANNOTATION.match(text, m.end())) else None
         for begin in (m.end(), annotated):
             if begin is None:
@@ -233,7 +263,7 @@ def _pairs(text: str) -> Iterator[Pair]:
             rest: Iterator[tuple[int, int]] = iter(())
             if begin < bare - PREFIX:  # a bare value in another ends with it
                 span, is_bare = (begin, bare), True
-            elif t := values.triple(begin):
+            elif t := values.triple(begin) or values.heredoc(begin):
                 for k, line in enumerate(t[0]):
                     yield Pair(m.start(1), m[1], *line, False, apart or k > 0)
                 quoted = max(quoted, t[1])
@@ -269,6 +299,12 @@ def _calls(text: str) -> Iterator[Pair]:
                 yield Pair(m.start(1), m[1], *literal, False, True)
 
 
+def _options(text: str) -> Iterator[Pair]:
+    """Options of commands whose value is their next word."""
+    for m in _OPTION.finditer(text):
+        yield Pair(m.start(1), m[1], *m.span(m.lastindex), False, True)
+
+
 def _tags(text: str) -> Iterator[Pair]:
     """Attributes that are named by another one."""
     for tag in _TAG.finditer(text):
@@ -312,6 +348,8 @@ def lexed_spans(text: str) -> list[Span]:
         pairs += _pairs(text)
     if '("' in text or "('" in text or "( " in text or "(\n" in text:
         pairs += _calls(text)
+    if "--" in text:
+        pairs += _options(text)
     if "<" in text and ">" in text:
         pairs += _tags(text)
         pairs += [Pair(m.start(1), m[1], *m.span(2), False) for m in _ELEMENT.finditer(text)]
@@ -327,7 +365,7 @@ def lexed_spans(text: str) -> list[Span]:
             continue
         lines.to(pair.at)
         scopes.at(lines.indent)
-        if pair.bare and (m := _BARE_NAME.fullmatch(text, *span)) and (known := scopes.get(m[1])):
+        if (m := (_BARE_NAME if pair.bare else _REFERENCE).fullmatch(text, *span)) and (known := scopes.get(m[1])):
             span = known
         for p in (pair, *chain):
             if not p.inner:

@@ -63,6 +63,12 @@ MORE = [
     (f'# a = "{S}"\nprivate_key = a', []), (f'# private_key = "{S}"', [S]), (f'x = 1  // private_key = "{S}"', [S]), (f'url = "http://a"\na = "{S}"\nprivate_key = a', [S]),
     (f'private_key = "{"Zx81kd92mQ" * 10_000}"', ["Zx81kd92mQ" * 10_000]), (f"private_key: |\n  {'Zx81kd92mQ' * 10_000}", ["Zx81kd92mQ" * 10_000]), (f'private_key = ("{"Zx81kd92mQ" * 10_000}")', ["Zx81kd92mQ" * 10_000]),
     (f'{{"colour": "{S}", "private_key": "{S}y"}}', [S + "y"]), (f'secrets = {{"db": "{S}"}}', []), ("note (private key: see below)", []), ("it's a key: don't", []),
+    (f'private_key += "{S}"', [S]), (f'a = "{S}"\na += "{S}y"\nprivate_key = a', [S]), (f'private_key ||= "{S}"', [S]), (f'private_key ??= "{S}"', [S]), (f"PRIVATE_KEY ?= {S}", [S]),
+    (f'private_key = x or "{S}"', [S]), (f"const privateKey = process.env.KEY || '{S}'", [S]), (f"privateKey = x ?? '{S}'", [S]), (f'private_key = os.getenv("NAME_OF_KEY_2", "{S}")', [S]), (f'private_key = os.environ.get("NAME_OF_KEY_2") or "{S}"', [S]),
+    ('private_key = os.getenv("NAME_OF_KEY_2") + x', []), (f'private_key = order "{S}"', []), (f"const privateKey = `{S}`", [S]), (f"`private_key={S}`", [S]), (f"private_key = `{S} ${{b}}`", []),
+    (f'b="{S}"\nprivate_key="${{b}}"', [S]), (f'b="{S}"\nprivate_key="$b"', [S]), (f'b="{S}"\nprivate_key="${{c}}"', []), (f'b="{S}"\nlog="${{b}}"', []),
+    (f"run --private-key {S}", [S]), (f"run --private-key '{S}' --colour {S}y", [S]), (f"run --colour {S}", []), (f"run --private-key --name {S}", []), (f"-- private_key {S}", []), ("run --private-key " + LONG, [LONG]),
+    (f"private_key=$(cat <<EOF\n{S}\n{S}y\nEOF\n)", [S, S + "y"]), (f"PRIVATE_KEY = <<-'END'\n  {S}\n  END\nb = {S}z", [S]), (f"private_key = <<EOF\n{S}", []), (f"colour = <<EOF\n{S}\nEOF\n", []),
 ]
 
 
@@ -111,7 +117,7 @@ def test_lexer_on_files_put_together(monkeypatch):
 
 
 def test_lexer_takes_linear_time():
-    for unit in ("a=\"\"\"", "a: |\n ", "f('", "a = ('", "a = [\"x\",", "<a b='", "<a b='c' ", "\na = b\n " , "# a = b ", "a + 'b' ", "x=['y:[\"", '"x:["', '{"a":', " a = b\n  a = b\n", "a.b(\n", '"a" "b" ', "// a: ","a", "a:", "a=", "a =", "a: b[", "a: b | ", "=\"", "='\\", "<a>", "-", " ", "a " + " " * 9, "a='", "secret_1=", "secret_1: a "):
+    for unit in ("a=\"\"\"", "a: |\n ", "f('", "a = ('", "a = [\"x\",", "<a b='", "<a b='c' ", "\na = b\n " , "# a = b ", "a + 'b' ", "x=['y:[\"", '"x:["', '{"a":', " a = b\n  a = b\n", "a.b(\n", '"a" "b" ', "// a: ","a", "a:", "a=", "a =", "a: b[", "a: b | ", "=\"", "='\\", "<a>", "-", " ", "a " + " " * 9, "a='", "secret_1=", "secret_1: a ", "a=<<E\n", "E\na=<<E\n", "a=$(cat <<", "--a ", "--", "a=get('b', ", "a=get('b') or ", "a=`", "a += ", "a or ", "a=b or 'c' ", "a=b || "):
         for text in ("k: " + unit * (200_000 // len(unit)), "private_key" + unit * (200_000 // len(unit))):
             began = time.process_time()
             secretscan.lexed_spans(text)
