@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..storage import materialise
-from .bm25 import B, K1, query_terms, score_term
+from .bm25 import B, K1, Terms, query_terms, score_term
 from .ranking import group_rank
 
 SIZE = 128
@@ -42,10 +42,11 @@ class BlockIndex(NamedTuple):
     totals: DataFrame
 
 
-def build(docs: DataFrame, key: str, text: str, lib: str | None = None, size: int = SIZE) -> BlockIndex:
-    """docs: a row for each chunk. lib: column that says whose statistics count; else all rows are one."""
+def build(docs: DataFrame, key: str, text: str, lib: str | None = None, size: int = SIZE, terms: Terms = tokens) -> BlockIndex:
+    """docs: a row for each chunk. lib: column that says whose statistics count; else all rows are one.
+    terms: what makes the terms, of questions too."""
     group = F.col(lib) if lib else F.lit("")
-    listed = docs.select(group.alias("lib"), F.col(key).alias("cid"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    listed = docs.select(group.alias("lib"), F.col(key).alias("cid"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     listed = listed.withColumn("dl", F.size("terms").cast("long"))
     numbered = group_rank(listed.select("lib", "cid", "dl"), "lib", [F.col("dl"), F.col("cid")], "rank")
     numbered = numbered.select(F.col("lib").alias("_lib"), F.col("cid").alias("_cid"), F.expr(f"(rank - 1) div {size}").alias("block"))
@@ -81,8 +82,8 @@ class Weights(NamedTuple):
     terms: list[str]
 
 
-def weights(index: BlockIndex, query: str) -> Weights | None:
-    spark, asked = index.blocks.sparkSession, query_terms(index.blocks.sparkSession, query)
+def weights(index: BlockIndex, query: str, terms: Terms = tokens) -> Weights | None:
+    spark, asked = index.blocks.sparkSession, query_terms(index.blocks.sparkSession, query, terms)
     if not asked:
         return None
     rows = spark.createDataFrame(list(asked.items()), "term string, qtf long")
@@ -133,9 +134,9 @@ class Found(NamedTuple):
         return self.wanted.count()
 
 
-def top(index: BlockIndex, query: str, k: int, seeds: int = SEEDS, margin: float = MARGIN) -> Found:
+def top(index: BlockIndex, query: str, k: int, seeds: int = SEEDS, margin: float = MARGIN, terms: Terms = tokens) -> Found:
     """Of each library the k best chunks, and those within the margin of the k-th."""
-    spark, asked = index.blocks.sparkSession, weights(index, query)
+    spark, asked = index.blocks.sparkSession, weights(index, query, terms)
     lib, cid = index.blocks.schema["lib"].dataType, index.blocks.schema["entries"].dataType.elementType["cid"].dataType
     if asked is None:
         none = index.blocks.select("lib", "block").limit(0)

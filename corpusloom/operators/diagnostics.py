@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,7 +197,3 @@ def keep_newest(files: DataFrame, group: str, order: str, key: str, keep: int) -
 
 def older_than(files: DataFrame, modified: str, now: Column, hours: int = 24) -> DataFrame:
     return files.where(F.col(modified) < now - F.make_dt_interval(hours=F.lit(hours)))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

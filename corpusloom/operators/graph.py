@@ -34,10 +34,6 @@ def theme(rel: Column) -> Column:
     return out
 
 
-def name_stem(name: Column) -> Column:
-    return stem(name)
-
-
 def resolved_links(files: DataFrame) -> DataFrame:
     """(lib, src, dst): links that resolve, not to themselves. files: lib, rel, pos, links.
 

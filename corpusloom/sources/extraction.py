@@ -17,7 +17,6 @@ from ..models import Deferred, Extractor
 
 TEXT_PAGE_LEAST = 10
 ROUTES = ("ocr:mineru-cloud", "ocr:mineru-local", "mineru-text", "local")
-LOCAL_TIMEOUT, LOCAL_PER_PAGE = 300, 30
 
 
 def scanned(pages: Column) -> Column:
@@ -98,7 +97,3 @@ def response_text(payload: Column) -> Column:
 def resume(jobs: DataFrame, files: DataFrame) -> DataFrame:
     """Jobs under way for files as they are: equal path and hash."""
     return files.join(jobs, ["path", "hash"])
-
-
-def timeout_seconds(pages: Column) -> Column:
-    return F.lit(LOCAL_TIMEOUT) + F.lit(LOCAL_PER_PAGE) * pages

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from corpusloom import han_queries
 from corpusloom.api import Engine
-from corpusloom.operators import bm25, hanwords
+from corpusloom.operators import blockmax, bm25, hanwords
 from corpusloom.tables import Conflict
 
 
@@ -106,7 +106,7 @@ def test_empty_and_long_texts(spark):
     assert got.n == 300_000
 
 
-def test_stop_signs_are_no_terms_and_words_are(spark):
+def test_stop_signs_are_no_terms_and_words_are(spark, tmp_path):
     rows = ["火箭发动机的喷管", "火箭发动机和水泵", "水泵的火箭发动机", "喷管和水泵", "的火箭发动机在水泵"] * 3
     entries = spark.createDataFrame([("火箭发动机", 9), ("喷管", 5), ("水泵", 9), *[(c, 1) for c in "火箭发动机的喷管和水泵在"]], "word string, n long")
     cutter = hanwords.segmenter(spark, entries)
@@ -115,6 +115,10 @@ def test_stop_signs_are_no_terms_and_words_are(spark):
     assert {"火箭发动机", "喷管", "水泵", "火箭", "的喷"} <= terms and not terms & set("的和在")
     found = {r.cid for r in bm25.score(index, "火箭发动机", terms=cutter.tokens).collect()}
     assert found == {i for i, t in enumerate(rows) if "火箭发动机" in t}
+    blocks = blockmax.write(blockmax.build(texts(spark, *rows), "id", "text", terms=cutter.tokens), str(tmp_path / "blocks"))
+    scores = {r.cid: round(r.bm25, 9) for r in bm25.score(index, "火箭发动机的水泵", terms=cutter.tokens).collect()}
+    best = {r.cid: round(r.bm25, 9) for r in blockmax.top(blocks, "火箭发动机的水泵", 3, terms=cutter.tokens).rows.collect()}
+    assert len(best) >= 3 and min(best.values()) >= sorted(scores.values())[-3] - 1e-5 and all(scores[c] == b for c, b in best.items())
 
 
 def limits(words):
