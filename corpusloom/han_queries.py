@@ -6,6 +6,9 @@ words are one to four signs long as a rule, their limits are known, and every ot
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +17,20 @@ from .operators import bm25, evaluation, hanwords
 from .queries import query, table
 from .storage import materialise
 
-_SIGNS = "".join(chr(0x4E00 + i) for i in range(26 * 27))
 _PARTS = "[a-z]{1,2}|[.!?]"
+_LETTERS = [chr(97 + i) for i in range(26)]
+_SIGNS = {a + b: chr(0x4E00 + 27 * i + j) for i, a in enumerate(_LETTERS) for j, b in enumerate(["", *_LETTERS])} | dict.fromkeys(".!?", "。")
 
 
 def _as_han(text: F.Column) -> F.Column:
-    place = lambda p: (F.ascii(p) - 97) * 27 + F.when(F.length(p) > 1, F.ascii(F.substr(p, F.lit(2))) - 96).otherwise(0) + 1
-    sign = lambda p: F.when(p.rlike("[a-z]"), F.substr(F.lit(_SIGNS), place(p).cast("int"), F.lit(1))).otherwise(F.lit("。"))
-    return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({_PARTS})"), F.lit(1)), lambda parts: F.array_join(F.transform(parts, sign), ""))
+    parts, signs = _PARTS, _SIGNS
+
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        listed = re.compile(parts).findall
+        return pa.array(["".join(map(signs.__getitem__, listed(t.as_py()))) for t in batch], pa.string())
+
+    return run(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def _han(spark, sf, name: str = "documents", key: str = "doc_id") -> DataFrame:

@@ -219,3 +219,42 @@ def test_a_library_that_changes_while_words_are_learned(spark, tmp_path, monkeyp
     with pytest.raises(Conflict):
         engine.learn_words()
     assert {r.rel for r in engine.tables.read("lengths").select("cid.rel").collect()} == {"a.md", "b.md"}
+
+
+def test_runs_side_by_side_are_cut_like_one(monkeypatch):
+    rng = random.Random(17)
+    for beside in (1, 3, 24):
+        monkeypatch.setattr(hanwords, "BESIDE", beside)
+        for _ in range(40):
+            signs = "天地人和火箭"[: rng.randint(1, 6)]
+            weights = {"".join(rng.choice(signs) for _ in range(rng.randint(1, 4))): -rng.randint(1, 6) for _ in range(rng.randint(0, 20))}
+            unknown = min(weights.values(), default=0) - 1
+            rows = ["x".join("".join(rng.choice("天地人和火箭") for _ in range(rng.choice([1, 2, 9, 80]))) for _ in range(rng.randint(0, 9))) for _ in range(12)] + [None, "", "abc"]
+            said = hanwords._said(rows, hanwords.Lexicon(weights, unknown)).to_pylist()
+            longest = max(map(len, weights), default=1)
+            assert said == [[w for run in re.findall("[一-鿿]+", t or "") for w in hanwords.cut(run, weights, unknown, longest)] for t in rows]
+
+
+def test_one_window_moves_for_each_sign_and_rare_grams_stay_out(spark):
+    rows = made_up(23)
+    every = {r.gram: r.n for r in hanwords.gram_counts(texts(spark, *rows), "text").collect()}
+    slow = Counter()
+    for run in (hanwords.EDGE + r + hanwords.EDGE for t in rows for r in re.findall("[一-鿿]+", t)):
+        slow.update(run[i : i + k] for i in range(len(run)) for k in range(1, hanwords.LONGEST + 2) if i + k <= len(run))
+    del slow[hanwords.EDGE]
+    assert every == slow
+    often = hanwords.gram_counts(texts(spark, *rows), "text", least=2)
+    assert {r.gram: r.n for r in often.collect()} == {g: n for g, n in slow.items() if n > 1 or len(g) == 1}
+    windows = sum(n.sum() for _, n in hanwords._windows(rows, hanwords.LONGEST + 1, 100))
+    assert windows == sum(len(r) + 1 for t in rows for r in re.findall("[一-鿿]+", t))
+    wide = "".join(chr(0x4E00 + 7 * i) for i in range(2900)) * 2  # too many different signs for codes of 64 bits
+    grams = [g for w, _ in hanwords._windows([wide * 3], 8, 1 << 20) for g in w.tolist()]
+    assert len(grams) == len(set(grams)) and {wide[i : i + 8] for i in range(2900)} <= set(grams)
+
+
+def test_longer_words_of_other_dictionaries(spark):
+    entries = spark.createDataFrame([("火箭发动机", 9), ("火箭", 3), ("水泵", 4), *[(c, 1) for c in "火箭发动机水泵"]], "word string, n long")
+    cutter = hanwords.segmenter(spark, entries)
+    docs = texts(spark, "火箭发动机水泵火箭。水", None)
+    assert [r.w for r in docs.select("id", cutter.words(F.col("text")).alias("w")).orderBy("id").collect()] == [["火箭发动机", "水泵", "火箭", "水"], []]
+    assert {r.word: r.n for r in cutter.counted(docs, "text").collect()} == {"火箭发动机": 1, "水泵": 1, "火箭": 1, "水": 1}
