@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,9 @@ THEMES = (
 )
 PAGE_NODES, HUBS = 24, 5
 EDGE_SIMILARITY, EDGES_A_NODE, EDGE_CAP = 0.62, 4, 2000
+BLOCKS, SMALL_BLOCK, LARGE_BLOCK = 16, 1024, 16_384  # many vectors: large blocks, so that each moves to few others
+STRIPE = 512  # vectors of a block that are compared at a time
+EDGE_CELLS = 64  # cells with bounds at most, if not told otherwise: blocks move once for each cell that is near
 RETRIED = ("scanned", "extract-failed")
 
 
@@ -120,11 +124,45 @@ def mark_hubs(nodes: DataFrame, edges: DataFrame, n: int = HUBS) -> DataFrame:
     return nodes.join(F.broadcast(top), F.col("id") == F.col("_hub"), "left").withColumn("big", F.col("_hub").isNotNull()).drop("_hub")
 
 
-def _unit(points) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, unit vectors) of packed points."""
-    x = np.array([p["v"] for p in points], np.float64)
+def _unit(ids: list, vectors: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of a packed block, by id."""
+    names = np.array(ids)
+    order = np.argsort(names, kind="stable")
+    x = np.frombuffer(vectors, kind).reshape(len(names), -1).astype(np.float64)[order]
     norms = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.array([p["id"] for p in points]), x / np.where(norms > 0, norms, 1)
+    return names[order], x / np.where(norms > 0, norms, 1)
+
+
+def _points(key: str, vector: str, vectors: DataFrame) -> Column:
+    """(id, v); floats stay floats, all else is double."""
+    floats = vectors.schema[vector].dataType.simpleString() == "array<float>"
+    return F.struct(F.col(key).alias("id"), F.col(vector).cast("array<float>" if floats else "array<double>").alias("v"))
+
+
+def _kind(dealt: DataFrame) -> str:
+    return "<f4" if dealt.schema["p"].dataType["v"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def _blocks_of(rows: Column, block: int | None) -> Column:
+    """How many blocks a cell of so many rows has."""
+    size = F.lit(block) if block else F.greatest(F.lit(SMALL_BLOCK), F.least(F.lit(LARGE_BLOCK), F.ceil(rows / F.lit(BLOCKS))))
+    return F.ceil(rows / size).cast("int")
+
+
+def _packed(dealt: DataFrame) -> DataFrame:
+    """(cell, blk, ids, vs) of dealt (cell, blk, p). vs: a block's vectors, one behind the other."""
+    kind, key = _kind(dealt), dealt.schema["p"].dataType["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                points = batch.column(2)[i].values
+                vs = points.field("v").flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+                ids = pa.ListArray.from_arrays(pa.array([0, len(points)], pa.int32()), points.field("id"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), ids, pa.array([vs], pa.binary())], ["cell", "blk", "ids", "vs"])
+
+    lists = dealt.groupBy("cell", "blk").agg(F.collect_list("p").alias("ps")).select("cell", "blk", "ps")
+    return lists.mapInArrow(pack, f"cell int, blk int, ids array<{key}>, vs binary")
 
 
 def _cells(vectors: DataFrame, key: str, vector: str, centers: int, probes: int):
@@ -143,14 +181,16 @@ def _cells(vectors: DataFrame, key: str, vector: str, centers: int, probes: int)
     return run
 
 
-def semantic_edges(vectors: DataFrame, key: str, vector: str, threshold: float = EDGE_SIMILARITY, per_node: int = EDGES_A_NODE, cap: int | None = EDGE_CAP, block: int = 1024, centers: int = 0, probes: int = 4) -> DataFrame:
+def semantic_edges(vectors: DataFrame, key: str, vector: str, threshold: float = EDGE_SIMILARITY, per_node: int = EDGES_A_NODE, cap: int | None = EDGE_CAP, block: int | None = None, centers: int = 0, probes: int = 4) -> DataFrame:
     """(a, b, sim): each node's nearest at threshold or above, undirected, sim rounded after the test;
     cap: that many, in the order of nodes and their ranks.
 
     Exactly (centers=0), every vector is a query against all rows, so the work is quadratic by its nature.
-    It is done block against block: about ``block`` vectors are packed into a row, pairs of blocks meet by
-    an equality on the pair (neither side is broadcast and there is no cross join), and of each pair only
-    the nearest ``per_node`` of each node come out of the matrix product.
+    It is done block against block, each two of them once, for the nodes of both: vectors are packed into
+    blocks in their own type, pairs of blocks meet by an equality on the pair (neither side is broadcast and
+    there is no cross join), and of each pair only the nearest ``per_node`` of each node come out of the
+    matrix product. A vector moves once for each block, so blocks are large (LARGE_BLOCK) where vectors are
+    many; a task holds two blocks and a stripe of their product. block: another size.
 
     For many vectors there are cells: a vector belongs to its ``probes`` nearest of ``centers`` sampled
     vectors (a stated bound on the sample), and only blocks of a cell meet. Every vector is compared; an edge is found if its
@@ -160,36 +200,70 @@ def semantic_edges(vectors: DataFrame, key: str, vector: str, threshold: float =
     kind = vectors.schema[key].dataType.simpleString()
     points = vectors.where(F.col(vector).isNotNull())
     cells = _cells(points, key, vector, centers, probes)(F.col(vector)) if centers else F.array(F.lit(0))
-    dealt = points.select(F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).alias("p"), F.explode(cells).alias("cell"))
+    dealt = points.select(_points(key, vector, vectors).alias("p"), F.explode(cells).alias("cell"))
     dealt = materialise(dealt, "cells")
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))  # a row for each cell
+    sizes = dealt.groupBy("cell").agg(_blocks_of(F.count("*"), block).alias("blocks"))  # a row for each cell
     numbered = dealt.join(F.broadcast(sizes), "cell").withColumn("blk", F.pmod(F.xxhash64("p.id"), F.col("blocks")).cast("int"))
-    packed = materialise(numbered.groupBy("cell", "blocks", "blk").agg(F.collect_list("p").alias("ps")), "blocks")  # block vectors a row
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = packed.select("cell", F.col("blk").alias("ba"), F.explode(every).alias("bb"), F.col("ps").alias("pa"))
-    right = packed.select("cell", F.explode(every).alias("ba"), F.col("blk").alias("bb"), F.col("ps").alias("pb"))
+    packed = materialise(_packed(numbered.select("cell", "blk", "p")), "blocks").join(F.broadcast(sizes), "cell")
+    left = packed.select("cell", F.col("blk").alias("ba"), F.explode(F.sequence(F.col("blk"), F.col("blocks") - 1)).alias("bb"), F.col("ids").alias("ia"), F.col("vs").alias("va"))
+    right = packed.select("cell", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("ba"), F.col("blk").alias("bb"), F.col("ids").alias("ib"), F.col("vs").alias("vb"))
 
-    met = left.join(right, ["cell", "ba", "bb"]).select("pa", "pb").mapInPandas(_best(threshold, per_node), f"a {kind}, b {kind}, sim double")
+    met = left.join(right, ["cell", "ba", "bb"]).select((F.col("ba") == F.col("bb")).alias("same"), "ia", "va", "ib", "vb")
+    met = met.mapInArrow(_best(threshold, per_node, _kind(dealt), kind), f"a {kind}, b {kind}, sim double")
     met = met.groupBy("a", "b").agg(F.max("sim").alias("sim")) if centers else met
     return _undirected(met, per_node, cap)
 
 
-def _best(threshold: float, per_node: int):
-    """Of packed points pa and pb each a's nearest, at threshold or above."""
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for pa, pb in zip(pdf["pa"], pdf["pb"], strict=True):
-                (ia, xa), (ib, xb) = _unit(pa), _unit(pb)
-                order = np.argsort(ib, kind="stable")
-                ib, xb = ib[order], xb[order]
-                sims = xa @ xb.T
-                sims[ia[:, None] == ib[None, :]] = -2
-                near = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :per_node]
-                rows = np.repeat(np.arange(len(ia)), near.shape[1])
-                found = sims[rows, near.ravel()]
-                good = found >= threshold
-                yield pd.DataFrame({"a": ia[rows[good]], "b": ib[near.ravel()[good]], "sim": found[good]})
+def _first(of: np.ndarray, other: np.ndarray, sim: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the first of their node: by similarity, then by the other."""
+    order = np.lexsort((other, -np.round(sim, 9), of))
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0])) if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[rank < most]
+
+
+def _candidates(sims: np.ndarray, threshold: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of what may be among the first of its row or column."""
+    good = sims >= threshold
+    if good.mean() > 0.05:
+        for axis in (0, 1):
+            size = sims.shape[axis]
+            least = np.partition(sims, size - min(most, size), axis=axis).take([size - min(most, size)], axis=axis) - 2e-9
+            enough = sims >= least if axis == 0 else enough | (sims >= least)
+        good &= enough
+    return np.nonzero(good)
+
+
+def _best(threshold: float, per_node: int, kind: str, key: str):
+    """Of packed blocks (same, ia, va, ib, vb) each node's nearest in the other block, at threshold or above."""
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+
+    def nearest(same: bool, left: tuple, right: tuple) -> Iterator[pa.RecordBatch]:
+        (ia, xa), (ib, xb) = _unit(*left, kind), _unit(*right, kind)
+        behind = []
+        for i in range(0, len(ia), STRIPE):
+            sims = xa[i : i + STRIPE] @ xb.T
+            sims[ia[i : i + STRIPE, None] == ib[None, :]] = -2
+            rows, columns = _candidates(sims, threshold, per_node)
+            found, rows = sims[rows, columns], rows + i
+            first = _first(rows, columns, found, per_node)
+            yield batch(ia[rows[first]], ib[columns[first]], found[first])
+            if not same:
+                first = _first(columns, rows, found, per_node)
+                behind.append((columns[first], rows[first], found[first]))
+        if behind:
+            of, other, sim = map(np.concatenate, zip(*behind, strict=True))
+            first = _first(of, other, sim, per_node)
+            yield batch(ib[of[first]], ia[other[first]], sim[first])
+
+    def batch(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, types.get(key)), pa.array(b, types.get(key)), pa.array(sim, pa.float64())], ["a", "b", "sim"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in batches:
+            for i in range(len(met)):
+                same, ia, va, ib, vb = (met.column(k)[i] for k in range(5))
+                yield from nearest(same.as_py(), (ia.values.to_pylist(), va.as_buffer()), (ib.values.to_pylist(), vb.as_buffer()))
 
     return best
 
@@ -202,21 +276,25 @@ def _undirected(met: DataFrame, per_node: int, cap: int | None) -> DataFrame:
 
 
 class BoundedBlocks(NamedTuple):
-    """packed: cell, blk, ps. pairs: cell, ba, other, bb, those that can reach the threshold. every: the number of all pairs."""
+    """packed: cell, blk, ids, vs. pairs: cell, ba, other, bb, those that can reach the threshold. every: the number of all pairs."""
 
     packed: DataFrame
     pairs: DataFrame
     every: int
+    kind: str
 
 
-def bounded_blocks(vectors: DataFrame, key: str, vector: str, threshold: float, block: int = 1024, cells: int | None = None) -> BoundedBlocks:
+def bounded_blocks(vectors: DataFrame, key: str, vector: str, threshold: float, block: int | None = None, cells: int | None = None) -> BoundedBlocks:
     """Vectors packed in blocks of their cells (see vectorindex), and which blocks are to meet: two vectors are at
     least as far apart as their cells' centers, less both cells' widest angles, so cells for which that is
     more than the threshold's angle never meet."""
-    points = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    points = vectors.where(F.col(vector).isNotNull()).select(_points(key, vector, vectors).alias("p")).select("p.id", "p.v")
+    if cells is None:
+        cells = min(EDGE_CELLS, vectorindex.default_cells(points.count()))
     centers = vectorindex.fit_centers(points, "v", cells)
     placed = materialise(vectorindex.assigned(points, "v", centers).select("cell", "angle", F.struct("id", "v").alias("p")), "placed")
-    found = placed.groupBy("cell").agg(F.max("angle").alias("most"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).orderBy("cell").collect()  # vectorindex.MOST_CELLS + 1 rows
+    size = F.lit(block or LARGE_BLOCK)
+    found = placed.groupBy("cell").agg(F.max("angle").alias("most"), F.ceil(F.count("*") / size).cast("int").alias("blocks")).orderBy("cell").collect()  # vectorindex.MOST_CELLS + 1 rows
     reach = np.arccos(np.clip(threshold, -1, 1)) + 1e-7
     known = [r for r in found if r["cell"] != vectorindex.NOWHERE]
     numbers, most = np.array([r["cell"] for r in known], int), np.array([r["most"] for r in known], float)
@@ -227,22 +305,24 @@ def bounded_blocks(vectors: DataFrame, key: str, vector: str, threshold: float,
     spark = vectors.sparkSession
     sizes = F.broadcast(spark.createDataFrame([(r["cell"], r["blocks"]) for r in found], "cell int, blocks int"))
     dealt = placed.join(sizes, "cell").withColumn("blk", F.pmod(F.xxhash64("p.id"), F.col("blocks")).cast("int"))
-    packed = materialise(dealt.groupBy("cell", "blk").agg(F.collect_list("p").alias("ps")), "bounded-blocks")  # block vectors a row
+    packed = materialise(_packed(dealt.select("cell", "blk", "p")), "bounded-blocks")
     meet = spark.createDataFrame(sorted(set(near)), "cell int, other int")
     names = packed.select("cell", "blk")
     pairs = names.withColumnRenamed("blk", "ba").join(meet, "cell").join(names.select(F.col("cell").alias("other"), F.col("blk").alias("bb")), "other")
-    return BoundedBlocks(packed, pairs.select("cell", "ba", "other", "bb"), sum(r["blocks"] for r in found) ** 2)
+    return BoundedBlocks(packed, pairs.select("cell", "ba", "other", "bb"), sum(r["blocks"] for r in found) ** 2, _kind(dealt))
 
 
-def semantic_edges_by_bounds(vectors: DataFrame, key: str, vector: str, threshold: float = EDGE_SIMILARITY, per_node: int = EDGES_A_NODE, cap: int | None = EDGE_CAP, block: int = 1024, cells: int | None = None) -> DataFrame:
+def semantic_edges_by_bounds(vectors: DataFrame, key: str, vector: str, threshold: float = EDGE_SIMILARITY, per_node: int = EDGES_A_NODE, cap: int | None = EDGE_CAP, block: int | None = None, cells: int | None = None) -> DataFrame:
     """The rows of semantic_edges(), exactly, without the pairs of blocks that cannot reach the threshold. On vectors
     with topics most pairs go; on vectors without any, none does."""
     b = bounded_blocks(vectors, key, vector, threshold, block, cells)
     kind = vectors.schema[key].dataType.simpleString()
-    left = b.packed.select("cell", F.col("blk").alias("ba"), F.col("ps").alias("pa"))
-    right = b.packed.select(F.col("cell").alias("other"), F.col("blk").alias("bb"), F.col("ps").alias("pb"))
-    met = b.pairs.join(left, ["cell", "ba"]).join(right, ["other", "bb"]).select("pa", "pb")
-    return _undirected(met.mapInPandas(_best(threshold, per_node), f"a {kind}, b {kind}, sim double"), per_node, cap)
+    left = b.packed.select("cell", F.col("blk").alias("ba"), F.col("ids").alias("ia"), F.col("vs").alias("va"))
+    right = b.packed.select(F.col("cell").alias("other"), F.col("blk").alias("bb"), F.col("ids").alias("ib"), F.col("vs").alias("vb"))
+    one, two = F.struct("cell", "ba"), F.struct(F.col("other").alias("cell"), F.col("bb").alias("ba"))
+    once = b.pairs.where(one <= two).withColumn("same", one == two)  # each two blocks meet once, for the nodes of both
+    met = once.join(left, ["cell", "ba"]).join(right, ["other", "bb"]).select("same", "ia", "va", "ib", "vb")
+    return _undirected(met.mapInArrow(_best(threshold, per_node, b.kind, kind), f"a {kind}, b {kind}, sim double"), per_node, cap)
 
 
 def backlink_target(link: Column) -> Column:

@@ -153,6 +153,23 @@ def test_semantic_edges_by_bounds(spark):
     assert graph.semantic_edges_by_bounds(vectors.where("false"), "vec_id", "embedding").collect() == []
 
 
+def test_semantic_edges_move_vectors_in_their_type_once_for_each_block(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 8)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    for threshold in (0.3, -1.0):
+        want = {(min(i, int(j)), max(i, int(j))) for i in range(90) for j in np.argsort(-np.round(sims[i], 9), kind="stable")[:4] if sims[i, j] >= threshold}
+        for block in (7, 90, None):
+            assert {(r.a, r.b) for r in graph.semantic_edges(vectors, "id", "v", threshold, cap=None, block=block).collect()} == want
+    packed = graph._packed(vectors.select(F.lit(0).alias("cell"), (F.col("id") % 3).cast("int").alias("blk"), graph._points("id", "v", vectors).alias("p"))).collect()
+    assert {len(r.vs) for r in packed} == {30 * 8 * 4} and sorted(i for r in packed for i in r.ids) == list(range(90))
+    sizes = spark.range(1).select(*[graph._blocks_of(F.lit(n), None).alias(str(n)) for n in (500, 16_384, 720_000)]).first()
+    assert tuple(sizes) == (1, 16, 44)
+
+
 def test_package(spark, tmp_path):
     rows = spark.createDataFrame([("b", "t2", [0.0, 1.0], {"file": "x"}), ("a", "t1", [1.0, 0.0], {"file": "x"})], "id string, text string, embedding array<double>, meta map<string,string>")
     held = spark.createDataFrame([("x", bytearray(b"one")), ("y", bytearray(b"two"))], "rel string, content binary")
