@@ -7,12 +7,13 @@ of these differ in at most ``RADIUS`` = 2 bits. Both walk half the radius: each
 itself and its 64 variants at one bit, and all that share a variant of a family are within two bits of
 each other. They are verified by the fingerprints of their three-word shingles, which see the order of
 words: these differ in at most ``SHINGLE_BITS``; nine in ten pairs at a similarity of 0.8 do. Verification
-has two levels, neither of which makes all pairs. Each is verified against the first one, a star. Those
+has three levels, none of which makes all pairs. Each is verified against the first one, a star. Those
 that are unlike the first, by the order of their words, are sorted by their shingles' fingerprint, rotated
-by an amount that the variant sets, and each is verified against the ``LAGS`` before it. Groups of up to
-LAGS + 2 are so compared completely. In larger ones a near pair stands side by side in some rotation: texts of
-the same words share 780 groups, each of them sorted by one of sixteen rotations. Links go through
-distributed connected components.
+by an amount that the variant sets, and each is verified against the ``LAGS`` before it. Links go through
+distributed connected components. What these levels may leave out are links in groups whose members are
+still in different components (``rest``): there each member is verified against all members of other components, by
+tiles of TILE members that meet in pairs, and what is found joins components. So components are exactly those of all
+verified candidates. Groups of one component, nearly all, are left out of that before any pair is made.
 
 Unrelated documents are within 2 bits by chance with a probability of 1e-16 for each family, so the
 number of candidates does not grow with the square of the number of documents.
@@ -45,6 +46,7 @@ FAMILIES = 12
 RADIUS = 2
 SHINGLE_BITS = 13
 LAGS = 4
+TILE = 2048
 _CHUNK = 255 * 4  # words at a time
 
 
@@ -87,12 +89,8 @@ def marks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_mark, "doc_id long, text_hash long, fp long, words array<long>")
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b): edges between verified classes. classes: number, fp, words, distinct in (fp, words).
-
-    In a large group a document has many partners, up to one for each of its variants. Instead of all of its
-    edges to them there is one to the smallest, and one from each other partner to that: the same components
-    with an edge for each document and some among the partners."""
+def grouped(classes: DataFrame) -> DataFrame:
+    """(number, fp, family, top, variant): a row for each class and group. classes: number, fp, words, distinct in (fp, words)."""
     parts = max(DESTINATIONS, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = max(8, (8 * parts // FAMILIES).bit_length())  # bits that say where a variant goes
     low = 64 - first
@@ -102,28 +100,93 @@ def links(classes: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("value", F.expr(f"if(flip < 0, value, value ^ shiftleft(1L, flip + {low}))"))
     dealt = dealt.withColumn("top", F.expr(f"cast(shiftrightunsigned(value, {low}) as int)")).repartition(parts, "family", "top")
     near = F.expr(f"if(flip < 0, concat(array(value), transform(sequence(0, {low - 1}), i -> value ^ shiftleft(1L, i))), array(value))")
-    met = dealt.select("number", "fp", "family", "top", F.explode(near).alias("variant"))
+    return dealt.select("number", "fp", "family", "top", F.explode(near).alias("variant"))
+
+
+def compared(classes: DataFrame) -> DataFrame:
+    """(number, fp, family, variant, partner, mixed): what the first two levels find, and all members of mixed groups,
+    those that have a member that is unlike the first one."""
+    met = grouped(classes)
     in_group = Window.partitionBy("family", "top", "variant")
     group = in_group.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    met = met.withColumns({"center": F.first("number").over(group), "center_fp": F.first("fp").over(group)}).where("number != center")
+    met = met.withColumns({"center": F.first("number").over(group), "center_fp": F.first("fp").over(group)})
     alike = lambda other: F.bit_count(F.col("fp").bitwiseXOR(other)) <= SHINGLE_BITS
     turn = F.expr("cast(4 * pmod(hash(variant, family), 16) as int)")
     turned = F.call_function("shiftleft", F.col("fp"), turn).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), (64 - turn).cast("int")))
-    unlike = met.withColumns({"close": alike(F.col("center_fp")), "turned": turned})
+    unlike = met.withColumn("close", alike(F.col("center_fp"))).withColumn("mixed", ~F.min("close").over(in_group))
+    unlike = unlike.where("number != center OR mixed").withColumn("turned", turned)
     by_shingles = in_group.orderBy("close", "turned", "number")
     before = [F.lag(F.struct("number", "fp"), k).over(by_shingles) for k in range(1, LAGS + 1)]
-    partner = F.coalesce(F.when(F.col("close"), F.col("center")), *[F.when(alike(x["fp"]), x["number"]) for x in map(F.col, (f"before_{k}" for k in range(LAGS)))])
-    found = unlike.withColumns({f"before_{k}": x for k, x in enumerate(before)}).select("number", partner.alias("partner")).where("partner IS NOT NULL").distinct()
-    least = found.groupBy("number").agg(F.min("partner").alias("b"), F.collect_list("partner").alias("partners"))  # FAMILIES * 65 at most
+    of_first = F.when(F.col("close") & (F.col("number") != F.col("center")), F.col("center"))
+    partner = F.coalesce(of_first, *[F.when((F.col("number") != F.col("center")) & alike(x["fp"]), x["number"]) for x in map(F.col, (f"before_{k}" for k in range(LAGS)))])
+    found = unlike.withColumns({f"before_{k}": x for k, x in enumerate(before)}).select("number", "fp", "family", "variant", partner.alias("partner"), "mixed")
+    return found.where("partner IS NOT NULL OR mixed")
+
+
+def edges(found: DataFrame) -> DataFrame:
+    """(a, b): edges between verified classes.
+
+    In a large group a document has many partners, up to one for each of its variants. Instead of all of its
+    edges to them there is one to the smallest, and one from each other partner to that: the same components
+    with an edge for each document and some among the partners."""
+    pairs = found.select("number", "partner").where("partner IS NOT NULL").distinct()
+    least = pairs.groupBy("number").agg(F.min("partner").alias("b"), F.collect_list("partner").alias("partners"))  # FAMILIES * 65 at most
     return least.select(F.explode(F.concat(F.array("number"), "partners")).alias("a"), "b").where("a != b").distinct()
 
 
+def links(classes: DataFrame) -> DataFrame:
+    """(a, b): edges of the first two levels."""
+    return edges(compared(classes))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): roots with near members in two tiles."""
+    for batch in batches:
+        for i in range(len(batch)):
+            fa, ra, fb, rb = (batch.column(k)[i].values.to_numpy() for k in range(4))
+            found = set()
+            for k in range(0, len(fa), 256):
+                near = (np.bitwise_count((fa[k : k + 256, None] ^ fb[None, :]).view(np.uint64)) <= SHINGLE_BITS) & (ra[k : k + 256, None] != rb[None, :])
+                x, y = np.nonzero(near)
+                found |= set(map(tuple, np.unique(np.stack([ra[k + x], rb[y]], axis=1), axis=0).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def rest(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): roots that any two near members of a mixed group connect. roots: node, root."""
+    named = roots.select(F.col("node").alias("number"), "root")
+    members = found.where("mixed").select("number", "fp", "family", "variant").join(named, "number", "left").withColumn("root", F.coalesce("root", "number"))
+    member = F.struct("fp", "root")
+    groups = members.groupBy("family", "variant").agg(
+        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64(member).cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), member)).alias("xor")
+    )
+    # groups of the same members are the same work: one of them stands for all
+    apart = groups.where("low != high").groupBy("size", "sum", "xor").agg(F.min(F.struct("family", "variant")).alias("g")).select("g.*", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    apart = materialise(apart, "near-apart")
+    tile = F.pmod(F.xxhash64("number"), F.col("tiles")).cast("int")
+    tiles = members.join(apart, ["family", "variant"]).groupBy("family", "variant", "tiles", tile.alias("tile")).agg(F.collect_list(member).alias("m"))
+    tiles = materialise(tiles.select("family", "variant", "tiles", "tile", F.col("m.fp").alias("fps"), F.col("m.root").alias("roots")), "near-tiles")
+    left = tiles.select("family", "variant", F.col("tile").alias("ta"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tb"), F.col("fps").alias("fa"), F.col("roots").alias("ra"))
+    right = tiles.select("family", "variant", F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("ta"), F.col("tile").alias("tb"), F.col("fps").alias("fb"), F.col("roots").alias("rb"))
+    return left.join(right, ["family", "variant", "ta", "tb"]).select("fa", "ra", "fb", "rb").mapInArrow(_across, "a long, b long").distinct()
+
+
+def components(classes: DataFrame) -> DataFrame:
+    """(node, root): the components of all verified candidates; classes without a partner are absent."""
+    found = materialise(compared(classes), "near-compared")
+    roots = materialise(connected_components(edges(found), "a", "b"), "near-roots")
+    joined = connected_components(rest(found, roots), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("over"))
+    # a class without a partner so far is its own root
+    every = roots.unionByName(joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), "root"))
+    return every.join(joined, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+
+
 def keepers(marked: DataFrame) -> DataFrame:
     """(id, hash): of each group the smallest (doc_id, text_hash). marked: doc_id, text_hash, fp, words."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     classes = marked.groupBy("fp", "words").agg(F.min(first).alias("least")).withColumn("number", F.monotonically_increasing_id())
     classes = materialise(classes, "near-classes", marked.count())
-    roots = materialise(connected_components(links(classes.select("number", "fp", "words")), "a", "b"), "near-roots", classes.count())
+    roots = materialise(components(classes.select("number", "fp", "words")), "near-components", classes.count())
     linked = roots.withColumnRenamed("node", "number")
     slim = classes.select("number", "least")
     grouped = slim.join(linked, "number").groupBy("root").agg(F.min("least").alias("least")).select("least")

@@ -142,3 +142,25 @@ def test_template(spark):
     assert edges < 40 * len(texts), edges
     kept = {r.doc_id for r in nearcopies.drop_near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert len(kept) <= 3 and 0 in kept, len(kept)
+
+
+def test_groups_beyond_the_first_levels_are_compared_exactly(spark, monkeypatch):
+    """Fingerprints in one group that are near others than its first: components are those of all pairs."""
+    rng = random.Random(8)
+    chain = [0, (1 << 10) - 1, (1 << 20) - 1]  # the last is near the second only, which is near the first
+    crowd = []
+    for _ in range(60):
+        center = rng.getrandbits(64)
+        crowd += [center] + [center ^ sum(1 << b for b in rng.sample(range(64), rng.choice([9, 12, 16]))) for _ in range(3)]
+    for fps, tile in ((chain, 2048), (crowd, 2048), (crowd, 50)):
+        monkeypatch.setattr(nearcopies, "TILE", tile)
+        fps = list(dict.fromkeys(fps))
+        root = list(range(len(fps)))
+        for i in range(len(fps)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= nearcopies.SHINGLE_BITS:
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        marked = spark.createDataFrame([(i, i, signed(x), [7] * nearcopies.FAMILIES) for i, x in enumerate(fps)], "doc_id long, text_hash long, fp long, words array<long>")
+        assert {r.id for r in nearcopies.keepers(marked).collect()} == set(root)
