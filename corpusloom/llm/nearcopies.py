@@ -10,10 +10,13 @@ words: these differ in at most ``SHINGLE_BITS``; nine in ten pairs at a similari
 has three levels, none of which makes all pairs. Each is verified against the first one, a star. Those
 that are unlike the first, by the order of their words, are sorted by their shingles' fingerprint, rotated
 by an amount that the variant sets, and each is verified against the ``LAGS`` before it. Links go through
-distributed connected components. What these levels may leave out are links in groups whose members are
-still in different components (``rest``): there each member is verified against all members of other components, by
-tiles of TILE members that meet in pairs, and what is found joins components. So components are exactly those of all
-verified candidates. Groups of one component, nearly all, are left out of that before any pair is made.
+distributed connected components. What these levels may leave out are links of the members of mixed groups,
+those with a member unlike the first, that are still in different components (``rest``). For these a fingerprint is cut
+into BLOCKS = RADIUS + 1 parts: two that differ in at most RADIUS bits have an equal one, so a class stands in 36 cells
+there, not in 780 groups. In cells with more than one component each member is verified against all members of other
+components, both by the family's fingerprints and by the shingles', by tiles of TILE members that meet in pairs, and what
+is found joins components. So components are exactly those of all verified candidates. Cells of one component, nearly
+all, are left out before any pair is made.
 
 Unrelated documents are within 2 bits by chance with a probability of 1e-16 for each family, so the
 number of candidates does not grow with the square of the number of documents.
@@ -47,6 +50,7 @@ RADIUS = 2
 SHINGLE_BITS = 13
 LAGS = 4
 TILE = 2048
+BLOCKS = ((0, 21), (21, 21), (42, 22))  # (shift, bits), one more than RADIUS
 _CHUNK = 255 * 4  # words at a time
 
 
@@ -104,8 +108,8 @@ def grouped(classes: DataFrame) -> DataFrame:
 
 
 def compared(classes: DataFrame) -> DataFrame:
-    """(number, fp, family, variant, partner, mixed): what the first two levels find, and all members of mixed groups,
-    those that have a member that is unlike the first one."""
+    """(number, partner, mixed): what the first two levels find, and all members of mixed groups, those that have a
+    member that is unlike the first one."""
     met = grouped(classes)
     in_group = Window.partitionBy("family", "top", "variant")
     group = in_group.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
@@ -119,7 +123,7 @@ def compared(classes: DataFrame) -> DataFrame:
     before = [F.lag(F.struct("number", "fp"), k).over(by_shingles) for k in range(1, LAGS + 1)]
     of_first = F.when(F.col("close") & (F.col("number") != F.col("center")), F.col("center"))
     partner = F.coalesce(of_first, *[F.when((F.col("number") != F.col("center")) & alike(x["fp"]), x["number"]) for x in map(F.col, (f"before_{k}" for k in range(LAGS)))])
-    found = unlike.withColumns({f"before_{k}": x for k, x in enumerate(before)}).select("number", "fp", "family", "variant", partner.alias("partner"), "mixed")
+    found = unlike.withColumns({f"before_{k}": x for k, x in enumerate(before)}).select("number", partner.alias("partner"), "mixed")
     return found.where("partner IS NOT NULL OR mixed")
 
 
@@ -143,39 +147,45 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b): roots with near members in two tiles."""
     for batch in batches:
         for i in range(len(batch)):
-            fa, ra, fb, rb = (batch.column(k)[i].values.to_numpy() for k in range(4))
+            va, fa, ra, vb, fb, rb = (batch.column(k)[i].values.to_numpy() for k in range(6))
+            apart = lambda x, y: np.bitwise_count((x[:, None] ^ y[None, :]).view(np.uint64))
             found = set()
             for k in range(0, len(fa), 256):
-                near = (np.bitwise_count((fa[k : k + 256, None] ^ fb[None, :]).view(np.uint64)) <= SHINGLE_BITS) & (ra[k : k + 256, None] != rb[None, :])
-                x, y = np.nonzero(near)
-                found |= set(map(tuple, np.unique(np.stack([ra[k + x], rb[y]], axis=1), axis=0).tolist()))
+                some = slice(k, k + 256)
+                near = (apart(fa[some], fb) <= SHINGLE_BITS) & (ra[some, None] != rb[None, :])
+                if near.any():
+                    x, y = np.nonzero(near & (apart(va[some], vb) <= RADIUS))
+                    found |= set(map(tuple, np.unique(np.stack([ra[k + x], rb[y]], axis=1), axis=0).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def rest(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): roots that any two near members of a mixed group connect. roots: node, root."""
+def rest(classes: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): roots that any two near members of mixed groups connect. roots: node, root."""
     named = roots.select(F.col("node").alias("number"), "root")
-    members = found.where("mixed").select("number", "fp", "family", "variant").join(named, "number", "left").withColumn("root", F.coalesce("root", "number"))
-    member = F.struct("fp", "root")
-    groups = members.groupBy("family", "variant").agg(
+    mixed = classes.join(found.where("mixed").select("number").distinct(), "number", "left_semi").join(named, "number", "left")
+    members = mixed.select("fp", F.coalesce("root", "number").alias("root"), F.posexplode("words").alias("family", "value")).distinct()
+    parts = F.array(*[F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned(value, {shift}) & {(1 << bits) - 1}L").alias("part")) for k, (shift, bits) in enumerate(BLOCKS)])
+    cell, member = ["family", "block", "part"], F.struct("value", "fp", "root")
+    members = materialise(members.select("*", F.inline(parts)), "near-members")
+    groups = members.groupBy(*cell).agg(
         F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64(member).cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), member)).alias("xor")
     )
-    # groups of the same members are the same work: one of them stands for all
-    apart = groups.where("low != high").groupBy("size", "sum", "xor").agg(F.min(F.struct("family", "variant")).alias("g")).select("g.*", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    # cells of the same members are the same work: one of them stands for all
+    apart = groups.where("low != high").groupBy("family", "size", "sum", "xor").agg(F.min(F.struct("block", "part")).alias("g")).select("family", "g.*", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     apart = materialise(apart, "near-apart")
-    tile = F.pmod(F.xxhash64("number"), F.col("tiles")).cast("int")
-    tiles = members.join(apart, ["family", "variant"]).groupBy("family", "variant", "tiles", tile.alias("tile")).agg(F.collect_list(member).alias("m"))
-    tiles = materialise(tiles.select("family", "variant", "tiles", "tile", F.col("m.fp").alias("fps"), F.col("m.root").alias("roots")), "near-tiles")
-    left = tiles.select("family", "variant", F.col("tile").alias("ta"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tb"), F.col("fps").alias("fa"), F.col("roots").alias("ra"))
-    right = tiles.select("family", "variant", F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("ta"), F.col("tile").alias("tb"), F.col("fps").alias("fb"), F.col("roots").alias("rb"))
-    return left.join(right, ["family", "variant", "ta", "tb"]).select("fa", "ra", "fb", "rb").mapInArrow(_across, "a long, b long").distinct()
+    tile = F.pmod(F.xxhash64(member), F.col("tiles")).cast("int")
+    tiles = members.join(apart, cell).groupBy(*cell, "tiles", tile.alias("tile")).agg(F.collect_list(member).alias("m"))
+    tiles = materialise(tiles.select(*cell, "tiles", "tile", F.col("m.value").alias("values"), F.col("m.fp").alias("fps"), F.col("m.root").alias("roots")), "near-tiles")
+    left = tiles.select(*cell, F.col("tile").alias("ta"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tb"), F.col("values").alias("va"), F.col("fps").alias("fa"), F.col("roots").alias("ra"))
+    right = tiles.select(*cell, F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("ta"), F.col("tile").alias("tb"), F.col("values").alias("vb"), F.col("fps").alias("fb"), F.col("roots").alias("rb"))
+    return left.join(right, [*cell, "ta", "tb"]).select("va", "fa", "ra", "vb", "fb", "rb").mapInArrow(_across, "a long, b long").distinct()
 
 
 def components(classes: DataFrame) -> DataFrame:
     """(node, root): the components of all verified candidates; classes without a partner are absent."""
     found = materialise(compared(classes), "near-compared")
     roots = materialise(connected_components(edges(found), "a", "b"), "near-roots")
-    joined = connected_components(rest(found, roots), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("over"))
+    joined = connected_components(rest(classes, found, roots), "a", "b").select(F.col("node").alias("root"), F.col("root").alias("over"))
     # a class without a partner so far is its own root
     every = roots.unionByName(joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), "root"))
     return every.join(joined, "root", "left").select("node", F.coalesce("over", "root").alias("root"))

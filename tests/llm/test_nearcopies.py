@@ -164,3 +164,31 @@ def test_groups_beyond_the_first_levels_are_compared_exactly(spark, monkeypatch)
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         marked = spark.createDataFrame([(i, i, signed(x), [7] * nearcopies.FAMILIES) for i, x in enumerate(fps)], "doc_id long, text_hash long, fp long, words array<long>")
         assert {r.id for r in nearcopies.keepers(marked).collect()} == set(root)
+
+
+def test_mixed_groups_make_few_rows_for_each_member(spark):
+    """A template whose members are apart by order: what the exact level stores has at most a row for each family and
+    block of a member, and links are those of all pairs by both fingerprints."""
+    rng = random.Random(9)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    flipped = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    word, shingle = [rng.getrandbits(64) for _ in range(nearcopies.FAMILIES)], [rng.getrandbits(64) for _ in range(12)]
+    rows = {(flipped(rng.choice(shingle), rng.choice([0, 5, 9, 12])), tuple(flipped(w, rng.choice([0, 1, 2, 3])) for w in word)) for _ in range(150)}
+    rows = list(rows)
+    root = list(range(len(rows)))
+    for i, (fa, wa) in enumerate(rows):
+        for j, (fb, wb) in enumerate(rows[:i]):
+            if (fa ^ fb).bit_count() <= nearcopies.SHINGLE_BITS and any((x ^ y).bit_count() <= nearcopies.RADIUS for x, y in zip(wa, wb, strict=True)):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    classes = spark.createDataFrame([(i, signed(f), [signed(x) for x in w]) for i, (f, w) in enumerate(rows)], "number long, fp long, words array<long>")
+    stored, write = {}, nearcopies.materialise
+    try:
+        nearcopies.materialise = lambda df, label, *most: stored.setdefault(label, write(df, label, *most))
+        got = {r.node: r.root for r in nearcopies.components(classes).collect()}
+    finally:
+        nearcopies.materialise = write
+    assert {i: got.get(i, i) for i in range(len(rows))} == dict(enumerate(root))
+    assert 1 < len(set(root)) < len(rows)
+    assert 0 < stored["near-members"].count() <= len(rows) * nearcopies.FAMILIES * len(nearcopies.BLOCKS)
+    assert stored["near-compared"].columns == ["number", "partner", "mixed"]
