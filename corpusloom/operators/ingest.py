@@ -108,9 +108,10 @@ def publish(old: DataFrame, new: DataFrame, touched: DataFrame, keys: tuple[str,
     return old.join(touched.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def chunk_files(files: DataFrame, limit: int = CHUNK_LIMIT, short: int = SHORT_DOCUMENT, ratio: float = PLACEHOLDER_RATIO) -> tuple[DataFrame, DataFrame]:
+def chunk_files(files: DataFrame, limit: int = CHUNK_LIMIT, short: int = SHORT_DOCUMENT, ratio: float = PLACEHOLDER_RATIO, with_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """files: lib, rel, text, and optionally blocks (page furniture by the extractor). Returns (chunks:
-    lib, rel, chunk, heading, title, tags, hp, ctx, body, text; states: lib, rel, reason, links).
+    lib, rel, chunk, heading, title, tags, hp, ctx, body, text; states: lib, rel, reason, links). with_links:
+    chunks have their file's links too, for those who need both: each table cleans the texts by itself.
 
     Order of the cleaning: links out of the text, wiki links, dead images, page furniture, page numbers,
     lines that repeat.
@@ -135,10 +136,11 @@ def chunk_files(files: DataFrame, limit: int = CHUNK_LIMIT, short: int = SHORT_D
             if len(rows):
                 yield rows.assign(chunk=[i for i, _ in rows["piece"]], heading=[h for _, (h, _) in rows["piece"]], body=[b for _, (_, b) in rows["piece"]]).drop(columns="piece")
 
-    whole = clean.select("lib", "rel", "title", "tags", "body", "reason")
-    kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in ("lib", "rel", "title", "tags"))
+    carried = ["lib", "rel", "title", "tags", *["links"] * with_links]
+    whole = clean.select(*carried, "body", "reason")
+    kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in carried)
     each = whole.mapInPandas(cut, f"{kinds}, chunk int, heading string, body string")
     path = F.when(F.col("heading") != "", F.split("heading", " / ")).otherwise(F.array().cast("array<string>"))
     ctx = context(F.concat(F.array(stem(F.col("rel")), F.col("title"), F.col("tags")), path))
-    chunks = each.select("lib", "rel", "chunk", "heading", "title", "tags", F.col("heading").alias("hp"), ctx.alias("ctx"), "body")
+    chunks = each.select("lib", "rel", "chunk", "heading", "title", "tags", F.col("heading").alias("hp"), ctx.alias("ctx"), "body", *["links"] * with_links)
     return chunks.withColumn("text", F.when(F.col("ctx") != "", F.concat_ws("\n", "ctx", "body")).otherwise(F.col("body"))), states

@@ -53,8 +53,8 @@ def moved(spark, df):
 
 
 def test_pieces_stay_in_their_rows(spark, sf):
-    """Nothing is shuffled or joined: pieces of both ways stand in their text's row."""
-    for name in ("sentence_pieces", "list_pieces"):
+    """Nothing is shuffled or joined: pieces of both ways, and chunks with their links, stand in their text's row."""
+    for name in ("sentence_pieces", "list_pieces", "note_chunks"):
         assert moved(spark, entry.queries()[name](spark, sf)) == [], name
 
 
