@@ -48,14 +48,15 @@ def build(docs: DataFrame, key: str, text: str, lib: str | None = None, size: in
     group = F.col(lib) if lib else F.lit("")
     listed = docs.select(group.alias("lib"), F.col(key).alias("cid"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     listed = listed.withColumn("dl", F.size("terms").cast("long"))
-    numbered = group_rank(listed.select("lib", "cid", "dl"), "lib", [F.col("dl"), F.col("cid")], "rank")
+    lengths = materialise(listed.select("lib", "cid", "dl"), "lengths")  # read three times: to find ranges, to number, for the totals
+    numbered = group_rank(lengths, "lib", [F.col("dl"), F.col("cid")], "rank")
     numbered = numbered.select(F.col("lib").alias("_lib"), F.col("cid").alias("_cid"), F.expr(f"(rank - 1) div {size}").alias("block"))
     counted = listed.select("lib", "cid", "dl", F.explode("terms").alias("term")).groupBy("lib", "term", "cid", "dl").agg(F.count("*").alias("tf"))
     placed = counted.join(numbered, F.col("lib").eqNullSafe(F.col("_lib")) & (F.col("cid") == F.col("_cid")))
     blocks = placed.groupBy("lib", "term", "block").agg(
         F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.array_sort(F.collect_list(F.struct("cid", "tf", "dl"))).alias("entries"),  # size at most
     )
-    totals = listed.groupBy("lib").agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
+    totals = lengths.groupBy("lib").agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
     return BlockIndex(blocks, blocks.groupBy("lib", "term").agg(F.sum("n").alias("df")), totals)
 
 

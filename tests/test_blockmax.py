@@ -61,3 +61,11 @@ def test_ties_and_empty(spark):
     index = blockmax.BlockIndex(*(spark.createDataFrame(d.collect(), d.schema) for d in index))
     assert [cid for _, cid in best(blockmax.top(index, "same", 5).rows, 5)[""]] == [0, 1, 2, 3, 4]
     assert blockmax.top(index, "", 5).rows.collect() == [] and blockmax.top(index, "...", 5).read == 0
+
+
+def test_lengths_are_stored_once(spark):
+    """Totals and numbers come from stored lengths; the terms of a text aren't found again for them."""
+    index = blockmax.build(documents(spark, 200), "id", "text", "lib", size=32)
+    assert "regexp_extract_all" not in index.totals._jdf.queryExecution().optimizedPlan().toString()
+    want = documents(spark, 200).selectExpr("lib", "size(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9][a-z0-9._+-]{1,})')) AS dl").groupBy("lib").agg(F.count("*"), F.sum("dl"))
+    assert sorted(map(str, index.totals.collect())) == sorted(str(r) for r in want.toDF("lib", "n", "words").collect())
