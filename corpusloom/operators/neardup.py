@@ -14,22 +14,42 @@ on those, which loses nothing and makes no candidates of what is common.
 
 from __future__ import annotations
 
+from hashlib import sha1
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, shingles, words
+from ..functions.text import BLANK, BLANKS, let
 from ..storage import materialise
 from .components import connected_components
 
 K, SHINGLE, BANDS, ROWS, THRESHOLD = 64, 4, 16, 4, 0.8
-LEAST_WORDS = 2
 LARGE = 200  # sketches in a bucket that are compared by their rarest values
 
 
 def sketch(text: Column, k: int = K, n: int = SHINGLE) -> Column:
-    """The k smallest distinct 64-bit hashes of the shingles, as 16 hexadecimal digits, which sort alike."""
-    hashes = F.transform(shingles(words(text), n), lambda s: F.substring(F.sha1(s.cast("binary")), 1, 16))
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, k)
+    """The k smallest distinct 64-bit hashes of the shingles (n words each; fewer words make one), as 16 hexadecimal
+    digits, which sort alike. A shingle is a slice of its text's bytes, and only distinct ones are hashed."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_smallest(t.as_py(), k, n) for t in texts], pa.list_(pa.string()))
+
+    return run(F.lower(text))
+
+
+def _smallest(text: str | None, k: int, n: int) -> list[str] | None:
+    if text is None:
+        return None
+    words = [w.encode() for w in text.split()]  # at BLANKS
+    joined, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
+    if len(words) < n:
+        cut = {joined}
+    else:
+        cut = {joined[i : j - 1] for i, j in zip([0, *ends], ends[n - 1 :], strict=False)}
+    return [h.hex() for h in sorted({sha1(s, usedforsecurity=False).digest()[:8] for s in cut})[:k]]
 
 
 def jaccard(a: Column, b: Column, k: int = K) -> Column:
@@ -51,7 +71,8 @@ def bands(of: Column, number: int = BANDS, rows: int = ROWS) -> Column:
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sk) of the documents with at least two words."""
-    return docs.where(F.size(words(F.coalesce(F.col(text), F.lit("")))) >= LEAST_WORDS).select(F.col(key).alias("key"), sketch(F.col(text)).alias("sk"))
+    enough = F.regexp_like(F.col(text), F.lit(f"[^{BLANKS}]{BLANK}+[^{BLANKS}]"))
+    return docs.where(enough).select(F.col(key).alias("key"), sketch(F.col(text)).alias("sk"))
 
 
 def classes(sketched: DataFrame) -> DataFrame:

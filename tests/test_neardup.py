@@ -1,8 +1,12 @@
 """The exhaustive search for near-duplicates against brute force over all pairs."""
 
 import random
+import sys
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from corpusloom.functions.text import BLANKS, shingles, words
 from corpusloom.operators import neardup
 
 SCHEMA = "lib string, key int, text string"
@@ -105,3 +109,19 @@ def test_links_of_a_template(spark):
             return {k: find(k) for k in sk}
 
         assert roots(edges) == roots(every)
+
+
+def test_sketches_are_those_of_the_shingles(spark):
+    """Hashes in Spark's own functions; words end at every blank, and one word alone has no sketch."""
+    assert set(BLANKS) == {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()}
+    rng = random.Random(4)
+    blanks = [*BLANKS, "  \n", "　 "]
+    rows = ["", " ", None, "one", " one ", "one two", " one\ttwo \n", "Ein ZWEI Straße", "a a a a a a a", "ab \U0001f600 İx ǅ é"]
+    rows += ["".join(rng.choice(["W", "é", "字", "x1"]) + str(rng.randrange(9)) + rng.choice(blanks) for _ in range(n)) for n in (3, 4, 5, 80, 400)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "key int, text string")
+    hashes = F.transform(shingles(words(F.col("text")), 4), lambda s: F.substring(F.sha1(s.cast("binary")), 1, 16))
+    plain = docs.where(F.size(words(F.coalesce("text", F.lit("")))) >= 2).select("key", F.slice(F.array_sort(F.array_distinct(hashes)), 1, 64).alias("sk"))
+    made = neardup.sketches(docs, "key", "text")
+    want = {r.key: r.sk for r in plain.collect()}
+    assert {r.key: r.sk for r in made.collect()} == want and len(want) == 10
+    assert "transform(" not in made._jdf.queryExecution().toString()  # no steps for each shingle in Spark's interpreted lambdas
