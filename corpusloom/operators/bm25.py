@@ -24,11 +24,13 @@ LISTED_TERMS = 1000  # a query with more is joined, not listed in a filter
 
 @dataclass
 class Index:
-    """postings: lib, term, cid, tf, dl. lengths: lib, cid, dl. totals: lib, n, avgdl, if they are stored."""
+    """postings: lib, term, cid, tf, dl. lengths: lib, cid, dl. totals: lib, n, avgdl, if they are stored. listed: lib, cid,
+    terms, of an index that isn't."""
 
     postings: DataFrame
     lengths: DataFrame
     totals: DataFrame | None = None
+    listed: DataFrame | None = None
 
     def statistics(self) -> DataFrame:
         return self.totals if self.totals is not None else statistics(self.lengths)
@@ -39,9 +41,9 @@ def build(docs: DataFrame, key: str, text: str, lib: str | None = None, terms: T
     terms: what makes the terms, of questions too."""
     group = F.col(lib) if lib else F.lit("")
     listed = docs.select(group.alias("lib"), F.col(key).alias("cid"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    listed = listed.withColumn("dl", F.size("terms").cast("long"))
-    postings = listed.select("lib", "cid", "dl", F.explode("terms").alias("term")).groupBy("lib", "term", "cid", "dl").agg(F.count("*").alias("tf"))
-    return Index(postings.select("lib", "term", "cid", "tf", "dl"), listed.select("lib", "cid", "dl"))
+    measured = listed.withColumn("dl", F.size("terms").cast("long"))
+    postings = measured.select("lib", "cid", "dl", F.explode("terms").alias("term")).groupBy("lib", "term", "cid", "dl").agg(F.count("*").alias("tf"))
+    return Index(postings.select("lib", "term", "cid", "tf", "dl"), measured.select("lib", "cid", "dl"), listed=listed)
 
 
 def stored(postings: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from . import bm25, retrieval
-from .ranking import group_rank
+from ..storage import materialise
+from . import bm25, retrieval, scoring
 
 KEY_WORDS = 5  # whole words of a passage that a document must share before it is searched for the passage
 
@@ -15,18 +19,30 @@ KEY_WORDS = 5  # whole words of a passage that a document must share before it i
 def containing(passages: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """(key, cid) of the documents whose text contains a passage. passages: key, passage; docs: cid, text.
 
-    Candidates share some consecutive whole words of the passage, an equality on their hash; a passage
+    Candidates share some consecutive whole words of the passage, an equality; a passage
     may begin and end within a word, so its first and last words don't count. Passages with fewer words
     than that are searched for in every text.
     """
     inner = F.filter(F.split("passage", r"\s+"), lambda w: w != "")
     marked = passages.select(key, "passage", F.slice(inner, 2, F.greatest(F.lit(0), F.size(inner) - 2)).alias("w"))
     long, short = marked.where(F.size("w") >= KEY_WORDS), marked.where(F.size("w") < KEY_WORDS)
-    known = long.select(key, "passage", F.xxhash64(F.array_join(F.slice("w", 1, KEY_WORDS), " ")).alias("h"))
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - KEY_WORDS + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(KEY_WORDS)), " ")))
-    cut = docs.select("cid", "text", words.alias("w")).select("cid", "text", F.explode(F.array_distinct(grams(F.col("w")))).alias("h"))
-    found = cut.join(F.broadcast(known), "h").where(F.contains("text", F.col("passage")))  # the questions of an evaluation
+    known = materialise(long.select(key, "passage", F.array_join(F.slice("w", 1, KEY_WORDS), " ").alias("h")), "passages")
+    begun: dict[str, list[list[str]]] = {}
+    for r in known.select("h").distinct().collect():  # the questions of an evaluation
+        begun.setdefault(r["h"].split(" ")[0], []).append(r["h"].split(" "))
+
+    @F.arrow_udf("array<string>")
+    def shared(texts: pa.Array) -> pa.Array:
+        cut = re.compile(r"[ \t\n\x0b\f\r]+").split
+
+        def of(text: str) -> list[str]:
+            w = cut(text)
+            return list({" ".join(h) for i, x in enumerate(w) if x in begun for h in begun[x] if w[i : i + len(h)] == h})
+
+        return pa.array([of(t.as_py() or "") for t in texts], pa.list_(pa.string()))
+
+    cut = docs.select("cid", "text", shared("text").alias("hs")).where(F.size("hs") > 0).select("cid", "text", F.explode("hs").alias("h"))
+    found = cut.join(F.broadcast(known), "h").where(F.contains("text", F.col("passage")))
     few = [(r[key], r["passage"]) for r in short.select(key, "passage").collect()]  # questions again
     out = found.select(key, "cid").distinct()
     for k, passage in few:
@@ -34,20 +50,22 @@ def containing(passages: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def _scored(index: bm25.Index, questions: DataFrame, terms: bm25.Terms = tokens) -> DataFrame:
-    asked = questions.select("qid", F.explode(terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    return bm25.score_many(index, asked).withColumn("bm25", F.round("bm25", 9))
+def _deep(k: int, w_dense: float, w_keyword: float) -> int:
+    """What stands behind this rank in both routes is not among the first k: a route has k rows that are above it, or
+    no row so far behind."""
+    least = min(w_dense, w_keyword)
+    return math.ceil((retrieval.RRF_K + k) * (w_dense + w_keyword) / least) if least > 0 else (1 << 31) - 1
 
 
 def hybrid_ranks(index: bm25.Index, vectors: DataFrame, questions: DataFrame, k: int, w_dense: float = 1.0, w_keyword: float = 1.0) -> DataFrame:
     """(qid, cid, pos): the first k of each question by hybrid search, in one plan for all of them. vectors: lib, cid,
     vec; questions: qid, question, q (its vector); cid is a number or a text. Routes are fused for each question
-    and library; libraries are level by their best, as in a search."""
-    by = ["qid", "lib"]
+    and library; libraries are level by their best, as in a search. Keyword ranks are made, exactly, for the rows that can be
+    among the first k."""
+    by, deep = ["qid", "lib"], _deep(k, w_dense, w_keyword)
     near = retrieval.nearest_of_many(vectors, "cid", "vec", questions.select("qid", "q"), retrieval.dense_limit(k))
-    dense = near.select(*by, "cid", F.row_number().over(Window.partitionBy(*by).orderBy(F.round("distance", 9), "cid")).alias("rd"))
-    scored = _scored(index, questions).withColumn("_of", F.struct(*by))
-    keyword = group_rank(scored, "_of", [F.desc("bm25"), F.col("cid")], "rb").select(*by, "cid", "rb")
+    dense = materialise(near.select(*by, "cid", F.row_number().over(Window.partitionBy(*by).orderBy(F.round("distance", 9), "cid")).alias("rd")), "dense-ranks")
+    keyword = scoring.Scores(index, questions.select("qid", "question")).ranked(dense.where(F.col("rd") <= deep).drop("rd"), deep)
     part = lambda w, r: F.coalesce(F.lit(float(w)) / (F.lit(retrieval.RRF_K) + F.col(r)), F.lit(0.0))
     fused = dense.join(keyword, [*by, "cid"], "full").select(*by, "cid", F.round(part(w_dense, "rd") + part(w_keyword, "rb"), 9).alias("rrf"))
     of_library = Window.partitionBy(*by)
@@ -59,9 +77,8 @@ def hybrid_ranks(index: bm25.Index, vectors: DataFrame, questions: DataFrame, k:
 
 def keyword_ranks(index: bm25.Index, questions: DataFrame, k: int, terms: bm25.Terms = tokens) -> DataFrame:
     """(qid, cid, pos): the first k of each question. questions: qid, question."""
-    scored = _scored(index, questions, terms)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25"), "cid"))
-    return scored.withColumn("pos", rank).where(F.col("pos") <= k).select("qid", "cid", "pos")
+    return scoring.Scores(index, questions, terms).best(k).withColumn("pos", rank).where(F.col("pos") <= k).select("qid", "cid", "pos")
 
 
 def hits(ranked: DataFrame, gold: DataFrame, at: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
