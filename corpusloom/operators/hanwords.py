@@ -1,7 +1,7 @@
 """Words of Han texts, which are written without spaces: found in the texts, then used to cut them.
 
 Discovery is one count of all grams and aggregates of it. What is counted and moved is one window of
-LONGEST + 1 signs for each sign, with the windows of the same two first signs to one place; sorted, the windows of a
+LONGEST + 1 signs for each sign, with the windows of the same two first signs to one place; sorted as numbers, the windows of a
 shorter gram stand side by side. Tasks count blocks of PIECE signs in numpy before windows move. A gram that is met once adds nothing to an
 entropy, n * ln(n) being 0, and is part of no word that is met more often, so discovery leaves it out. A gram of two to LONGEST signs is a word if it is
 frequent, coheres (its signs meet more often than the parts of any cut of it would by chance) and is free
@@ -45,6 +45,7 @@ WORDS = 200_000
 PIECE = 1 << 21
 BESIDE, PACKED = 24, 4
 FIRST, LAST = 0x4E00, 0x9FFF  # of HAN; three bytes each in UTF-8
+SIGN_BITS, SLOTS = 15, 4  # of windows as numbers
 MICRO = 1_000_000
 EDGE = "\u0002"
 #: Signs that are no terms of the keyword index when they are words by themselves.
@@ -143,6 +144,24 @@ def _batch(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(grams.tolist(), pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
 
 
+def _numbered(windows: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
+    """Windows as numbers of SLOTS signs each, which move and sort faster than texts: g0, g1 and so on, n."""
+    matrix = np.ascontiguousarray(windows.astype(f"<U{size}")).view(np.uint32).reshape(len(windows), size).astype(np.int64)
+    code = np.where(matrix >= FIRST, matrix - FIRST + 2, matrix > 0)  # 1 is an edge, 0 stands for nothing
+    code = np.pad(code, ((0, 0), (0, -size % SLOTS))).reshape(len(windows), -1, SLOTS)
+    packed = (code << np.arange(SIGN_BITS * (SLOTS - 1), -1, -SIGN_BITS)).sum(axis=2)
+    return pa.RecordBatch.from_arrays([*map(pa.array, packed.T), pa.array(n, pa.int64())], [*(f"g{i}" for i in range(packed.shape[1])), "n"])
+
+
+def _named(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, counts) of what _numbered() makes."""
+    packed = np.stack([c.to_numpy() for c in batch.columns[:-1]], axis=1)
+    code = (packed[:, :, None] >> np.arange(SIGN_BITS * (SLOTS - 1), -1, -SIGN_BITS)) & ((1 << SIGN_BITS) - 1)
+    code = code.reshape(len(packed), -1)[:, :size]
+    signs = np.where(code > 1, code + (FIRST - 2), code * ord(EDGE)).astype(np.uint32)
+    return np.ascontiguousarray(signs).view(f"<U{size}")[:, 0], batch.column("n").to_numpy()
+
+
 def gram_counts(docs: DataFrame, text: str, longest: int = LONGEST, least: int = 1) -> DataFrame:
     """(gram, n): grams of one to longest + 1 signs; EDGE stands before and behind each run. least: of longer grams
     than single signs only those with that many."""
@@ -152,18 +171,19 @@ def gram_counts(docs: DataFrame, text: str, longest: int = LONGEST, least: int =
         for batch in batches:
             texts = batch.column(0).to_pylist()
             signs, n = np.unique(_signs(texts)[0].astype(np.uint32), return_counts=True)
-            yield _batch(signs.view("<U1"), n)
+            yield _numbered(signs.view("<U1"), n, size)
             for windows, n in _windows(texts, size, piece):
                 for i in range(0, len(n), 1 << 16):
-                    yield _batch(windows[i : i + (1 << 16)], n[i : i + (1 << 16)])
+                    yield _numbered(windows[i : i + (1 << 16)], n[i : i + (1 << 16)], size)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = ((np.array(b.column(0).to_pylist(), f"<U{size}"), b.column(1).to_numpy()) for b in batches if len(b))
+        listed = (_named(b, size) for b in batches if len(b))
         for grams, n in _begun(listed, size, least):
             yield _batch(grams, n)
 
-    windows = docs.select(F.col(text).alias("t")).mapInArrow(count, "gram string, n long")
-    dealt = windows.repartition(F.substr("gram", F.lit(1), F.lit(2))).sortWithinPartitions("gram")  # all windows with a beginning of two signs or more
+    packed = [f"g{i}" for i in range(-(-size // SLOTS))]
+    windows = docs.select(F.col(text).alias("t")).mapInArrow(count, ", ".join(f"{g} long" for g in packed) + ", n long")
+    dealt = windows.repartition(F.shiftright("g0", SIGN_BITS * (SLOTS - 2))).sortWithinPartitions(*packed)  # all windows with a beginning of two signs or more
     return dealt.mapInArrow(add, "gram string, n long")
 
 
@@ -297,7 +317,7 @@ def _follow(steps: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """The places that are reached from starts by steps; a run's last step ends where the next one starts."""
     reached, at = np.zeros(size + 1, bool), starts
     reached[starts] = True
-    ends = np.append(starts[1:], size)
+    ends = np.append(starts[1:], size) if len(starts) else starts
     while len(at) >= BESIDE:
         at = at + steps[at]
         on = at < ends
@@ -335,14 +355,17 @@ def _blocks(texts: list[str | None], piece: int) -> Iterator[list[str | None]]:
         yield part
 
 
-def _said(part: list[str | None], lexicon: Lexicon) -> pa.Array:
-    """The words of each text, as lists; the texts' signs are their words' buffer."""
+def _said(part: list[str | None], lexicon: Lexicon, terms: bool = False) -> pa.Array:
+    """The words of each text, as lists; the texts' signs are their words' buffer. terms: without stop signs."""
     signs, places, of_text = _signs(part)
-    begins, _, _ = lexicon.cut(signs, _starts(places))
+    begins, lengths, _ = lexicon.cut(signs, _starts(places))
     counts = np.bincount(of_text[begins], minlength=len(part)) if len(part) else np.zeros(0, int)
     data = signs.astype("<u2").tobytes().decode("utf-16-le").encode()
     offsets = pa.array((np.append(begins, len(signs)) * 3).astype(np.int32))
     words = pa.StringArray.from_buffers(len(begins), offsets.buffers()[1], pa.py_buffer(data))
+    if terms:
+        said = np.flatnonzero((lengths > 1) | ~np.isin(signs[begins], [ord(c) for c in STOP_SIGNS]))
+        words, counts = words.take(pa.array(said)), np.bincount(of_text[begins[said]], minlength=len(part))
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), words)
 
 
@@ -354,17 +377,17 @@ class Segmenter:
     unknown: int
     longest: int
 
-    def words(self, text: Column) -> Column:
-        """The words of a text's runs, in their order."""
+    def words(self, text: Column, terms: bool = False) -> Column:
+        """The words of a text's runs, in their order. terms: without those that are a stop sign."""
         weights, unknown, longest, piece = self.weights, self.unknown, self.longest, PIECE
 
         @F.arrow_udf("array<string>")
         def segment(batch: pa.Array) -> pa.Array:
             known, texts = weights.value, batch.to_pylist()
             if longest > PACKED:
-                found = pa.array([[w for run in _runs_of(t) for w in cut(run, known, unknown, longest)] for t in texts], pa.list_(pa.string()))
+                found = pa.array([[w for run in _runs_of(t) for w in cut(run, known, unknown, longest) if not terms or w not in STOP_SIGNS or len(w) > 1] for t in texts], pa.list_(pa.string()))
             else:
-                parts = [_said(part, _lexicon(known, unknown)) for part in _blocks(texts, piece)]
+                parts = [_said(part, _lexicon(known, unknown), terms) for part in _blocks(texts, piece)]
                 found = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
             return found
 
@@ -399,7 +422,7 @@ class Segmenter:
 
     def tokens(self, text: Column) -> Column:
         """Terms of the keyword index: those of tokens(), then the words of Han runs but for stop signs."""
-        return F.concat(tokens(text), F.filter(self.words(text), lambda w: ~F.contains(F.lit(STOP_SIGNS), w) | (F.length(w) > 1)))
+        return F.concat(tokens(text), self.words(text, terms=True))
 
 
 def segmenter(spark: SparkSession, entries: DataFrame) -> Segmenter:

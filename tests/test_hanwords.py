@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,24 @@ def test_longer_words_of_other_dictionaries(spark):
     docs = texts(spark, "火箭发动机水泵火箭。水", None)
     assert [r.w for r in docs.select("id", cutter.words(F.col("text")).alias("w")).orderBy("id").collect()] == [["火箭发动机", "水泵", "火箭", "水"], []]
     assert {r.word: r.n for r in cutter.counted(docs, "text").collect()} == {"火箭发动机": 1, "水泵": 1, "火箭": 1, "水": 1}
+
+
+def test_windows_move_as_numbers(spark):
+    rng = random.Random(12)
+    for size in (1, 3, 4, 5, 8, 9):
+        signs = ["".join(rng.choices("一鿿中" + hanwords.EDGE, k=rng.randrange(1, size + 1))) for _ in range(60)]
+        batch = hanwords._numbered(np.array(signs, f"<U{size}"), np.arange(60), size)
+        back, n = hanwords._named(batch, size)
+        assert back.tolist() == signs and n.tolist() == list(range(60))
+        assert {str(t) for t in batch.schema.types} == {"int64"}
+    plan = hanwords.gram_counts(texts(spark, "火箭发动机"), "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "g0" in plan and "substr" not in plan
+
+
+def test_terms_leave_stop_signs_out(spark):
+    for word in ("火箭", "火箭发动机"):  # of both ways to cut
+        entries = spark.createDataFrame([(word, 50), ("的", 40), ("因为", 30), ("水", 3)], "word string, n long")
+        cutter, docs = hanwords.segmenter(spark, entries), texts(spark, word + "的水因为的，了", "", "的", "ab 水的")
+        got = {r.id: (r.t, r.w) for r in docs.select("id", cutter.tokens(F.col("text")).alias("t"), cutter.words(F.col("text"), terms=True).alias("w")).collect()}
+        assert [got[i][1] for i in range(4)] == [[word, "水", "因为"], [], [], ["水"]]
+        assert got[3][0] == ["ab", "水的", "水"] and "filter" not in docs.select(cutter.tokens(F.col("text")))._jdf.queryExecution().toString()
