@@ -72,10 +72,10 @@ def han_segments(spark, sf):
 
 @query()
 def han_retrieval(spark, sf):
-    """The benchmark's passages as questions to the documents, both without spaces: hits with two-letter
+    """The benchmark's whole passages as questions to the documents, both without spaces: hits with two-letter
     shingles alone and with words beside them."""
     docs = materialise(_han(spark, sf), "han")
-    asked = _han(spark, sf, "benchmark", "item_id").select(F.col("item_id").alias("qid"), F.substr("han", F.lit(1), F.lit(30)).alias("question"))
+    asked = _han(spark, sf, "benchmark", "item_id").toDF("qid", "question")
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     gold = materialise(evaluation.containing(items, table(spark, sf, "documents").select(F.col("doc_id").alias("cid"), "text"), "item_id").withColumnRenamed("item_id", "qid"), "gold")
     cutter = hanwords.segmenter(spark, hanwords.learn(docs, "han"))

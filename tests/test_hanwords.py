@@ -177,6 +177,18 @@ def test_queries(spark, sf):
     assert all(0 <= r.hit_1 <= r.hit_3 <= r.hit_5 <= r.questions for r in rows.values())
 
 
+def test_questions_are_whole_passages(spark, tmp_path):
+    """Passages that differ only behind their first 60 letters."""
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    start = " ".join(letters(8) for _ in range(12))
+    passages = [(i, start + " " + " ".join(letters(8) for _ in range(12))) for i in range(6)]
+    spark.createDataFrame(passages, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r.terms: r for r in entry.queries()["han_retrieval"](spark, str(tmp_path)).collect()}
+    assert all((r.questions, r.hit_1) == (6, 6) for r in rows.values())
+
+
 def test_engine_learns_words_and_searches_by_them(spark, tmp_path):
     rng = random.Random(3)
     lexicon = ["发动机", "推进剂", "燃烧室", "喷管", "水泵", "阀门", "涡轮", "管路", "支架", "冷却"]
