@@ -10,17 +10,28 @@ entries of the ``SEEDS`` most promising blocks give true scores; the k-th best o
 reach. Entries are then read of the blocks whose bound reaches it, and of no others; nothing is lost.
 Rows lie sorted by (lib, term, block), so the reader skips row groups and pages that hold other ones.
 
+To build it, texts move once, to their chunk's number. Their terms are then sorted where they are: a task sends to each range of
+(lib, term, span of blocks) one compressed row, with the documents that it has there and the entries as numbers of them.
+
 The statistics are stored with the index: chunks and words of each library, and of each term in how many
 chunks it is. A query aggregates neither lengths nor postings.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions.text import tokens
 from ..storage import materialise
@@ -29,6 +40,10 @@ from .ranking import group_rank
 
 SIZE = 128
 SEEDS = 8
+SPAN = 1024  # blocks whose entries of a term move to one place
+WORDS, MOST_DOCS = 1 << 21, 1 << 16  # of texts that are packed at a time; entries of a part, about
+POINTS, MOST_POINTS, SAMPLED = 64, 1 << 18, 4096  # keys that are sampled for a bound, for all; documents they come from, at least
+ROWS = 1 << 14  # blocks that leave together
 LISTED_BLOCKS = 2000  # more are joined, not listed in a filter
 MARGIN = 1e-6  # for scores that differ by rounding
 
@@ -42,28 +57,165 @@ class BlockIndex(NamedTuple):
     totals: DataFrame
 
 
+class Ordered(BlockIndex):
+    """Its blocks lie in the order in which they are to be written."""
+
+
 def build(docs: DataFrame, key: str, text: str, lib: str | None = None, size: int = SIZE, terms: Terms = tokens) -> BlockIndex:
     """docs: a row for each chunk. lib: column that says whose statistics count; else all rows are one.
     terms: what makes the terms, of questions too."""
     group = F.col(lib) if lib else F.lit("")
-    listed = docs.select(group.alias("lib"), F.col(key).alias("cid"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    listed = listed.withColumn("dl", F.size("terms").cast("long"))
-    lengths = materialise(listed.select("lib", "cid", "dl"), "lengths")  # read three times: to find ranges, to number, for the totals
+    texts = docs.select(group.alias("lib"), F.col(key).alias("cid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    listed = texts.select("lib", "cid", terms(F.col("text")).alias("terms"))
+    lengths = materialise(listed.select("lib", "cid", F.size("terms").cast("long").alias("dl")), "lengths")  # read four times: to count, to find ranges, to number, for the totals
     numbered = group_rank(lengths, "lib", [F.col("dl"), F.col("cid")], "rank")
-    numbered = numbered.select(F.col("lib").alias("_lib"), F.col("cid").alias("_cid"), F.expr(f"(rank - 1) div {size}").alias("block"))
-    counted = listed.select("lib", "cid", "dl", F.explode("terms").alias("term")).groupBy("lib", "term", "cid", "dl").agg(F.count("*").alias("tf"))
-    placed = counted.join(numbered, F.col("lib").eqNullSafe(F.col("_lib")) & (F.col("cid") == F.col("_cid")))
-    blocks = placed.groupBy("lib", "term", "block").agg(
-        F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.array_sort(F.collect_list(F.struct("cid", "tf", "dl"))).alias("entries"),  # size at most
-    )
+    numbered = numbered.select(F.col("lib").alias("_lib"), F.col("cid").alias("_cid"), (F.col("rank") - 1).alias("rank"))
+
+    def placed(some: DataFrame) -> DataFrame:
+        met = some.join(numbered.hint("shuffle_hash"), F.col("lib").eqNullSafe(F.col("_lib")) & (F.col("cid") == F.col("_cid")))
+        return met.select("lib", "cid", "rank", terms(F.col("text")).alias("terms"))
+
+    whole = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()  # one row
+    parts, reach = -(-whole["words"] // WORDS), size * SPAN
+    bounds = []
+    if parts > 1:
+        points = min(POINTS * parts, MOST_POINTS)
+        share = min(1.0, max(SAMPLED / whole["n"], 16 * points / whole["words"]))
+        keys = placed(texts.sample(share, 0)).select("lib", F.explode(F.array_distinct("terms")).alias("term"), F.expr(f"rank div {reach}").alias("span"))
+        seen = sorted(map(_place, keys.sample(min(1.0, points / whole["words"] / share), 0).collect()))
+        bounds = sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
+    blocks = _blocks(_packed(placed(texts), reach, bounds), len(bounds) + 1, texts.schema["lib"].dataType, texts.schema["cid"].dataType, size)
     totals = lengths.groupBy("lib").agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
-    return BlockIndex(blocks, blocks.groupBy("lib", "term").agg(F.sum("n").alias("df")), totals)
+    return Ordered(blocks, blocks.groupBy("lib", "term").agg(F.sum("n").alias("df")), totals)
+
+
+def _place(key: tuple) -> tuple:
+    """Of (lib, term, span), in an order in which null comes first."""
+    return (key[0] is not None, *((key[0],) if key[0] is not None else ()), *key[1:])
+
+
+def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(numbers of the values, distinct values), both in order; null comes first."""
+    found = values.dictionary_encode("encode")
+    order = pc.sort_indices(found.dictionary, null_placement="at_start")
+    number = np.empty(len(order), np.int64)
+    number[order.to_numpy()] = np.arange(len(order))
+    return number[found.indices.to_numpy()], found.dictionary.take(order)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before, and the first."""
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))) if len(columns[0]) else np.zeros(0, int)
+
+
+def _chunk_schema(lib: pa.DataType, cid: pa.DataType) -> pa.Schema:
+    """Of the entries of some documents' terms, in one row: terms and how many entries each has; entries: number of the document, tf;
+    documents: lib, cid, rank, dl."""
+    kinds = {"term": pa.string(), "n": pa.int32(), "doc": pa.uint16(), "tf": pa.int32(), "lib": lib, "cid": cid, "rank": pa.int64(), "dl": pa.int32()}
+    return pa.schema([(name, pa.list_(kind)) for name, kind in kinds.items()])
+
+
+def _packed(placed: DataFrame, reach: int, bounds: list[tuple]) -> DataFrame:
+    """(part, size, chunk) of placed documents (lib, cid, rank, terms): what a task has of a part of all (lib, term, span), which
+    bounds cut; compressed, size is what it was before. A span has reach ranks."""
+
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        listed, rank = docs.column("terms"), docs.column("rank").to_numpy()
+        dl, span = listed.value_lengths().to_numpy(), rank // reach
+        of_lib, libs = _coded(docs.column("lib"))
+        number, names = _coded(listed.flatten())
+        if not len(names):
+            return
+        code, tf = np.unique(number * len(docs) + np.repeat(np.arange(len(docs)), dl), return_counts=True)
+        term, doc = np.divmod(code, len(docs))
+        order = np.lexsort((span[doc], term, of_lib[doc]))
+        term, doc, tf = term[order], doc[order], tf[order]
+        keys = _changes(of_lib[doc], term, span[doc])
+        key = lambda i: _place((libs[of_lib[doc[i]]].as_py(), names[int(term[i])].as_py(), int(span[doc[i]])))
+        cuts = [0, *(int(keys[at]) if (at := bisect_left(range(len(keys)), b, key=lambda j: key(int(keys[j])))) < len(keys) else len(doc) for b in bounds), len(doc)]
+        schema, made = _chunk_schema(docs.column("lib").type, docs.column("cid").type), []
+        for part, (low, high) in enumerate(itertools.pairwise(cuts)):
+            if low == high:
+                continue
+            some, here = np.unique(doc[low:high], return_inverse=True)
+            first = _changes(of_lib[doc[low:high]], term[low:high])
+            columns = [names.take(pa.array(term[low:high][first])), np.diff(np.append(first, high - low)), here, tf[low:high], *(docs.column(c).take(pa.array(some)) for c in ("lib", "cid")), rank[some], dl[some]]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c, f.type.value_type)) for c, f in zip(columns, schema, strict=True)]
+            message = pa.RecordBatch.from_arrays(lists, schema=schema).serialize()
+            made.append((part, message.size, pa.compress(message, "zstd", asbytes=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "size", "chunk"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words, rows = [], 0, 0
+        for batch in batches:
+            sizes = np.cumsum(batch.column("terms").value_lengths().to_numpy())
+            begin = 0
+            while begin < len(batch):  # as many documents as have WORDS words, one at least
+                before = int(sizes[begin - 1]) if begin else 0
+                end = min(max(begin + 1, int(np.searchsorted(sizes, before + WORDS - words, "right"))), begin + MOST_DOCS - rows)
+                held.append(batch.slice(begin, end - begin))
+                words, rows, begin = words + int(sizes[end - 1]) - before, rows + end - begin, end
+                if words >= WORDS or rows >= MOST_DOCS or begin < len(batch):
+                    yield from pack(held)
+                    held, words, rows = [], 0, 0
+        if held:
+            yield from pack(held)
+
+    return placed.mapInArrow(run, "part int, size long, chunk binary")
+
+
+def _blocks(chunks: DataFrame, parts: int, lib: DataType, cid: DataType, size: int) -> DataFrame:
+    """Blocks of what _packed() makes. The files that they are written to are sorted by lib, term and block."""
+    schema = _chunk_schema(to_arrow_type(lib), to_arrow_type(cid))
+
+    def unpack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = {f.name: pa.concat_arrays([b.column(f.name).flatten() for b in held]) for f in schema}
+        n = np.array([[len(b.column(c)[0]) for c in ("doc", "rank")] for b in held])
+        doc = lists["doc"].to_numpy().astype(np.int64) + np.repeat(np.cumsum(n[:, 1]) - n[:, 1], n[:, 0])
+        of_lib, libs = _coded(lists["lib"])
+        number, names = _coded(lists["term"])
+        term, tf = np.repeat(number, lists["n"].to_numpy()), lists["tf"].to_numpy().astype(np.int64)
+        rank, dl = lists["rank"].to_numpy(), lists["dl"].to_numpy().astype(np.int64)
+        order = np.lexsort((dl[doc], rank[doc], term, of_lib[doc]))
+        term, doc, tf = term[order], doc[order], tf[order]
+        # rows with one key and length are one document, their frequencies are added; it is met at each of their ranks
+        first = _changes(of_lib[doc], term, rank[doc], dl[doc])
+        term, doc, tf = term[first], doc[first], np.add.reduceat(tf, first)
+        block, long = rank[doc] // size, dl[doc]
+        at = _changes(of_lib[doc], term, block)
+        ends = np.append(at, len(doc))
+        most, least, of_entry = np.maximum.reduceat(tf, at), np.minimum.reduceat(long, at), pa.array(doc)
+        for i in range(0, len(at), ROWS):
+            here, bound = at[i : i + ROWS], ends[i : i + ROWS + 1]
+            low, high = int(bound[0]), int(bound[-1])
+            entries = pa.StructArray.from_arrays([lists["cid"].take(of_entry[low:high]), pa.array(tf[low:high]), pa.array(long[low:high])], ["cid", "tf", "dl"])
+            columns = [libs.take(pa.array(of_lib[doc[here]])), names.take(pa.array(term[here])), *map(pa.array, (block[here], np.diff(bound), most[i : i + ROWS], least[i : i + ROWS]))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array((bound - low).astype(np.int32)), entries)], ["lib", "term", "block", "n", "most_tf", "least_dl", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+        for batch in batches:
+            for i in range(len(batch)):
+                if held and batch.column("part")[i].as_py() != part:
+                    yield from unpack(held)
+                    held = []
+                part = batch.column("part")[i].as_py()
+                message = pa.decompress(batch.column("chunk")[i].as_buffer(), batch.column("size")[i].as_py(), "zstd")
+                held.append(pa.ipc.read_record_batch(message, schema))
+        if held:
+            yield from unpack(held)
+
+    kind = f"lib {lib.simpleString()}, term string, block long, n long, most_tf long, least_dl long, entries array<struct<cid: {cid.simpleString()}, tf: long, dl: long>>"
+    dealt = chunks.repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, kind).withColumn("entries", F.array_sort("entries"))
 
 
 def write(index: BlockIndex, path: str, row_group: int | None = None) -> BlockIndex:
     """Stores the index under path. row_group: bytes of a row group, if not the default."""
     spark = index.blocks.sparkSession
-    rows = index.blocks.repartitionByRange("lib", "term", "block").sortWithinPartitions("lib", "term", "block").write
+    rows = index.blocks if isinstance(index, Ordered) else index.blocks.repartitionByRange("lib", "term", "block").sortWithinPartitions("lib", "term", "block")
+    rows = rows.write
     (rows.option("parquet.block.size", row_group) if row_group else rows).parquet(f"{path}/blocks")
     stored = spark.read.parquet(f"{path}/blocks")
     terms = stored.groupBy("lib", "term").agg(F.sum("n").alias("df"))

@@ -69,3 +69,52 @@ def test_lengths_are_stored_once(spark):
     assert "regexp_extract_all" not in index.totals._jdf.queryExecution().optimizedPlan().toString()
     want = documents(spark, 200).selectExpr("lib", "size(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9][a-z0-9._+-]{1,})')) AS dl").groupBy("lib").agg(F.count("*"), F.sum("dl"))
     assert sorted(map(str, index.totals.collect())) == sorted(str(r) for r in want.toDF("lib", "n", "words").collect())
+
+
+def records_moved(df):
+    """Rows that the exchanges of an executed query wrote."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    plan = plan.finalPhysicalPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if "QueryStage" in node.getClass().getSimpleName():
+            node = node.plan()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if node.metrics().contains("shuffleRecordsWritten"):
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+    return total
+
+
+def test_texts_move_and_not_their_postings(spark):
+    docs = documents(spark, 1000)
+    index = blockmax.build(docs, "id", "text", "lib", size=32)
+    postings = index.blocks.agg(F.sum("n")).first()[0]
+    assert postings > 20_000 and records_moved(index.blocks) < postings / 4
+
+
+def test_blocks_of_repeated_rows_and_null_keys(spark, monkeypatch):
+    """All blocks, of several ranges and spans, against brute force: equal keys of one length are one document, met at the number
+    of each row with its key; chunks without a key have a number only."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(60)]), rng.choice(["a", "b", None]), " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(5)))) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "id long, lib string, text string").repartition(3)
+    want = {}
+    for lib in ("a", "b", None):
+        mine = sorted(((len(t.split()), -1 if i is None else i, t) for i, x, t in rows if x == lib), key=lambda r: r[:2])
+        tf = {}
+        for dl, i, t in mine:
+            for w in t.split():
+                tf[i, dl, w] = tf.get((i, dl, w), 0) + 1
+        for rank, (_, i, _) in enumerate(mine):
+            for (j, dl, w), n in tf.items():
+                if i == j >= 0:
+                    want.setdefault((lib, w, rank // 4), []).append((i, n, dl))
+    for words, span in ((blockmax.WORDS, blockmax.SPAN), (50, 2)):
+        monkeypatch.setattr(blockmax, "WORDS", words)
+        monkeypatch.setattr(blockmax, "SPAN", span)
+        made = blockmax.build(docs, "id", "text", "lib", size=4).blocks.collect()
+        assert {(r.lib, r.term, r.block): [tuple(e) for e in r.entries] for r in made} == {k: sorted(v) for k, v in want.items()} and len(made) == len(want)
+        assert all((r.n, r.most_tf, r.least_dl) == (len(r.entries), max(e.tf for e in r.entries), min(e.dl for e in r.entries)) for r in made)
