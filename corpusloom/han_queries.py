@@ -6,33 +6,52 @@ words are one to four signs long as a rule, their limits are known, and every ot
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import let
 from .operators import bm25, evaluation, hanwords
+from .operators.hanwords import FIRST
 from .queries import query, table
 from .storage import materialise
 
 _PARTS = "[a-z]{1,2}|[.!?]"
-_LETTERS = [chr(97 + i) for i in range(26)]
-_SIGNS = {a + b: chr(0x4E00 + 27 * i + j) for i, a in enumerate(_LETTERS) for j, b in enumerate(["", *_LETTERS])} | dict.fromkeys(".!?", "。")
 
 
 def _as_han(text: F.Column) -> F.Column:
-    parts, signs = _PARTS, _SIGNS
-
     @F.arrow_udf("string")
     def run(batch: pa.Array) -> pa.Array:
-        listed = re.compile(parts).findall
-        return pa.array(["".join(map(signs.__getitem__, listed(t.as_py()))) for t in batch], pa.string())
+        return _signed(batch)
 
     return run(F.lower(F.coalesce(text, F.lit(""))))
 
 
+def _signed(texts: pa.Array) -> pa.Array:
+    """The signs of lower-case texts: pairs of letters from a word's first one on, or its last one alone, and ends of sentences."""
+    if not len(texts):
+        return texts
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    signs = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    made = np.where((signs == ord(".")) | (signs == ord("!")) | (signs == ord("?")), ord("。"), 0).astype(np.uint16)
+    at = np.flatnonzero((signs >= ord("a")) & (signs <= ord("z")))
+    if len(at):
+        begins = np.zeros(len(signs) + 1, bool)
+        begins[ends] = True
+        begin = np.append(True, np.diff(at) != 1) | begins[at]
+        place = np.arange(len(at))
+        odd = (place - np.maximum.accumulate(np.where(begin, place, 0))) & 1
+        letter = signs[at].astype(np.uint16) - ord("a")
+        second = np.where(np.append(odd[1:], 0) == 1, np.append(letter[1:], 0) + 1, 0)
+        made[at[odd == 0]] = (FIRST + 27 * letter + second)[odd == 0]
+    kept = np.flatnonzero(made)
+    said = made[kept].astype("<u2").tobytes().decode("utf-16-le").encode()
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((3 * np.searchsorted(kept, ends)).astype(np.int32)), pa.py_buffer(said))
+
+
 def _han(spark, sf, name: str = "documents", key: str = "doc_id") -> DataFrame:
     return table(spark, sf, name).select(key, _as_han(F.col("text")).alias("han"))
 
@@ -80,7 +99,7 @@ def han_retrieval(spark, sf):
     gold = materialise(evaluation.containing(items, table(spark, sf, "documents").select(F.col("doc_id").alias("cid"), "text"), "item_id").withColumnRenamed("item_id", "qid"), "gold")
     cutter = hanwords.segmenter(spark, hanwords.learn(docs, "han"))
     rows = None
-    for name, terms in {"shingles": bm25.tokens, "words": cutter.tokens}.items():
+    for name, terms in {"shingles": hanwords.shingles, "words": cutter.tokens}.items():
         index = bm25.build(docs, "doc_id", "han", terms=terms)
         made = evaluation.hits(evaluation.keyword_ranks(index, asked, 5, terms=terms), gold).select(F.lit(name).alias("terms"), "*")
         rows = made if rows is None else rows.unionByName(made)

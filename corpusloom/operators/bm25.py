@@ -8,9 +8,10 @@ the reader skips the row groups that have none of them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +26,13 @@ LISTED_TERMS = 1000  # a query with more is joined, not listed in a filter
 @dataclass
 class Index:
     """postings: lib, term, cid, tf, dl. lengths: lib, cid, dl. totals: lib, n, avgdl, if they are stored. listed: lib, cid,
-    terms, of an index that isn't."""
+    terms, of an index that isn't. lists: what makes lists of terms in Arrow batches, if there is; then listed has lower-case texts in their place."""
 
     postings: DataFrame
     lengths: DataFrame
     totals: DataFrame | None = None
     listed: DataFrame | None = None
+    lists: Callable[[pa.Array], Iterable[list[pa.Array]]] | None = None
 
     def statistics(self) -> DataFrame:
         return self.totals if self.totals is not None else statistics(self.lengths)
@@ -43,7 +45,10 @@ def build(docs: DataFrame, key: str, text: str, lib: str | None = None, terms: T
     listed = docs.select(group.alias("lib"), F.col(key).alias("cid"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     measured = listed.withColumn("dl", F.size("terms").cast("long"))
     postings = measured.select("lib", "cid", "dl", F.explode("terms").alias("term")).groupBy("lib", "term", "cid", "dl").agg(F.count("*").alias("tf"))
-    return Index(postings.select("lib", "term", "cid", "tf", "dl"), measured.select("lib", "cid", "dl"), listed=listed)
+    lists = getattr(terms, "lists", None)
+    if lists:
+        listed = docs.select(group.alias("lib"), F.col(key).alias("cid"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    return Index(postings.select("lib", "term", "cid", "tf", "dl"), measured.select("lib", "cid", "dl"), listed=listed, lists=lists)
 
 
 def stored(postings: DataFrame) -> DataFrame:

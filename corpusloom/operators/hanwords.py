@@ -31,11 +31,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK_RUN, tokens
+from ..functions.text import CJK_RUN, LATIN_TOKEN
 from ..storage import materialise
 
 LONGEST, LEAST = 4, 5
@@ -48,6 +49,7 @@ FIRST, LAST = 0x4E00, 0x9FFF  # of HAN; three bytes each in UTF-8
 SIGN_BITS, SLOTS = 15, 4  # of windows as numbers
 MICRO = 1_000_000
 EDGE = "\u0002"
+_LATIN = re.compile(LATIN_TOKEN)
 #: Signs that are no terms of the keyword index when they are words by themselves.
 STOP_SIGNS = (
     "的了是在有和就不太人这那也还我一个要会去与或于及之而但并其们"
@@ -366,7 +368,67 @@ def _said(part: list[str | None], lexicon: Lexicon, terms: bool = False) -> pa.A
     if terms:
         said = np.flatnonzero((lengths > 1) | ~np.isin(signs[begins], [ord(c) for c in STOP_SIGNS]))
         words, counts = words.take(pa.array(said)), np.bincount(of_text[begins[said]], minlength=len(part))
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), words)
+    return _listed(words, counts)
+
+
+def _pairs(part: list[str | None]) -> pa.Array:
+    """The two-letter shingles of each text's runs, as lists."""
+    signs, places, of_text = _signs(part)
+    first = np.flatnonzero(np.diff(places) == 1)
+    data = np.stack([signs[first], signs[first + 1]], axis=1).astype("<u2").tobytes().decode("utf-16-le").encode()
+    pairs = pa.StringArray.from_buffers(len(first), pa.py_buffer((6 * np.arange(len(first) + 1)).astype(np.int32)), pa.py_buffer(data))
+    return _listed(pairs, np.bincount(of_text[first], minlength=len(part)))
+
+
+def _latin(part: list[str | None]) -> pa.Array:
+    """The Latin and digit words of each lower-case text, as lists."""
+    return pa.array([[] if _LATIN.search(t or "") is None else _LATIN.findall(t) for t in part], pa.list_(pa.string()))
+
+
+def _listed(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+
+
+def _together(lists: list[pa.Array]) -> pa.Array:
+    """Lists of each row, one behind the other."""
+    counts = [c.value_lengths().to_numpy() for c in lists]
+    if all(not n.any() for n in counts[:-1]):
+        return lists[-1]
+    of_row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in counts])
+    values = pa.concat_arrays([c.flatten() for c in lists])
+    if sum(bool(n.any()) for n in counts) > 1:
+        values = values.take(pa.array(np.argsort(of_row, kind="stable")))
+    return _listed(values, sum(counts))
+
+
+@dataclass(frozen=True)
+class Terms:
+    """Terms of the keyword index: those of tokens(), made in Arrow batches, then with a segmenter the words of Han runs but for
+    stop signs. lists() has them without a column of lists."""
+
+    segmenter: Segmenter | None = None
+
+    def __call__(self, text: Column) -> Column:
+        cut = self.cut
+
+        @F.arrow_udf("array<string>")
+        def run(batch: pa.Array) -> pa.Array:
+            return cut(batch)
+
+        return run(F.lower(text))
+
+    def lists(self, low: pa.Array) -> Iterator[list[pa.Array]]:
+        """Of lower-case texts, some at a time, the lists of their terms of each kind; null is as an empty text."""
+        for part in _blocks(low.to_pylist(), PIECE):
+            yield [_latin(part), _pairs(part), *([self.segmenter.said(part, True)] if self.segmenter else [])]
+
+    def cut(self, low: pa.Array) -> pa.Array:
+        """The terms of lower-case texts, as lists; those of null are null."""
+        found = pa.concat_arrays([pa.array([], pa.list_(pa.string())), *map(_together, self.lists(low))])
+        return found if not low.null_count else pc.if_else(low.is_valid(), found, pa.scalar(None, found.type))
+
+
+shingles = Terms()
 
 
 @dataclass(frozen=True)
@@ -379,20 +441,22 @@ class Segmenter:
 
     def words(self, text: Column, terms: bool = False) -> Column:
         """The words of a text's runs, in their order. terms: without those that are a stop sign."""
-        weights, unknown, longest, piece = self.weights, self.unknown, self.longest, PIECE
+        said, piece = self.said, PIECE
 
         @F.arrow_udf("array<string>")
         def segment(batch: pa.Array) -> pa.Array:
-            known, texts = weights.value, batch.to_pylist()
-            if longest > PACKED:
-                found = pa.array([[w for run in _runs_of(t) for w in cut(run, known, unknown, longest) if not terms or w not in STOP_SIGNS or len(w) > 1] for t in texts], pa.list_(pa.string()))
-            else:
-                parts = [_said(part, _lexicon(known, unknown), terms) for part in _blocks(texts, piece)]
-                found = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
-            return found
+            parts = [said(part, terms) for part in _blocks(batch.to_pylist(), piece)]
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
         return segment(text)
 
+    def said(self, part: list[str | None], terms: bool = False) -> pa.Array:
+        """The words of texts, as lists, in a worker."""
+        known = self.weights.value
+        if self.longest > PACKED:
+            return pa.array([[w for run in _runs_of(t) for w in cut(run, known, self.unknown, self.longest) if not terms or w not in STOP_SIGNS or len(w) > 1] for t in part], pa.list_(pa.string()))
+        return _said(part, _lexicon(known, self.unknown), terms)
+
     def counted(self, docs: DataFrame, text: str) -> DataFrame:
         """(word, n) of the texts' words."""
         weights, unknown, longest, piece = self.weights, self.unknown, self.longest, PIECE
@@ -420,9 +484,10 @@ class Segmenter:
 
         return docs.select(F.col(text).alias("t")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    def tokens(self, text: Column) -> Column:
+    @property
+    def tokens(self) -> Terms:
         """Terms of the keyword index: those of tokens(), then the words of Han runs but for stop signs."""
-        return F.concat(tokens(text), self.words(text, terms=True))
+        return Terms(self)
 
 
 def segmenter(spark: SparkSession, entries: DataFrame) -> Segmenter:

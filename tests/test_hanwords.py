@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from corpusloom import han_queries
 from corpusloom.api import Engine
-from corpusloom.operators import blockmax, bm25, hanwords
+from corpusloom.functions.text import tokens
+from corpusloom.operators import blockmax, bm25, evaluation, hanwords
 from corpusloom.tables import Conflict
 
 
@@ -177,6 +178,29 @@ def test_queries(spark, sf):
     assert all(0 <= r.hit_1 <= r.hit_3 <= r.hit_5 <= r.questions for r in rows.values())
 
 
+def test_terms_in_batches_are_those_of_tokens(spark):
+    """Also for texts with Latin words, and without a text; the index's texts are cut where their terms are counted."""
+    rows = [None, "", "火箭", "A水", "ab1 火箭发动机x水泵 C-3.x", "。火。箭", "x", "İK 水泵", "水泵" * 50, "no signs HERE"]
+    for some in (rows, rows[:2], ["火箭水泵"], ["Ab cd"]):
+        got = spark.createDataFrame([(t,) for t in some], "text string").select(tokens(F.col("text")).alias("a"), hanwords.shingles(F.col("text")).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got]
+    docs = texts(spark, *rows[1:])
+    index = bm25.build(docs, "id", "text", terms=hanwords.shingles)
+    assert "regexp_extract_all" not in index.listed._jdf.queryExecution().toString()
+    questions = spark.createDataFrame([(1, "火箭发动机 c-3.x"), (2, "水泵 here")], "qid long, question string")
+    ranks = lambda terms: sorted(map(tuple, evaluation.keyword_ranks(bm25.build(docs, "id", "text", terms=terms), questions, 4, terms=terms).collect()))
+    assert ranks(hanwords.shingles) == ranks(tokens) != []
+
+
+def test_signs_of_documents(spark):
+    """Against a loop over the pairs of letters."""
+    rows = [None, "", "a", "Ab", "abc.", "x1yz! İK", "ñaé zz?ab", "." * 5, "1 2", "abcdefg" * 9]
+    sign = lambda p: "。" if p in ".!?" else chr(0x4E00 + 27 * (ord(p[0]) - 97) + (ord(p[1]) - 96 if len(p) > 1 else 0))
+    df = spark.createDataFrame(enumerate(rows), "id long, text string").select("id", han_queries._as_han(F.col("text")).alias("han"))
+    want = {i: "".join(map(sign, re.findall("[a-z]{1,2}|[.!?]", (t or "").lower()))) for i, t in enumerate(rows)}
+    assert {r.id: r.han for r in df.collect()} == want and {r.id: r.han for r in df.where("id > 3").repartition(2).collect()} == {i: h for i, h in want.items() if i > 3}
+
+
 def test_questions_are_whole_passages(spark, tmp_path):
     """Passages that differ only behind their first 60 letters."""
     rng = random.Random(7)
